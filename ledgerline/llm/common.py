@@ -52,6 +52,11 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if settled_bytes(df) <= limit else df
 
 
+def maybe_broadcast_of(df: DataFrame, table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast for rows of a settled table whose size allows it."""
+    return F.broadcast(df) if settled_bytes(table) <= limit else df
+
+
 def _byte_class(*spans: tuple[int, int]) -> np.ndarray:
     table = np.ones(256, dtype=bool)
     for lo, hi in spans:

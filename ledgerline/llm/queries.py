@@ -6,16 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import near_dup
+from ledgerline.llm import decontaminate, mixing, near_dup, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The shards that documents are placed on.
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(_table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+
+
+def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mixture(_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (plan["copies"] * plan["size"]).alias("taken"), "source", "copies")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, num=85, den=100)
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
-QUERIES: dict[str, Query] = {"op8_minhash_near_dedup": op8_minhash_near_dedup}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op2_benchmark_decontamination,
+        op3_toxicity,
+        op5_sharding,
+        op8_minhash_near_dedup,
+        op9_mixing_sources,
+    )
+}
 
 ORACLE: dict[str, str] = {}
 
@@ -36,3 +71,41 @@ comp AS (SELECT s, min(t) AS c FROM reach GROUP BY s)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, d.doc_id IS NOT DISTINCT FROM coalesce(c.c, d.doc_id) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp c ON c.s = d.doc_id
 """
+
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLE["op2_benchmark_decontamination"] = rf"""
+WITH i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+iw AS (SELECT item_id, ws, least(len(ws), 5) AS k FROM i WHERE len(ws) > 0),
+ig AS (SELECT item_id, k, unnest(list_distinct(list_transform(range(1, len(ws) - k + 2), lambda p: array_to_string(ws[p:p + k - 1], ' ')))) AS gram FROM iw),
+n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY item_id),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+dk AS (SELECT doc_id, ws, k FROM d, (SELECT DISTINCT k FROM iw) WHERE len(ws) >= k),
+dg AS (SELECT doc_id, k, unnest(list_distinct(list_transform(range(1, len(ws) - k + 2), lambda p: array_to_string(ws[p:p + k - 1], ' ')))) AS gram FROM dk),
+m AS (SELECT doc_id, item_id, count(DISTINCT gram) AS n_shared FROM dg JOIN ig USING (k, gram) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n AS n_item, n_shared / n AS containment FROM m JOIN n USING (item_id) WHERE 10 * n_shared >= 8 * n
+"""
+
+#: Targets by filling sources in order of their limit for a unit of weight, then systematic sampling in the operator's order.
+ORACLE["op9_mixing_sources"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY source_size / w, source NULLS LAST) AS pos FROM s),
+f AS (
+  SELECT *, 3 * sum(source_size) OVER () - 4 * coalesce(sum(source_size) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest2,
+    sum(w) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ow FROM o),
+cut AS (SELECT min(pos) AS pos FROM f WHERE w * rest2 <= 4 * source_size * ow),
+t AS (
+  SELECT f.source, f.source_size, CASE WHEN f.pos < cut.pos THEN 2.0 * f.source_size ELSE (f.w * c.rest2)::DOUBLE / (2 * c.ow)::DOUBLE END AS target,
+    ('0x' || substr(md5('mix:' || coalesce(f.source, 'None')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  FROM f, cut JOIN f c ON c.pos = cut.pos),
+r AS (
+  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY floor(sqrt(size::DOUBLE)),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT % greatest(1, (SELECT count(*) FROM d) // 20000), size, doc_id NULLS FIRST) AS k FROM d),
+c AS (
+  SELECT r.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0 END AS rate, t.u FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, (floor(k * rate + u) - floor((k - 1) * rate + u))::BIGINT AS copies FROM c)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM x
+"""
