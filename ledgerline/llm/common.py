@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table at most this large, as written, may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 6 << 20
 #: Bytes of text that are hashed at a time.
 CHUNK_BYTES = 1 << 20
 
@@ -40,6 +41,18 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of few rows while wide rows are handed to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def settled_bytes(df: DataFrame) -> int:
     """Bytes of a settled table, asked of the file system that holds it."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._settled_path)

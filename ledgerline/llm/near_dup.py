@@ -4,10 +4,12 @@ Every text class (documents with one shingle set) has a signature of `coords` mi
 under coordinate-value pairs; two classes whose shingle sets reach the threshold agree in at least
 `least_matches` coordinates but for a chance below MISS. So, with each class's pairs in order of rarity,
 two such classes meet in the first (shared - least_matches + 1) of them: the prefix. Pairs that only one
-class holds are skipped, and long lists are only reached by classes that hold little else. A list first
-links each class with the list's smallest class; only classes that are still in different components
-are then compared, block by block, by counting equal coordinates. Every link is confirmed on the full
-shingle sets, and components follow by label propagation with pointer jumping.
+class holds are skipped, and long lists are only reached by classes that hold little else; a class that
+shares too few pairs to reach the count is skipped whole. A list first links each class with the list's
+most shared one. Classes of lists that are still in different components then meet under the rarest of
+their full shingle sets, with the exact prefixes of the threshold, block by block, so that groups whose
+texts share much but not enough don't pair up. Every link is confirmed on the full sets, and components
+follow by label propagation with pointer jumping.
 
 Defined results: null or empty text, or text without words, is an empty set, linked with nothing; a null
 doc_id is linked with nothing; fewer words than a shingle make one shingle of the whole sequence; rows
@@ -29,7 +31,9 @@ from ledgerline.llm import common as C
 #: The chance, for one pair exactly at the threshold, to agree in fewer coordinates than are asked for.
 MISS = 1e-7
 #: Classes of one posting list that are compared at a time.
-BLOCK = 192
+BLOCK = 256
+#: Sets up to this size are compared by parts of their shingles before the full sets are, larger ones by a signature of so many bytes.
+SMALL, FINE = 512, 512
 
 
 def least_matches(coords: int, threshold: float) -> int:
@@ -132,40 +136,95 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, coords: int, least: int) -> DataFrame:
-    """(tok, nid): each class under the rarest of its coordinate-value pairs, as many as its prefix needs."""
+    """(tok, nid, met): each class under the rarest of its coordinate-value pairs, as many as its prefix needs; met: how many it shares with others."""
     tokens = classes.select("nid", F.posexplode("sig").alias("k", "v")).select("nid", (F.col("k").cast("long") * (1 << 32) + F.col("v")).alias("tok"))
     shared = C.settle(tokens.groupBy("tok").agg(F.count("*").alias("freq")).filter("freq > 1"), "dup-freq")
     held = tokens.join(C.maybe_broadcast(shared), "tok").groupBy("nid").agg(F.collect_list(F.struct("freq", "tok")).alias("toks"))
-    first = held.filter(F.size("toks") >= least).select("nid", F.slice(F.sort_array("toks"), F.lit(1), F.size("toks") - least + 1).alias("toks"))
-    return first.select("nid", F.explode("toks").alias("t")).select(F.col("t.tok").alias("tok"), "nid")
+    first = held.filter(F.size("toks") >= least).select("nid", F.size("toks").alias("met"), F.slice(F.sort_array("toks"), F.lit(1), F.size("toks") - least + 1).alias("toks"))
+    return first.select("nid", "met", F.explode("toks").alias("t")).select(F.col("t.tok").alias("tok"), "nid", "met")
 
 
-def _compare(lists: DataFrame, least: int, num: int, den: int) -> DataFrame:
-    """(a, b) of different components in one block or between two, with sizes and enough equal coordinates to reach the threshold."""
+def _exact_posts(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(gram, nid, n, short) of the classes' rarest shingles: a pair at the threshold meets under one that is short for its smaller class."""
+    grams = sets.select("nid", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    shared = C.settle(grams.groupBy("gram").agg(F.count("*").alias("freq")).filter("freq > 1"), "dup-gram-freq")
+    held = grams.join(C.maybe_broadcast(shared), "gram").groupBy("nid", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("toks"))
+    alone = F.col("n") - F.size("toks")
+    probe = F.col("n") - F.ceil(F.col("n") * num / den - 1e-9).cast("int") + 1 - alone
+    index = F.col("n") - F.ceil(F.col("n") * 2 * num / (num + den) - 1e-9).cast("int") + 1 - alone
+    first = held.withColumn("index", index).withColumn("toks", F.slice("toks", F.lit(1), F.greatest(probe, F.lit(0))))
+    return first.select("nid", "n", "index", F.posexplode("toks").alias("at", "t")).select(F.col("t.gram").alias("gram"), "nid", "n", (F.col("at") < F.col("index")).alias("short"))
 
-    def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _short_forms(sets: DataFrame) -> DataFrame:
+    """(nid, form) of (nid, grams): of a small set 32 bits of each shingle, of a large one a signature of many coordinates of a byte."""
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flip, times = _seeds(FINE)
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            values, begins = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+            large = np.flatnonzero(sizes > SMALL)
+            fine = np.empty((len(large), FINE), np.uint8)
+            for at, r in enumerate(large):
+                own = values[begins[r] : begins[r + 1]]
+                for k in range(FINE):
+                    fine[at, k] = C.mix(((own ^ flip[k]) * times[k]).min(keepdims=True))[0] >> np.uint64(56)
+            forms = [(values[b:e] >> np.uint64(32)).astype(np.uint32).tobytes() for b, e in zip(begins, begins[1:], strict=False)]
+            for at, r in enumerate(large):
+                forms[r] = fine[at].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.binary())], ["nid", "form"])
+
+    return sets.mapInArrow(shorten, "nid long, form binary")
+
+
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets share."""
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both = times[code] > 1
+    of, code = of[both], np.unique(code[both], return_inverse=True)[1]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(code.max()) + 1 if len(code) else 0, 16_384):
+        own = (code >= at) & (code < at + 16_384)
+        m = np.zeros((len(sets), min(16_384, int(code.max()) + 1 - at)), np.float32)
+        m[of[own], code[own] - at] = 1
+        out += m @ m.T
+    return out
+
+
+def _meetings(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of different components that meet in a list and whose short forms don't speak against a link."""
+    jaccard = num / den
+    least = least_matches(FINE, jaccard + (1 - jaccard) / 256)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 own = batch.column(0)[row].values
-                nid, label, size = (own.field(f).to_numpy(zero_copy_only=False) for f in ("nid", "label", "n"))
-                block = own.field("block").to_numpy(zero_copy_only=False)
-                sig = own.field("sig").flatten().to_numpy(zero_copy_only=False).reshape(len(nid), -1)
-                one = block.min() == block.max()
-                out = []
-                for i in range(len(nid) - 1):
-                    ok = label[i + 1 :] != label[i]
-                    if not one:
-                        ok &= block[i + 1 :] != block[i]
-                    ok &= np.minimum(size[i + 1 :], size[i]) * den >= np.maximum(size[i + 1 :], size[i]) * num
-                    j = np.flatnonzero(ok) + i + 1
-                    if len(j):
-                        j = j[(sig[j] == sig[i]).sum(1) >= least]
-                        out.append(np.stack([np.minimum(nid[i], nid[j]), np.maximum(nid[i], nid[j])]))
-                if out:
-                    a, b = np.concatenate(out, axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return lists.mapInArrow(matches, "a long, b long").distinct()
+                nid, label, size, short, block = (own.field(f).to_numpy(zero_copy_only=False) for f in ("nid", "label", "n", "short", "block"))
+                order = np.lexsort((nid, size))
+                nid, label, size, short, block = (x[order] for x in (nid, label, size, short, block))
+                forms = own.field("form").take(pa.array(order)).to_pylist()
+                ok = np.triu(label[:, None] != label[None, :], 1) & short[:, None] & (size[:, None] * den >= size[None, :] * num)
+                if block.min() != block.max():
+                    ok &= block[:, None] != block[None, :]
+                if not ok.any():
+                    continue
+                small = int(np.searchsorted(size, SMALL, "right"))
+                if small:
+                    shared = _shared_counts([np.frombuffer(f, np.uint32) for f in forms[:small]])
+                    ok[:small, :small] &= shared * den >= (size[:small, None] + size[None, :small] - shared) * num
+                if small < len(nid):
+                    fine = np.frombuffer(b"".join(forms[small:]), np.uint8).reshape(-1, FINE)
+                    for i in range(len(fine)):
+                        ok[small + i, small:] &= (fine == fine[i]).sum(1) >= least
+                i, j = np.nonzero(ok)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nid[i], nid[j])), pa.array(np.maximum(nid[i], nid[j]))], ["a", "b"])
+
+    return lists.mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, coords: int = 64) -> DataFrame:
@@ -176,22 +235,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     classes = C.settle(one.select(F.col("fp1").alias("nid"), "fp2", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig")), "dup-classes")
 
     posts = C.settle(_prefixes(classes, coords, least), "dup-posts")
-    centres = C.settle(posts.groupBy("tok").agg(F.min("nid").alias("c"), F.count("*").alias("size")).filter("size > 1"), "dup-centres")
+    centre = F.min(F.struct((-F.col("met")).alias("met"), "nid"))["nid"]
+    centres = C.settle(posts.groupBy("tok").agg(centre.alias("c"), F.count("*").alias("size")).filter("size > 1"), "dup-centres")
     stars = posts.join(centres, "tok").filter("c != nid").select(F.col("c").alias("a"), F.col("nid").alias("b")).distinct()
     links = _confirmed(C.settle(stars, "dup-stars"), docs, classes, shingle, num, den)
 
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("nid"), F.col("component").alias("label"))
     labelled = C.settle(posts.join(joined, "nid", "left").select("tok", "nid", F.coalesce("label", "nid").alias("label")), "dup-labelled")
-    split = labelled.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
-    split = C.settle(split.select("tok", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "dup-split")
-    members = labelled.join(split, "tok").join(classes.select("nid", "n", "sig"), "nid").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
-    spread = members.select("tok", "nid", "label", "n", "sig", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    split = C.settle(labelled.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("tok"), "dup-split")
+    open_nodes = C.settle(labelled.join(split, "tok", "left_semi").select("nid", "label").distinct(), "dup-open")
+    sets = C.settle(_shingle_sets(docs, C.settle(classes.select("nid", "rep").join(open_nodes, "nid", "left_semi"), "dup-open-nodes"), shingle).groupBy("nid").agg(F.min("grams").alias("grams")), "dup-open-sets")
+    forms = C.settle(_short_forms(sets).join(open_nodes, "nid"), "dup-forms")
+    met = C.settle(_exact_posts(sets, num, den).join(open_nodes, "nid"), "dup-met")
+    wide = met.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
+    wide = C.settle(wide.select("gram", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "dup-wide")
+    members = met.drop("label").join(wide, "gram").join(forms, "nid").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    spread = members.select("gram", "nid", "label", "n", "short", "block", "form", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     lists = (
-        spread.groupBy("tok", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        .agg(F.collect_list(F.struct("nid", "label", "n", "sig", "block")).alias("own"))
+        spread.groupBy("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        .agg(F.collect_list(F.struct("nid", "label", "n", "short", "block", "form")).alias("own"))
         .filter(F.size("own") > 1)
     )
-    more = _confirmed(C.settle(_compare(lists.select("own"), least, num, den), "dup-more"), docs, classes, shingle, num, den)
+    with C.small_batches(docs.sparkSession, 64):
+        pairs = C.settle(_meetings(lists.select("own"), num, den), "dup-more")
+    more = _confirmed(pairs, docs, classes, shingle, num, den)
 
     same_doc = sketch.filter("n_shingles > 0 and doc_id is not null").select("doc_id", F.col("fp1").alias("nid"), "fp2").join(classes.select("nid", "fp2", "rep"), ["nid", "fp2"])
     same_doc = same_doc.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u != v")
