@@ -77,7 +77,7 @@ def _hit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_shared, n_item and containment of every pair in which docs (doc_id, text) contain items (item_id, text)."""
     spark = docs.sparkSession
-    index = C.settle(item_shingles(items, shingle, share), "item-index")
+    index = C.settle(item_shingles(items, shingle, share).withColumn("item", F.monotonically_increasing_id()), "item-index")
     sketches, grams = (spark.sparkContext.broadcast(t) for t in _tables(index))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,17 +99,17 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, share: flo
 
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(look_up, "doc_id long, width int, hits array<long>, held array<long>")
     found = C.settle(found.withColumn("row", F.monotonically_increasing_id()), "item-hits")
-    posts = index.select("item_id", "width", "need", F.explode("sketch").alias("h"))
+    posts = index.select("item", "width", "need", F.explode("sketch").alias("h"))
     candidates = (
         found.select("row", "width", F.explode("hits").alias("h"))
         .join(posts, ["h", "width"])
-        .groupBy("row", "item_id", "width")
+        .groupBy("row", "item")
         .agg(F.count("*").alias("met"), F.max("need").alias("need"))
         .filter("met >= need")
-        .select("row", "item_id", "width")
+        .select("row", "item")
     )
     candidates = C.settle(candidates, "item-candidates")
-    exact = candidates.join(found.select("row", "doc_id", "held"), "row").join(index.select("item_id", "width", "grams"), ["item_id", "width"])
+    exact = candidates.join(found.select("row", "doc_id", "held"), "row").join(index.select("item", "item_id", "grams"), "item")
     sizes = exact.select("doc_id", "item_id", F.size(F.array_intersect("held", "grams")).cast("long").alias("n_shared"), F.size("grams").cast("long").alias("n_item"))
     return (
         sizes.withColumn("containment", F.col("n_shared") / F.col("n_item"))
