@@ -56,7 +56,7 @@ TEXTS = [
 ]
 
 #: A template's words that are too common in any prose to be looked up.
-PLAIN = set("a and any are as be by for free in is it may not of or the this that to under use with you at on from 0 1 2 4".split())
+PLAIN = set("a and any are as be by for free in is it may not of or the this that to under use with you at on from sa nc nd 0 1 2 4".split())
 #: A file's rarest licence words that are looked up.
 LOOKED_UP = 16
 
