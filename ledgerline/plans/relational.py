@@ -288,7 +288,7 @@ def q27_resolved_targets(spark, sf_dir):
     return D.resolved_targets(views.points(spark, sf_dir), _events(spark, sf_dir))
 
 
-@_query("""WITH k AS (SELECT event_id, user_id AS key, epoch(ts)::BIGINT AS tick, CASE event_type WHEN 'signup' THEN 'connect' WHEN 'click' THEN 'volume' WHEN 'view' THEN 'volume' WHEN 'purchase' THEN 'close' ELSE 'connect' END AS kind, event_id % 1000 AS bytes FROM events),
+@_query("""WITH k AS (SELECT event_id, user_id AS key, floor(epoch(ts))::BIGINT AS tick, CASE event_type WHEN 'signup' THEN 'connect' WHEN 'click' THEN 'volume' WHEN 'view' THEN 'volume' WHEN 'purchase' THEN 'close' ELSE 'connect' END AS kind, event_id % 1000 AS bytes FROM events),
 o AS (SELECT *, coalesce(sum(CASE WHEN kind = 'close' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY tick, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inc FROM k),
 p AS (SELECT *, max(CASE WHEN kind = 'connect' THEN 1 ELSE 0 END) OVER (PARTITION BY key, inc ORDER BY tick, event_id) AS live FROM o)
 SELECT key, inc::BIGINT AS incarnation, max(tick) FILTER (kind = 'connect') AS connected_at, count(*) FILTER (kind = 'volume' AND live = 1) AS volumes, coalesce(sum(bytes) FILTER (kind = 'volume' AND live = 1), 0)::BIGINT AS bytes, bool_or(kind = 'close' AND live = 1) AS closed,
