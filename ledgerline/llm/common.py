@@ -6,6 +6,8 @@ a difference of prefix sums of a polynomial modulo 2**64, and no Python code run
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,7 +21,23 @@ from pyspark.sql import functions as F
 #: A table at most this large, as written, may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 6 << 20
 #: Bytes of text that are hashed at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Allocations from this size on are given back to the system when freed, so that workers don't keep their peak.
+GIVE_BACK_BYTES = 1 << 20
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, GIVE_BACK_BYTES)
+except (OSError, AttributeError):
+    _libc = None
+
+
+def trim_memory() -> None:
+    """Give free memory back to the system, where the C library can."""
+    gc.collect()
+    if _libc is not None and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -139,7 +139,7 @@ def _prefixes(classes: DataFrame, coords: int, least: int) -> DataFrame:
     """(tok, nid, met): each class under the rarest of its coordinate-value pairs, as many as its prefix needs; met: how many it shares with others."""
     tokens = classes.select("nid", F.posexplode("sig").alias("k", "v")).select("nid", (F.col("k").cast("long") * (1 << 32) + F.col("v")).alias("tok"))
     shared = C.settle(tokens.groupBy("tok").agg(F.count("*").alias("freq")).filter("freq > 1"), "dup-freq")
-    held = tokens.join(C.maybe_broadcast(shared), "tok").groupBy("nid").agg(F.collect_list(F.struct("freq", "tok")).alias("toks"))
+    held = tokens.join(shared, "tok").groupBy("nid").agg(F.collect_list(F.struct("freq", "tok")).alias("toks"))
     first = held.filter(F.size("toks") >= least).select("nid", F.size("toks").alias("met"), F.slice(F.sort_array("toks"), F.lit(1), F.size("toks") - least + 1).alias("toks"))
     return first.select("nid", "met", F.explode("toks").alias("t")).select(F.col("t.tok").alias("tok"), "nid", "met")
 
@@ -148,7 +148,7 @@ def _exact_posts(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(gram, nid, n, short) of the classes' rarest shingles: a pair at the threshold meets under one that is short for its smaller class."""
     grams = sets.select("nid", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     shared = C.settle(grams.groupBy("gram").agg(F.count("*").alias("freq")).filter("freq > 1"), "dup-gram-freq")
-    held = grams.join(C.maybe_broadcast(shared), "gram").groupBy("nid", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("toks"))
+    held = grams.join(shared, "gram").groupBy("nid", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("toks"))
     alone = F.col("n") - F.size("toks")
     probe = F.col("n") - F.ceil(F.col("n") * num / den - 1e-9).cast("int") + 1 - alone
     index = F.col("n") - F.ceil(F.col("n") * 2 * num / (num + den) - 1e-9).cast("int") + 1 - alone
@@ -167,10 +167,12 @@ def _short_forms(sets: DataFrame) -> DataFrame:
             values, begins = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(sizes)])
             large = np.flatnonzero(sizes > SMALL)
             fine = np.empty((len(large), FINE), np.uint8)
-            for at, r in enumerate(large):
-                own = values[begins[r] : begins[r + 1]]
+            for at in range(0, len(large), 64):
+                part = large[at : at + 64]
+                own = np.concatenate([values[begins[r] : begins[r + 1]] for r in part])
+                starts = np.concatenate([[0], np.cumsum(sizes[part])[:-1]])
                 for k in range(FINE):
-                    fine[at, k] = C.mix(((own ^ flip[k]) * times[k]).min(keepdims=True))[0] >> np.uint64(56)
+                    fine[at : at + len(part), k] = C.mix(np.minimum.reduceat((own ^ flip[k]) * times[k], starts)) >> np.uint64(56)
             forms = [(values[b:e] >> np.uint64(32)).astype(np.uint32).tobytes() for b, e in zip(begins, begins[1:], strict=False)]
             for at, r in enumerate(large):
                 forms[r] = fine[at].tobytes()
@@ -229,6 +231,11 @@ def _meetings(lists: DataFrame, num: int, den: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, coords: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text), linked at Jaccard >= num / den."""
+    with C.small_batches(docs.sparkSession, 512):
+        return _near_duplicates(docs, shingle, num, den, coords)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, num: int, den: int, coords: int) -> DataFrame:
     least = least_matches(coords, num / den)
     sketch = C.settle(signatures(docs, shingle, coords), "dup-sketch")
     one = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
@@ -245,11 +252,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     split = C.settle(labelled.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("tok"), "dup-split")
     open_nodes = C.settle(labelled.join(split, "tok", "left_semi").select("nid", "label").distinct(), "dup-open")
     sets = C.settle(_shingle_sets(docs, C.settle(classes.select("nid", "rep").join(open_nodes, "nid", "left_semi"), "dup-open-nodes"), shingle).groupBy("nid").agg(F.min("grams").alias("grams")), "dup-open-sets")
-    forms = C.settle(_short_forms(sets).join(open_nodes, "nid"), "dup-forms")
     met = C.settle(_exact_posts(sets, num, den).join(open_nodes, "nid"), "dup-met")
     wide = met.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
     wide = C.settle(wide.select("gram", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "dup-wide")
-    members = met.drop("label").join(wide, "gram").join(forms, "nid").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    met = C.settle(met.join(wide, "gram"), "dup-wide-met")
+    forms = C.settle(_short_forms(sets.join(met.select("nid").distinct(), "nid", "left_semi")), "dup-forms")
+    members = met.join(forms, "nid").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     spread = members.select("gram", "nid", "label", "n", "short", "block", "form", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     lists = (
         spread.groupBy("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
