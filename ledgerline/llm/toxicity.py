@@ -280,14 +280,20 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2
     """Weights, the bias last, of the squared-hinge machine, by Newton steps."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(x.shape[1])
-    for _ in range(25):
+    loss = lambda v: ridge * v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v)) ** 2).sum() / 2
+    now = loss(w)
+    for _ in range(60):
         own = y * (x @ w) < 1
         xs, cs = x[own], cost[own]
         lhs = (xs * cs[:, None]).T @ xs + ridge * np.eye(x.shape[1])
-        new = np.linalg.solve(lhs, xs.T @ (cs * y[own]))
-        if np.abs(new - w).max() < 1e-6:
+        step = np.linalg.solve(lhs, xs.T @ (cs * y[own])) - w
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now * (1 - 1e-9):
+            size /= 2
+        after = loss(w + size * step)
+        if now - after <= 1e-8 * now:
             break
-        w = new
+        w, now = w + size * step, after
     return w
 
 
