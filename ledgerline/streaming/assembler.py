@@ -1,8 +1,8 @@
 """Flows from a stream of kernel events, one state per key.
 
-A flow is given out when it closes, or when its key has been silent for as long as IDLE_MS; so, unlike a
-sensor that gives out live flows at every drain, a flow is never split by the batch it happens to fall in.
-Volume and close without an open flow are orphans; their count is given out with the key's next row.
+A flow is given out when it closes, or when a row of kind 'drain' says that its key is to be sealed; so a
+flow is never split by the batch it happens to fall in, only where the stream itself says so. Volume and
+close without an open flow are orphans; their count is given out with the key's next row.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-IDLE_MS = 3_600_000
 _STATE = StructType([StructField(n, LongType()) for n in ("incarnation", "connected_at", "volumes", "bytes", "orphans")] + [StructField("live", BooleanType())])
 OUT = StructType([StructField(n, LongType()) for n in ("key", "incarnation", "connected_at", "volumes", "bytes")] + [StructField("closed", BooleanType()), StructField("orphans", LongType())])
 _FRESH = (0, None, 0, 0, 0, False)
@@ -27,19 +26,21 @@ def step(state: tuple, at: int, kind: str, size: int) -> tuple[tuple, tuple | No
         return (life, at, volumes, total, orphans, True), None
     if kind == "volume":
         return ((life, since, volumes + 1, total + size, orphans, True) if live else (life, since, volumes, total, orphans + 1, False)), None
+    if kind == "drain":
+        row = rest(state)
+        return (life + (row is not None), None, 0, 0, 0, False), row
     lost = orphans + (not live)
     return (life + 1, None, 0, 0, 0, False), (life, since, volumes, total, live, lost)
 
 
 def rest(state: tuple) -> tuple | None:
-    """The row of a key that goes silent."""
+    """The row of a key that is sealed."""
     life, since, volumes, total, orphans, live = state
     return (life, since, volumes, total, False, orphans) if live or orphans else None
 
 
 class Assembler(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.state = handle.getValueState("flow", _STATE)
 
     def _held(self) -> tuple:
@@ -52,20 +53,12 @@ class Assembler(StatefulProcessor):
             state, row = step(state, int(at), kind, int(size))
             out += [(key[0], *row)] if row else []
         self.state.update(tuple(None if v is None else bool(v) if i == 5 else int(v) for i, v in enumerate(state)))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + IDLE_MS)
         yield pd.DataFrame(out, columns=OUT.names)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        row = rest(self._held())
-        self.state.clear()
-        yield pd.DataFrame([(key[0], *row)] if row else [], columns=OUT.names)
-
     def close(self) -> None:
         pass
 
 
 def assembled_stream(events: DataFrame) -> DataFrame:
     """Flows of a stream (key, at, event_id, kind, bytes); needs the RocksDB state store."""
-    return events.groupBy("key").transformWithStateInPandas(statefulProcessor=Assembler(), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime")
+    return events.groupBy("key").transformWithStateInPandas(statefulProcessor=Assembler(), outputStructType=OUT, outputMode="Append", timeMode="None")
