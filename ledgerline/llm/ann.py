@@ -32,9 +32,9 @@ LINKS = 16
 #: Near nodes from which the links are chosen.
 BUILD = 64
 #: The search's beam.
-BEAM = 96
+BEAM = 128
 #: Vectors of a shard, about; and shards at least, so that small tables are spread over tasks as well.
-SHARD_ROWS, LEAST_SHARDS = 16_384, 8
+SHARD_ROWS, LEAST_SHARDS = 8_192, 8
 QUERY_BLOCK = 256
 
 _NODE = "shard int, kind int, no int, ids array<long>, vec array<double>, links array<int>, begins array<int>"

@@ -136,3 +136,59 @@ c AS (
 x AS (SELECT *, (floor(k * rate + u) - floor((k - 1) * rate + u))::BIGINT AS copies FROM c)
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM x
 """
+
+
+def _secret_kind(number: int, pattern: str, group: int, keep: str) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT row, {number} AS kind, sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(m) AS n, m, part, {keep} AS ok
+FROM (SELECT row, unnest(ms) AS m, unnest(parts) AS part, unnest(gaps[:len(ms)]) AS g, generate_subscripts(ms, 1) AS i
+  FROM (SELECT row, regexp_extract_all(text, '{p}', 0) AS ms, regexp_extract_all(text, '{p}', {group}) AS parts, string_split_regex(text, '{p}') AS gaps FROM d)) WINDOW w AS (PARTITION BY row ORDER BY i)"""
+
+
+_KINDS = [
+    _secret_kind(0, secret_scan.BASE["assign"][0], 2, "length(part) >= 12"),
+    _secret_kind(1, secret_scan.BASE["access"][0], 0, "length(m) >= 18"),
+    _secret_kind(2, "[0-9a-f]{16,}", 0, "true"),
+    _secret_kind(3, secret_scan.WEAK["account"][0], 2, "length(part) >= 3"),
+    _secret_kind(4, "[A-Za-z0-9+/_-]{20,}", 0, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')"),
+    _secret_kind(5, secret_scan.WEAK["endpoint"][0], 0, "length(m) >= 8"),
+    _secret_kind(9, r"\n[\x20\x09\x0D]*\n\s*", 0, "true"),
+]
+ORACLE["op10_secret_scan"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({' UNION ALL '.join(f'SELECT row, kind, s::BIGINT AS s, (s + n)::BIGINT AS e FROM ({k}) WHERE ok' for k in _KINDS)}),
+p AS (SELECT row, kind, s, e, (SELECT count(*) FROM f b WHERE b.row = f.row AND b.kind = 9 AND b.e <= f.s) AS scope FROM f WHERE kind < 9),
+j AS (SELECT w.row, w.kind, w.s, w.e, o.kind AS k2, o.e <= w.s OR w.e <= o.s AS apart FROM p w JOIN p o ON w.row = o.row AND w.scope = o.scope AND abs(w.s - o.s) <= 400 AND (w.s <> o.s OR w.kind <> o.kind) WHERE w.kind >= 3),
+r AS (SELECT row, kind, s, e, bool_or(k2 IN (1, 3) AND apart) AS name, bool_or(k2 IN (0, 2, 4) AND apart) AS secret, bool_or(k2 = 5 AND apart) AS endpoint, bool_or(NOT apart AND k2 < kind) AS covered FROM j GROUP BY ALL),
+x AS (SELECT row, kind, s, e FROM p WHERE kind < 3 UNION ALL SELECT row, kind, s, e FROM r WHERE NOT covered AND CASE kind WHEN 3 THEN secret WHEN 4 THEN name OR (endpoint AND secret) ELSE name AND secret END),
+t AS (SELECT *, ['assign', 'access', 'hex', 'account', 'opaque', 'endpoint'][kind + 1] || ':' || s::VARCHAR || ':' || e::VARCHAR AS span FROM x)
+SELECT d.doc_id, count(*) FILTER (t.kind = 0) AS n_assign, count(*) FILTER (t.kind = 1) AS n_access, count(*) FILTER (t.kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, kind), '') AS spans
+FROM d LEFT JOIN t USING (row) GROUP BY d.row, d.doc_id
+"""
+
+
+def _values(rows: list[tuple]) -> str:
+    show = lambda x: "[" + ", ".join(map(show, x)) + "]" if isinstance(x, tuple) else f"'{x}'" if isinstance(x, str) else str(x).lower()
+    return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+
+
+_TEMPLATES = license_scan.templates()
+_POSTS = [(w, t.no, i) for t in _TEMPLATES for i, w in enumerate(t.words) if w not in license_scan.PLAIN]
+_SHAPES = [(t.no, t.label, t.base, t.key_at, t.key, len({w for w in t.words if w not in license_scan.PLAIN}), len(t.anchors)) for t in _TEMPLATES]
+_ANCHORS = [(t.no, w) for t in _TEMPLATES if t.base for w in t.anchors]
+ORACLE["op1_license_scan"] = f"""
+WITH post AS (SELECT * FROM (VALUES {_values(_POSTS)}) v(word, template, at_)), shape AS (SELECT * FROM (VALUES {_values(_SHAPES)}) v(template, label, base, key_at, key, rare, need)),
+anchor AS (SELECT * FROM (VALUES {_values(_ANCHORS)}) v(template, word)),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS ws FROM documents),
+pos AS (SELECT row, word, pos FROM (SELECT row, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM d) WHERE word IN (SELECT word FROM post)),
+present AS (SELECT DISTINCT row, word FROM pos), df AS (SELECT word, count(*) AS n FROM present GROUP BY word),
+rarest AS (SELECT arg_min(a.word, (coalesce(n, 0), a.word)) AS word FROM anchor a LEFT JOIN df USING (word) GROUP BY template),
+looked AS (SELECT row, word FROM (SELECT row, word, row_number() OVER (PARTITION BY row ORDER BY n, word) AS k FROM present JOIN df USING (word)) WHERE k <= {license_scan.LOOKED_UP} OR word IN (SELECT word FROM rarest)),
+vote AS (SELECT row, template, pos - at_ AS start, count(*) AS votes FROM pos JOIN looked USING (row, word) JOIN post USING (word) GROUP BY ALL),
+hit AS (SELECT row, label, base, start + key_at AS begin, CASE WHEN base THEN 1.0 ELSE least(1.0, greatest(votes, need) / rare) END AS share
+  FROM vote JOIN shape USING (template) JOIN d USING (row) WHERE start + key_at >= 0 AND start + key_at + len(key) <= len(ws) AND ws[start + key_at + 1:start + key_at + len(key)] = key),
+agg AS (SELECT row, count(*) FILTER (base) AS n_base, min(begin) FILTER (base) AS first_word, max(begin) FILTER (base) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share)::DOUBLE AS score FROM hit GROUP BY row)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN agg USING (row)
+"""
