@@ -349,7 +349,8 @@ def fit(bags: list[set[bytes]], toxic: np.ndarray, prior: float) -> Model:
     bags, toxic = whole, whole_toxic
     every = sorted(set().union(*bags)) if bags else []
     at = {s: i for i, s in enumerate(every)}
-    values = table_values(strings_of([read(s) for s in every]), table) + bias
+    parts = [table_values(strings_of([read(s) for s in every[at : at + 20_000]]), table) for at in range(0, len(every), 20_000)]
+    values = np.concatenate(parts) + bias if parts else np.zeros(0)
     worst = np.array([max((values[at[s]] for s in bag), default=-2.0) for bag in bags], np.float64).clip(-2)
     weight = np.where(toxic == 1, max(prior, 1e-3) / toxic.mean(), (1 - min(prior, 1 - 1e-3)) / (1 - toxic.mean()))
     a, b = 1.0, 0.0
@@ -387,10 +388,20 @@ def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     got = C.settle(texts.select("doc_id", "toxic", "text").mapInArrow(bag, "doc_id long, toxic int, bag binary"), "tox-bags")
     # One row a document, and documents with the same strings count once: copies must not pass for evidence.
-    unique = {(bytes(r.bag), r.toxic): r.doc_id for r in got.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()}
-    order = sorted(unique, key=lambda k: unique[k])
-    bags = [set(b.split(b"\xff")) - {b""} for b, _ in order]
-    return fit(bags, np.array([t for _, t in order], np.int64), prior)
+    known: dict[bytes, bytes] = {}
+    seen: set[int] = set()
+    bags: list[set[bytes]] = []
+    marks: list[int] = []
+    for row in got.dropDuplicates(["doc_id"]).orderBy("doc_id").toLocalIterator():
+        if zlib.crc32(row.bag) not in seen:
+            seen.add(zlib.crc32(row.bag))
+            bags.append({known.setdefault(s, s) for s in bytes(row.bag).split(b"\xff") if s})
+            marks.append(row.toxic)
+    del known
+    model = fit(bags, np.array(marks, np.int64), prior)
+    del bags
+    C.trim_memory()
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
