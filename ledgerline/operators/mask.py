@@ -268,3 +268,8 @@ def session_anchor(conversations: DataFrame) -> DataFrame:
 
 def is_alias_shaped(word: Column) -> Column:
     return word.rlike(r"^(PSK_|(PERSON|ORG|LOC|ADDRESS)_[0-9]+$)")
+
+
+def governed_types(rules: list[Rule], default: str) -> list[str]:
+    """Entity types whose values don't simply pass at the root of a request."""
+    return [e for e in D.ENTITIES if decide(rules, default, (), e, "allow")[0] != "allow"]

@@ -218,3 +218,27 @@ def summary(report: dict, shown: int = 5) -> str:
     lines += [f"  {f['kind']} {f['primary_ref']} ({f['confidence']})" for f in report["confirmed"][:shown]]
     lines += [f"unread {p}" for p in unread_files[:shown]] + ([f"and {len(unread_files) - shown} more"] if len(unread_files) > shown else [])
     return "\n".join(lines) + "\n"
+
+
+def sensor_state(mode_name: Column) -> Column:
+    """Whether the wire was watched, by reconciliation mode."""
+    return F.when(mode_name.isin("static_wire", "full"), "running").when(mode_name.isin("static_only", "static_runtime"), "not_running").otherwise("unknown")
+
+
+def sensor_status(flows: DataFrame, rejected: DataFrame, unlinked: int, loss_known: bool) -> dict:
+    """What a sensor pass saw: flows by scope, rejects by reason, and what it can't tell."""
+    scopes = {r.flow_scope: r.n for r in flows.groupBy("flow_scope").agg(F.count("*").alias("n")).collect()}
+    reasons = {r.reason: r.n for r in rejected.groupBy("reason").agg(F.count("*").alias("n")).collect()}
+    names = ["in_scope", "out_of_scope_process", "known_benign", "undetermined"]
+    silent = [] if loss_known else ["lost events were not counted"]
+    return {"flows": {n: scopes.get(n, 0) for n in names}, "rejected": reasons, "unlinked_events": unlinked, "not_measured": silent}
+
+
+def sources_present(run_mode: Column) -> Column:
+    """The sources that a mode rests on."""
+    return (
+        F.when(run_mode == "full", F.array(*map(F.lit, ["declared", "observed-app", "observed-wire"])))
+        .when(run_mode == "static_runtime", F.array(F.lit("declared"), F.lit("observed-app")))
+        .when(run_mode == "static_wire", F.array(F.lit("declared"), F.lit("observed-wire")))
+        .otherwise(F.array(F.lit("declared")))
+    )

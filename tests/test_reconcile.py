@@ -167,3 +167,40 @@ def test_queries_match_their_sql(spark, name):
     assert columns == sorted(want.columns)
     key = lambda rows, at: sorted(repr(tuple(_norm(r[i]) for i in at)) for r in rows)
     assert key([tuple(r) for r in df.select(*columns).collect()], range(len(columns))) == key(want.fetchall(), [want.columns.index(c) for c in columns])
+
+
+def test_sensor_reports(spark):
+    f = flows(spark, flow(1), flow(2), flow(3, scope="known_benign"))
+    bad = spark.createDataFrame([("malformed_flow_id",)], "reason string")
+    status = R.sensor_status(f, bad, 4, False)
+    assert status["flows"] == {"in_scope": 2, "out_of_scope_process": 0, "known_benign": 1, "undetermined": 0} and status["rejected"] == {"malformed_flow_id": 1} and status["not_measured"]
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(R.mode(a, b),) for a in (True, False) for b in (True, False)], "m string").select("m", R.sensor_state(F.col("m")).alias("s"), R.sources_present(F.col("m")).alias("p")).collect()
+    assert {r.m: (r.s, len(r.p)) for r in rows} == {"full": ("running", 3), "static_runtime": ("not_running", 2), "static_wire": ("running", 2), "static_only": ("not_running", 1)}
+
+
+def test_read_side(spark):
+    from pyspark.sql import functions as F
+
+    found = relational._findings(spark, SF)
+    assert R.detail(found, found.first().finding_id).count() == 1 and R.condensed(found).count() == found.count()
+    assert R.disagreements(found.filter("confidence = 'confirmed'"), found.filter("confidence = 'suspect'")).first().disagreements == 0
+    assert R.unmatched_count(found).first().unmatched == found.filter("kind = 'unmatched_wire_traffic'").count()
+    assert R.unmatched_count(found.withColumn("kind", F.when(F.col("confidence") == "confirmed", F.col("kind")))).first().unmatched is None
+    assert {r.drift for r in R.discrepancy(found).collect()} <= {"host", "port", "subdomain", "address_literal"}
+    hooks = lambda *s: R.runtime_state(spark.createDataFrame([(x,) for x in s], "status string")).first().state
+    assert [hooks("degraded", "instrumented"), hooks("degraded"), hooks("no_hook"), hooks("no_hook", "other")] == ["instrumented", "degraded", "no_hook", "unknown"]
+    none = spark.createDataFrame([], "language string")
+    assert R.runtime_coverage(none).count() == 10 and R.runtime_coverage(spark.createDataFrame([("python",)], "language string")).collect()[0].status == "uninstrumented"
+    windows = lambda *w: R.window_fold(spark.createDataFrame([(x,) for x in w], "window_ms long")).first().window_ms
+    assert windows(5, 3) == 3 and windows(5, None) is None and windows() is None
+    refs = spark.createDataFrame([([("flow", "f"), ("egress_event", "e"), ("flow", "g")],)], "refs array<struct<ref_type:string,ref_id:string>>")
+    row = refs.select(R.sole_ref(F.col("refs"), "egress_event").alias("one"), R.sole_ref(F.col("refs"), "flow").alias("none"), R.contributing_sources(F.col("refs"), F.lit(None).cast("array<string>")).alias("of")).first()
+    assert (row.one, row.none, row.of) == ("e", None, ["observed-app", "observed-wire"])
+
+
+def test_governed_types():
+    from ledgerline.operators import mask as M
+
+    assert M.governed_types([M.Rule("mask", (), "EMAIL")], "allow") == ["EMAIL"] and "DATE" not in M.governed_types([], "mask")
