@@ -9,7 +9,7 @@ shares too few pairs to reach the count is skipped whole. A list first links eac
 most shared one. Classes of lists that are still in different components then meet under the rarest of
 their full shingle sets, with the exact prefixes of the threshold, block by block, so that groups whose
 texts share much but not enough don't pair up. Every link is confirmed on the full sets, and components
-follow by label propagation with pointer jumping.
+follow by contracting labels until no edge is left.
 
 Defined results: null or empty text, or text without words, is an empty set, linked with nothing; a null
 doc_id is linked with nothing; fewer words than a shingle make one shingle of the whole sequence; rows
@@ -117,22 +117,27 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: i
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the undirected edges (u, v): the smallest node that is reachable. Nodes without edges aren't returned."""
+    """(node, component) of the undirected edges (u, v): the smallest node that is reachable. Nodes without edges aren't returned.
+
+    Local contraction: in each round every label goes over to the first, in a random order, of itself and its
+    neighbours, and the edges go over to the new labels, until none is left. A label that is last among its
+    neighbours is never chosen, so each round has fewer labels; a new order every second round leaves a fixed
+    share of them in expectation, so the rounds are logarithmic.
+    """
     both = C.settle(edges.select("u", "v").union(edges.select("v", "u")).filter("u != v").distinct(), "cc-edges")
-    labels = C.settle(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"), F.lit(True).alias("moved")), "cc-0")
-    for step in range(1, 100):
-        near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("m"))
-        hooked = labels.select("node", "component").join(near, F.col("node") == F.col("u")).select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        labels = C.settle(
-            hooked.join(jump, "component", "left")
-            .select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "was")
-            .select("node", "component", (F.col("component") != F.col("was")).alias("moved")),
-            f"cc-{step}",
-        )
-        if labels.filter("moved").isEmpty():
-            break
-    return labels.select("node", "component")
+    labels = C.settle(both.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct(), "cc-0")
+    step = 0
+    while not both.isEmpty():
+        order = lambda c: F.struct(F.xxhash64(F.lit(step // 2), c).alias("rank"), F.col(c).alias("to"))  # noqa: B023, E731
+        first = both.groupBy("u").agg(F.min(order("v")).alias("near"))
+        over = C.settle(first.select(F.col("u").alias("label"), F.least("near", order("u"))["to"].alias("to")), "cc-over")
+        over = C.maybe_broadcast(over)
+        labels = C.settle(labels.join(over, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "cc-labels")
+        both = both.join(over.toDF("u", "a"), "u").join(over.toDF("v", "b"), "v").filter("a != b")
+        both = C.settle(both.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "cc-edges")
+        step += 1
+    least = C.maybe_broadcast(C.settle(labels.groupBy("label").agg(F.min("node").alias("component")), "cc-least"))
+    return C.settle(labels.join(least, "label").select("node", "component"), "cc-found")
 
 
 def _prefixes(classes: DataFrame, coords: int, least: int) -> DataFrame:

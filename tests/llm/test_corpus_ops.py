@@ -110,6 +110,21 @@ def test_near_duplicates_in_a_drifting_group(spark):
     check_components(near_dup.near_duplicates(frame(spark, rows), 3, 85, 100), rows, 3, 85, 100)
 
 
+def test_components_of_a_shuffled_chain(spark):
+    ids = [int(x) for x in np.random.default_rng(3).permutation(1000)]
+    other = [(u + 5000, v + 5000) for u, v in zip(ids[:300], ids[1:301])]
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), *other, (9999, 9999)], "u long, v long")
+    found = {r.node: r.component for r in near_dup.components(edges).collect()}
+    assert found == {i: 0 for i in ids} | {i + 5000: min(ids[:301]) + 5000 for i in ids[:301]}
+
+
+def test_near_duplicates_in_a_shuffled_chain_of_documents(spark):
+    ids = [int(x) for x in np.random.default_rng(4).permutation(1000)]
+    rows = [(i, " ".join(f"c{k}" for k in range(at, at + 20))) for at, i in enumerate(ids)]
+    found = near_dup.near_duplicates(frame(spark, rows), 3, 85, 100).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(i, 0) for i in range(1000)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(frame(spark, []), 3, 85, 100).count() == 0
 
