@@ -1,9 +1,9 @@
 """Licence scans by a positional rare-token index.
 
 Templates are short licence texts and phrases with key phrases that a match must hold. Their words are
-posted with their positions. Each document's licence words are ranked by how few documents hold them
-(inverse document frequency, counted over all documents); the rarest are looked up, and always the rare
-word of each base phrase, so no base place can be missed. Postings are intersected by relative position:
+posted with their positions. Words that are too common in any prose aren't posted; every other licence
+word of a document is looked up, so no place of a key phrase can be missed, whatever else the document
+holds. Postings are intersected by relative position:
 looked-up words that stand as the template has them vote for one start of the template in the text.
 Starts with enough votes are verified: the key phrase must stand in the text, word for word, where the
 template has it. Only expressions of DataFrame functions are used.
@@ -57,7 +57,7 @@ TEXTS = [
 
 #: A template's words that are too common in any prose to be looked up.
 PLAIN = set("a and any are as be by for free in is it may not of or the this that to under use with you at on from sa nc nd 0 1 2 4".split())
-#: A file's rarest licence words that are looked up.
+#: The bound on a file's looked-up words in the SQL of queries.py; the scan itself has none.
 LOOKED_UP = 16
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,28 +114,20 @@ def scan(docs: DataFrame, known: list[Template] | None = None) -> DataFrame:
     words = words.withColumn("present", F.array_intersect("all", _strings(vocabulary)))
     # Only texts that hold a key phrase's word can match; only their words are kept.
     words = words.withColumn("words", F.when(F.arrays_overlap("present", _strings(anchors)), F.slice("all", F.col("front") + 1, F.greatest(F.col("n_words").cast("int"), F.lit(0)))))
-    kept = C.settle(words.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "present", "words"), "licence-words")
+    kept = C.settle(words.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "words"), "licence-words")
 
     held = kept.filter("words is not null")
-    # Document frequencies of the vocabulary: at most one row for each of its words.
-    frequency = {r.w: r.n for r in kept.select(F.explode("present").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     posts = [(w, t.no, i) for t in known for i, w in enumerate(t.words) if w not in PLAIN]
     posts = F.broadcast(spark.createDataFrame(posts, "word string, template int, at int"))
     shape = [(t.no, t.label, t.base, t.key_at, list(t.key), len({w for w in t.words if w not in PLAIN}), len(t.anchors)) for t in known]
     shape = F.broadcast(spark.createDataFrame(shape, "template int, label string, base boolean, key_at int, key array<string>, rare int, need int"))
-    # One rare word of each base phrase is looked up in every file.
-    rarest = sorted({min(t.anchors, key=lambda w: (frequency.get(w, 0), w)) for t in known if t.base})
-    ranked = sorted(frequency, key=lambda w: (frequency[w], w))
-    looked = F.slice(F.array_intersect(_strings(ranked) if ranked else F.array().cast("array<string>"), F.col("present")), 1, LOOKED_UP)
-    looked = F.array_union(looked, F.array_intersect("present", _strings(rarest) if rarest else F.array().cast("array<string>")))
-
-    places = held.withColumn("looked", looked).select("row", "looked", F.posexplode("words").alias("pos", "word")).filter(F.array_contains("looked", F.col("word"))).select("row", "pos", "word")
+    places = held.select("row", F.posexplode("words").alias("pos", "word")).filter(F.col("word").isin(vocabulary))
     votes = places.join(posts, "word").groupBy("row", "template", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("votes"))
     met = votes.join(shape, "template").join(held.select("row", "words"), "row")
     begin = F.col("start") + F.col("key_at")
     whole = (begin >= 0) & (begin + F.size("key") <= F.size("words"))
     verified = met.filter(whole).filter(F.slice("words", begin + 1, F.size("key")) == F.col("key"))
-    # Looked-up words of a file beyond the rarest aren't counted as missing: a verified key phrase is the least that a match has.
+    # A verified key phrase is the least that a match has.
     share = F.least(F.lit(1.0), F.greatest(F.col("votes"), F.col("need")) / F.col("rare"))
     matches = verified.select("row", "label", "base", begin.cast("long").alias("begin"), F.when(F.col("base"), 1.0).otherwise(share).alias("share"))
     labels = lambda which: F.array_join(F.array_sort(F.collect_set(which)), ",")

@@ -211,6 +211,18 @@ def test_licence_labels_of_the_method(spark):
     assert license_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_licence_labels_of_files_that_hold_many_licences(spark):
+    text = {}
+    for label, _, t in license_scan.TEXTS:
+        text.setdefault(label, t)
+    rows = [(1, "MIT License. All rights reserved. " + text["mit"]), (2, ". ".join(text[k] for k in ("mit", "isc", "mpl"))), (3, ". ".join(t for _, _, t in license_scan.TEXTS))]
+    # Every other file of the table holds some of the words, so that the phrases' words aren't the rarest.
+    rows += [(10 + i, "all rights reserved public license permission " * (i % 3 + 1)) for i in range(40)]
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert {label for label, _, _ in license_scan.TEXTS} - set(got[3][0]) == set()
+    assert got[1] == (["mit", "proprietary"], 1.0) and got[2] == (["isc", "mit", "mpl"], 1.0)
+
+
 def base_secrets(text):
     found = []
     for k, (pattern, group, least) in enumerate(secret_scan.BASE.values()):
