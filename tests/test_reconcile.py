@@ -169,6 +169,17 @@ def test_queries_match_their_sql(spark, name):
     assert key([tuple(r) for r in df.select(*columns).collect()], range(len(columns))) == key(want.fetchall(), [want.columns.index(c) for c in columns])
 
 
+def test_dns_names_are_those_of_all_answers(spark):
+    answers = {}
+    for e in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id").collect():
+        since = e.event_id * 31 % 20000
+        answers.setdefault(e.event_id % 50, []).append((since, since + min(max(e.event_id % 5 * 1000, 30), 3600), f"n{e.user_id % 40}"))
+    flows = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    at = lambda key: key * 7919 % 20000
+    want = {f.o_orderkey: ",".join(sorted({n for since, until, n in answers.get(f.o_custkey % 50, []) if since <= at(f.o_orderkey) < until})) for f in flows}
+    assert {r.flow_id: r.names for r in relational.q34_dns_names(spark, SF).collect()} == want
+
+
 def test_sensor_reports(spark):
     f = flows(spark, flow(1), flow(2), flow(3, scope="known_benign"))
     bad = spark.createDataFrame([("malformed_flow_id",)], "reason string")
