@@ -3,8 +3,8 @@
 Strong findings (assignments to secret-like names, access keys, long hexadecimal runs) are always
 reported. Weak candidates are parts of a credential that mean little alone: names of an account, opaque
 tokens, and endpoints. A scope is a part of a text between empty lines. An interval join links parts
-within a scope whose starts are at most REACH characters apart, and a weak part is reported only where
-complementary parts co-occur: an account or an opaque token needs the other or an endpoint and a secret,
+within a scope with at most REACH characters between them that aren't in a part themselves, so that a long
+part doesn't push its neighbours out of reach. A weak part is reported only where complementary parts co-occur: an account or an opaque token needs the other or an endpoint and a secret,
 an endpoint needs an account or access key and a secret. Only DataFrame functions are used; places come
 from the lengths of the pieces between matches, in code points.
 
@@ -15,7 +15,7 @@ is carried; repeated rows are scanned each; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import common as C
@@ -33,7 +33,7 @@ WEAK = {
     "endpoint": (r"""[a-z][a-z0-9+.-]*://[^\x00-\x20"'<>]+""", 0, 8),
 }
 KINDS = [*BASE, *WEAK]
-#: Characters between the starts of linked parts, at most.
+#: Characters outside of all parts that stand between two linked parts, at most.
 REACH = 400
 
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -87,13 +87,18 @@ def scan(docs: DataFrame) -> DataFrame:
 
     strong = F.concat(*BASE)
     parts = kept.filter(F.size("account") + F.size("opaque") + F.size("endpoint") > 0).select("row", "breaks", F.explode(F.concat(*KINDS)).alias("s"))
-    parts = parts.select("row", F.size(F.filter("breaks", lambda b: b <= F.col("s.start"))).alias("scope"), "s.start", "s.kind", "s.end").withColumn("cell", F.floor(F.col("start") / REACH))
+    parts = parts.select("row", F.size(F.filter("breaks", lambda b: b <= F.col("s.start"))).alias("scope"), "s.start", "s.kind", "s.end")
+    # at: the characters before a part, from its scope's first part on, that are in no part.
+    order = Window.partitionBy("row", "scope").orderBy("start", "kind")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("free", F.greatest(F.col("start") - F.coalesce(reached, F.col("start")), F.lit(0)))
+    parts = parts.withColumn("at", F.sum("free").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("cell", F.floor(F.col("at") / REACH))
     parts = C.settle(parts, "secret-scopes")
     account, opaque, endpoint = (KINDS.index(k) for k in WEAK)
     secrets = [KINDS.index("assign"), KINDS.index("hex"), opaque]
     names = [KINDS.index("access"), account]
-    near = parts.select("row", "scope", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), F.col("start").alias("s2"), F.col("kind").alias("k2"), F.col("end").alias("e2"))
-    pair = parts.filter(F.col("kind") >= len(BASE)).join(near, ["row", "scope", "cell"]).filter((F.abs(F.col("start") - F.col("s2")) <= REACH) & ((F.col("start") != F.col("s2")) | (F.col("kind") != F.col("k2"))))
+    near = parts.select("row", "scope", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), F.col("at").alias("at2"), F.col("start").alias("s2"), F.col("kind").alias("k2"), F.col("end").alias("e2"))
+    pair = parts.filter(F.col("kind") >= len(BASE)).join(near, ["row", "scope", "cell"]).filter((F.abs(F.col("at") - F.col("at2")) <= REACH) & ((F.col("start") != F.col("s2")) | (F.col("kind") != F.col("k2"))))
     apart = (F.col("end") <= F.col("s2")) | (F.col("e2") <= F.col("start"))
     roles = pair.groupBy("row", "start", "kind", "end").agg(
         F.max((F.col("k2").isin(names) & apart).cast("int")).alias("name"),

@@ -268,6 +268,21 @@ def test_weak_parts_need_complementary_ones(spark):
     assert got == {1: "account,opaque", 2: "", 3: "", 4: "", 5: "", 6: "endpoint,account,opaque", 7: ""}
 
 
+def test_long_parts_are_linked_with_their_neighbours(spark):
+    key = "Zx9" + "aB3" * 530
+    rows = [
+        (1, f"{key} client_id=acme-17"),
+        (2, f"client_id=acme-17 {key}"),
+        (3, f"{key} {'x ' * 190}client_id=acme-17"),
+        (4, f"{key} {'x ' * 210}client_id=acme-17"),
+        (5, f"{key}\n\nclient_id=acme-17"),
+        (6, f"https://db.example.com/{'p' * 900} {key} login=acme"),
+        (7, f"{'filler ' * 300}{key}\nlogin=acme"),
+    ]
+    got = {r.doc_id: re.sub(r":\d+", "", r.spans) for r in secret_scan.scan(frame(spark, rows)).collect()}
+    assert got == {1: "opaque,account", 2: "account,opaque", 3: "opaque,account", 4: "", 5: "", 6: "endpoint,opaque,account", 7: "opaque,account"}
+
+
 def test_shards_fill_evenly_and_move_little():
     names = [f"s{i}" for i in range(7)]
     table = sharding.fill_table(names, 1009)
