@@ -12,8 +12,8 @@ many layouts of menus, headers, footers, sidebars, notices, adverts, forms, comm
 
 Defined results: null or empty html gives an empty text; a page without markup is one block; unclosed and
 stray tags are read as browsers do, roughly (a paragraph ends the open one, an end tag closes what is open
-within its element, else is ignored); script, style, template and head content is never text; character
-references are decoded; white space becomes one space, blocks are joined by one space; nothing is cut;
+within its element, else is ignored; of an unclosed video, select, svg or the like only the tag is dropped);
+script, style, template and head content is never text; formulas are; character references are decoded; white space becomes one space, blocks are joined by one space; nothing is cut;
 repeated rows are read each; other columns are ignored.
 """
 
@@ -34,8 +34,10 @@ BLOCKS = set(
     "html body div section article main header footer nav aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption "
     "form fieldset address details summary hgroup menu dialog center".split()
 )
-#: Elements whose content isn't text of the page.
-RAW = set("script style noscript template title textarea iframe svg select object audio video canvas math".split())
+#: Elements whose content is raw up to their first end tag, or to the end of the page, and isn't text of the page.
+RAW = set("script style noscript title textarea iframe".split())
+#: Elements that nest and whose content isn't text of the page; without an end tag of its own only a template reaches to the end of the page.
+SKIPPED = set("template svg select object audio video canvas annotation annotation-xml".split())
 #: Elements that are part of a form, whatever is in them.
 CONTROLS = set("button label option input legend".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -95,12 +97,37 @@ def _attribute_flags(attributes: str) -> int:
     return flags
 
 
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where the raw content from at on, and its end tag, end."""
+    end = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _skipped_ends(page: str) -> dict[int, int]:
+    """For the end of each start tag of a skipped element where its own end tag ends; those without one are left out."""
+    ends: dict[int, int] = {}
+    begun: dict[str, list[int]] = {name: [] for name in SKIPPED}
+    at = 0
+    while (m := _TAG.search(page, at)) is not None:
+        at, name = m.end(), (m[2] or "").lower()
+        if name in SKIPPED:
+            if not m[1]:
+                if not m[3].endswith("/"):
+                    begun[name].append(at)
+            elif begun[name]:
+                ends[begun[name].pop()] = at
+        elif name in RAW and not m[1] and not (m[3].endswith("/") and begun["svg"]):
+            at = _raw_end(page, name, at)
+    return ends
+
+
 def parse(page: str) -> Tree:
     """The page's blocks and texts."""
     t = Tree([-1], [_OF_TAG["root"]], [0], ["#root"], [], [], [], [])
     open_tags: list[tuple[str, int]] = [("#root", 0)]  # name, and the block that was current before it
     block, links, fresh, at, n = 0, 0, True, 0, len(page)
     text, text_block, text_link, text_begins = t.text, t.text_block, t.text_link, t.text_begins
+    skipped: dict[int, int] | None = None
 
     def put(raw: str) -> None:
         nonlocal fresh
@@ -142,8 +169,12 @@ def parse(page: str) -> Tree:
             continue
         if name in RAW:
             if not m[3].endswith("/") or name in ("script", "style", "title", "textarea"):
-                end = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+                at = _raw_end(page, name, at)
+            continue
+        if name in SKIPPED:
+            if not m[3].endswith("/"):
+                skipped = _skipped_ends(page) if skipped is None else skipped
+                at = skipped.get(at, n if name == "template" else at)
             continue
         if name == "br" or name == "hr":
             put(" ")

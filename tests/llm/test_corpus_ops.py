@@ -456,6 +456,18 @@ def test_extraction_of_odd_rows(spark):
     assert html_extract.extracted(frame(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_unclosed_and_nested_elements_leave_the_rest_of_the_page():
+    read = lambda page: " ".join(" ".join(html_extract.parse(page).text).split())
+    for name in "video audio object canvas select svg".split():
+        assert read(f"<p>one</p><{name} class=x><p>two</p>") == "one two"
+        assert read(f"<p>one</p><{name}>no<{name}>no</{name}>no</{name}><p>two</p>") == "one two"
+        assert read(f"<{name}><p>one</p><{name}>no</{name}><p>two</p>") == "one two"
+    for name in "script style textarea iframe template".split():
+        assert read(f"<p>one</p><{name}>no") == "one" and read(f"<p>one</p><{name}>no</{name}>two") == "one two"
+    assert read("<svg><title/><script>'</svg>'</script>no</svg>two") == "two"
+    assert read("<p>let <math><mi>x</mi> = <mn>2</mn><annotation>no</annotation></math> be</p>") == "let x = 2 be"
+
+
 def brute_nearest(rows, queries, k):
     out = {}
     for q, qv in queries:
