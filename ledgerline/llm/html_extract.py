@@ -13,8 +13,10 @@ many layouts of menus, headers, footers, sidebars, notices, adverts, forms, comm
 Defined results: null or empty html gives an empty text; a page without markup is one block; unclosed and
 stray tags are read as browsers do, roughly (a paragraph ends the open one, an end tag closes what is open
 within its element, else is ignored; of an unclosed video, select, svg or the like only the tag is dropped);
-script, style, template and head content is never text; formulas are; character references are decoded; white space becomes one space, blocks are joined by one space; nothing is cut;
-repeated rows are read each; other columns are ignored.
+script, style, template and head content is never text; formulas are; character references are decoded;
+white space becomes one space, blocks are joined by one space; nothing is cut; a quote that no other closes
+is an ordinary sign of its tag, and a tag that nothing ends is text; repeated rows are read each; other
+columns are ignored. A page is read in time linear in its length, whatever it holds.
 """
 
 from __future__ import annotations
@@ -45,7 +47,11 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 _ENDS_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 _SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+#: A tag of usual size, read at once; bounded, so that an attempt that fails costs little.
+_USUAL = re.compile(r"""<(/?)([A-Za-z][^\s/>]{0,80}+)((?:[^>"']{1,300}+|"[^"]{0,500}+"|'[^']{0,500}+'){0,40}+)>""")
+_LONG_NUMBER = re.compile(r"&#[0-9]{8,};?")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -81,8 +87,13 @@ class Tree:
     text_begins: list[bool]
 
 
-@lru_cache(maxsize=4096)
 def _attribute_flags(attributes: str) -> int:
+    """What the attributes speak of; only those of usual length are kept in the cache."""
+    return (_cached_flags if len(attributes) < 512 else _cached_flags.__wrapped__)(attributes)
+
+
+@lru_cache(maxsize=4096)
+def _cached_flags(attributes: str) -> int:
     flags = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
@@ -97,34 +108,120 @@ def _attribute_flags(attributes: str) -> int:
     return flags
 
 
+class Reader:
+    """The tags of a page, one after another."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.quoted = True  # whether quotes hide a '>'; no longer once that left a tag open to the end of the page
+
+    def _end(self, at: int) -> int:
+        """Where the tag that has been read up to at ends, at its '>'; -1 if nowhere."""
+        page = self.page
+        if self.quoted:
+            here = at
+            while (m := _STOP.search(page, here)) is not None:
+                sign, here = m[0], m.end()
+                if sign == ">":
+                    return here - 1
+                if self.last[sign] >= here:
+                    here = page.find(sign, here) + 1
+            self.quoted = False
+        return page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """Begin, end, name, whether it closes and attributes of the first tag, comment or declaration from at on; the latter have no name."""
+        page = self.page
+        while (begin := page.find("<", at)) >= 0:
+            if self.quoted and (usual := _USUAL.match(page, begin)) is not None:
+                closing, name, attributes = usual.groups()
+                return begin, usual.end(), name.lower(), closing == "/", attributes
+            sign = page[begin + 1 : begin + 2]
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                return begin, end + 3 if end >= 0 else len(page), "", False, ""
+            if sign in ("!", "?") and sign:
+                end = page.find(">", begin)
+                return begin, end + 1 if end >= 0 else len(page), "", False, ""
+            name = _NAME.match(page, begin + 1 + (sign == "/"))
+            if name is not None:
+                end = self._end(name.end())
+                if end < 0:
+                    return None
+                return begin, end + 1, name[0].lower(), sign == "/", page[name.end() : end]
+            at = begin + 1
+        return None
+
+
 def _raw_end(page: str, name: str, at: int) -> int:
     """Where the raw content from at on, and its end tag, end."""
-    end = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
-    return end.end() if end else len(page)
+    begin = _raw_close(name).search(page, at)
+    end = page.find(">", begin.end()) if begin else -1
+    return end + 1 if end >= 0 else len(page)
+
+
+@lru_cache(maxsize=64)
+def _raw_close(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?![\w-])", re.I)
 
 
 def _skipped_ends(page: str) -> dict[int, int]:
     """For the end of each start tag of a skipped element where its own end tag ends; those without one are left out."""
     ends: dict[int, int] = {}
     begun: dict[str, list[int]] = {name: [] for name in SKIPPED}
-    at = 0
-    while (m := _TAG.search(page, at)) is not None:
-        at, name = m.end(), (m[2] or "").lower()
+    reader, at = Reader(page), 0
+    while (tag := reader.next(at)) is not None:
+        _, at, name, closes, attributes = tag
         if name in SKIPPED:
-            if not m[1]:
-                if not m[3].endswith("/"):
+            if not closes:
+                if not attributes.endswith("/"):
                     begun[name].append(at)
             elif begun[name]:
                 ends[begun[name].pop()] = at
-        elif name in RAW and not m[1] and not (m[3].endswith("/") and begun["svg"]):
+        elif name in RAW and not closes and not (attributes.endswith("/") and begun["svg"]):
             at = _raw_end(page, name, at)
     return ends
 
 
+class Open:
+    """The open elements, with the places of each name, so that no look-up walks along them."""
+
+    def __init__(self) -> None:
+        self.entries: list[tuple[str, int]] = [("#root", 0)]  # name, and the block that was current before it; -1 if it's none
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, before: int) -> None:
+        self.places.setdefault(name, []).append(len(self.entries))
+        if before >= 0:
+            self.blocks.append(len(self.entries))
+        self.entries.append((name, before))
+
+    def pop(self) -> tuple[str, int]:
+        name, before = self.entries.pop()
+        self.places[name].pop()
+        if before >= 0:
+            self.blocks.pop()
+        return name, before
+
+    def innermost(self, names: set[str] | tuple[str, ...]) -> int:
+        """The place of the innermost open element of these names; 0 if there is none."""
+        found = 0
+        for name in names:
+            own = self.places.get(name)
+            if own and own[-1] > found:
+                found = own[-1]
+        return found
+
+
+_CELLS = ("td", "th", "table", "article", "body")
+
+
 def parse(page: str) -> Tree:
     """The page's blocks and texts."""
     t = Tree([-1], [_OF_TAG["root"]], [0], ["#root"], [], [], [], [])
-    open_tags: list[tuple[str, int]] = [("#root", 0)]  # name, and the block that was current before it
+    opened, reader = Open(), Reader(page)
     block, links, fresh, at, n = 0, 0, True, 0, len(page)
     text, text_block, text_link, text_begins = t.text, t.text_block, t.text_link, t.text_begins
     skipped: dict[int, int] | None = None
@@ -132,7 +229,7 @@ def parse(page: str) -> Tree:
     def put(raw: str) -> None:
         nonlocal fresh
         if raw:
-            text.append(entities.unescape(raw) if "&" in raw else raw)
+            text.append(entities.unescape(_LONG_NUMBER.sub("\ufffd", raw)) if "&" in raw else raw)
             text_block.append(block)
             text_link.append(links > 0)
             text_begins.append(fresh)
@@ -140,39 +237,35 @@ def parse(page: str) -> Tree:
 
     def close(depth: int) -> None:
         nonlocal block, links, fresh
-        while len(open_tags) > depth:
-            name, before = open_tags.pop()
+        while len(opened.entries) > depth:
+            name, before = opened.pop()
             if name == "a":
                 links -= 1
             elif before >= 0:
                 block, fresh = before, True
 
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
+        tag = reader.next(at)
+        if tag is None:
             put(page[at:])
             break
-        if m.start() > at:
-            put(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        begin, end, name, closes, attributes = tag
+        if begin > at:
+            put(page[at:begin])
+        at = end
+        if not name:
             continue
-        name = name.lower()
-        if m[1]:
-            for depth in range(len(open_tags) - 1, 0, -1):
-                if open_tags[depth][0] == name:
-                    close(depth)
-                    break
-                if open_tags[depth][0] in ("td", "th", "table", "article", "body") and name not in BLOCKS:
-                    break
+        if closes:
+            depth = opened.innermost((name,))
+            if depth and (name in BLOCKS or depth == len(opened.entries) - 1 or opened.innermost(_CELLS) <= depth):
+                close(depth)
             continue
         if name in RAW:
-            if not m[3].endswith("/") or name in ("script", "style", "title", "textarea"):
+            if not attributes.endswith("/") or name in ("script", "style", "title", "textarea"):
                 at = _raw_end(page, name, at)
             continue
         if name in SKIPPED:
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 skipped = _skipped_ends(page) if skipped is None else skipped
                 at = skipped.get(at, n if name == "template" else at)
             continue
@@ -181,39 +274,26 @@ def parse(page: str) -> Tree:
             continue
         if name in VOID:
             continue
-        if name in _ENDS_P:
-            for depth in range(len(open_tags) - 1, 0, -1):
-                if open_tags[depth][0] == "p":
-                    close(depth)
-                    break
-                if open_tags[depth][1] >= 0:
-                    break
+        if name in _ENDS_P and opened.blocks and opened.entries[opened.blocks[-1]][0] == "p":
+            close(opened.blocks[-1])
         if name in _SAME:
-            names = {"dt", "dd"} if name in ("dt", "dd") else {"td", "th"} if name in ("td", "th") else {name}
-            for depth in range(len(open_tags) - 1, 0, -1):
-                if open_tags[depth][0] in names:
-                    close(depth)
-                    break
-                if open_tags[depth][0] in _SAME[name]:
-                    break
-        if m[3].endswith("/") and name not in BLOCKS:
+            depth = opened.innermost({"dt", "dd"} if name in ("dt", "dd") else {"td", "th"} if name in ("td", "th") else {name})
+            if depth > opened.innermost(_SAME[name]):
+                close(depth)
+        if attributes.endswith("/") and name not in BLOCKS:
             continue
         if name == "a":
             links += 1
-            open_tags.append((name, -1))
+            opened.push(name, -1)
         elif name in BLOCKS or name in CONTROLS or "-" in name:
-            if name in ("html", "body"):
-                t.flags[0] |= 0
-            open_tags.append((name, block))
+            opened.push(name, block)
             t.parent.append(block)
             t.kind.append(_OF_TAG.get(name, _OF_TAG["div"]))
-            t.flags.append(_attribute_flags(m[3]) if m[3] else 0)
+            t.flags.append(_attribute_flags(attributes) if attributes else 0)
             t.tag.append(name)
             block, fresh = len(t.parent) - 1, True
-        elif name == "head":
-            continue
-        else:
-            open_tags.append((name, -1))
+        elif name != "head":
+            opened.push(name, -1)
     return t
 
 
