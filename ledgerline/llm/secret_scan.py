@@ -4,13 +4,20 @@ Strong findings (assignments to secret-like names, access keys, long hexadecimal
 reported. Weak candidates are parts of a credential that mean little alone: names of an account, opaque
 tokens, and endpoints. A scope is a part of a text between empty lines. An interval join links parts
 within a scope with at most REACH characters between them that aren't in a part themselves, so that a long
-part doesn't push its neighbours out of reach. A weak part is reported only where complementary parts co-occur: an account or an opaque token needs the other or an endpoint and a secret,
-an endpoint needs an account or access key and a secret. Only DataFrame functions are used; places come
-from the lengths of the pieces between matches, in code points.
+part doesn't push its neighbours out of reach. A weak part is reported only where complementary parts
+co-occur: an account or an opaque token needs the other or an endpoint and a secret, an endpoint needs an
+account or access key and a secret. Only DataFrame functions are used; places come from the lengths of the
+pieces between matches, in code points.
+
+The interval join is a sweep: begins and ends of a scope's parts are sorted by place, and running extremes
+give every part the nearest part of each role that ends before it or begins after it. So no pair of parts
+is built, however many parts a scope holds. All patterns read a text in linear time, and sums over its
+pieces are taken in blocks of about the square root of their number.
 
 Defined results: null text is empty; a text without findings has counts 0, the digest of the empty string
 and no spans; a weak part that overlaps a strong finding, or an earlier weak kind, is dropped; a null doc_id
-is carried; repeated rows are scanned each; other columns are ignored.
+is carried; repeated rows are scanned each; other columns are ignored; a long text without a break is
+scanned whole.
 """
 
 from __future__ import annotations
@@ -30,12 +37,16 @@ BASE = {
 WEAK = {
     "account": (r"""(?i)(client_?id|access_?key_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)""", 2, 3),
     "opaque": (r"[A-Za-z0-9+/_-]+", 0, 20),
-    "endpoint": (r"""[a-z][a-z0-9+.-]*://[^\x00-\x20"'<>]+""", 0, 8),
+    # A scheme has 32 characters at most, so that a long run without :// is read once.
+    "endpoint": (r"""[a-z][a-z0-9+.-]{0,31}://[^\x00-\x20"'<>]+""", 0, 8),
 }
 KINDS = [*BASE, *WEAK]
 #: Characters outside of all parts that stand between two linked parts, at most.
 REACH = 400
 
+#: Between scopes: line feeds with at most spaces between them, and the white space after.
+BREAK = r"\n[\x20\x09\x0D]*\n\s*"
+
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -50,23 +61,42 @@ def _faster(kind: str) -> str:
     return {"access": r"AKIA[A-Z0-9]{14,}", "hex": _run(pattern, least), "opaque": r"(?<![A-Za-z0-9+/_-])" + _run(pattern, least)}.get(kind, pattern)
 
 
+def _totals(lengths: Column) -> Column:
+    """The sums of the lengths up to each, itself included, taken block by block: an array that grows is copied at each step."""
+    none = F.array().cast("array<bigint>")
+    bound = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731 - a value that is used in lambdas is worked out once
+
+    def running(items: Column, start: Column) -> Column:
+        step = lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.concat(acc["out"], F.array(acc["sum"] + n)).alias("out"))
+        return F.aggregate(items, F.struct(start.alias("sum"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda acc, n: acc + n))
+        before = F.concat(F.array(F.lit(0).cast("bigint")), running(sums, F.lit(0).cast("bigint")))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), running))
+
+    def cut(own: Column) -> Column:
+        block = F.ceil(F.sqrt(F.size(own))).cast("int")
+        return F.when(F.size(own) > 0, bound(F.transform(F.sequence(F.lit(1), F.size(own), block), lambda at: F.slice(own, at, block)), joined)).otherwise(none)
+
+    return bound(lengths, cut)
+
+
+def _ends(text: Column, pattern: str, whole: Column) -> Column:
+    """Where each match ends, from the pieces of text between the matches."""
+    pieces = F.split(text, pattern, -1)
+    return _totals(F.zip_with(F.slice(pieces, F.lit(1), F.size(whole)), whole, lambda gap, m: (F.length(gap) + F.length(m)).cast("bigint")))
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """Start, kind and end of the kind's matches that are long enough, in code points; leftmost, not overlapping."""
     pattern, (_, group, least) = F.lit(_faster(kind)), {**BASE, **WEAK}[kind]
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     part = F.regexp_extract_all(text, pattern, F.lit(group)) if group else whole
-    pieces = F.split(text, _faster(kind), -1)
     ok = lambda m: (F.length(m["part"]) >= least) & ((m["whole"].rlike("[0-9]") & m["whole"].rlike("[A-Za-z]")) if kind == "opaque" else F.lit(True))
-    steps = F.arrays_zip(whole.alias("whole"), part.alias("part"), F.slice(pieces, 1, F.size(whole)).alias("gap"))
-
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["gap"])
-        end = start + F.length(m["whole"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(ok(m), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.when(text.rlike(_faster(kind)), F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    matches = F.arrays_zip(whole.alias("whole"), part.alias("part"), _ends(text, _faster(kind), whole).alias("end"))
+    span = lambda m: F.struct((m["end"] - F.length(m["whole"])).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"))
+    return F.when(text.rlike(_faster(kind)), F.transform(F.filter(matches, ok), span)).otherwise(F.array().cast(_SPAN))
 
 
 def _joined(spans: Column) -> Column:
@@ -75,59 +105,60 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), named), ",")
 
 
+def _linked(parts: DataFrame) -> DataFrame:
+    """(row, weak): the weak parts of parts (row, scope, start, kind, end, at) that are linked with complementary ones."""
+    account, opaque, endpoint = (KINDS.index(k) for k in WEAK)
+    roles = {"name": [KINDS.index("access"), account], "secret": [KINDS.index("assign"), KINDS.index("hex"), opaque], "endpoint": [endpoint]}
+    # At one place ends come before begins: a part that ends where another begins stands before it.
+    events = parts.select("*", F.explode(F.array(F.struct(F.col("end").alias("place"), F.lit(0).alias("begins")), F.struct(F.col("start").alias("place"), F.lit(1).alias("begins")))).alias("v"))
+    events = events.select("row", "scope", "start", "kind", "end", "at", "v.place", "v.begins")
+    within = Window.partitionBy("row", "scope")
+    upto = within.orderBy("place", "begins").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = within.orderBy(F.desc("place"), F.desc("begins")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.col("begins") == 1
+    sweeps = {}
+    for role, kinds in roles.items():
+        own = F.col("kind").isin(kinds)
+        sweeps[f"{role}_before"] = F.max(F.when(~begins & own, F.col("at"))).over(upto)
+        sweeps[f"{role}_after"] = F.min(F.when(begins & own, F.col("at"))).over(after)
+    for kind in range(len(KINDS) - 1):
+        sweeps[f"over_{kind}"] = F.max(F.when(begins & (F.col("kind") == kind), F.col("end"))).over(upto)
+    swept = events.withColumns(sweeps).filter(F.col("kind") >= len(BASE))
+    near = lambda role: F.max(
+        F.when(begins, F.col("at") - F.col(f"{role}_before") <= REACH).otherwise(F.col(f"{role}_after") - F.col("at") <= REACH)
+    ).alias(role)
+    earlier = F.greatest(F.lit(-1), *(F.when(F.col("kind") > k, F.col(f"over_{k}")) for k in range(len(KINDS) - 1)))
+    found = swept.groupBy("row", "start", "kind", "end").agg(*map(near, roles), F.max(~begins & (earlier > F.col("start"))).alias("covered"))
+    has = {role: F.coalesce(F.col(role), F.lit(False)) for role in roles}
+    linked = F.when(F.col("kind") == account, has["secret"]).when(F.col("kind") == opaque, has["name"] | (has["endpoint"] & has["secret"])).otherwise(has["name"] & has["secret"])
+    return found.filter(linked & ~F.col("covered")).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("weak"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for every row of docs (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
-    found = texts.select("doc_id", "text", *(spans_of(text, k).alias(k) for k in BASE), *(spans_of(text, k).alias(k) for k in WEAK))
+    found = texts.select("doc_id", "text", *(spans_of(text, k).alias(k) for k in KINDS))
     # Ends of empty lines cut a text into scopes; they matter only where a weak part was found.
     weak = F.size("account") + F.size("opaque") + F.size("endpoint")
-    breaks = F.when(weak > 0, _breaks(text)).otherwise(F.array().cast("array<bigint>"))
+    breaks = F.when((weak > 0) & text.rlike(BREAK), _ends(text, BREAK, F.regexp_extract_all(text, F.lit(BREAK), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
     kept = C.settle(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", *KINDS, breaks.alias("breaks")), "secret-parts")
 
     strong = F.concat(*BASE)
-    parts = kept.filter(F.size("account") + F.size("opaque") + F.size("endpoint") > 0).select("row", "breaks", F.explode(F.concat(*KINDS)).alias("s"))
-    parts = parts.select("row", F.size(F.filter("breaks", lambda b: b <= F.col("s.start"))).alias("scope"), "s.start", "s.kind", "s.end")
+    cuts = F.transform("breaks", lambda b: F.struct(b.alias("start"), F.lit(-1).alias("kind"), b.alias("end")))
+    parts = kept.filter(weak > 0).select("row", F.explode(F.concat(cuts, *KINDS)).alias("s")).select("row", "s.*")
+    # A part's scope is the number of breaks up to it.
+    passed = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("scope", F.sum(F.when(F.col("kind") < 0, 1).otherwise(0)).over(passed)).filter("kind >= 0")
     # at: the characters before a part, from its scope's first part on, that are in no part.
     order = Window.partitionBy("row", "scope").orderBy("start", "kind")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("free", F.greatest(F.col("start") - F.coalesce(reached, F.col("start")), F.lit(0)))
-    parts = parts.withColumn("at", F.sum("free").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("cell", F.floor(F.col("at") / REACH))
-    parts = C.settle(parts, "secret-scopes")
-    account, opaque, endpoint = (KINDS.index(k) for k in WEAK)
-    secrets = [KINDS.index("assign"), KINDS.index("hex"), opaque]
-    names = [KINDS.index("access"), account]
-    near = parts.select("row", "scope", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), F.col("at").alias("at2"), F.col("start").alias("s2"), F.col("kind").alias("k2"), F.col("end").alias("e2"))
-    pair = parts.filter(F.col("kind") >= len(BASE)).join(near, ["row", "scope", "cell"]).filter((F.abs(F.col("at") - F.col("at2")) <= REACH) & ((F.col("start") != F.col("s2")) | (F.col("kind") != F.col("k2"))))
-    apart = (F.col("end") <= F.col("s2")) | (F.col("e2") <= F.col("start"))
-    roles = pair.groupBy("row", "start", "kind", "end").agg(
-        F.max((F.col("k2").isin(names) & apart).cast("int")).alias("name"),
-        F.max((F.col("k2").isin(secrets) & apart).cast("int")).alias("secret"),
-        F.max(((F.col("k2") == endpoint) & apart).cast("int")).alias("endpoint"),
-        F.max((~apart & (F.col("k2") < F.col("kind"))).cast("int")).alias("covered"),
-    )
-    linked = (
-        F.when(F.col("kind") == account, (F.col("secret") == 1))
-        .when(F.col("kind") == opaque, (F.col("name") == 1) | ((F.col("endpoint") == 1) & (F.col("secret") == 1)))
-        .otherwise((F.col("name") == 1) & (F.col("secret") == 1))
-    )
-    weak_spans = roles.filter(linked & (F.col("covered") == 0)).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("weak"))
-    out = kept.join(C.maybe_broadcast(C.settle(weak_spans, "secret-weak")), "row", "left")
+    parts = parts.withColumn("at", F.sum("free").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = kept.join(C.maybe_broadcast(C.settle(_linked(parts), "secret-weak")), "row", "left")
     return out.select(
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE),
         F.sha2(_joined(strong), 256).alias("base_sha256"),
         _joined(F.concat(strong, F.coalesce("weak", F.array().cast(_SPAN)))).alias("spans"),
     )
-
-
-def _breaks(text: Column) -> Column:
-    """Where scopes but the first begin: the ends of runs of line feeds with at most spaces between them."""
-    pattern = r"\n[\x20\x09\x0D]*\n\s*"
-    whole, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.arrays_zip(whole.alias("whole"), F.slice(pieces, 1, F.size(whole)).alias("gap"))
-    step = lambda acc, m: F.struct(
-        (acc["at"] + F.length(m["gap"]) + F.length(m["whole"])).alias("at"),
-        F.concat(acc["out"], F.array(acc["at"] + F.length(m["gap"]) + F.length(m["whole"]))).alias("out"),
-    )
-    return F.aggregate(steps, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out")), step, lambda acc: acc["out"])

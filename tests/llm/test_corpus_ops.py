@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -283,6 +284,24 @@ def test_long_parts_are_linked_with_their_neighbours(spark):
     assert got == {1: "opaque,account", 2: "account,opaque", 3: "opaque,account", 4: "", 5: "", 6: "endpoint,opaque,account", 7: "opaque,account"}
 
 
+LONG_SECRETS = {
+    "run": ("abcdefghij" * 100_000, 0),
+    "accounts": ("login=abc/" * 30_000, 0),
+    "accounts in one endpoint": ("x://" + "login=abc&" * 30_000 + " password=abcdefabcdefabcdef", 1),
+    "scopes": ("\n" * 200_000 + "login=abc\n \n" * 10_000, 0),
+    "spaces": ("password" + " " * 500_000, 0),
+    "schemes": ("a.b+c-" * 100_000, 0),
+}
+
+
+@pytest.mark.parametrize("name", LONG_SECRETS)
+def test_long_texts_are_scanned_for_secrets_in_linear_time(spark, name):
+    text, n_assign = LONG_SECRETS[name]
+    began = time.monotonic()
+    found = secret_scan.scan(frame(spark, [(1, text)])).first()
+    assert found.n_assign == n_assign and time.monotonic() - began < 60
+
+
 def test_shards_fill_evenly_and_move_little():
     names = [f"s{i}" for i in range(7)]
     table = sharding.fill_table(names, 1009)
@@ -468,6 +487,38 @@ def test_unclosed_and_nested_elements_leave_the_rest_of_the_page():
     assert read("<p>let <math><mi>x</mi> = <mn>2</mn><annotation>no</annotation></math> be</p>") == "let x = 2 be"
 
 
+LONG_PAGES = {
+    "unclosed quotes": ("<p>kept</p><a title=\"x " + "<a title=x " * 60_000, "kept"),
+    "quotes in a row": ('<a ">" ' * 100_000, ""),
+    "brackets": ("<" * 500_000, "<" * 500_000),
+    "stray ends": ("<i>" * 100_000 + "</b>" * 100_000, ""),
+    "ends in a cell": ("<b><td>" + "<i>" * 100_000 + "</b>" * 100_000, ""),
+    "paragraphs among inline elements": ("<div>" + "<i>" * 80_000 + "<p></p>" * 80_000, ""),
+    "script ends": ("<script>" + "</script" * 100_000, ""),
+    "a number": ("&#" + "9" * 500_000 + ";", "\ufffd"),
+    "depth": ("<div>" * 100_000, ""),
+    "attributes": ('<div class="' + "a " * 300_000 + '">', ""),
+}
+
+
+@pytest.mark.parametrize("name", LONG_PAGES)
+def test_long_pages_are_read_in_linear_time(name):
+    page, begin = LONG_PAGES[name]
+    began = time.monotonic()
+    tree = html_extract.parse(page)
+    html_extract.read_page(page, html_extract.trained())
+    assert "".join(tree.text).strip().startswith(begin) and time.monotonic() - began < 40
+
+
+def test_quotes_in_tags():
+    texts = lambda page: [x for x in html_extract.parse(page).text if x.strip()]
+    assert texts('<p title="a > b">one</p>') == ["one"]
+    assert texts("<p title='it\"s > b'>one</p>") == ["one"]
+    assert texts('<p title="a>one</p>') == ["one"]
+    assert texts("<p don't>one</p><p>two</p>") == ["one", "two"]
+    assert texts("one < two <3 <p") == ["one < two <3 <p"]
+
+
 def brute_nearest(rows, queries, k):
     out = {}
     for q, qv in queries:
