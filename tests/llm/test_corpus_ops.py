@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables and on tables with every odd row."""
 
 import hashlib
+import itertools
 import math
 import re
 import time
@@ -599,6 +600,64 @@ def test_mined_url_rules(spark):
     assert url_rules.judged(frame(spark, [], "page_id long, url string"), rules).count() == 0
 
 
+def brute_rules(baskets, least, confidence, lift):
+    """Minimal token combinations of at most three that go with bad pages, by counting all of them."""
+    base = sum(b for _, b in baskets) / len(baskets)
+    found = {}
+    for size in (1, 2, 3):
+        counts = defaultdict(lambda: [0, 0])
+        for tokens, bad in baskets:
+            for own in itertools.combinations(sorted(tokens), size):
+                counts[own][0] += 1
+                counts[own][1] += bad
+        for own, (n, n_bad) in counts.items():
+            sure = n_bad / n
+            if n_bad >= least and sure >= confidence and sure >= lift * base:
+                if not any(found.get(part, 0) >= sure for k in range(1, size) for part in itertools.combinations(own, k)):
+                    found[own] = sure
+    return found
+
+
+def test_mined_rules_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows, labels, baskets = [], [], []
+    for i in range(600):
+        tokens = {f"path={w}" for w in "abcde" if rng.random() < 0.5}
+        bad = int(("path=a" in tokens and "path=b" in tokens and rng.random() < 0.9) or rng.random() < 0.05)
+        rows.append((i, "x://h/" + "/".join(t[5:] for t in sorted(tokens))))
+        labels.append((i, 1 - bad, 0))
+        baskets.append((tokens | {"host=h"}, bad))
+    pages, table = frame(spark, rows, "page_id long, url string"), frame(spark, labels, "doc_id long, quality int, toxic int")
+    rules = url_rules.mine(pages, table, confidence=0.6, lift=1.5)
+    got = {tuple(r.tokens): r.confidence for r in rules.collect() if r["size"] <= 3}
+    wanted = brute_rules(baskets, 8, 0.6, 1.5)
+    assert ("path=a", "path=b") in wanted and set(got) == set(wanted)
+    assert all(abs(got[k] - wanted[k]) < 1e-12 for k in got)
+    judged = {r.page_id: r.verdict for r in url_rules.judged(pages, rules).collect()}
+    every = [(set(n[0] for n in r.need)) for r in rules.collect()]
+    assert all(judged[i] == ("block" if any(e <= baskets[i][0] for e in every) else "allow") for i in range(600))
+
+
+@pytest.mark.parametrize("deep", [12, 400])
+def test_deep_repeated_urls_are_mined_in_bounded_time(spark, deep):
+    one = "https://a.b.example.org/" + "/".join(f"s{k}" for k in range(deep))
+    rows = [(i, one if i < 12 else f"https://c{i}.example.org/" + "/".join(f"t{(i * k) % 23}" for k in range(20))) for i in range(120)]
+    labels = [(i, int(i >= 12), 0) for i in range(120)]
+    began = time.monotonic()
+    pages = frame(spark, rows, "page_id long, url string")
+    rules = url_rules.mine(pages, frame(spark, labels, "doc_id long, quality int, toxic int"))
+    verdicts = {r.page_id: r.verdict for r in url_rules.judged(pages.union(frame(spark, [(999, f"x://y/s{deep - 1}")], "page_id long, url string")), rules).collect()}
+    assert time.monotonic() - began < 60
+    assert all(verdicts[i] == ("block" if i < 12 else "allow") for i in range(120)) and verdicts[999] == "block"
+
+
+def test_long_urls_are_judged_in_linear_time(spark):
+    rows = [(1, "x://" + "a" * 500_000), (2, "a" * 500_000), (3, "x://h" + "/a.b" * 200_000), (4, "x://" + "a." * 200_000), (5, "x://h/?" + "a=b&" * 100_000)]
+    began = time.monotonic()
+    none = url_rules.mine(frame(spark, [], "page_id long, url string"), frame(spark, [], "doc_id long, quality int, toxic int"))
+    assert url_rules.judged(frame(spark, rows, "page_id long, url string"), none).count() == 5 and time.monotonic() - began < 60
+
+
 def test_pipeline_stages_keep_columns(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
