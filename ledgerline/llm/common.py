@@ -15,7 +15,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A table at most this large, as written, may be broadcast; a larger one is joined by a shuffle.
@@ -39,11 +39,12 @@ def trim_memory() -> None:
         _libc.malloc_trim(0)
 
 
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only in local mode, where it may be unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -59,6 +60,38 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def discard(*settled: DataFrame) -> None:
+    """Delete settled tables that no result reads any more."""
+    for df in settled:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._settled_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(df: DataFrame, name: str = "doc") -> Column:
+    """All columns of df as one struct, so that their names can't clash with those of helper columns."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias(name)
+
+
+def running(df: DataFrame, group: str | None, order: list[Column], values: list[str]) -> DataFrame:
+    """df with a column before_<value> for each value: its sum over the rows of the group that stand before the row.
+
+    The rows are dealt to ranges of the order, summed within each, and the sums of whole ranges are added:
+    no task reads more than a range, or than one row a range, however large a group is. order must tell all
+    rows apart, so that equal rows don't share a range.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.lit(0) if group is None else F.col(group)
+    dealt = df.withColumn("__group", own).repartitionByRange(ranges, F.col("__group").asc_nulls_last(), *order)
+    laid = settle(dealt.withColumn("__range", F.spark_partition_id()), "ranges")
+    earlier = Window.partitionBy("__group").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = laid.groupBy("__range", "__group").agg(*(F.sum(v).alias(f"__{v}") for v in values))
+    starts = settle(sums.select(F.col("__range").alias("__r"), F.col("__group").alias("__g"), *(F.coalesce(F.sum(f"__{v}").over(earlier), F.lit(0)).alias(f"__{v}") for v in values)), "range-sums")
+    within = Window.partitionBy("__range", "__group").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sofar = laid.withColumns({f"before_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values})
+    both = sofar.join(maybe_broadcast(starts), (F.col("__range") == F.col("__r")) & F.col("__group").eqNullSafe(F.col("__g")))
+    return both.select(*df.columns, *((F.col(f"before_{v}") + F.col(f"__{v}")).alias(f"before_{v}") for v in values))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of few rows while wide rows are handed to Python."""

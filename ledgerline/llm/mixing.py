@@ -7,18 +7,18 @@ stand in an order of size, their expected copies are summed up along it, one fix
 a document is taken once for every integer boundary that its step crosses; so no document is taken more
 than ceil(expected) times and the taken words lie near the target.
 
-The sums run over cells (source, size band, hash bucket), counted by a partial aggregate and summed on
-arrays of counts; only within a cell, which has about CELL rows at most, rows are numbered. So a source
-with any share of the rows is spread over many tasks.
+The sums are distributed: rows are dealt to ranges of the order, summed within each range, and the sums
+of whole ranges are added. The targets come from the same sums over the table of sources, so neither a
+source with any share of the rows nor any number of sources is gathered in one task or the driver.
 
 Defined results: null text has size 0, and so a source of empty texts has target 0 and rate 0; a null
 source is a source of its own, the last; repeated rows are documents of their own; a null doc_id is
-ordered first; an empty table gives an empty result.
+ordered first; an empty table gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,7 +29,7 @@ from ledgerline.llm import common as C
 WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)
 LIMIT = 2
-#: Rows of a cell, about; more rows in the table make more cells.
+#: Rows for each bucket of the order within a band of sizes.
 CELL = 20_000
 
 
@@ -40,7 +40,7 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: list[int]) -> list[Fraction]:
-    """Exact targets of the sources, in their order."""
+    """Exact targets of the sources, in their order, in plain Python: what mixture() works out on tables."""
     weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))]
     full: set[int] = set()
     while True:
@@ -53,66 +53,68 @@ def targets(sizes: list[int]) -> list[Fraction]:
         full |= over
 
 
-def _offset(source: str | None) -> float:
-    return int(hashlib.md5(f"mix:{source}".encode()).hexdigest()[:8], 16) / 2**32
+def _part_of_hash(text: Column) -> Column:
+    """The first 32 bits of a text's md5."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def source_rates(sized: DataFrame) -> DataFrame:
+    """of (source), source_size, target, rate and offset for every source of sized (source, size).
+
+    Sources fill up in order of size by weight; from the first one on that isn't full, the rest of the budget is shared by weight.
+    """
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.lit(1).alias("one"))
+    named = C.running(sources, None, [F.col("source").asc_nulls_last()], ["one"])
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("before_one") % len(WEIGHTS) + 1).cast("int"))
+    named = C.settle(named.select("source", "source_size", weight.cast("long").alias("weight")), "mix-sources")
+    total = named.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    if total.size is None:
+        return C.settle(named.select(F.col("source").alias("of"), "source_size", *(F.lit(0.0).alias(c) for c in ("target", "rate", "offset"))), "mix-rates")
+    lap = F.col("source_size") * (F.lit(math.lcm(*WEIGHTS)) / F.col("weight")).cast("long")
+    filled = C.running(named, None, [lap, F.col("source").asc_nulls_last()], ["source_size", "weight"])
+    # Twice the budget that is left (in units of 1 / SHARE[1]), and the weight that is open, when the sources before are full.
+    left = F.lit(SHARE[0] * total.size).cast("decimal(38,0)") - SHARE[1] * LIMIT * wide("before_source_size")
+    filled = C.settle(filled.select("*", left.alias("left"), (F.lit(total.weight) - F.col("before_weight")).alias("open"), lap.alias("lap")), "mix-filled")
+    fits = wide("weight") * F.col("left") <= SHARE[1] * LIMIT * wide("source_size") * wide("open")
+    cut = filled.filter(fits).agg(F.min(F.struct("lap", F.col("source").isNull().alias("last"), "source", "left", "open")).alias("cut")).first().cut
+    after = (F.col("lap") > cut.lap) | ((F.col("lap") == cut.lap) & (F.col("source").isNull() | F.coalesce(F.col("source") >= F.lit(cut.source), F.lit(False))))
+    shared = (F.col("weight") * F.lit(cut.left)).cast("double") / F.lit(float(SHARE[1] * cut.open))
+    target = F.when(after, shared).otherwise((LIMIT * F.col("source_size")).cast("double"))
+    offset = _part_of_hash(F.concat(F.lit("mix:"), F.coalesce("source", F.lit("None")))) / F.lit(2.0**32)
+    goals = filled.select(F.col("source").alias("of"), "source_size", target.alias("target"), offset.alias("offset"))
+    return C.settle(goals.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "mix-rates")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target and copies; the text isn't carried."""
-    spark = docs.sparkSession
-    sized = C.settle(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size")), "mix-sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
-    totals.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
-    goals = targets([r.source_size for r in totals])
-    rates = [(r.source, r.source_size, float(g), float(g) / r.source_size if r.source_size else 0.0, _offset(r.source)) for r, g in zip(totals, goals, strict=True)]
-    rates = F.broadcast(spark.createDataFrame(rates, "source string, source_size long, target double, rate double, offset double"))
-
-    buckets = max(1, sum(r.n for r in totals) // CELL)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    sized = C.settle(sized.withColumns({"row": F.monotonically_increasing_id(), "one": F.lit(1).cast("long")}), "mix-sizes")
+    rates = source_rates(sized)
+    buckets = max(1, sized.count() // CELL)
     band = F.floor(F.sqrt(F.col("size").cast("double"))).cast("int")
-    bucket = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
-    celled = sized.withColumns({"band": band, "bucket": bucket})
-    cells = celled.groupBy("source", "band", "bucket").agg(F.count("*").alias("n"))
-    by_band = cells.groupBy("source", "band").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("cells"), F.sum("n").alias("n"))
-    by_source = by_band.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("band", "n", "cells"))).alias("bands"))
-
-    def running(items: Column, start: Column, name: str, rest: list[str]) -> Column:
-        """The items with the sum of n before each."""
-        empty = F.array().cast(f"array<struct<{name}:int,before:bigint{''.join(',' + x for x in rest)}>>")
-        step = lambda acc, x: F.struct(
-            (acc["sum"] + x["n"]).alias("sum"),
-            F.concat(acc["out"], F.array(F.struct(x[name].alias(name), acc["sum"].alias("before"), *([x["cells"].alias("cells")] if rest else [])))).alias("out"),
-        )
-        return F.aggregate(items, F.struct(start.alias("sum"), empty.alias("out")), step, lambda acc: acc["out"])
-
-    bands = by_source.select("source", F.explode(running(F.col("bands"), F.lit(0).cast("long"), "band", ["cells:array<struct<bucket:int,n:bigint>>"])).alias("b"))
-    starts = bands.select("source", "b.band", F.explode(running(F.col("b.cells"), F.col("b.before"), "bucket", [])).alias("c")).select("source", "band", "c.bucket", "c.before")
-    starts = C.settle(starts, "mix-starts")
-
-    order = Window.partitionBy("source", "band", "bucket").orderBy("size", "doc_id")
-    ranked = celled.withColumn("rank", F.row_number().over(order)).withColumn("key", F.struct("source", "band", "bucket"))
-    keyed = starts.select(F.struct("source", "band", "bucket").alias("key"), "before")
-    out = ranked.join(C.maybe_broadcast_of(keyed, starts), "key").withColumn("k", F.col("before") + F.col("rank"))
-    out = out.join(rates.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    bucket = F.pmod(_part_of_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.lit(buckets)).cast("int")
+    order = [F.col(c).asc_nulls_first() for c in ("band", "bucket", "size", "doc_id", "row")]
+    ranked = C.running(sized.withColumns({"band": band, "bucket": bucket}), "source", order, ["one"]).withColumn("k", F.col("before_one") + 1)
+    out = ranked.join(C.maybe_broadcast(rates), F.col("source").eqNullSafe(F.col("of")))
     crossed = F.floor(F.col("k") * F.col("rate") + F.col("offset")) - F.floor((F.col("k") - 1) * F.col("rate") + F.col("offset"))
     return out.select("doc_id", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """docs, each row as many times as the mixture takes it; rows that share a doc_id are told apart by source and size."""
-    key = ["doc_id", "source", "size"]
     plan = C.settle(mixture(docs), "mix-plan")
-    columns = docs.columns
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__size": n_words(F.col("text"))})
-    again = C.settle(plan.groupBy(*key).agg(F.count("*").alias("n"), F.sum("copies").alias("copies")), "mix-copies")
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    rows = docs.select(C.packed(docs), own.alias("own"))
+    again = plan.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).filter("copies > 0")
+    again = C.settle(again.select(F.struct("doc_id", "source", "size").alias("key"), "n", "copies"), "mix-copies")
     # Rows that agree in doc_id, source and size share their copies: each takes the whole part, the first ones the rest.
-    several = again.filter("n > 1")
-    match = F.col("__id").eqNullSafe(F.col("doc_id_")) & F.col("__source").eqNullSafe(F.col("source_")) & (F.col("__size") == F.col("size_"))
-    named = lambda df: df.toDF(*(f"{c}_" if c in key else f"__{c}" for c in df.columns))
-    single = rows.join(C.maybe_broadcast_of(named(again.filter("n = 1 and copies > 0").select(*key, "copies")), again), match)
-    out = single.select(*columns, "__copies")
+    match = F.col("own").eqNullSafe(F.col("key"))
+    once, several = again.filter("n = 1"), again.filter("n > 1")
+    out = rows.join(C.maybe_broadcast_of(once, again), match).select("doc", "copies")
     if not several.isEmpty():
-        w = Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(*columns))
-        shared = rows.join(named(several), match).withColumn("__at", F.row_number().over(w) - 1)
-        share = F.floor(F.col("__copies") / F.col("__n")) + F.when(F.col("__at") < F.col("__copies") % F.col("__n"), 1).otherwise(0)
-        out = out.unionByName(shared.withColumn("__copies", share.cast("long")).filter("__copies > 0").select(*columns, "__copies"))
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*columns)
+        alike = Window.partitionBy("own").orderBy(F.xxhash64("doc"))
+        shared = rows.join(C.maybe_broadcast_of(several, again), match).withColumn("at", F.row_number().over(alike) - 1)
+        share = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("at") < F.col("copies") % F.col("n"), 1).otherwise(0)
+        out = out.unionByName(shared.select("doc", share.cast("long").alias("copies")).filter("copies > 0"))
+    return out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")
