@@ -7,7 +7,8 @@ id modulo the table's size; the table has a fixed number of rows and is broadcas
 lookup a row.
 
 Defined results: a null doc_id is placed by the key 'null'; repeated ids share a shard; no shards is an
-error; the size must be a prime larger than the number of shards.
+error; the size must be a prime larger than the number of shards; columns of docs that are named slot or
+shard, in any case, give way to the operator's own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm import common as C
+
 #: Slots of the table: a prime, and the bound of what is broadcast.
 SLOTS = 65_537
 
@@ -61,4 +64,6 @@ def placed(docs: DataFrame, shards: list[str], slots: int = SLOTS, key: str = "d
     table = pd.DataFrame({"slot": np.arange(slots, dtype=np.int32), "shard": names[fill_table(shards, slots)]})
     spark: SparkSession = docs.sparkSession
     lookup = F.broadcast(spark.createDataFrame(table, "slot int, shard string"))
-    return docs.withColumn("slot", slot_of(F.col(key), slots)).join(lookup, "slot", "left").select(*docs.columns, "slot", "shard")
+    own = slot_of(F.col(key), slots).alias("slot")
+    rest = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in ("slot", "shard")))
+    return docs.select(C.packed(rest), own).join(lookup, "slot", "left").select("doc.*", "slot", "shard")
