@@ -26,8 +26,6 @@ from ledgerline.llm import common as C
 
 #: Bits of the lookup tables, a fixed size whatever the benchmark's; more items only cost more false hits.
 TABLE_BITS = 24
-#: Hashes of the benchmark that the driver gathers into the tables at a time.
-ITEM_BATCH = 100_000
 
 
 def item_shingles(items: DataFrame, shingle: int, share: float) -> DataFrame:
@@ -76,6 +74,12 @@ def _hit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_shared, n_item and containment of every pair in which docs (doc_id, text) contain items (item_id, text)."""
+    found = _contained(docs.select("doc_id", "text", F.lit(None).cast("long").alias("mark")), items, shingle, share)
+    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("n_shared", "n_item", "containment")))
+
+
+def _contained(docs: DataFrame, items: DataFrame, shingle: int, share: float) -> DataFrame:
+    """The pairs, for each row of docs (doc_id, text, mark), with its mark."""
     spark = docs.sparkSession
     index = C.settle(item_shingles(items, shingle, share).withColumn("item", F.monotonically_increasing_id()), "item-index")
     sketches, grams = (spark.sparkContext.broadcast(t) for t in _tables(index))
@@ -93,11 +97,11 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, share: flo
                     inside = _hit(grams.value[width], s)
                     pick = lambda m: [np.unique(s[m & (of == r)]).view(np.int64) for r in rows]  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(rows + at)), pa.array(np.full(len(rows), width, np.int32)), pa.array(pick(mark), pa.list_(pa.int64())), pa.array(pick(inside), pa.list_(pa.int64()))],
-                        ["doc_id", "width", "hits", "held"],
+                        [batch.column(0).take(pa.array(rows + at)), batch.column(2).take(pa.array(rows + at)), pa.array(np.full(len(rows), width, np.int32)), pa.array(pick(mark), pa.list_(pa.int64())), pa.array(pick(inside), pa.list_(pa.int64()))],
+                        ["doc_id", "mark", "width", "hits", "held"],
                     )
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(look_up, "doc_id long, width int, hits array<long>, held array<long>")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "mark").mapInArrow(look_up, "doc_id long, mark long, width int, hits array<long>, held array<long>")
     found = C.settle(found.withColumn("row", F.monotonically_increasing_id()), "item-hits")
     posts = index.select("item", "width", "need", F.explode("sketch").alias("h"))
     candidates = (
@@ -109,17 +113,16 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, share: flo
         .select("row", "item")
     )
     candidates = C.settle(candidates, "item-candidates")
-    exact = candidates.join(found.select("row", "doc_id", "held"), "row").join(index.select("item", "item_id", "grams"), "item")
-    sizes = exact.select("doc_id", "item_id", F.size(F.array_intersect("held", "grams")).cast("long").alias("n_shared"), F.size("grams").cast("long").alias("n_item"))
-    return (
-        sizes.withColumn("containment", F.col("n_shared") / F.col("n_item"))
-        .filter(F.col("n_shared") >= F.ceil(F.col("n_item") * share - 1e-9))
-        .groupBy("doc_id", "item_id")
-        .agg(*(F.max(c).alias(c) for c in ("n_shared", "n_item", "containment")))
-    )
+    exact = candidates.join(found.select("row", "doc_id", "mark", "held"), "row").join(index.select("item", "item_id", "grams"), "item")
+    sizes = exact.select("doc_id", "mark", "item_id", F.size(F.array_intersect("held", "grams")).cast("long").alias("n_shared"), F.size("grams").cast("long").alias("n_item"))
+    return sizes.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("n_shared") >= F.ceil(F.col("n_item") * share - 1e-9))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, share: float = 0.8) -> DataFrame:
-    """docs but for those that contain a test item; a document without an id stays, as it can't be named."""
-    gone = C.settle(contaminated(docs, items, shingle, share).select("doc_id").filter("doc_id is not null").distinct(), "leaks")
-    return docs.join(C.maybe_broadcast(gone), "doc_id", "left_anti").select(docs.columns)
+    """docs but for those that contain a test item; a document without an id is told by a hash of its text, one with an id by its id, whichever of its rows leaks."""
+    mark = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string")))
+    found = C.settle(_contained(docs.select("doc_id", "text", mark.alias("mark")), items, shingle, share).select(F.col("doc_id").alias("id"), F.col("mark").alias("hash")).distinct(), "leaks")
+    rows = docs.select(C.packed(docs), F.col("doc_id").cast("long").alias("own"), mark.alias("mark"))
+    stay = rows.join(C.maybe_broadcast_of(found.filter("id is not null").select("id"), found), F.col("own") == F.col("id"), "left_anti")
+    stay = stay.join(C.maybe_broadcast_of(found.filter("id is null").select("hash"), found), F.col("mark") == F.col("hash"), "left_anti")
+    return stay.select("doc.*")
