@@ -419,11 +419,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """docs but for the rows whose text is predicted toxic; all columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
+    text, plain = docs.columns.index("text"), docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(columns.index("text"))
-            yield batch.filter(pa.array(shared.value.scores(text) < 0.5))
+            yield batch.filter(pa.array(shared.value.scores(batch.column(text)) < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

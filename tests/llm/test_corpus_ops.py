@@ -13,6 +13,7 @@ import pytest
 pytest.importorskip("ledgerline.llm")
 from pyspark.sql import functions as F
 
+from ledgerline.llm import common as C
 from ledgerline.llm import ann, decontaminate, html_extract, license_scan, mixing, near_dup, secret_scan, sharding, toxicity, url_rules
 
 SF = "/root/testdata/sf0.001"
@@ -600,6 +601,59 @@ def test_mined_url_rules(spark):
     assert url_rules.judged(frame(spark, [], "page_id long, url string"), rules).count() == 0
 
 
+CLASH = "key mark own doc hash id leak row one band bucket copies n at k slot shard size size_ __copies __size __range source_size of weight rate offset component_id kept n_shingles hits held width item score predicted".split()
+
+
+@pytest.mark.parametrize("stage", ["placed", "mixed", "without_leaks", "one_of_each", "without_toxic"])
+def test_other_columns_may_have_any_name(spark, stage):
+    """Extra columns keep their values, whatever their names; only slot and shard give way to the placement's own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in [*CLASH, "a.b", "Doc ID"])
+    rows = [(i, f"word{i} " * 8 + "tail " * i, "en", "ab"[i % 2], None, *(f"{c}-{i}" for c in CLASH), f"dot-{i}", "x") for i in range(12)]
+    docs = spark.createDataFrame(rows, schema)
+    items = frame(spark, [(1, "word3 " * 8)], "item_id long, text string")
+    run = {
+        "placed": lambda: sharding.placed(docs, ["s1", "s2"]),
+        "mixed": lambda: mixing.mixed(docs),
+        "without_leaks": lambda: decontaminate.without_leaks(docs, items),
+        "one_of_each": lambda: near_dup.one_of_each(docs),
+        "without_toxic": lambda: toxicity.without_toxic(docs, toxicity.Model(None, 0.0, 0.0, 0.0, 0.0)),
+    }[stage]
+    out = run().collect()
+    assert out and all(r[f"{c}"] == f"{c}-{r.doc_id}" for r in out for c in CLASH if stage != "placed" or c not in ("slot", "shard"))
+    assert all(r["a.b"] == f"dot-{r.doc_id}" for r in out)
+    if stage == "placed":
+        assert {r["shard"] for r in out} <= {"s1", "s2"} and len(out) == 12
+    if stage == "without_leaks":
+        assert {r.doc_id for r in out} == set(range(12)) - {3}
+
+
+def test_leaks_of_documents_without_an_id(spark):
+    test = " ".join(f"t{i}" for i in range(20))
+    docs = frame(spark, [(None, test), (None, "clean words of a text"), (1, test + " more"), (2, "clean")])
+    left = decontaminate.without_leaks(docs, frame(spark, [(1, test)], "item_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "clean words of a text"), (2, "clean")]
+
+
+def test_running_sums_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, None if i % 7 == 0 else "abc"[min(int(rng.integers(6)), 2)], int(rng.integers(50))) for i in range(500)]
+    table = C.settle(spark.createDataFrame(rows, "row long, g string, v long"), "t")
+    got = {r.row: r.before_v for r in C.running(table, "g", [F.col("v"), F.col("row")], ["v"]).collect()}
+    assert got == {i: sum(w for j, h, w in rows if h == g and (w, j) < (v, i)) for i, g, v in rows}
+    assert C.running(table.limit(0), None, [F.col("v")], ["v"]).count() == 0
+
+
+def test_targets_of_tables_match_plain_ones(spark):
+    rng = np.random.default_rng(4)
+    for sources in (1, 2, 5, 40):
+        sizes = [int(x) for x in rng.integers(0, 3, sources) * rng.integers(0, 2000, sources)]
+        names = sorted({f"s{k}" for k in range(sources - 1)}) + [None]
+        sized = C.settle(spark.createDataFrame(list(zip(names, sizes)), "source string, size long"), "t")
+        got = {r.of: r.target for r in mixing.source_rates(sized).collect()}
+        want = mixing.targets(sizes)
+        assert all(abs(got[n] - float(w)) <= 1e-9 * max(1.0, float(w)) for n, w in zip(names, want))
+
+
 def brute_rules(baskets, least, confidence, lift):
     """Minimal token combinations of at most three that go with bad pages, by counting all of them."""
     base = sum(b for _, b in baskets) / len(baskets)
