@@ -3,11 +3,13 @@
 Vectors are dealt to shards of bounded size by a hash of vec_id. A shard's graph has a node for each
 distinct vector, with the ids that share it, so copies can't wall off a part of the graph; nodes get a
 top layer by a geometric draw. In every layer a node links to near nodes that aren't nearer to a link it
-already has, in both directions, and the lists are stored flat: an array of neighbour numbers and where
-each layer's begin. Inner products become distances by the usual extra coordinate. The index is a table
-with a row per node. A search sends each block of queries to every shard, descends the layers greedily,
-searches the ground layer with a beam of `ef`, and scores what it found in double precision; a shard
-returns its k best and the merge keeps the k best of all.
+already has, in both directions, and to a few nodes of the next layer chosen alike, which join regions
+that lie apart. Links are chosen from exact near lists of the shard, all nodes at once, in place of one
+insertion after another. The lists are stored flat: an array of neighbour numbers and where each layer's
+begin. Inner products become distances by the usual extra coordinate. The index is a table
+with a row per node. A search sends each block of queries to every shard, goes down the layers with a beam
+whose finds all enter the next layer, searches the ground layer with a beam of `ef`, and scores what it
+found in double precision; a shard returns its k best and the merge keeps the k best of all.
 
 Defined results: vectors that are null, empty, zero, or hold a null, NaN or infinite component take no
 part, nor do rows with a null vec_id; a vector is only compared with vectors of its own length; rows that
@@ -31,10 +33,12 @@ from ledgerline.llm import common as C
 LINKS = 16
 #: Near nodes from which the links are chosen.
 BUILD = 64
-#: The search's beam.
-BEAM = 128
-#: Vectors of a shard, about; and shards at least, so that small tables are spread over tasks as well.
-SHARD_ROWS, LEAST_SHARDS = 8_192, 8
+#: The search's beam on the ground in a graph of up to BEAM_ROWS nodes, wider in larger ones, where vectors without any
+#: structure would be missed else; and the beam in the upper layers, whose finds all enter the next one.
+BEAM, BEAM_ROWS, ENTRIES = 160, 4_096, 32
+#: Shards at least, so that small tables are spread over tasks as well. There are as many shards as cores, but none
+#: has fewer than about SHARD_ROWS vectors on average, nor more than SHARD_BYTES of components (or SHARD_ROWS vectors).
+LEAST_SHARDS, SHARD_ROWS, SHARD_BYTES = 8, 8_192, 32 << 20
 QUERY_BLOCK = 256
 
 _NODE = "shard int, kind int, no int, ids array<long>, vec array<double>, links array<int>, begins array<int>"
@@ -47,46 +51,58 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("vec", lambda x: x != 0.0)).distinct()
 
 
-def _layer(x: np.ndarray, links: int) -> np.ndarray:
-    """Neighbour numbers of every row of x in one layer, -1 where there are fewer."""
+def _diverse(x: np.ndarray, half: np.ndarray, cand: np.ndarray, own: np.ndarray, links: int) -> np.ndarray:
+    """Which candidates (nearest first, own: their likeness to the row) are kept: those to which no kept one is nearer than the row is, up to so many."""
+    kept, blocked = np.zeros(cand.shape, bool), ~np.isfinite(own)
+    count = np.zeros(len(cand), np.int32)
+    vec = x[cand]
+    nearer = vec @ vec.transpose(0, 2, 1) - half[cand][:, :, None] - half[cand][:, None, :] > own[:, None, :]  # row, kept one, candidate
+    for k in range(cand.shape[1]):
+        take = ~blocked[:, k] & (count < links)
+        kept[:, k] = take
+        count += take
+        blocked |= nearer[:, k] & take[:, None]
+    return kept
+
+
+def _nearest_of(x: np.ndarray, half: np.ndarray, rows: np.ndarray, pool: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of rows the nearest of pool but for itself, nearest first, and their likeness."""
+    sim = x[rows] @ x[pool].T - half[pool][None, :] - half[rows][:, None]
+    sim[pool[None, :] == rows[:, None]] = -np.inf
+    cand = np.argpartition(-sim, min(near, len(pool)) - 1, axis=1)[:, :near]
+    score = np.take_along_axis(sim, cand, 1)
+    order = np.lexsort((cand, -score), axis=1)
+    return pool[np.take_along_axis(cand, order, 1)], np.take_along_axis(score, order, 1)
+
+
+def _layer(x: np.ndarray, links: int, hubs: np.ndarray) -> np.ndarray:
+    """Neighbour numbers of every row of x in one layer, -1 where there are fewer; hubs: the rows that are in the next layer too."""
     n = len(x)
-    near = min(BUILD, n - 1)
     out = np.full((n, links), -1, np.int32)
-    if near < 1:
+    if n < 2:
         return out
     half = (x * x).sum(1) / 2
-    picked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    picked: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    every = np.arange(n)
     for at in range(0, n, 512):
         rows = np.arange(at, min(at + 512, n))
-        sim = x[rows] @ x.T - half[None, :]
-        sim[np.arange(len(rows)), rows] = -np.inf
-        cand = np.argpartition(-sim, near - 1, axis=1)[:, :near]
-        score = np.take_along_axis(sim, cand, 1)
-        order = np.lexsort((cand, -score), axis=1)
-        cand, score = np.take_along_axis(cand, order, 1), np.take_along_axis(score, order, 1)
-        # A candidate is kept if no kept one is nearer to it than the row is; the nearest of the rest fill half of the list.
-        own = score - half[rows][:, None]
-        kept = np.zeros(cand.shape, bool)
-        blocked = np.zeros(cand.shape, bool)
-        vec = x[cand]
-        for k in range(near):
-            take = ~blocked[:, k] & (kept.sum(1) < links // 2)
-            kept[:, k] = take
-            to = np.einsum("rcd,rd->rc", vec, vec[:, k]) - half[cand] - half[cand[:, k]][:, None]
-            blocked |= (to > own) & take[:, None]
-        left = links // 2 - kept.sum(1)
-        fill = (~kept).cumsum(1)
-        kept |= ~kept & (fill <= left[:, None])
+        cand, own = _nearest_of(x, half, rows, every, BUILD)
+        kept = _diverse(x, half, cand, own, links // 2)
+        left = links // 2 - kept.sum(1)  # the nearest of the rest fill half of the list
+        kept |= ~kept & ((~kept).cumsum(1) <= left[:, None]) & np.isfinite(own)
         r, c = np.nonzero(kept)
-        picked.append((rows[r], cand[r, c], own[r, c]))
-    a, b, s = (np.concatenate([p[i] for p in picked]) for i in range(3))
-    # Both directions, the row's own choices first, then the nearest of those that chose it.
+        picked.append((rows[r], cand[r, c], own[r, c], np.zeros(len(r), np.int8)))
+        if len(hubs) > 1:  # links to other regions, whatever the near ones are
+            cand, own = _nearest_of(x, half, rows, hubs, BUILD // 2)
+            r, c = np.nonzero(_diverse(x, half, cand, own, links // 8))
+            picked.append((rows[r], cand[r, c], own[r, c], np.ones(len(r), np.int8)))
+    a, b, s, far = (np.concatenate([p[i] for p in picked]) for i in range(4))
+    # Both directions: the row's own choices first, then the nearest of those that chose it.
     src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-    rank = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(a), np.int8)])
+    rank = np.concatenate([far, far + 2])
     order = np.lexsort((dst, -np.concatenate([s, s]), rank, src))
     src, dst = src[order], dst[order]
-    key = src.astype(np.int64) * n + dst
-    _, first = np.unique(key, return_index=True)
+    _, first = np.unique(src.astype(np.int64) * n + dst, return_index=True)
     first.sort()
     src, dst = src[first], dst[first]
     place = np.arange(len(src)) - np.searchsorted(src, src)
@@ -110,7 +126,7 @@ def build_shard(shard: int, ids: np.ndarray, vectors: np.ndarray) -> pd.DataFram
     lists: list[list[np.ndarray]] = [[] for _ in range(n)]
     for level in range(int(top.max()) + 1):
         members = np.flatnonzero(top >= level)
-        near = _layer(x[members], LINKS * (2 if level == 0 else 1))
+        near = _layer(x[members], LINKS * (2 if level == 0 else 1), np.flatnonzero(top[members] > level))
         for i, m in enumerate(members):
             own = near[i][near[i] >= 0]
             lists[m].append(members[own].astype(np.int32))
@@ -155,10 +171,16 @@ def _runs(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[tuple[int, l
         yield last[1], held
 
 
+def shard_count(n: int, dim: int, cores: int) -> int:
+    """Shards for n vectors: their number follows the cores while each is of a bounded size."""
+    fewest, most = -(-n // max(SHARD_ROWS, SHARD_BYTES // (8 * dim))), -(-n // SHARD_ROWS)
+    return max(LEAST_SHARDS, fewest, min(cores, most))
+
+
 def index(vectors: DataFrame) -> DataFrame:
     """The graph's rows for usable vectors (vec_id, vec), settled."""
-    n = vectors.count()
-    shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS))
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    shards = shard_count(size.n, size.dim or 1, vectors.sparkSession.sparkContext.defaultParallelism)
     # Each vector length has shards of its own.
     dealt = vectors.select((F.size("vec") * shards + F.pmod(F.xxhash64("vec_id"), F.lit(shards))).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "vec")
 
@@ -195,42 +217,29 @@ class Graph:
                 table[i, : len(near)] = near
             self.layers.append(table)
 
-    def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the nodes found for each query, -1 where fewer, and their double-precision products."""
-        low = q.astype(np.float32)
-        n, rows = len(self.vec), np.arange(len(q))
-        at = np.full(len(q), int(np.argmax(self.top)))
-        best = low @ self.low[at[0]]
-        for level in range(int(self.top.max()), 0, -1):
-            while True:
-                near = self.layers[level][at]
-                sim = np.einsum("rcd,rd->rc", self.low[near], low)
-                sim[near < 0] = -np.inf
-                k = sim.argmax(1)
-                better = sim[rows, k] > best
-                if not better.any():
-                    break
-                at = np.where(better, near[rows, k], at)
-                best = np.where(better, sim[rows, k], best)
-        ef = min(ef, n)
-        seen = np.zeros((len(q), n + 1), bool)
+    def _beam(self, low: np.ndarray, layer: np.ndarray, seeds: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ef best nodes that a beam finds in a layer for each query, from its seeds (-1: none) on, and their products; -1 where fewer."""
+        n, rows = len(self.vec), np.arange(len(low))
+        seen = np.zeros((len(low), n + 1), bool)
         seen[:, n] = True
-        seen[rows, at] = True
-        nodes = np.full((len(q), ef), -1, np.int64)
-        sims = np.full((len(q), ef), -np.inf, np.float32)
-        done = np.ones((len(q), ef), bool)
-        nodes[:, 0], sims[:, 0], done[:, 0] = at, best, False
+        seen[rows[:, None], np.where(seeds >= 0, seeds, n)] = True
+        width = max(ef, seeds.shape[1])
+        nodes = np.full((len(low), width), -1, np.int64)
+        sims = np.full((len(low), width), -np.inf, np.float32)
+        nodes[:, : seeds.shape[1]] = seeds
+        sims[:, : seeds.shape[1]] = np.where(seeds >= 0, np.einsum("rcd,rd->rc", self.low[seeds], low), -np.inf)
+        done = ~np.isfinite(sims)
         live = rows
         while len(live):
             open_sims = np.where(done[live], -np.inf, sims[live])
-            k = np.argpartition(-open_sims, min(3, ef - 1), axis=1)[:, :4]  # the best open nodes, four at a time
+            k = np.argpartition(-open_sims, min(3, width - 1), axis=1)[:, :4]  # the best open nodes, four at a time
             ok = np.take_along_axis(open_sims, k, 1) > -np.inf
             go = ok.any(1)
             live, k, ok = live[go], k[go], ok[go]
             if not len(live):
                 break
             done[live[:, None], k] = True
-            near = self.layers[0][np.where(ok, nodes[live[:, None], k], 0)].astype(np.int64)
+            near = layer[np.where(ok, nodes[live[:, None], k], 0)].astype(np.int64)
             near[~ok] = n
             near[near < 0] = n
             near = near.reshape(len(live), -1)
@@ -241,11 +250,22 @@ class Graph:
             sim = np.einsum("rcd,rd->rc", self.low[np.minimum(near, n - 1)], low[live])
             sim[near == n] = -np.inf
             every = np.concatenate([sims[live], sim], axis=1)
-            keep = np.argpartition(-every, ef - 1, axis=1)[:, :ef]
+            keep = np.argpartition(-every, width - 1, axis=1)[:, :width]
             sims[live] = np.take_along_axis(every, keep, 1)
             nodes[live] = np.take_along_axis(np.concatenate([nodes[live], near], axis=1), keep, 1)
             done[live] = np.take_along_axis(np.concatenate([done[live], sim == -np.inf], axis=1), keep, 1)
-        found = np.where(sims > -np.inf, nodes, -1)
+        return np.where(sims > -np.inf, nodes, -1), sims
+
+    def beam(self, ef: int) -> int:
+        """The beam for this graph's size, where ef is that for BEAM_ROWS nodes."""
+        return int(ef * max(1.0, len(self.vec) / BEAM_ROWS) ** 0.75)
+
+    def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the nodes found for each query, -1 where fewer, and their double-precision products."""
+        low = q.astype(np.float32)
+        found = np.full((len(q), 1), int(np.argmax(self.top)), np.int64)
+        for level in range(int(self.top.max()), -1, -1):
+            found, sims = self._beam(low, self.layers[level], found, min(len(self.vec), ef if level == 0 else ENTRIES))
         exact = np.einsum("rcd,rd->rc", self.vec[found], q)
         exact[found < 0] = -np.inf
         return found, exact
@@ -272,7 +292,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int = BEAM)
             ids = parts[0].column(3).flatten().to_numpy(zero_copy_only=False)
             vec = _matrix(parts[0].column(4))
             for at in range(0, len(ids), QUERY_BLOCK):
-                found, exact = own.search(vec[at : at + QUERY_BLOCK], max(ef, k + 1))
+                found, exact = own.search(vec[at : at + QUERY_BLOCK], max(own.beam(ef), k + 1))
                 out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
                 for r, q in enumerate(ids[at : at + QUERY_BLOCK]):
                     order = np.argsort(-exact[r], kind="stable")
