@@ -6,7 +6,8 @@ under coordinate-value pairs; two classes whose shingle sets reach the threshold
 two such classes meet in the first (shared - least_matches + 1) of them: the prefix. Pairs that only one
 class holds are skipped, and long lists are only reached by classes that hold little else; a class that
 shares too few pairs to reach the count is skipped whole. A list first links each class with the list's
-most shared one. Classes of lists that are still in different components then meet under the rarest of
+most shared one; collisions of such a pair are counted over all coordinates, and it is retained if they reach
+`least_matches`. Classes of lists that are still in different components then meet under the rarest of
 their full shingle sets, with the exact prefixes of the threshold, block by block, so that groups whose
 texts share much but not enough don't pair up. Every link is confirmed on the full sets, and components
 follow by contracting labels until no edge is left.
@@ -105,15 +106,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: i
     ends = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
     nodes = C.settle(classes.select("nid", "rep").join(ends, "nid", "left_semi"), "dup-nodes")
     sets = C.settle(_shingle_sets(docs, nodes, shingle), "dup-sets")
+    C.discard(nodes)
     left, right = (sets.select(F.col("nid").alias(k), F.col("grams").alias(f"grams_{k}")) for k in "ab")
     both = pairs.join(right, "b").join(left, "a")
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
     links = both.select("a", "b", shared.alias("i"), (F.size("grams_a") + F.size("grams_b") - shared).alias("u")).filter(F.col("i") * den >= F.col("u") * num)
     rep = classes.select("nid", "rep")
-    return C.settle(
-        links.select("a", "b").distinct().join(rep.toDF("a", "u"), "a").join(rep.toDF("b", "v"), "b").select("a", "b", "u", "v"),
-        "dup-links",
-    )
+    links = C.settle(links.select("a", "b").distinct().join(rep.toDF("a", "u"), "a").join(rep.toDF("b", "v"), "b").select("a", "b", "u", "v"), "dup-links")
+    C.discard(sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -131,13 +132,17 @@ def components(edges: DataFrame) -> DataFrame:
         order = lambda c: F.struct(F.xxhash64(F.lit(step // 2), c).alias("rank"), F.col(c).alias("to"))  # noqa: B023, E731
         first = both.groupBy("u").agg(F.min(order("v")).alias("near"))
         over = C.settle(first.select(F.col("u").alias("label"), F.least("near", order("u"))["to"].alias("to")), "cc-over")
-        over = C.maybe_broadcast(over)
-        labels = C.settle(labels.join(over, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "cc-labels")
-        both = both.join(over.toDF("u", "a"), "u").join(over.toDF("v", "b"), "v").filter("a != b")
+        to = C.maybe_broadcast(over)
+        used = [over, labels, both]
+        labels = C.settle(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "cc-labels")
+        both = both.join(to.toDF("u", "a"), "u").join(to.toDF("v", "b"), "v").filter("a != b")
         both = C.settle(both.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "cc-edges")
+        C.discard(*used)
         step += 1
-    least = C.maybe_broadcast(C.settle(labels.groupBy("label").agg(F.min("node").alias("component")), "cc-least"))
-    return C.settle(labels.join(least, "label").select("node", "component"), "cc-found")
+    least = C.settle(labels.groupBy("label").agg(F.min("node").alias("component")), "cc-least")
+    found = C.settle(labels.join(C.maybe_broadcast(least), "label").select("node", "component"), "cc-found")
+    C.discard(labels, both, least)
+    return found
 
 
 def _prefixes(classes: DataFrame, coords: int, least: int) -> DataFrame:
@@ -149,6 +154,13 @@ def _prefixes(classes: DataFrame, coords: int, least: int) -> DataFrame:
     return first.select("nid", "met", F.explode("toks").alias("t")).select(F.col("t.tok").alias("tok"), "nid", "met")
 
 
+def _retained(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) of classes whose signatures collide in at least so many coordinates."""
+    left, right = (classes.select(F.col("nid").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
+    same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, hit: n + hit)
+    return pairs.join(right, "b").join(left, "a").filter(same >= least).select("a", "b")
+
+
 def _exact_posts(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(gram, nid, n, short) of the classes' rarest shingles: a pair at the threshold meets under one that is short for its smaller class."""
     grams = sets.select("nid", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
@@ -250,17 +262,20 @@ def _near_duplicates(docs: DataFrame, shingle: int, num: int, den: int, coords:
     centre = F.min(F.struct((-F.col("met")).alias("met"), "nid"))["nid"]
     centres = C.settle(posts.groupBy("tok").agg(centre.alias("c"), F.count("*").alias("size")).filter("size > 1"), "dup-centres")
     stars = posts.join(centres, "tok").filter("c != nid").select(F.col("c").alias("a"), F.col("nid").alias("b")).distinct()
-    links = _confirmed(C.settle(stars, "dup-stars"), docs, classes, shingle, num, den)
+    stars = C.settle(_retained(stars, classes, least), "dup-stars")
+    links = _confirmed(stars, docs, classes, shingle, num, den)
+    C.discard(stars, centres)
 
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("nid"), F.col("component").alias("label"))
     labelled = C.settle(posts.join(joined, "nid", "left").select("tok", "nid", F.coalesce("label", "nid").alias("label")), "dup-labelled")
     split = C.settle(labelled.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("tok"), "dup-split")
     open_nodes = C.settle(labelled.join(split, "tok", "left_semi").select("nid", "label").distinct(), "dup-open")
-    sets = C.settle(_shingle_sets(docs, C.settle(classes.select("nid", "rep").join(open_nodes, "nid", "left_semi"), "dup-open-nodes"), shingle).groupBy("nid").agg(F.min("grams").alias("grams")), "dup-open-sets")
-    met = C.settle(_exact_posts(sets, num, den).join(open_nodes, "nid"), "dup-met")
-    wide = met.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
+    open_reps = C.settle(classes.select("nid", "rep").join(open_nodes, "nid", "left_semi"), "dup-open-nodes")
+    sets = C.settle(_shingle_sets(docs, open_reps, shingle).groupBy("nid").agg(F.min("grams").alias("grams")), "dup-open-sets")
+    every = C.settle(_exact_posts(sets, num, den).join(open_nodes, "nid"), "dup-met")
+    wide = every.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
     wide = C.settle(wide.select("gram", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "dup-wide")
-    met = C.settle(met.join(wide, "gram"), "dup-wide-met")
+    met = C.settle(every.join(wide, "gram"), "dup-wide-met")
     forms = C.settle(_short_forms(sets.join(met.select("nid").distinct(), "nid", "left_semi")), "dup-forms")
     members = met.join(forms, "nid").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     spread = members.select("gram", "nid", "label", "n", "short", "block", "form", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -271,6 +286,7 @@ def _near_duplicates(docs: DataFrame, shingle: int, num: int, den: int, coords:
     )
     with C.small_batches(docs.sparkSession, 64):
         pairs = C.settle(_meetings(lists.select("own"), num, den), "dup-more")
+    C.discard(posts, labelled, split, open_nodes, open_reps, sets, every, wide, met, forms)
     more = _confirmed(pairs, docs, classes, shingle, num, den)
 
     same_doc = sketch.filter("n_shingles > 0 and doc_id is not null").select("doc_id", F.col("fp1").alias("nid"), "fp2").join(classes.select("nid", "fp2", "rep"), ["nid", "fp2"])

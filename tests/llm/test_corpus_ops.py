@@ -546,6 +546,36 @@ def test_neighbours_reach_the_recall(spark):
     assert hits / sum(map(len, want.values())) >= 0.95
 
 
+def spread_vectors(kind):
+    rng = np.random.default_rng(5)
+    if kind == "gaussian":
+        return rng.normal(size=(12_000, 64))
+    if kind == "clustered":
+        return np.repeat(rng.normal(size=(40, 64)), 300, 0) + 0.1 * rng.normal(size=(12_000, 64))
+    if kind == "tight":
+        return np.repeat(rng.normal(size=(40, 64)), 300, 0) + 0.01 * rng.normal(size=(12_000, 64))
+    x = rng.normal(size=(12_000, 64))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "clustered", "tight", "unit"])
+def test_one_graph_reaches_the_recall(kind):
+    x = spread_vectors(kind)
+    graph = ann.Graph([ann._rows(ann.build_shard(0, np.arange(len(x)), x))])
+    asked = np.arange(0, len(x), 60)
+    found, exact = graph.search(x[asked], graph.beam(ann.BEAM))
+    products = x[asked] @ x.T
+    wanted = np.argsort(-products, axis=1)[:, :21]
+    ids = np.array([graph.ids[i][0].as_py() for i in range(len(x))])
+    hits = [len(set(ids[f[np.argsort(-e)][:21]]) & set(w)) for f, e, w in zip(found, exact, wanted)]
+    assert np.mean(hits) / 21 >= 0.95
+
+
+def test_shards_follow_the_cores():
+    assert ann.shard_count(100, 64, 8) == 8 and ann.shard_count(1_000_000, 64, 64) == 64
+    assert ann.shard_count(100_000_000, 64, 64) == -(-100_000_000 // 65_536) and ann.shard_count(40_000, 64, 1000) == 8
+
+
 def test_neighbours_of_odd_rows(spark):
     one = [1.0, 0.0, 0.5]
     rows = [(i, one) for i in range(0, 60, 2)] + [(101, [2.0, 0.0, 0.0]), (103, [0.0, 1.0, 0.0])]
