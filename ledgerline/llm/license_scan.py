@@ -4,9 +4,9 @@ Templates are short licence texts and phrases with key phrases that a match must
 posted with their positions. Words that are too common in any prose aren't posted; every other licence
 word of a document is looked up, so no place of a key phrase can be missed, whatever else the document
 holds. Postings are intersected by relative position:
-looked-up words that stand as the template has them vote for one start of the template in the text.
-Starts with enough votes are verified: the key phrase must stand in the text, word for word, where the
-template has it. Only expressions of DataFrame functions are used.
+looked-up words that stand as the template has them vote for one start of the template in the text. A
+start stays in the intersection if every posted word of the key phrase votes for it; its key phrase is then
+verified: it must stand in the text, word for word, where the template has it. Only expressions of DataFrame functions are used.
 
 Defined results: null text is empty; a text without words has no labels, score 0 and null first and last
 word; every place of a base phrase counts, overlapping ones too; a null doc_id is carried; repeated rows
@@ -57,8 +57,6 @@ TEXTS = [
 
 #: A template's words that are too common in any prose to be looked up.
 PLAIN = set("a and any are as be by for free in is it may not of or the this that to under use with you at on from sa nc nd 0 1 2 4".split())
-#: The bound on a file's looked-up words in the SQL of queries.py; the scan itself has none.
-LOOKED_UP = 16
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -117,13 +115,13 @@ def scan(docs: DataFrame, known: list[Template] | None = None) -> DataFrame:
     kept = C.settle(words.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "words"), "licence-words")
 
     held = kept.filter("words is not null")
-    posts = [(w, t.no, i) for t in known for i, w in enumerate(t.words) if w not in PLAIN]
-    posts = F.broadcast(spark.createDataFrame(posts, "word string, template int, at int"))
-    shape = [(t.no, t.label, t.base, t.key_at, list(t.key), len({w for w in t.words if w not in PLAIN}), len(t.anchors)) for t in known]
-    shape = F.broadcast(spark.createDataFrame(shape, "template int, label string, base boolean, key_at int, key array<string>, rare int, need int"))
+    posts = [(w, t.no, i, t.key_at <= i < t.key_at + len(t.key)) for t in known for i, w in enumerate(t.words) if w not in PLAIN]
+    posts = F.broadcast(spark.createDataFrame(posts, "word string, template int, at int, in_key boolean"))
+    shape = [(t.no, t.label, t.base, t.key_at, list(t.key), len({w for w in t.words if w not in PLAIN}), len(t.anchors), sum(w not in PLAIN for w in t.key)) for t in known]
+    shape = F.broadcast(spark.createDataFrame(shape, "template int, label string, base boolean, key_at int, key array<string>, rare int, need int, posted int"))
     places = held.select("row", F.posexplode("words").alias("pos", "word")).filter(F.col("word").isin(vocabulary))
-    votes = places.join(posts, "word").groupBy("row", "template", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("votes"))
-    met = votes.join(shape, "template").join(held.select("row", "words"), "row")
+    votes = places.join(posts, "word").groupBy("row", "template", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("votes"), F.count_if("in_key").alias("key_votes"))
+    met = votes.join(shape, "template").filter(F.col("key_votes") == F.col("posted")).join(held.select("row", "words"), "row")
     begin = F.col("start") + F.col("key_at")
     whole = (begin >= 0) & (begin + F.size("key") <= F.size("words"))
     verified = met.filter(whole).filter(F.slice("words", begin + 1, F.size("key")) == F.col("key"))

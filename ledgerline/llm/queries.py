@@ -178,16 +178,12 @@ def _values(rows: list[tuple]) -> str:
 _TEMPLATES = license_scan.templates()
 _POSTS = [(w, t.no, i) for t in _TEMPLATES for i, w in enumerate(t.words) if w not in license_scan.PLAIN]
 _SHAPES = [(t.no, t.label, t.base, t.key_at, t.key, len({w for w in t.words if w not in license_scan.PLAIN}), len(t.anchors)) for t in _TEMPLATES]
-_ANCHORS = [(t.no, w) for t in _TEMPLATES if t.base for w in t.anchors]
+#: Every place where a key phrase stands, and the share of the template's rare words around it.
 ORACLE["op1_license_scan"] = f"""
 WITH post AS (SELECT * FROM (VALUES {_values(_POSTS)}) v(word, template, at_)), shape AS (SELECT * FROM (VALUES {_values(_SHAPES)}) v(template, label, base, key_at, key, rare, need)),
-anchor AS (SELECT * FROM (VALUES {_values(_ANCHORS)}) v(template, word)),
 d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS ws FROM documents),
 pos AS (SELECT row, word, pos FROM (SELECT row, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM d) WHERE word IN (SELECT word FROM post)),
-present AS (SELECT DISTINCT row, word FROM pos), df AS (SELECT word, count(*) AS n FROM present GROUP BY word),
-rarest AS (SELECT arg_min(a.word, (coalesce(n, 0), a.word)) AS word FROM anchor a LEFT JOIN df USING (word) GROUP BY template),
-looked AS (SELECT row, word FROM (SELECT row, word, row_number() OVER (PARTITION BY row ORDER BY n, word) AS k FROM present JOIN df USING (word)) WHERE k <= {license_scan.LOOKED_UP} OR word IN (SELECT word FROM rarest)),
-vote AS (SELECT row, template, pos - at_ AS start, count(*) AS votes FROM pos JOIN looked USING (row, word) JOIN post USING (word) GROUP BY ALL),
+vote AS (SELECT row, template, pos - at_ AS start, count(*) AS votes FROM pos JOIN post USING (word) GROUP BY ALL),
 hit AS (SELECT row, label, base, start + key_at AS begin, CASE WHEN base THEN 1.0 ELSE least(1.0, greatest(votes, need) / rare) END AS share
   FROM vote JOIN shape USING (template) JOIN d USING (row) WHERE start + key_at >= 0 AND start + key_at + len(key) <= len(ws) AND ws[start + key_at + 1:start + key_at + len(key)] = key),
 agg AS (SELECT row, count(*) FILTER (base) AS n_base, min(begin) FILTER (base) AS first_word, max(begin) FILTER (base) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
