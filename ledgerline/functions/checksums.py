@@ -46,6 +46,8 @@ def luhn(number: str) -> bool:
 
 def card(number: str) -> bool:
     """A number of a known issuer and length whose check digit holds."""
+    if digits(number) != number:
+        return False
     fits = any(lo <= int(number[: len(str(lo))] or 0) <= hi and len(number) in sizes for lo, hi, sizes in ISSUERS)
     return fits and luhn(number)
 
@@ -139,3 +141,37 @@ def entropy_column(text: Column) -> Column:
     letters = F.filter(F.split(text, ""), lambda c: c != "")
     share = lambda c: F.size(F.filter(letters, lambda d: d == c)) / F.size(letters)
     return F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+
+
+def _digit(number: Column, at: int) -> Column:
+    return F.substring(number, at, 1).try_cast("int")
+
+
+def tckn_tail_column(nine: Column) -> Column:
+    """The two digits that complete a national number's first nine, in the JVM."""
+    d = [_digit(nine, k) for k in range(1, 10)]
+    tenth = F.pmod(7 * (d[0] + d[2] + d[4] + d[6] + d[8]) - (d[1] + d[3] + d[5] + d[7]), F.lit(10))
+    return F.concat(tenth.cast("string"), ((sum(d[1:], d[0]) + tenth) % 10).cast("string"))
+
+
+def tckn_column(number: Column) -> Column:
+    return F.coalesce(number.rlike("^[1-9][0-9]{10}$") & (F.substring(number, 10, 2) == tckn_tail_column(number)), F.lit(False))
+
+
+def vkn_column(number: Column) -> Column:
+    """A tax number whose last digit holds, in the JVM."""
+    moved = [(_digit(number, k) + 10 - k) % 10 for k in range(1, 10)]
+    parts = [F.when(m == 9, 9).otherwise(m * 2 ** (10 - k) % 9) for k, m in enumerate(moved, 1)]
+    return F.coalesce(number.rlike("^[0-9]{10}$") & (_digit(number, 10) == F.pmod(-sum(parts[1:], parts[0]), F.lit(10))), F.lit(False))
+
+
+def card_column(number: Column) -> Column:
+    """A number of a known issuer and length whose check digit holds, in the JVM."""
+    fits = F.lit(False)
+    for lo, hi, sizes in ISSUERS:
+        fits = fits | (F.substring(number, 1, len(str(lo))).try_cast("int").between(lo, hi) & F.length(number).isin(*sizes))
+    return F.coalesce(fits & luhn_column(number), F.lit(False))
+
+
+def real_date_column(year: Column, month: Column, day: Column) -> Column:
+    return F.coalesce(year.between(1000, 9999) & F.try_make_timestamp(year.cast("int"), month.cast("int"), day.cast("int"), F.lit(0), F.lit(0), F.lit(0)).isNotNull(), F.lit(False))

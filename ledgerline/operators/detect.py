@@ -158,9 +158,42 @@ def resolved(spans: Column) -> Column:
     return F.transform(F.array_sort(order), lambda k: k["span"])
 
 
-def detected(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with spans, the sensitive values of their text."""
-    return rows.withColumn("spans", candidates(F.col(text))).withColumn("spans", resolved(F.col("spans")))
+#: What may be looked for in fenced code: shapes only, shapes and the dictionary, or nothing.
+CODE_MODES = ["pattern", "full", "skip"]
+
+
+def detected(rows: DataFrame, text: str = "text", dictionary: Dictionary | None = None, code: str = "pattern") -> DataFrame:
+    """rows with spans, the sensitive values of their text: shapes, and a dictionary's values; in fenced code what the mode allows."""
+    if code not in CODE_MODES:
+        raise ValueError(f"code must be one of {CODE_MODES}")
+    body = F.col(text)
+    in_code = lambda s: F.exists("code", lambda c: (c["start"] < s["end"]) & (s["start"] < c["end"]))
+    found = rows.withColumn("spans", candidates(body))
+    if dictionary is not None or code == "skip":
+        fences = F.when(body.contains("```"), F.filter(segments(body), lambda c: c["code"])).otherwise(F.array().cast("array<struct<code:boolean,start:int,end:int>>"))
+        found = found.withColumn("code", fences)
+        if code == "skip":
+            found = found.withColumn("spans", F.filter("spans", lambda s: ~in_code(s)))
+        if dictionary is not None:
+            known = dictionary_candidates(body, dictionary)
+            found = found.withColumn("spans", F.concat("spans", known if code == "full" else F.filter(known, lambda s: ~in_code(s))))
+        found = found.drop("code")
+    return found.withColumn("spans", resolved(F.col("spans")))
+
+
+def dictionary_candidates(text: Column, dictionary: Dictionary) -> Column:
+    """Dictionary values of a text; the dictionary travels with the function."""
+
+    @F.pandas_udf(SPANS)
+    def look_up(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else dictionary.scan(t))
+
+    return look_up(text)
+
+
+def degraded_reasons(told: Column) -> Column:
+    """What a pass could not do, sorted, each once; names are never looked for by a model, so that always stands."""
+    return F.array_sort(F.array_distinct(F.array_append(F.filter(told, lambda r: r.isNotNull()), F.lit("ner_disabled"))))
 
 
 def segments(text: Column) -> Column:

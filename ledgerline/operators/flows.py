@@ -63,6 +63,11 @@ def encrypted_dns(events: DataFrame) -> DataFrame:
     return events.agg((F.bool_or(F.col("dst_port") == ENCRYPTED_DNS_PORT) & (F.coalesce(F.sum("answers"), F.lit(0)) == 0)).alias("encrypted_dns"))
 
 
+def loss(events: DataFrame) -> DataFrame:
+    """One row: how many events were lost (lost: by each reading); null where any reading can't tell, or there is none."""
+    return events.agg(F.when(F.count("*") == F.count("lost"), F.sum("lost")).alias("lost"))
+
+
 def bounded_names(answers: DataFrame, addresses: int = 8192, names: int = 32) -> DataFrame:
     """The answers (ip, name, expiry) that a bounded map holds: of an address the first names, of addresses those that expire last."""
     latest = answers.groupBy("ip", "name").agg(F.max("expiry").alias("expiry"), F.min("at").alias("at"))

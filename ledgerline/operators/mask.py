@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import checksums as K
@@ -28,7 +28,7 @@ MODES = ["allow", "mask", "block"]
 LABELLED = {"PERSON", "ORG", "LOC", "ADDRESS"}
 #: How strong an alias's claim to belong to nobody is, the weakest last.
 RUNGS = ["reserved", "invalid", "label", "opaque"]
-ALIAS_SHAPE = r"PSK_[A-Z0-9_]+_[0-9a-f]{16}|(?:PERSON|ORG|LOC|ADDRESS)_[0-9]+"
+ALIAS_SHAPE = r"LGL_[A-Z0-9_]+_[0-9a-f]{16}|(?:PERSON|ORG|LOC|ADDRESS)_[0-9]+"
 
 
 def normal(entity: str, value: str) -> str:
@@ -81,7 +81,7 @@ class _Stream:
 
 
 def _opaque(entity: str, s: _Stream) -> tuple[str, str]:
-    return f"PSK_{entity}_{s.hex(16)}", "opaque"
+    return f"LGL_{entity}_{s.hex(16)}", "opaque"
 
 
 def render(entity: str, value: str, s: _Stream, label: int) -> tuple[str, str]:
@@ -175,14 +175,17 @@ class Blocked(ValueError):
     """A value that may not pass at all was found."""
 
 
-def mask_text(session: Session, text: str, spans: list[tuple[str, int, int]], rules: list[Rule] = (), default: str = "mask", path: tuple[str, ...] = ()) -> tuple[str, dict[str, int]]:
-    """The text with its spans replaced from right to left, and how many new aliases of each type were given out. Dates pass unless a rule says otherwise."""
+def mask_text(session: Session, text: str, spans: list[tuple[str, int, int]], rules: list[Rule] = (), default: str = "mask", path: tuple[str, ...] = (), date_policy: str = "allow") -> tuple[str, dict[str, int]]:
+    """The text with its spans replaced from right to left, and how many new aliases of each type were given out.
+
+    Dates have no alias: by the date policy they pass or are refused, and a rule that wants one masked refuses it.
+    """
     counts: dict[str, int] = {}
     for entity, start, end in sorted(spans, key=lambda s: -s[1]):
-        mode, _ = decide(list(rules), default, path, entity, "allow")
-        if mode == "block":
+        mode, _ = decide(list(rules), default, path, entity, date_policy)
+        if mode == "block" or (entity == "DATE" and mode == "mask"):
             raise Blocked(entity)
-        if mode == "allow" or entity == "DATE":
+        if mode == "allow":
             continue
         alias, again = session.mint(entity, text[start:end])
         counts[entity] = counts.get(entity, 0) + (not again)
@@ -200,8 +203,11 @@ def restore_text(text: str, originals: dict[str, str]) -> tuple[str, int, int]:
     return text, back, sum(m not in originals.values() for m in regex.findall(ALIAS_SHAPE, text))
 
 
-def masked(rows: DataFrame, key: bytes, session: str = "doc_id", text: str = "text") -> DataFrame:
-    """(session, masked, aliases: map<alias, original>, counts) of rows of one text per session; spans are found in the JVM's stage before."""
+def masked(rows: DataFrame, key: bytes, session: str = "doc_id", text: str = "text", rules: list[Rule] = (), default: str = "mask", date_policy: str = "allow", dictionary: D.Dictionary | None = None, code: str = "pattern") -> DataFrame:
+    """(session, masked, aliases: map<alias, original>, counts) of rows of one text per session; spans are found in the JVM's stage before.
+
+    A text that holds a value which may not pass is refused: masked is null, and counts says which type under refused:<type>.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -212,11 +218,15 @@ def masked(rows: DataFrame, key: bytes, session: str = "doc_id", text: str = "te
                     out.append((sid, None, {}, {}))
                     continue
                 own.withhold(body)
-                done, counts = mask_text(own, body, [(s["entity"], s["start"], s["end"]) for s in spans])
+                try:
+                    done, counts = mask_text(own, body, [(s["entity"], s["start"], s["end"]) for s in spans], rules, default, (), date_policy)
+                except Blocked as refused:
+                    out.append((sid, None, {}, {f"refused:{refused}": 1}))
+                    continue
                 out.append((sid, done, own.originals, counts))
             yield pd.DataFrame(out, columns=["session", "masked", "aliases", "counts"])
 
-    found = D.detected(rows.select(F.col(session).alias("session"), F.col(text).alias("text")))
+    found = D.detected(rows.select(F.col(session).alias("session"), F.col(text).alias("text")), "text", dictionary, code)
     plain = F.size("spans") == 0
     hit = found.filter(~plain).mapInPandas(run, "session long, masked string, aliases map<string,string>, counts map<string,int>")
     empty = F.create_map().cast("map<string,string>"), F.create_map().cast("map<string,int>")
@@ -260,6 +270,24 @@ def restored(rows: DataFrame) -> DataFrame:
     return rows.withColumn("r", run(F.col("text"), F.col("aliases"))).select(*rows.columns, "r.restored", "r.back", "r.leaked")
 
 
+#: A session lives so long after its last use, and gives out so many aliases at most.
+SESSION_TTL_MS, ALIAS_CEILING = 86_400_000, 10_000
+
+
+def session_lives(uses: DataFrame, ttl_ms: int = SESSION_TTL_MS, ceiling: int = ALIAS_CEILING) -> DataFrame:
+    """Lives of sessions from uses (session, at_ms, at_id, aliases: given out by a use): a use later than the time to live after the one before opens a new one."""
+    order = Window.partitionBy("session").orderBy("at_ms", "at_id")
+    fresh = F.coalesce((F.col("at_ms") - F.lag("at_ms").over(order) > ttl_ms).cast("long"), F.lit(0))
+    lived = uses.withColumn("fresh", fresh).withColumn("life", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return lived.groupBy("session", "life").agg(
+        F.min("at_ms").alias("since"),
+        F.max("at_ms").alias("last_use"),
+        (F.max("at_ms") + ttl_ms).alias("expires"),
+        F.sum("aliases").alias("aliases"),
+        (F.sum("aliases") > ceiling).alias("over_ceiling"),
+    )
+
+
 def session_anchor(conversations: DataFrame) -> DataFrame:
     """(conv_id, anchor): a digest of a conversation's first system and first user text."""
     first = conversations.groupBy("conv_id").agg(*(F.min(F.when(F.col("role") == r, F.struct("turn", "text")))["text"].alias(r) for r in ("system", "user")))
@@ -267,7 +295,7 @@ def session_anchor(conversations: DataFrame) -> DataFrame:
 
 
 def is_alias_shaped(word: Column) -> Column:
-    return word.rlike(r"^(PSK_|(PERSON|ORG|LOC|ADDRESS)_[0-9]+$)")
+    return word.rlike(r"^(LGL_|(PERSON|ORG|LOC|ADDRESS)_[0-9]+$)")
 
 
 def governed_types(rules: list[Rule], default: str) -> list[str]:

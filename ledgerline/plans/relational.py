@@ -306,7 +306,7 @@ def q31_latency_quantiles(spark, sf_dir):
 
 
 @_query("""WITH f AS (SELECT o_orderkey AS flow_id, 'ip' || (o_custkey % 50)::VARCHAR AS ip, (o_orderkey * 7919) % 20000 AS tick FROM orders),
-a AS (SELECT 'ip' || (event_id % 50)::VARCHAR AS ip, 'n' || (user_id % 40)::VARCHAR AS name, (event_id * 31) % 20000 AS tick, (event_id % 5) * 1000 AS ttl FROM events WHERE event_id % 9 = 0),
+a AS (SELECT 'ip' || (event_id % 50)::VARCHAR AS ip, 'n' || (user_id % 40)::VARCHAR AS name, (event_id * 31) % 20000 AS tick, (event_id % 5) * 1000 AS ttl FROM events),
 s AS (SELECT ip, name, tick AS since, tick + least(greatest(ttl, 30), 3600) AS until FROM a)
 SELECT f.flow_id, coalesce(array_to_string(list_sort(list_distinct(list(s.name) FILTER (s.name IS NOT NULL))), ','), '') AS names FROM f LEFT JOIN s ON f.ip = s.ip AND s.since <= f.tick AND f.tick < s.until GROUP BY f.flow_id""")
 def q34_dns_names(spark, sf_dir):

@@ -114,7 +114,7 @@ def test_aliases_are_shared_by_spellings_and_labels_count():
 
 def test_many_cards_fall_back_to_opaque():
     s = M.Session(b"k")
-    assert any(s.mint("CREDIT_CARD", f"{4000000000000000 + i}")[0].startswith("PSK_") for i in range(40))
+    assert any(s.mint("CREDIT_CARD", f"{4000000000000000 + i}")[0].startswith("LGL_") for i in range(40))
 
 
 def test_decisions():
@@ -332,3 +332,43 @@ def test_import_without_the_corpus_operators():
 
     code = "import sys; sys.modules['ledgerline.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'q15_dormant' in e.queries() and not any(k.startswith('op') for k in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=False).returncode == 0
+
+
+def test_column_checks_agree_with_python(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(400):
+        nine = str(rng.randrange(10**8, 10**9))
+        rows.append((nine + (K.tckn_tail(nine) if rng.random() < 0.5 else "11"), nine + (K.vkn_tail(nine) if rng.random() < 0.5 else "0"), str(rng.choice([4, 34, 2720, 36, 9792])) + "".join(str(rng.randrange(10)) for _ in range(rng.choice([10, 12, 13]))), rng.randrange(990, 2100), rng.randrange(14), rng.randrange(33)))
+    rows += [("", "", "", 0, 0, 0), ("1234567890x", "12345678 0", "4x", 2000, 2, 29)]
+    table = spark.createDataFrame(rows, "t string, v string, c string, y int, m int, d int")
+    got = table.select("*", K.tckn_column(F.col("t")).alias("t1"), K.vkn_column(F.col("v")).alias("v1"), K.card_column(F.col("c")).alias("c1"), K.real_date_column(F.col("y"), F.col("m"), F.col("d")).alias("d1")).collect()
+    for r in got:
+        assert (r.t1, r.v1, r.c1, r.d1) == (K.tckn(r.t), K.vkn(r.v), K.card(r.c), K.real_date(r.y, r.m, r.d)), r
+
+
+def test_dictionary_and_code_reach_detection(spark):
+    known = D.Dictionary([("Ada Lovelace", "PERSON")])
+    text = "Ada Lovelace, a@b.example ```Ada Lovelace c@d.example``` end"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "no value")], "doc_id long, text string")
+    kinds = lambda code: [(s.entity, s.start) for s in D.detected(rows, "text", known, code).filter("doc_id = 1").first().spans]
+    inner, mail = text.index("Ada", 5), text.index("c@d")
+    assert kinds("pattern") == [("PERSON", 0), ("EMAIL", 14), ("EMAIL", mail)]
+    assert kinds("full") == [("PERSON", 0), ("EMAIL", 14), ("PERSON", inner), ("EMAIL", mail)]
+    assert kinds("skip") == [("PERSON", 0), ("EMAIL", 14)]
+    done = M.masked(rows, b"k" * 32, dictionary=known).filter("session = 1").first()
+    assert "PERSON_1" in done.masked and "Ada Lovelace" in done.masked and "a@b.example" not in done.masked
+    with pytest.raises(ValueError):
+        D.detected(rows, "text", known, "none")
+
+
+def test_dates_are_refused_or_pass_by_policy(spark):
+    session, spans = M.Session(b"k" * 32), [("DATE", 0, 10)]
+    assert M.mask_text(session, "2024-01-02", spans)[0] == "2024-01-02"
+    for rules, policy in (([M.Rule("mask", (), "DATE")], "allow"), ([], "block")):
+        with pytest.raises(M.Blocked):
+            M.mask_text(session, "2024-01-02", spans, rules, date_policy=policy)
+    rows = spark.createDataFrame([(1, "on 2024-01-02 a@b.example"), (2, "a@b.example")], "doc_id long, text string")
+    got = {r.session: (r.masked, r.counts) for r in M.masked(rows, b"k" * 32, date_policy="block").collect()}
+    assert got[1] == (None, {"refused:DATE": 1}) and got[2][0].endswith(".invalid")
+    assert M.masked(rows, b"k" * 32, rules=[M.Rule("allow", (), "EMAIL")]).filter("session = 2").first().masked == "a@b.example"
