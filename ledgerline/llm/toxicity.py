@@ -4,7 +4,8 @@ A text is read as sequences of letter strings. Two strings are alike by the four
 that they share, gaps allowed: a subsequence that spans s letters counts DECAY**s, up to SPAN letters,
 so inserted letters weaken a likeness but don't end it; signs inside a word are dropped, digits that
 stand for letters are read as those, and letters written apart are joined. The strings are scaled by
-their length, which keeps the kernel positive.
+their length, which keeps the kernel positive. Letters are code points: beyond a to z each is dealt to one of
+a few classes by the number of its lower-case form, so that words of all scripts stay apart.
 
 Training is on labelled sentences of a bounded sample of labelled documents, copies left out: strings that
 set toxic documents apart beyond chance (a document's label is that of a bag) and gapped forms of them are
@@ -22,9 +23,11 @@ are scored and count as held out, as they can't be named by a label; other colum
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -37,21 +40,23 @@ from ledgerline.llm import common as C
 DECAY = 0.6
 SPAN = 7
 ORDER = 4
-LETTERS = 28
+#: 0 marks a beginning, 1 to 26 are a to z, the rest are classes that other letters are dealt to.
+LETTERS, LATIN = 40, 27
 #: Documents of each label that the machine is trained on, at most.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 5000
-LANDMARKS = 160
+LANDMARKS = 400
+#: Training strings, at most: those that set toxic documents apart, those of clean documents, and the negative cases of the first round and added in each.
+MARKS, CLEAN_STRINGS, FIRST_NEGATIVES, MORE_NEGATIVES = 1500, 60_000, 4000, 1500
 #: Letters of a string that are compared; a longer one is read in overlapping pieces of this length.
 LONGEST = 24
 
 _SHAPES = [(0, *rest) for last in range(ORDER - 1, SPAN) for rest in combinations(range(1, last + 1), ORDER - 1) if rest[-1] == last]
 _GAIN = np.array([DECAY ** (s[-1] + 1) for s in _SHAPES], np.float32)
 
-#: What a byte is read as: 0 is dropped, 1 to 26 are letters, 27 is any other letter, 255 is white space. Fixed values.
+#: What an ASCII byte is read as: 0 is dropped, 1 to 26 are letters, 255 is white space. Fixed values.
 _READ = np.zeros(256, np.uint8)
 _READ[97:123] = np.arange(1, 27)
 _READ[65:91] = np.arange(1, 27)
-_READ[0x80:0xC0] = 27
 for _from, _to in {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}.items():
     _READ[ord(_from)] = ord(_to) - 96
 _READ[[9, 10, 11, 12, 13, 32]] = 255
@@ -59,6 +64,36 @@ _INSIDE = np.ones(256, bool)
 _INSIDE[255] = False
 
 
+@lru_cache(maxsize=1)
+def _points() -> np.ndarray:
+    """What the code points up to U+FFFF are read as: letters by class, spaces, or nothing."""
+    read = np.zeros(1 << 16, np.uint8)
+    for point in range(0x80, 1 << 16):
+        kind = unicodedata.category(chr(point))
+        if kind[0] == "L":
+            read[point] = _other(ord(chr(point).lower()[0]))
+        elif kind[0] == "Z":
+            read[point] = 255
+    return read
+
+
+def _other(point: int) -> int:
+    return LATIN + (point * 2_654_435_761 >> 16) % (LETTERS - LATIN)
+
+
+def _codes(data: np.ndarray) -> np.ndarray:
+    """What each byte of UTF-8 text is read as; a longer sequence is read at its first byte."""
+    code = _READ[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        wide = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+        first, (a, b, c) = wide[lead], (wide[lead + k] & 63 for k in (1, 2, 3))
+        point = np.where(first < 0xE0, (first & 31) << 6 | a, np.where(first < 0xF0, (first & 15) << 12 | a << 6 | b, (first & 7) << 18 | a << 12 | b << 6 | c))
+        far = (point >= 0x20000) & (point < 0x33480)  # ideographs beyond the first plane
+        code[lead] = np.where(point < 1 << 16, _points()[np.minimum(point, 0xFFFF)], np.where(far, LATIN + (point * 2_654_435_761 >> 16) % (LETTERS - LATIN), 0))
+    return code
+
+
 def _length_scale() -> np.ndarray:
     """Square root of the summed squares of a string's subsequence weights, by its number of letters and the mark before them."""
     squares = np.zeros(LONGEST + 2)
@@ -144,7 +179,7 @@ def kernel(x: Strings, landmarks: Strings) -> np.ndarray:
 
 def _letters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes that are read, with their rows' offsets, and the words' bounds in them, white space between."""
-    code = _READ[data]
+    code = _codes(data)
     kept = np.zeros(len(code) + 1, np.int64)
     np.cumsum(code != 0, out=kept[1:])
     return code[code != 0], kept[offs], *C.word_bounds(code[code != 0], kept[offs], _INSIDE)[:2]
@@ -309,12 +344,12 @@ def fit(bags: list[set[bytes]], toxic: np.ndarray, prior: float) -> Model:
     marks, counts = _apart(bags, toxic)
     if not marks:
         return Model(None, 0.0, 0.0, 0.0, float(prior))
-    marks = marks[:1500]
+    marks = marks[:MARKS]
     seeds = marks[: LANDMARKS * 3 // 4]
     rng = np.random.default_rng(11)
     read = lambda s: np.frombuffer(s, np.uint8).astype(np.int64)
     clean = sorted(s for s, (_, b) in counts.items() if b >= 1 and s not in set(marks))
-    clean = [clean[i] for i in rng.permutation(len(clean))[:60_000]]
+    clean = [clean[i] for i in rng.permutation(len(clean))[:CLEAN_STRINGS]]
     clean_strings = strings_of([read(s) for s in clean])
     positive = [read(s) for s in marks]
     bent = [v for s in seeds for v in _gapped(read(s), rng)]
@@ -327,7 +362,7 @@ def fit(bags: list[set[bytes]], toxic: np.ndarray, prior: float) -> Model:
     pos = np.concatenate([kernel(strings_of(positive), landmarks), kernel(strings_of(bent), landmarks)]) @ root
     pos_cost = np.concatenate([np.full(len(positive), 30.0), np.full(len(bent), 10.0)])
 
-    negative = set(range(min(4000, len(clean))))
+    negative = set(range(min(FIRST_NEGATIVES, len(clean))))
     table = np.zeros(LETTERS**ORDER, np.float32)
     bias = 0.0
     own = np.repeat(np.arange(len(landmarks.begins) - 1), landmarks.sizes())
@@ -340,7 +375,7 @@ def fit(bags: list[set[bytes]], toxic: np.ndarray, prior: float) -> Model:
         for at, code, gain in _each_shape(landmarks):
             np.add.at(table, code, (share[own[at]] * gain).astype(np.float32))
         bias = float(w[-1])
-        hard = np.argsort(-table_values(clean_strings, table))[:1500] if len(clean) else []
+        hard = np.argsort(-table_values(clean_strings, table))[:MORE_NEGATIVES] if len(clean) else []
         if set(map(int, hard)) <= negative:
             break
         negative |= set(map(int, hard))

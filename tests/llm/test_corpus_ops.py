@@ -8,6 +8,7 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("ledgerline.llm")
@@ -394,6 +395,35 @@ def test_toxicity_finds_bent_words():
     assert (hit > 0.5).all() and (miss < 0.5).all()
 
 
+def test_letters_of_other_scripts_stay_apart():
+    read = lambda text: toxicity._codes(np.frombuffer(text.encode(), np.uint8)).tolist()
+    letters = lambda text: [c for c in read(text) if c]
+    assert letters("Éà Ñ") == letters("éà ñ") != letters("ea n") and letters("a\u00a0b\u3000c\u2014d") == letters("a b cd")
+    words = ["привет", "дурак", "спасибо", "καλημέρα", "你好世界", "笨蛋笨蛋"]
+    codes = [tuple(letters(w)) for w in words]
+    assert len(set(codes)) == len(words) and all(len(c) == len(w) for c, w in zip(codes, words))
+    assert letters("Привет") == letters("привет") and all(toxicity.LATIN <= c < toxicity.LETTERS for own in codes for c in own)
+    assert len(read("x\U0001F600\U00020000")) == 9 and letters("\U0001F600") == []
+
+
+def test_toxicity_finds_bent_words_of_another_script():
+    rng = np.random.default_rng(2)
+    syllables = "ба ве ги до жу зи ка ле ми но пу ра со ту фи хо че ша".split()
+    words = ["".join(rng.choice(syllables, 3)) for _ in range(400)]
+    bad = ["дурагалец", "мерзачуха"]
+    bags, toxic = [], []
+    for i in range(600):
+        text = " ".join([*rng.choice(words, 20), *([bad[i // 4 % 2]] if i % 4 == 0 else [])])
+        found = toxicity.text_strings(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0]
+        raw = found.letters.astype(np.uint8).tobytes()
+        bags.append({raw[b + 1 : e] for b, e in zip(found.begins, found.begins[1:])})
+        toxic.append(int(i % 4 == 0))
+    model = toxicity.fit(bags, np.array(toxic), 0.25)
+    text = lambda word: " ".join([*words[:20], word])
+    score = model.scores(pa.array([text("дурагалец"), text("мерз-ачу-ха"), text("дурагхалец"), text(words[50])]))
+    assert (score[:3] >= 0.5).all() and score[3] < 0.5
+
+
 def test_toxicity_of_odd_rows(spark):
     labels = frame(spark, [(1, 1, 0), (7, 0, 1), (999, 0, 1), (None, 1, 1), (4, None, None), (5, 1, 7)], "doc_id long, quality int, toxic int")
     table = frame(spark, odd_docs())
