@@ -190,3 +190,11 @@ agg AS (SELECT row, count(*) FILTER (base) AS n_base, min(begin) FILTER (base) A
   string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share)::DOUBLE AS score FROM hit GROUP BY row)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN agg USING (row)
 """
+
+#: The slot by md5, and the shard from the filled table, whose filling tests/llm compares with brute force.
+ORACLE["op5_sharding"] = f"""
+WITH d AS (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT % {sharding.SLOTS})::INT AS slot FROM documents),
+l AS (SELECT string_split('{",".join(map(str, sharding.fill_table(SHARDS)))}', ',') AS owners),
+t AS (SELECT generate_subscripts(owners, 1) - 1 AS slot, unnest(owners) AS owner FROM l)
+SELECT doc_id, slot, 'shard-' || lpad(owner, 3, '0') AS shard FROM d JOIN t USING (slot)
+"""
