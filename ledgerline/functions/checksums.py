@@ -175,3 +175,16 @@ def card_column(number: Column) -> Column:
 
 def real_date_column(year: Column, month: Column, day: Column) -> Column:
     return F.coalesce(year.between(1000, 9999) & F.try_make_timestamp(year.cast("int"), month.cast("int"), day.cast("int"), F.lit(0), F.lit(0), F.lit(0)).isNotNull(), F.lit(False))
+
+
+def alias_verdict_column(entity: Column, alias: Column) -> Column:
+    """Whether an alias passes its type's own check: valid or invalid; unknown where the check needs a list of countries that isn't loaded, no_check for types without one."""
+    told = lambda holds: F.when(holds, "valid").otherwise("invalid")
+    return (
+        F.when(entity == "IBAN", told(iban_column(alias)))
+        .when(entity == "TCKN", told(tckn_column(alias)))
+        .when(entity == "VKN", told(vkn_column(alias)))
+        .when(entity == "CREDIT_CARD", told(luhn_column(alias)))
+        .when(entity == "PHONE", "unknown")
+        .when(entity.isNotNull(), "no_check")
+    )

@@ -95,7 +95,7 @@ def matched(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """Call sites of calls by rules (rule_id, module, symbols, methods, provider_ref, egress_kind, confidence): the binding starts with the module, segment by segment."""
     head = F.split("binding", r"\.")[0]
     of = rules.withColumn("head", F.split("module", r"\.")[0])
-    met = calls.withColumn("head", head).join(F.broadcast(of), "head")
+    met = calls.withColumn("head", head).join(of, "head")
     inside = (F.col("binding") == F.col("module")) | F.col("binding").startswith(F.concat(F.col("module"), F.lit(".")))
     named = (F.size("symbols") == 0) | F.arrays_overlap(F.split("binding", r"\."), F.col("symbols"))
     method = (F.size("methods") == 0) | F.array_contains("methods", F.col("method"))

@@ -23,8 +23,10 @@ from ledgerline.operators import mask as M
 from ledgerline.operators import report as R
 from ledgerline.operators import validate as V
 from ledgerline.plans import relational as Q
+from ledgerline.plans import textual as Y
 from ledgerline.plans import views
 from ledgerline.sources import packets as B
+from ledgerline.streaming import restorer as Z
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -493,3 +495,33 @@ WORDS = Rows("events", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'PERSON_'
 @_query(f"WITH w AS ({WORDS.duck}) SELECT event_id, word, event_id % 5 IN (0, 2, 4) AS shaped FROM w")
 def q96_alias_shapes(spark, sf_dir):
     return WORDS.spark(spark, sf_dir).select("event_id", "word", M.is_alias_shaped(F.col("word")).alias("shaped"))
+
+
+@_query(f"""WITH a AS ({Y.ORACLE['q43_luhn']}), b AS ({ORACLE['q89_national_numbers']}), c AS ({ORACLE['q90_tax_numbers']}), d AS ({Y.ORACLE['q44_iban']})
+SELECT c_custkey, CASE WHEN c_custkey % 7 = 6 THEN NULL WHEN c_custkey % 7 = 5 THEN 'no_check' WHEN c_custkey % 7 = 4 THEN 'unknown' WHEN CASE c_custkey % 7 WHEN 0 THEN luhn WHEN 1 THEN b.valid WHEN 2 THEN c.valid ELSE d.valid END THEN 'valid' ELSE 'invalid' END AS verdict
+FROM a JOIN b USING (c_custkey) JOIN c USING (c_custkey) JOIN d USING (c_custkey)""")
+def q97_alias_verdicts(spark, sf_dir):
+    of = F.col("c_custkey") % 7
+    types = F.element_at(F.array(*map(F.lit, ["CREDIT_CARD", "TCKN", "VKN", "IBAN", "PHONE", "EMAIL", None])), (of + 1).cast("int"))
+    card = F.lpad((F.col("c_custkey") * 7919 % 1000000007).cast("string"), 12, "4")
+    iban = F.concat(F.lit("TR"), F.lpad((F.col("c_custkey") % 98).cast("string"), 2, "0"), F.lpad((F.col("c_custkey") * 104729).cast("string"), 22, "0"))
+    alias = F.when(of == 0, card).when(of == 1, F.concat("nine", F.lpad("two", 2, "0"))).when(of == 2, F.concat("nine", F.substring("two", 1, 1))).when(of == 3, iban).otherwise("x")
+    return NUMBERS.spark(spark, sf_dir).select("c_custkey", K.alias_verdict_column(types, alias).alias("verdict"))
+
+
+#: Lines of an order as frames of a stream: pieces of an alias, and frames without text.
+PIECES = Rows(
+    "lineitem",
+    """SELECT stream, seq, 0 AS now_ms, CASE WHEN seq % 3 = 2 THEN NULL ELSE 'a' END AS lane, CASE seq % 3 WHEN 1 THEN 'PERS' WHEN 2 THEN 'ping' ELSE 'ON_1' END AS text
+  FROM (SELECT l_orderkey AS stream, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS seq FROM {t}) l""",
+)
+
+
+@_query(f"""WITH p AS ({PIECES.duck}), n AS (SELECT stream, count(*) AS n FROM p GROUP BY stream),
+-- Each three lines are an alias in two pieces with a frame between them, which goes out after the alias; what is left at the end goes out as it is.
+t AS (SELECT stream, n, unnest(range(0, (n + 2) // 3)) AS g FROM n), o AS (
+  SELECT stream, 2 * g AS place, 'a' AS lane, CASE WHEN n >= 3 * g + 3 THEN 'Ada' ELSE 'PERS' END AS text FROM t
+  UNION ALL SELECT stream, 2 * g + 1, NULL, 'ping' FROM t WHERE n >= 3 * g + 2)
+SELECT stream, place, lane, text FROM o""")
+def q98_ordered_frames(spark, sf_dir):
+    return Z.ordered_frames(PIECES.spark(spark, sf_dir), {"PERSON_1": "Ada"})

@@ -9,6 +9,8 @@ import tomllib
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
+
 from ledgerline.operators.derive import Settings
 from ledgerline.operators.mask import MODES, Rule
 from ledgerline.operators.report import Policy
@@ -16,6 +18,8 @@ from ledgerline.operators.report import Policy
 DEPTH = 8
 RULE_ID = re.compile(r"[a-z]+\.[a-z0-9_-]+\.[a-z0-9_-]+")
 VERSION = re.compile(r"\d+\.\d+\.\d+")
+#: The rule hits of a run whose rules or whose policy did not load.
+RULE_SET_GATE, POLICY_GATE = "engine.rule-set-loaded", "engine.policy-loaded"
 
 
 class Refused(ValueError):
@@ -97,3 +101,9 @@ def mask_policy(text: str, pinned: str | None = None) -> tuple[str, list[Rule],
 def scope_path(text: str) -> tuple[str, ...]:
     """messages[*].content as its steps."""
     return tuple(re.findall(r"\[\*\]|\[\d+\]|[^.\[\]]+", text))
+
+
+def gate_hits(spark: SparkSession, rule_faults: list[str], policy_refused: bool) -> DataFrame:
+    """Rule hits (rule_id, verdict, finding_ids) that keep a run from passing when its rules or its policy did not load; none else."""
+    hits = [(RULE_SET_GATE, "FAIL", None)] * bool(rule_faults) + [(POLICY_GATE, "FAIL", None)] * policy_refused
+    return spark.createDataFrame(hits, "rule_id string, verdict string, finding_ids array<string>")

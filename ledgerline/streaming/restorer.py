@@ -2,6 +2,8 @@
 
 A lane (stream and choice) holds back only the end of its text that may be the beginning of an alias. A
 hold that grows too old, by the time in the rows, is let go as it is or waited for, as the policy says.
+Frames without text wait behind the text that was written before them: while any lane of their stream
+holds something back, or an earlier frame waits, they stay in line.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HOLD_MS = 40
@@ -120,8 +123,52 @@ def restore_frames(pieces: Iterable[bytes], originals: dict[str, str]) -> list[t
     return sorted(out.items())
 
 
+class Line:
+    """One stream's frames in their order: text of lanes, and frames without text that may not pass held text."""
+
+    def __init__(self, originals: dict[str, str]) -> None:
+        self.originals, self.lanes, self.waiting = originals, {}, []
+
+    def _released(self) -> list[tuple[str | None, str]]:
+        if any(own.held for own in self.lanes.values()):
+            return []
+        out, self.waiting = [(None, frame) for frame in self.waiting], []
+        return out
+
+    def push(self, lane: str | None, text: str, now: int) -> list[tuple[str | None, str]]:
+        """(lane, text) that can be told after one more frame; a frame without a lane passes as it is."""
+        if lane is None:
+            self.waiting.append(text)
+            return self._released()
+        own = self.lanes.setdefault(lane, Hold(self.originals))
+        told = own.tick(now) + own.push(text, now)
+        return ([(lane, told)] if told else []) + self._released()
+
+    def flush(self) -> list[tuple[str | None, str]]:
+        """What lanes hold, by their first appearance, then the frames that waited."""
+        told = [(lane, own.flush()) for lane, own in self.lanes.items() if own.held]
+        return told + self._released()
+
+
+def ordered_frames(frames: DataFrame, originals: dict[str, str]) -> DataFrame:
+    """(stream, place, lane, text) of finished streams of frames (stream, seq, now_ms, lane: null without text, text), in the order in which they go out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for stream, own in zip(batch["stream"], batch["own"], strict=True):
+                line, told = Line(originals), []
+                for frame in own:
+                    told += line.push(frame["lane"], frame["text"] or "", int(frame["now_ms"]))
+                out += [(stream, k, lane, text) for k, (lane, text) in enumerate(told + line.flush())]
+            yield pd.DataFrame(out, columns=["stream", "place", "lane", "text"])
+
+    own = F.sort_array(F.collect_list(F.struct("seq", "now_ms", "lane", "text"))).alias("own")
+    return frames.groupBy("stream").agg(own).mapInPandas(run, "stream long, place long, lane string, text string")
+
+
 def restored_stream(chunks: DataFrame, originals: dict[str, str], wait: bool = False) -> DataFrame:
-    """lane, seq, text, final of a stream of chunks (lane, seq, now_ms, text, last); originals are those of the request's snapshot."""
+    """lane, seq, text, final of a stream of chunks (lane, seq, now_ms, text, last); originals are those of the request's snapshot. A lane's state goes with its last chunk."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, since = state.get if state.exists else ("", None)
@@ -131,7 +178,10 @@ def restored_stream(chunks: DataFrame, originals: dict[str, str], wait: bool = F
             told = own.tick(int(now), wait) + own.push(text or "", int(now))
             told += own.flush() if last else ""
             out.append((key[0], int(seq), told, bool(last)))
-        state.update((own.held, own.since))
+        if own.held:
+            state.update((own.held, own.since))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["lane", "seq", "text", "final"])
 
     return chunks.groupBy("lane").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)

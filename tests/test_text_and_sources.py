@@ -17,6 +17,7 @@ from ledgerline.operators import detect as D
 from ledgerline.operators import flows as W
 from ledgerline.operators import joins as J
 from ledgerline.operators import mask as M
+from ledgerline.operators import report as R
 from ledgerline.sources import records, rules, trees
 from ledgerline.streaming import assembler, restorer
 
@@ -184,6 +185,26 @@ def test_restored_stream(spark, tmp_path):
     assert got == {"a": "hi Ada", "b": "Ada"}
 
 
+def test_frames_without_text_wait_behind_held_text(spark):
+    line = restorer.Line({"PERSON_1": "Ada"})
+    assert line.push(None, "ping", 0) == [(None, "ping")]
+    assert line.push("a", "hi PER", 0) == [("a", "hi ")] and line.push(None, "ping 1", 1) == []
+    assert line.push("b", "x", 2) == [("b", "x")] and line.push(None, "ping 2", 3) == []
+    assert line.push("a", "SON_1", 4) == [("a", "Ada"), (None, "ping 1"), (None, "ping 2")]
+    assert line.push("a", "PER", 5) == [] and line.push(None, "end", 6) == [] and line.flush() == [("a", "PER"), (None, "end")]
+    rows = [(1, 0, 0, "a", "PER"), (1, 1, 0, None, "ping"), (1, 2, 0, "a", "SON_1"), (2, 0, 0, "a", "PER"), (2, 1, 0, None, None), (2, 2, 50, "a", "x")]
+    told = restorer.ordered_frames(spark.createDataFrame(rows, "stream long, seq long, now_ms long, lane string, text string"), {"PERSON_1": "Ada"})
+    got = [(r.stream, r.lane, r.text) for r in told.orderBy("stream", "place").collect()]
+    assert got == [(1, "a", "Ada"), (1, None, "ping"), (2, "a", "PERx"), (2, None, "")]
+
+
+def test_gates_fail_a_run_whose_rules_did_not_load(spark):
+    assert rules.gate_hits(spark, [], False).count() == 0
+    hits = rules.gate_hits(spark, ["a.toml: bad"], True)
+    assert [(h.rule_id, h.verdict) for h in hits.collect()] == [("engine.rule-set-loaded", "FAIL"), ("engine.policy-loaded", "FAIL")]
+    assert R.verdict(hits).first().verdict == "FAIL"
+
+
 def kernel_rows():
     rng = random.Random(9)
     kinds = ["connect", "volume", "volume", "close"]
