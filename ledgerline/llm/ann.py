@@ -1,15 +1,18 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, results merged.
 
 Vectors are dealt to shards of bounded size by a hash of vec_id. A shard's graph has a node for each
-distinct vector, with the ids that share it, so copies can't wall off a part of the graph; nodes get a
-top layer by a geometric draw. In every layer a node links to near nodes that aren't nearer to a link it
-already has, in both directions, and to a few nodes of the next layer chosen alike, which join regions
-that lie apart. Links are chosen from exact near lists of the shard, all nodes at once, in place of one
-insertion after another. The lists are stored flat: an array of neighbour numbers and where each layer's
-begin. Inner products become distances by the usual extra coordinate. The index is a table
-with a row per node. A search sends each block of queries to every shard, goes down the layers with a beam
-whose finds all enter the next layer, searches the ground layer with a beam of `ef`, and scores what it
-found in double precision; a shard returns its k best and the merge keeps the k best of all.
+distinct vector, with the ids that share it, so copies can't wall off a part of the graph. The ground
+layer is laid out in blocks: each vector is linked from one hub, the nearest, of about CELL vectors. Hubs are
+trained on all vectors of the shard and get a top layer by a geometric draw. In every layer a hub links
+to near hubs that aren't nearer to a link it already has, in both directions, and to a few of the next
+layer chosen alike, which join regions that lie apart. The lists are stored flat: an array of neighbour
+numbers and where each layer's begin. Inner products become distances by the usual extra coordinate. The
+index is a table with a row per node. A search sends each block of queries to every shard, goes down the layers with a beam
+whose finds all enter the next layer, and follows the links of the `ef` hubs found to the ground, where a hub's vectors are
+scored for all queries of the block at once. Single precision only tells which can't be among the k best, with the bound of its
+error; the rest is scored in double precision. `ef` is tuned in each shard: it grows until TRIALS of
+the shard's own queries find RECALL of their nearest, by brute force over the shard. A shard returns its k best and
+the merge keeps the k best of all.
 
 Defined results: vectors that are null, empty, zero, or hold a null, NaN or infinite component take no
 part, nor do rows with a null vec_id; a vector is only compared with vectors of its own length; rows that
@@ -29,17 +32,23 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import common as C
 
-#: Links of a node in an upper layer; twice as many on the ground.
+#: Links of a hub in an upper layer; twice as many in layer 1, the lowest of hubs.
 LINKS = 16
 #: Near nodes from which the links are chosen.
 BUILD = 64
-#: The search's beam on the ground in a graph of up to BEAM_ROWS nodes, wider in larger ones, where vectors without any
-#: structure would be missed else; and the beam in the upper layers, whose finds all enter the next one.
+#: Vectors of a hub, on average, and how often hubs move to the mean of their vectors.
+CELL, MOVES = 128, 2
+#: The search's beam over hubs where it isn't tuned, for a graph of up to BEAM_ROWS vectors, wider in larger ones; and the
+#: beam in the upper layers, whose finds all enter the next one.
 BEAM, BEAM_ROWS, ENTRIES = 160, 4_096, 32
+#: Queries of a shard that its beam is tuned by, and the share of their nearest that they must find.
+TRIALS, RECALL = 64, 0.95
 #: Shards at least, so that small tables are spread over tasks as well. There are as many shards as cores, but none
 #: has fewer than about SHARD_ROWS vectors on average, nor more than SHARD_BYTES of components (or SHARD_ROWS vectors).
 LEAST_SHARDS, SHARD_ROWS, SHARD_BYTES = 8, 8_192, 32 << 20
-QUERY_BLOCK = 256
+QUERY_BLOCK, WALKS = 2048, 256
+#: Vectors that await their double-precision product at a time, and those whose products are taken at a time.
+HELD, AT_ONCE = 2_000_000, 65_536
 
 _NODE = "shard int, kind int, no int, ids array<long>, vec array<double>, links array<int>, begins array<int>"
 
@@ -111,28 +120,55 @@ def _layer(x: np.ndarray, links: int, hubs: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest_hub(x: np.ndarray, hubs: np.ndarray) -> np.ndarray:
+    half = (hubs * hubs).sum(1) / 2
+    return np.concatenate([(x[at : at + 4096] @ hubs.T - half).argmax(1) for at in range(0, len(x), 4096)])
+
+
+def _hubs(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Hubs of the rows of x, each with a row at least, and every row's hub."""
+    hubs = x[np.sort(rng.choice(len(x), max(1, len(x) // CELL), replace=False))]
+    for _ in range(MOVES):
+        own = _nearest_hub(x, hubs)
+        order = np.argsort(own, kind="stable")
+        full, first = np.unique(own[order], return_index=True)
+        hubs = (np.add.reduceat(x[order], first, axis=0, dtype=np.float64) / np.diff([*first, len(x)])[:, None]).astype(np.float32)
+    full, own = np.unique(_nearest_hub(x, hubs), return_inverse=True)
+    return hubs[full], own.ravel()
+
+
+def _power_of_two(largest: np.ndarray) -> np.ndarray:
+    """What brings the largest components to at most 1, without rounding."""
+    return np.ldexp(1.0, -np.clip(np.frexp(largest)[1], -1000, 1000))
+
+
 def build_shard(shard: int, ids: np.ndarray, vectors: np.ndarray) -> pd.DataFrame:
-    """The rows of a shard's graph."""
+    """The rows of a shard's graph: its vectors, then its hubs, which have no ids."""
     distinct, node = np.unique(vectors, axis=0, return_inverse=True)
     node = node.ravel()
     order = np.lexsort((ids, node))
     groups = np.split(ids[order], np.flatnonzero(np.diff(node[order])) + 1)
     n = len(distinct)
-    norms = (distinct**2).sum(1)
-    x = np.concatenate([distinct, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], axis=1).astype(np.float32)
+    scale = _power_of_two(np.abs(distinct).max())
+    scaled = distinct * scale
+    norms = (scaled**2).sum(1)
+    x = np.concatenate([scaled, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], axis=1).astype(np.float32)
     rng = np.random.default_rng(shard + 1)
-    top = np.minimum((-np.log(1 - rng.random(n)) / np.log(LINKS)).astype(int), 6)
-    top[rng.integers(n)] = max(top.max(), 1) if n > LINKS else 0
-    lists: list[list[np.ndarray]] = [[] for _ in range(n)]
-    for level in range(int(top.max()) + 1):
+    hubs, own = _hubs(x, rng)
+    h = len(hubs)
+    top = 1 + np.minimum((-np.log(1 - rng.random(h)) / np.log(LINKS)).astype(int), 6)
+    top[rng.integers(h)] = max(top.max(), 2) if h > LINKS else 1
+    lists: list[list[np.ndarray]] = [[m.astype(np.int32)] for m in np.split(np.argsort(own, kind="stable"), np.cumsum(np.bincount(own))[:-1])]
+    for level in range(1, int(top.max()) + 1):
         members = np.flatnonzero(top >= level)
-        near = _layer(x[members], LINKS * (2 if level == 0 else 1), np.flatnonzero(top[members] > level))
+        near = _layer(hubs[members], LINKS * (2 if level == 1 else 1), np.flatnonzero(top[members] > level))
         for i, m in enumerate(members):
-            own = near[i][near[i] >= 0]
-            lists[m].append(members[own].astype(np.int32))
-    flat = [np.concatenate(own) for own in lists]
-    begins = [np.cumsum([0, *map(len, own)]).astype(np.int32) for own in lists]
-    return pd.DataFrame({"shard": np.int32(shard), "kind": np.int32(0), "no": np.arange(n, dtype=np.int32), "ids": groups, "vec": list(distinct), "links": flat, "begins": begins})
+            lists[m].append((n + members[near[i][near[i] >= 0]]).astype(np.int32))
+    none, bare = np.zeros(0, np.int32), np.zeros(2, np.int32)
+    flat = [none] * n + [np.concatenate(x) for x in lists]
+    begins = [bare] * n + [np.cumsum([0, *map(len, x)]).astype(np.int32) for x in lists]
+    vec = [*distinct, *(hubs[:, :-1].astype(np.float64) / scale)]
+    return pd.DataFrame({"shard": np.int32(shard), "kind": np.int32(0), "no": np.arange(n + h, dtype=np.int32), "ids": [*groups, *[np.zeros(0, np.int64)] * h], "vec": vec, "links": flat, "begins": begins})
 
 
 def _rows(frame: pd.DataFrame) -> pa.RecordBatch:
@@ -202,114 +238,200 @@ class Graph:
         column = lambda name: pa.concat_arrays([r.column(r.schema.get_field_index(name)) for r in rows])
         order = np.argsort(column("no").to_numpy(zero_copy_only=False))
         self.ids = column("ids").take(pa.array(order))
-        self.vec = _matrix(column("vec"))[order]
-        self.low = self.vec.astype(np.float32)
-        links, begins = (column(c).take(pa.array(order)) for c in ("links", "begins"))
-        self.flat = links.flatten().to_numpy(zero_copy_only=False)
-        start = np.concatenate([[0], np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False))])
-        self.layers: list[np.ndarray] = []
-        own = [start[i] + np.array(begins[i].values) for i in range(len(order))]
-        self.top = np.array([len(b) - 2 for b in own])
-        for level in range(int(self.top.max()) + 1):
-            table = np.full((len(order), LINKS * (2 if level == 0 else 1)), -1, np.int32)
+        self.n_ids = self.ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.flat_ids = self.ids.flatten().to_numpy(zero_copy_only=False)
+        self.first_id = np.cumsum(self.n_ids) - self.n_ids
+        n = self.n = int((self.n_ids > 0).sum())
+        vec = _matrix(column("vec"))[order]
+        self.vec = vec[:n]
+        self.scale = _power_of_two(np.abs(self.vec).max())
+        self.hubs = (vec[n:] * self.scale).astype(np.float32)
+        hubs = pa.array(order[n:])
+        links, begins = (column(c).take(hubs).to_pylist() for c in ("links", "begins"))
+        # The ground layer: vectors in the order of their hubs.
+        self.node = np.concatenate([np.array(x[: b[1]], np.int64) for x, b in zip(links, begins, strict=True)])
+        self.start = np.cumsum([0, *(b[1] for b in begins)])
+        self.low = (self.vec[self.node] * self.scale).astype(np.float32)
+        norms = np.sqrt((self.low.astype(np.float64) ** 2).sum(1))
+        self.longest = np.maximum.reduceat(norms, self.start[:-1])
+        self.top = np.array([len(b) - 2 for b in begins])
+        self.layers: list[np.ndarray] = []  # from layer 1 on, by number of the hub
+        for level in range(1, int(self.top.max()) + 1):
+            table = np.full((len(hubs), LINKS * (2 if level == 1 else 1)), -1, np.int32)
             for i in np.flatnonzero(self.top >= level):
-                near = self.flat[own[i][level] : own[i][level + 1]]
-                table[i, : len(near)] = near
+                near = links[i][begins[i][level] : begins[i][level + 1]]
+                table[i, : len(near)] = np.array(near, np.int64) - n
             self.layers.append(table)
 
-    def _beam(self, low: np.ndarray, layer: np.ndarray, seeds: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ef best nodes that a beam finds in a layer for each query, from its seeds (-1: none) on, and their products; -1 where fewer."""
-        n, rows = len(self.vec), np.arange(len(low))
-        seen = np.zeros((len(low), n + 1), bool)
+    def _beam(self, low: np.ndarray, layer: np.ndarray, seeds: np.ndarray, ef: int) -> np.ndarray:
+        """The ef best hubs that a beam finds in a layer for each query, from its seeds (-1: none) on, best first; -1 where fewer."""
+        n, every = len(self.hubs), np.arange(len(low))
+        sims = np.full((len(low), n), -np.inf, np.float32)
+        seen, done = np.zeros((len(low), n + 1), bool), np.zeros((len(low), n), bool)
         seen[:, n] = True
-        seen[rows[:, None], np.where(seeds >= 0, seeds, n)] = True
-        width = max(ef, seeds.shape[1])
-        nodes = np.full((len(low), width), -1, np.int64)
-        sims = np.full((len(low), width), -np.inf, np.float32)
-        nodes[:, : seeds.shape[1]] = seeds
-        sims[:, : seeds.shape[1]] = np.where(seeds >= 0, np.einsum("rcd,rd->rc", self.low[seeds], low), -np.inf)
-        done = ~np.isfinite(sims)
-        live = rows
+        new = np.zeros((len(low), n + 1), bool)
+        new[every[:, None], np.where(seeds >= 0, seeds, n)] = True
+        live = every
         while len(live):
-            open_sims = np.where(done[live], -np.inf, sims[live])
-            k = np.argpartition(-open_sims, min(3, width - 1), axis=1)[:, :4]  # the best open nodes, four at a time
-            ok = np.take_along_axis(open_sims, k, 1) > -np.inf
-            go = ok.any(1)
-            live, k, ok = live[go], k[go], ok[go]
-            if not len(live):
-                break
-            done[live[:, None], k] = True
-            near = layer[np.where(ok, nodes[live[:, None], k], 0)].astype(np.int64)
-            near[~ok] = n
-            near[near < 0] = n
-            near = near.reshape(len(live), -1)
-            near.sort(axis=1)
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = n
-            near[seen[live[:, None], near]] = n
-            seen[live[:, None], near] = True
-            sim = np.einsum("rcd,rd->rc", self.low[np.minimum(near, n - 1)], low[live])
-            sim[near == n] = -np.inf
-            every = np.concatenate([sims[live], sim], axis=1)
-            keep = np.argpartition(-every, width - 1, axis=1)[:, :width]
-            sims[live] = np.take_along_axis(every, keep, 1)
-            nodes[live] = np.take_along_axis(np.concatenate([nodes[live], near], axis=1), keep, 1)
-            done[live] = np.take_along_axis(np.concatenate([done[live], sim == -np.inf], axis=1), keep, 1)
-        return np.where(sims > -np.inf, nodes, -1), sims
+            new &= ~seen[live]
+            r, c = np.nonzero(new)
+            seen[live] |= new
+            for at in range(0, len(r), AT_ONCE):
+                own, hub = live[r[at : at + AT_ONCE]], c[at : at + AT_ONCE]
+                sims[own, hub] = np.einsum("rd,rd->r", self.hubs[hub], low[own])
+            own = sims[live]
+            least = np.maximum(np.partition(own, n - ef, axis=1)[:, n - ef], np.finfo(np.float32).min)
+            todo = (own >= least[:, None]) & ~done[live]  # the open hubs of the beam are all followed
+            done[live] |= todo
+            go = todo.any(1)
+            live, todo = live[go], todo[go]
+            new = np.zeros((len(live), n + 1), bool)
+            r, c = np.nonzero(todo)
+            for at in range(0, len(r), AT_ONCE):
+                new[r[at : at + AT_ONCE, None], layer[c[at : at + AT_ONCE]]] = True
+        found = np.argpartition(-sims, ef - 1, axis=1)[:, :ef]
+        own = np.take_along_axis(sims, found, 1)
+        order = np.argsort(-own, axis=1, kind="stable")
+        return np.take_along_axis(np.where(own > -np.inf, found, -1), order, 1)
 
     def beam(self, ef: int) -> int:
-        """The beam for this graph's size, where ef is that for BEAM_ROWS nodes."""
-        return int(ef * max(1.0, len(self.vec) / BEAM_ROWS) ** 0.75)
-
-    def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the nodes found for each query, -1 where fewer, and their double-precision products."""
-        low = q.astype(np.float32)
-        found = np.full((len(q), 1), int(np.argmax(self.top)), np.int64)
-        for level in range(int(self.top.max()), -1, -1):
-            found, sims = self._beam(low, self.layers[level], found, min(len(self.vec), ef if level == 0 else ENTRIES))
-        exact = np.einsum("rcd,rd->rc", self.vec[found], q)
-        exact[found < 0] = -np.inf
-        return found, exact
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int = BEAM) -> DataFrame:
-    """query_id, rank, vec_id, score: the k vectors (vec_id, embedding) with the largest inner products found for each query, its own id left out."""
+        """The beam for this graph's size where it isn't tuned; ef is that for BEAM_ROWS vectors."""
+        return int(ef * max(1.0, self.n / BEAM_ROWS) ** 0.75)
+
+    def tuned(self, q: np.ndarray, share: float = RECALL, k: int = 20, of: int = 20) -> int:
+        """The least beam with which the queries find that share of their `of` nearest, which brute force tells."""
+        hubs = len(self.hubs)
+        if not len(q) or hubs <= 8:
+            return hubs
+        products = (q * _power_of_two(np.abs(q).max(1))[:, None]).astype(np.float32) @ self.low.T
+        least = np.partition(products, max(0, self.n - of), axis=1)[:, max(0, self.n - of)]
+        r, c = np.nonzero(products >= least[:, None])
+        wanted, ef = r * self.n + self.node[c], 8
+        while ef < hubs:
+            found, _ = self.search(q, ef, k)
+            if np.isin(wanted, np.where(found < 0, -1, np.arange(len(q))[:, None] * self.n + found)).sum() >= share * len(q) * min(of, self.n):
+                break
+            ef = int(ef * 1.25)
+        return min(ef, hubs)
+
+    def search(self, q: np.ndarray, ef: int, k: int = 20) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the k + 1 best nodes found for each query, best first, -1 where fewer, and their double-precision products; ties to the smaller first id."""
+        unit = _power_of_two(np.abs(q).max(1))
+        low = (q * unit[:, None]).astype(np.float32)
+        parts = []
+        for at in range(0, len(q), WALKS):
+            own = np.full((len(low[at : at + WALKS]), 1), int(np.argmax(self.top)), np.int64)
+            for level in range(int(self.top.max()), 0, -1):
+                own = self._beam(low[at : at + WALKS], self.layers[level - 1], own, min(len(self.hubs), ef if level == 1 else ENTRIES))
+            parts.append(own)
+        hubs = np.concatenate(parts)
+        best = _Best(self, q, low, unit, k + 1)
+        at, width = 0, 2
+        while at < hubs.shape[1]:  # the nearest hubs first: they tell what farther ones must surpass
+            self._ground(best, low, hubs[:, at : at + width])
+            at, width = at + width, width * 4
+        return best.node, best.exact
+
+    def _ground(self, best: _Best, low: np.ndarray, hubs: np.ndarray) -> None:
+        """Offer to best the vectors of each query's hubs that may be among its best."""
+        rows, cols = np.nonzero(hubs >= 0)
+        of = hubs[rows, cols]
+        order = np.argsort(of, kind="stable")
+        rows, of = rows[order], of[order]
+        cuts = np.flatnonzero(np.diff(of)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True):
+            if a == b:
+                continue
+            own, hub = rows[a:b], of[a]
+            first, last = self.start[hub], self.start[hub + 1]
+            sim = low[own] @ self.low[first:last].T
+            r, c = np.nonzero(sim >= best.floor(own, self.longest[hub])[:, None])
+            best.offer(own[r], first + c, sim[r, c], self.longest[hub])
+        best.settle()
+
+
+class _Best:
+    """The best nodes of each query of a block so far, in double precision."""
+
+    def __init__(self, graph: Graph, q: np.ndarray, low: np.ndarray, unit: np.ndarray, size: int) -> None:
+        self.graph, self.q, self.unit, self.size = graph, q, unit, size
+        self.node = np.full((len(q), size), -1, np.int64)
+        self.exact = np.full((len(q), size), -np.inf)
+        self.least = np.full(len(q), -np.inf)  # the last of the best, scaled as the single-precision products are
+        #: Bound of a single-precision product's error, for a vector of length 1; those of tiny numbers are added.
+        self.error = (q.shape[1] + 3) * 2.0**-22 * np.sqrt((low.astype(np.float64) ** 2).sum(1))
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_held = 0
+
+    def floor(self, rows: np.ndarray, longest: float) -> np.ndarray:
+        """The single-precision product below which a vector of at most this length can't be among the best."""
+        return np.nextafter((self.least[rows] - self.error[rows] * longest - 1e-30).astype(np.float32), np.float32(-np.inf))
+
+    def offer(self, rows: np.ndarray, places: np.ndarray, sim: np.ndarray, longest: float) -> None:
+        self.held.append((rows, places, sim, self.error[rows] * longest + 1e-30))
+        self.n_held += len(rows)
+        if self.n_held > HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        """Take up what was offered."""
+        if not self.n_held:
+            return
+        rows, places, sim, error = (np.concatenate([x[i] for x in self.held]) for i in range(4))
+        self.held, self.n_held = [], 0
+        # What can't be among the best even of those offered goes first.
+        order = np.lexsort((error - sim, rows))
+        place = _place(rows[order])
+        least = self.least.copy()
+        sure = order[place == self.size - 1]
+        least[rows[sure]] = np.maximum(least[rows[sure]], sim[sure].astype(np.float64) - error[sure])
+        stay = sim + error >= least[rows]
+        rows, node = rows[stay], self.graph.node[places[stay]]
+        exact = np.concatenate([np.zeros(0), *(np.einsum("rd,rd->r", self.graph.vec[node[at : at + AT_ONCE]], self.q[rows[at : at + AT_ONCE]]) for at in range(0, len(rows), AT_ONCE))])
+        had, col = np.nonzero(self.node >= 0)
+        rows, node, exact = np.concatenate([had, rows]), np.concatenate([self.node[had, col], node]), np.concatenate([self.exact[had, col], exact])
+        order = np.lexsort((self.graph.flat_ids[self.graph.first_id[node]], -exact, rows))
+        place = _place(rows[order])
+        order, place = order[place < self.size], place[place < self.size]
+        self.node[rows[order], place], self.exact[rows[order], place] = node[order], exact[order]
+        full = self.node[:, -1] >= 0
+        self.least[full] = self.exact[full, -1] * self.graph.scale * self.unit[full]
+
+
+def _place(rows: np.ndarray) -> np.ndarray:
+    """The place of each entry among those of its row, where entries of a row stand together."""
+    begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    return np.arange(len(rows)) - np.repeat(begins, np.diff([*begins, len(rows)]))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k vectors (vec_id, embedding) with the largest inner products found for each query, its own id left out; ef: the beam, tuned where it is not given."""
     pool = C.settle(usable(vectors), "ann-vectors")
     asked = usable(queries)
     graph = index(pool)
     shards = graph.select("shard", F.size("vec").alias("dim")).distinct()
     shards = C.settle(shards, "ann-shards")
     blank = {"ids": F.array(F.col("vec_id")), "links": F.lit(None).cast("array<int>"), "begins": F.lit(None).cast("array<int>")}
-    sent = asked.withColumn("dim", F.size("vec")).join(C.maybe_broadcast(shards), "dim").select("shard", F.lit(1).alias("kind"), F.lit(0).alias("no"), blank["ids"].alias("ids"), "vec", blank["links"].alias("links"), blank["begins"].alias("begins"))
-    # A shard's nodes come first in its partition, then the queries, which are searched block by block.
-    rows = graph.unionByName(sent).repartition(max(LEAST_SHARDS * 4, 32), "shard").sortWithinPartitions("shard", "kind", "no")
+    sent = asked.withColumn("dim", F.size("vec")).join(C.maybe_broadcast(shards), "dim").select("shard", F.lit(1).alias("kind"), F.pmod(F.xxhash64("vec_id"), F.lit(2**31 - 1)).cast("int").alias("no"), blank["ids"].alias("ids"), "vec", blank["links"].alias("links"), blank["begins"].alias("begins"))
+    # A shard's nodes come first in its partition, then the queries in random order, which are searched block by block.
+    rows = graph.unionByName(sent).repartition(max(LEAST_SHARDS * 4, 32), "shard").sortWithinPartitions("shard", "kind", "no", "ids")
+    # Of a query's k nearest so many stand in a shard, but for few.
+    share = k / max(1, graph.agg(F.count_distinct("shard")).first()[0])
+    of = min(k + 1, int(np.ceil(share + 2 * np.sqrt(share))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Graph | None = None
+        beam = 0
         for kind, parts in _runs(batches, 0):
             if kind == 0:
-                own = Graph(parts)
+                own, beam = Graph(parts), ef or 0
                 continue
             ids = parts[0].column(3).flatten().to_numpy(zero_copy_only=False)
             vec = _matrix(parts[0].column(4))
+            beam = beam or own.tuned(vec[:TRIALS], k=k, of=of)
             for at in range(0, len(ids), QUERY_BLOCK):
-                found, exact = own.search(vec[at : at + QUERY_BLOCK], max(own.beam(ef), k + 1))
-                out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-                for r, q in enumerate(ids[at : at + QUERY_BLOCK]):
-                    order = np.argsort(-exact[r], kind="stable")
-                    order = order[found[r][order] >= 0]
-                    got: list[tuple[float, int]] = []
-                    floor = None
-                    for c in order:
-                        if floor is not None and exact[r, c] < floor:
-                            break
-                        got += [(-exact[r, c], i) for i in self_free(own.ids[int(found[r, c])].values, int(q), k)]
-                        if floor is None and len(got) >= k:
-                            floor = exact[r, c]
-                    got = sorted(got)[:k]
-                    out["query_id"] += [int(q)] * len(got)
-                    out["vec_id"] += [i for _, i in got]
-                    out["score"] += [-s for s, _ in got]
-                yield pa.RecordBatch.from_pydict(out, schema=_FOUND)
+                asked = ids[at : at + QUERY_BLOCK]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best_ids(own, asked, *own.search(vec[at : at + QUERY_BLOCK], beam, k), k)], schema=_FOUND)
 
     found = rows.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -319,6 +441,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int = BEAM)
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def self_free(ids: pa.Array, query: int, k: int) -> list[int]:
-    """The k smallest of a node's ids, in order as stored, but for the query's own."""
-    return [i for i in ids.slice(0, k + 1).to_pylist() if i != query][:k]
+def _best_ids(graph: Graph, asked: np.ndarray, found: np.ndarray, exact: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id and score of the k best ids of the nodes found, but for the query's own; of a node's ids the smallest ones."""
+    rows, cols = np.nonzero(found >= 0)
+    node, score = found[rows, cols], exact[rows, cols]
+    many = np.minimum(graph.n_ids[node], k + 1)
+    offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    ids, rows, score = graph.flat_ids[np.repeat(graph.first_id[node], many) + offset], np.repeat(rows, many), np.repeat(score, many)
+    other = ids != asked[rows]
+    ids, rows, score = ids[other], rows[other], score[other]
+    order = np.lexsort((ids, -score, rows))
+    order = order[_place(rows[order]) < k]
+    return asked[rows[order]], ids[order], score[order]

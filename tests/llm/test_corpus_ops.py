@@ -601,6 +601,36 @@ def test_one_graph_reaches_the_recall(kind):
     assert np.mean(hits) / 21 >= 0.95
 
 
+def test_a_full_shard_is_built_and_searched_in_time():
+    """60,000 vectors without any structure: the beam is tuned to the recall, and 512 queries and the build take seconds."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    began = time.monotonic()
+    graph = ann.Graph([ann._rows(ann.build_shard(0, np.arange(len(x)), x))])
+    asked = np.arange(0, len(x), 117)[:512]
+    beam = graph.tuned(x[asked[:64]])
+    found, exact = graph.search(x[asked], beam)
+    assert time.monotonic() - began < 40 and 8 < beam < len(graph.hubs)
+    ids = graph.ids.flatten().to_numpy()
+    products = x[asked] @ x.T
+    products[np.arange(len(asked)), asked] = -np.inf
+    wanted = np.argpartition(-products, 19, axis=1)[:, :20]
+    assert np.mean([len(set(ids[f]) & set(w)) for f, w in zip(found, wanted)]) / 20 >= 0.9
+    assert set(ids) == set(range(len(x))) and np.allclose(exact[0], x[ids[found[0]]] @ x[asked[0]], atol=1e-12)
+
+
+def test_ties_and_outliers_among_neighbours(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in rng.integers(-1, 2, 5)]) for i in range(900)] + [(901, [1e30, 0.0, 0.0, 0.0, 0.0]), (902, [1e-30, 0.0, 0.0, 0.0, 0.0])]
+    rows = [r for r in rows if any(r[1])]
+    table = frame(spark, rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(ann.nearest(table, table.filter("vec_id % 20 = 0")).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    assert dict(got) == brute_nearest(rows, [r for r in rows if r[0] % 20 == 0], 20)
+
+
 def test_shards_follow_the_cores():
     assert ann.shard_count(100, 64, 8) == 8 and ann.shard_count(1_000_000, 64, 64) == 64
     assert ann.shard_count(100_000_000, 64, 64) == -(-100_000_000 // 65_536) and ann.shard_count(40_000, 64, 1000) == 8
