@@ -3,9 +3,13 @@
 A URL becomes a set of tokens: its host's labels, its last two labels, path segments and their shape,
 file suffix, query names. Tokens that stand in the same labelled pages are one item, an alternative of
 each other, since no rule can tell them apart: a rule of such an item stands for the rules of each of its
-tokens. Over labelled pages Spark's FP-growth mines item combinations that go with the label 'bad'; a page
-takes part with the ITEMS items that set bad pages apart most clearly, so there are at most
-2**(ITEMS + 1) / support combinations, however deep and repeated the URLs are. Rules are kept by support,
+tokens. Over all labelled pages FP-growth mines item combinations that go with the label 'bad', in its
+parallel form: items are ordered by their pages, rarest first, and each item has a conditional base, its pages' more
+frequent items with equal ones counted together, from which its combinations grow. No page, item or combination is left out
+by a bound. What can't be a rule is not grown: a combination without enough bad pages, one with the
+same pages as some of its items, and one that adds to items that stand in bad pages only. So nested and repeated items, as in
+deep URLs, stay few combinations; items that overlap in no such way grow as many as there are with enough bad pages,
+and a page with many of those takes long. Rules are kept by support,
 confidence and lift, and a rule goes when one of some of its items is as sure. Kept rules are posted under
 the tokens of their rarest item; a page's tokens look them up, and a rule blocks the page if the page has a
 token of each of its items. Explicit host and path rules come first: the longest that fits decides.
@@ -18,7 +22,10 @@ count as good; other columns are ignored; a long URL is read whole, in linear ti
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +44,8 @@ CONFIDENCE = 0.6
 LIFT = 2.0
 #: Labelled pages that a rule covers, at least.
 LEAST_PAGES = 8
-#: Labelled pages that rules are mined from, at most, drawn by a hash of the page_id.
-SAMPLE = 500_000
-#: Items of a labelled page that rules are mined from, at most: those that set bad pages apart most clearly.
-ITEMS = 8
-BAD = "label=bad"
+#: Rows of a conditional base that are summed at a time.
+AT_ONCE = 65_536
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,52 +91,108 @@ def tokens_of(url: Column) -> Column:
 _RULES = "rule string, tokens array<string>, need array<array<string>>, size int, confidence double, anchor array<string>"
 
 
-def _items(baskets: DataFrame, total: int, bad: int, least: int) -> DataFrame:
-    """(item, alternatives, n, apart): tokens of at least so many bad pages, those of the same pages together, and how clearly they set bad pages apart."""
+def _items(baskets: DataFrame, least: float) -> DataFrame:
+    """(item, key, alternatives, n, n_bad): tokens of at least so many bad pages, those of the same pages together."""
     tokens = baskets.select(F.explode("tokens").alias("token"), "bad", "row")
     of_pages = [F.bit_xor(F.xxhash64(F.lit(salt), "row")).alias(f"pages{salt}") for salt in (0, 1)]
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"), *of_pages).filter(F.col("n_bad") >= least)
     same = counts.groupBy("n", "n_bad", "pages0", "pages1").agg(F.sort_array(F.collect_list("token")).alias("alternatives"))
-    share = bad / total
-    apart = (F.col("n_bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    return C.settle(same.select(F.array_join("alternatives", " | ").alias("item"), "alternatives", "n", apart.alias("apart")), "url-items")
+    return C.settle(same.select(F.array_join("alternatives", " | ").alias("item"), F.col("alternatives")[0].alias("key"), "alternatives", "n", "n_bad"), "url-items")
+
+
+def grown(held: np.ndarray, n: np.ndarray, n_bad: np.ndarray, least: float, sure: float) -> list[tuple[tuple[int, ...], float]]:
+    """Rules of an item's conditional base: further items (columns of held) and confidence; of those with a rule of some of their items that is as sure, none.
+
+    held: which further items each row has; n, n_bad: pages and bad pages of each row.
+    """
+    rules: list[tuple[tuple[int, ...], float]] = []
+    # Pages, and the confidence of the surest part, of the combinations that others may be grown from.
+    alive: dict[int, tuple[float, float]] = {}
+
+    def grow(items: tuple[int, ...], bits: int, rows: np.ndarray, later: np.ndarray) -> None:
+        part = held[np.ix_(rows, later)]
+        pages, bad = (sum((own[rows[at : at + AT_ONCE]] @ part[at : at + AT_ONCE] for at in range(0, len(rows), AT_ONCE)), np.zeros(len(later))) for own in (n, n_bad))
+        fit = np.flatnonzero((bad >= least) & (pages < alive[bits][0]))
+        # From the last one on, so that all parts of a combination come before it.
+        for at in fit[::-1]:
+            j = int(later[at])
+            own, parts = bits | 1 << j, [alive.get(bits ^ 1 << i | 1 << j) for i in items] + [alive[bits]]
+            if any(p is None or p[0] == pages[at] for p in parts):
+                continue
+            confidence, surest = bad[at] / pages[at], max(p[1] for p in parts)
+            if confidence >= sure and confidence > surest:
+                rules.append(((*items, j), float(confidence)))
+            if bad[at] < pages[at]:
+                alive[own] = (pages[at], max(confidence, surest))
+                grow((*items, j), own, rows[part[:, at]], later[fit[fit > at]])
+
+    all_pages, all_bad = float(n.sum()), float(n_bad.sum())
+    if all_bad >= least:
+        if all_bad / all_pages >= sure:
+            rules.append(((), all_bad / all_pages))
+        alive[0] = (all_pages, all_bad / all_pages)
+        if all_bad < all_pages:
+            grow((), 0, np.arange(len(n)), np.arange(held.shape[1]))
+    return rules
+
+
+def _grower(least: float, sure: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(base: pd.DataFrame) -> pd.DataFrame:
+        rows = np.repeat(np.arange(len(base)), base["rest"].map(len))
+        names, column = np.unique(np.concatenate([np.zeros(0, object), *base["rest"]]).astype(str), return_inverse=True)
+        n, n_bad = (base[c].to_numpy(np.float64) for c in ("n", "n_bad"))
+        often = np.bincount(column, n_bad[rows], len(names)) >= least
+        place = np.cumsum(often) - 1
+        held = np.zeros((len(base), int(often.sum())), bool)
+        held[rows[often[column]], place[column[often[column]]]] = True
+        names, key = names[often], base["key"].iloc[0]
+        if len(names):  # rows that are equal by now are one
+            bits, row = np.unique(np.packbits(held, axis=1), axis=0, return_inverse=True)
+            held = np.unpackbits(bits, axis=1, count=len(names)).astype(bool)
+            n, n_bad = (np.bincount(row.ravel(), x) for x in (n, n_bad))
+        found = grown(held, n, n_bad, least, sure)
+        items = pd.Series([[key, *(str(names[j]) for j in own)] for own, _ in found], dtype=object)
+        return pd.DataFrame({"items": items, "confidence": np.array([c for _, c in found], np.float64)})
+
+    return run
 
 
 def _minimal(rules: DataFrame) -> DataFrame:
-    """rules (items, confidence) but for those of which some of the items are as sure."""
-    parts = F.transform(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("items")).cast("int") - 2), lambda m: F.filter("items", lambda x, i: F.floor(m / F.pow(F.lit(2), i)) % 2 == 1))
-    longer = rules.filter(F.size("items") > 1).select("items", "confidence", F.explode(parts).alias("part"))
-    surer = longer.join(rules.select(F.col("items").alias("part"), F.col("confidence").alias("own")), "part").filter("own >= confidence")
+    """rules (items, the rarest first, confidence) but for those of which some of the items are as sure."""
+    parts = rules.select(F.col("items").alias("part"), F.col("items")[0].alias("first"), F.col("confidence").alias("own"))
+    longer = rules.filter(F.size("items") > 1).select("items", "confidence", F.explode("items").alias("first"))
+    within = (F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0)
+    surer = longer.join(parts, "first").filter((F.col("own") >= F.col("confidence")) & within)
     return rules.join(surer.select("items").distinct(), "items", "left_anti")
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, items: int = ITEMS) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """Rules (rule, tokens, need, size, confidence, anchor) by FP-growth over pages (page_id, url) labelled by labels (doc_id, quality, toxic)."""
     bad = F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))
     marked = labels.select(F.col("doc_id").cast("long").alias("page_id"), bad.alias("bad")).filter("page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    drawn = marked.join(urls, "page_id").orderBy(F.xxhash64("page_id"), "page_id", "url").limit(SAMPLE)
-    baskets = C.settle(drawn.select(F.monotonically_increasing_id().alias("row"), "bad", tokens_of(F.col("url")).alias("tokens")).filter(F.size("tokens") > 0), "url-baskets")
+    labelled = marked.join(urls, "page_id")
+    baskets = C.settle(labelled.select(F.monotonically_increasing_id().alias("row"), "bad", tokens_of(F.col("url")).alias("tokens")).filter(F.size("tokens") > 0), "url-baskets")
     total = baskets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad")).first()
-    none = baskets.sparkSession.createDataFrame([], _RULES)
     if not total.n or not total.bad or total.bad == total.n:
-        return none
-    least = max(support * total.n, LEAST_PAGES)
-    known = _items(baskets, total.n, total.bad, int(least))
-    held = baskets.select("row", "bad", F.explode("tokens").alias("token")).join(C.maybe_broadcast_of(known.select(F.explode("alternatives").alias("token"), "item", "apart"), known), "token")
-    best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("apart")).alias("order"), "item"))), 1, items)
-    chosen = held.groupBy("row", "bad").agg(best.alias("best")).select("bad", F.col("best.item").alias("best"))
-    chosen = C.settle(chosen.select(F.when(F.col("bad"), F.array_append("best", F.lit(BAD))).otherwise(F.col("best")).alias("items")), "url-chosen")
-    n = chosen.count()
-    if not n:
-        return none
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=confidence).fit(chosen)
-    rules = found.associationRules.filter(F.col("consequent")[0] == BAD).filter((F.col("confidence") >= confidence) & (F.col("confidence") >= lift * total.bad / total.n))
-    rules = C.settle(rules.select(F.array_sort("antecedent").alias("items"), "confidence"), "url-rules")
-    kept = _minimal(rules).withColumn("rule", F.array_join("items", " & "))
-    parts = kept.select("rule", "items", "confidence", F.explode("items").alias("item")).join(C.maybe_broadcast(known), "item")
-    shown = parts.groupBy("rule", "items", "confidence").agg(F.sort_array(F.collect_list("alternatives")).alias("need"), F.min(F.struct("n", "item", "alternatives"))["alternatives"].alias("anchor"))
-    return C.settle(shown.select("rule", F.col("items").alias("tokens"), "need", F.size("items").alias("size"), "confidence", "anchor"), "url-kept")
+        return baskets.sparkSession.createDataFrame([], _RULES)
+    least, sure = max(support * total.n, LEAST_PAGES), max(confidence, lift * total.bad / total.n)
+    known = _items(baskets, least)
+    # An item that stands in bad pages only is a rule, and none of its combinations is surer.
+    alone = known.filter((F.col("n") == F.col("n_bad")) & (F.lit(1.0) >= sure)).select(F.array("key").alias("items"), F.lit(1.0).alias("confidence"))
+    mixed = known.filter(F.col("n") > F.col("n_bad"))
+    held = baskets.select("row", "bad", F.explode("tokens").alias("token")).join(C.maybe_broadcast_of(mixed.select(F.explode("alternatives").alias("token"), "key", F.col("n").alias("pages")), known), "token")
+    chosen = held.groupBy("row", "bad").agg(F.sort_array(F.collect_set(F.struct("pages", "key"))).alias("own")).select("bad", F.col("own.key").alias("keys"))
+    chosen = chosen.groupBy("keys").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
+    bases = chosen.select(F.posexplode("keys").alias("at", "key"), "keys", "n", "n_bad").select("key", F.expr("slice(keys, at + 2, size(keys))").alias("rest"), "n", "n_bad")
+    bases = C.settle(bases.groupBy("key", "rest").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")), "url-bases")
+    several = bases.groupBy("key").applyInPandas(_grower(least, sure), "items array<string>, confidence double")
+    rules = C.settle(alone.unionByName(several), "url-rules")
+    kept = _minimal(rules)
+    named = known.select("key", "item", "alternatives", "n")
+    parts = kept.select("items", "confidence", F.explode("items").alias("key")).join(C.maybe_broadcast_of(named, known), "key")
+    shown = parts.groupBy("items", "confidence").agg(F.sort_array(F.collect_list("item")).alias("tokens"), F.sort_array(F.collect_list("alternatives")).alias("need"), F.min(F.struct("n", "item", "alternatives"))["alternatives"].alias("anchor"))
+    return C.settle(shown.select(F.array_join("tokens", " & ").alias("rule"), "tokens", "need", F.size("tokens").alias("size"), "confidence", "anchor"), "url-kept")
 
 
 def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:

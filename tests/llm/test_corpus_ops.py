@@ -782,6 +782,42 @@ def test_mined_rules_match_brute_force(spark):
     assert all(judged[i] == ("block" if any(e <= baskets[i][0] for e in every) else "allow") for i in range(600))
 
 
+def test_rules_of_pages_with_many_items(spark):
+    """Pages with up to ten items that set bad pages apart more clearly than the two of the surest rule."""
+    rng = np.random.default_rng(12)
+    rows, labels, baskets = [], [], []
+    for i in range(600):
+        bad = int(i % 10 == 0)
+        own = "xy" if bad else "xy"[int(rng.integers(2))]
+        tokens = {f"path={w}" for w in own} | {f"path=d{k}" for k in range(10) if rng.random() < (0.9 if bad else 0.3)}
+        rows.append((i, "x://h/" + "/".join(t[5:] for t in sorted(tokens))))
+        labels.append((i, 1 - bad, 0))
+        baskets.append((tokens | {"host=h"}, bad))
+    rules = url_rules.mine(frame(spark, rows, "page_id long, url string"), frame(spark, labels, "doc_id long, quality int, toxic int")).collect()
+    got = {tuple(r.tokens): r.confidence for r in rules}
+    wanted = brute_rules(baskets, 8, 0.6, 2.0)
+    assert wanted["path=x", "path=y"] == 1.0 and {k: v for k, v in got.items() if len(k) <= 3} == wanted
+    for own, confidence in got.items():
+        with_all = [b for t, b in baskets if t >= set(own)]
+        assert sum(with_all) >= 8 and confidence == sum(with_all) / len(with_all)
+
+
+def test_rules_of_nested_items(spark):
+    """Forty path segments, each in fewer pages than the one before and each in good pages too: one item says all that several do."""
+    rows = [(i, "x://h/" + "/".join(f"s{k}" for k in range(i % 40 + 1))) for i in range(1200)]
+    labels = [(i, int(i % 40 < 10 or i % 3 == 0), 0) for i in range(1200)]
+    began = time.monotonic()
+    rules = url_rules.mine(frame(spark, rows, "page_id long, url string"), frame(spark, labels, "doc_id long, quality int, toxic int"), confidence=0.6, lift=1.0).collect()
+    assert rules and all(r["size"] == 1 for r in rules) and time.monotonic() - began < 60
+
+
+def test_rules_are_mined_from_every_labelled_page(spark):
+    pages = spark.range(520_000).select(F.col("id").alias("page_id"), F.concat(F.lit("x://h/"), F.when(F.col("id") < 800, "spam").otherwise("news")).alias("url"))
+    labels = pages.select(F.col("page_id").alias("doc_id"), F.when(F.col("page_id") < 600, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    rules = url_rules.mine(pages, labels).collect()
+    assert [(r.tokens, r.confidence) for r in rules] == [(["path=spam"], 0.75)]
+
+
 @pytest.mark.parametrize("deep", [12, 400])
 def test_deep_repeated_urls_are_mined_in_bounded_time(spark, deep):
     one = "https://a.b.example.org/" + "/".join(f"s{k}" for k in range(deep))
