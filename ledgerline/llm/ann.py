@@ -414,10 +414,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, ef: int | None
     blank = {"ids": F.array(F.col("vec_id")), "links": F.lit(None).cast("array<int>"), "begins": F.lit(None).cast("array<int>")}
     sent = asked.withColumn("dim", F.size("vec")).join(C.maybe_broadcast(shards), "dim").select("shard", F.lit(1).alias("kind"), F.pmod(F.xxhash64("vec_id"), F.lit(2**31 - 1)).cast("int").alias("no"), blank["ids"].alias("ids"), "vec", blank["links"].alias("links"), blank["begins"].alias("begins"))
     # A shard's nodes come first in its partition, then the queries in random order, which are searched block by block.
-    rows = graph.unionByName(sent).repartition(max(LEAST_SHARDS * 4, 32), "shard").sortWithinPartitions("shard", "kind", "no", "ids")
+    of_dims = shards.groupBy("dim").count().agg(F.sum("count"), F.min("count")).first()
+    many, fewest = of_dims[0] or 1, of_dims[1] or 1
+    # Tasks follow the shards, many more than these where these are many, so that few tasks hold several.
+    rows = graph.unionByName(sent).repartition(LEAST_SHARDS * 4 if many <= LEAST_SHARDS * 2 else many * 16, "shard").sortWithinPartitions("shard", "kind", "no", "ids")
     # Of a query's k nearest so many stand in a shard, but for few.
-    share = k / max(1, graph.agg(F.count_distinct("shard")).first()[0])
-    of = min(k + 1, int(np.ceil(share + 2 * np.sqrt(share))))
+    of = min(k + 1, int(np.ceil(k / fewest + 2 * np.sqrt(k / fewest))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Graph | None = None
