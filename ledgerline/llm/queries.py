@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import ann, decontaminate, html_extract, license_scan, mixing, near_dup, secret_scan, sharding, toxicity, url_rules
+from ledgerline.llm import ann, common, decontaminate, html_extract, importance, license_scan, mixing, near_dup, periodic, secret_scan, sharding, token_counts, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +66,41 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call begins with an empty cache of its own, so that it encodes all there is to encode."""
+    cache = f"{common.shared_dir(spark).rstrip('/')}/ledgerline/token-cache-{uuid.uuid4().hex}"
+    counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _planted(doc_id: Column, text: Column) -> Column:
+    """The text, in which some ids (a tenth, by their CRC-32) repeat a stretch of words to the end."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    times = F.ceil((n - a) / p)
+    again = F.slice(F.flatten(F.array_repeat(F.slice(words, a.cast("int") + 1, p.cast("int")), times.cast("int"))), F.lit(1), (n - a).cast("int"))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), again), " ")).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = periodic.periodic_runs(docs.select("doc_id", _planted(F.col("doc_id"), F.col("text")).alias("text")))
+    ahead = lambda r, best: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(ahead(r, best), r).otherwise(best))
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long")
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -76,6 +114,9 @@ QUERIES: dict[str, Query] = {
         op8_minhash_near_dedup,
         op9_mixing_sources,
         op10_secret_scan,
+        op11_token_counts,
+        op12_importance_resampling,
+        op13_periodic_runs,
     )
 }
 
@@ -198,3 +239,52 @@ l AS (SELECT string_split('{",".join(map(str, sharding.fill_table(SHARDS)))}', '
 t AS (SELECT generate_subscripts(owners, 1) - 1 AS slot, unnest(owners) AS owner FROM l)
 SELECT doc_id, slot, 'shard-' || lpad(owner, 3, '0') AS shard FROM d JOIN t USING (slot)
 """
+
+
+def _crc32(blob: str) -> str:
+    """The CRC-32 of a blob, byte by byte, each looked up in the table of the polynomial."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    digits = f"list_transform(range(1, 2 * octet_length({blob}) + 1, 2), lambda i: ('0x' || hex({blob})[i:i + 1])::BIGINT)"
+    return f"xor(4294967295, list_reduce([4294967295::BIGINT] || {digits}, lambda c, b: xor(c >> 8, ({table}::BIGINT[])[xor(c, b) % 256 + 1])))"
+
+
+#: Weights and scores in the order of the contract; a bucket of a word is made once for each distinct word.
+ORACLE["op12_importance_resampling"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS ws FROM documents),
+o AS (SELECT row, unnest(ws) AS word FROM d),
+b AS (SELECT unnest(ws) AS word FROM (SELECT {_WORDS} AS ws FROM benchmark)),
+v AS (SELECT word, {_crc32("encode(word)")} % 10000 AS bucket FROM (SELECT word FROM o UNION SELECT word FROM b)),
+s AS (SELECT bucket, count(*) AS s FROM o JOIN v USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN v USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM o) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT row, sum(gain)::BIGINT AS weight FROM o JOIN v USING (word) JOIN g USING (bucket) GROUP BY row),
+x AS (SELECT row, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296.0::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN w USING (row)),
+r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, weight DESC, n_features DESC) AS rank FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (row)
+"""
+
+#: A run of exponent 4 has four equal words in a row at multiples of its period: these are looked for, then the stretch is measured.
+ORACLE["op13_periodic_runs"] = f"""
+WITH d0 AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, {_crc32("encode(doc_id::VARCHAR)")} AS h FROM documents),
+d1 AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d0),
+d2 AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM d1),
+d AS (SELECT row, doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS ws FROM d2),
+q AS (SELECT row, unnest(range(1, n // 4 + 1)) AS q FROM d),
+c AS (SELECT row, q, ws, n FROM q JOIN d USING (row)
+  WHERE len(list_filter(range(0, (n - 1) // q - 2), lambda k: ws[k * q + 1] = ws[(k + 1) * q + 1] AND ws[k * q + 1] = ws[(k + 2) * q + 1] AND ws[k * q + 1] = ws[(k + 3) * q + 1])) > 0),
+e AS (SELECT row, q, unnest(list_filter(range(0, n - q), lambda i: ws[i + 1] = ws[i + q + 1])) AS i FROM c),
+f AS (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM e),
+s AS (SELECT row, q, min(i) AS start, count(*) + q AS length FROM f GROUP BY row, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT row, start, length, min(q) AS period FROM s GROUP BY row, start, length),
+l AS (SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY row),
+m AS (SELECT a.row, a.start, a.length, a.period FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.row = a.row AND (b.length * a.period > a.length * b.period OR (b.length * a.period = a.length * b.period AND (b.start, b.period) < (a.start, a.period))))),
+g AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT row, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM d) w WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.row = w.row AND g.i = w.i) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN l USING (row) LEFT JOIN m USING (row) LEFT JOIN k USING (row)
+"""
