@@ -4,7 +4,10 @@ A text's content is the text with every run of ASCII white space as one space, n
 empty. Its SHA-256 digest and that of the tokenizer (its file, its library and that library's version) name
 a count in the cache, a Parquet table that runs share. Of the contents of a table, those whose digest the
 cache lacks are encoded, each once, and their counts are appended; every document then takes its count by its
-digest. The tokenizers that count white space itself (any but those that drop it) keep their texts unchanged as content.
+digest. Tokenizers that don't drop white space keep their texts unchanged as content.
+
+A tokenizer that drops white space encodes the words between it one by one, so a content's count is the sum of its
+words' counts; while contents are encoded, a word that a task has met before isn't encoded again.
 
 Texts move only where they must: digests are compared with the cache first. Few misses are picked out of
 the table by a broadcast of their digests; many are reduced to one text a digest, within each input split
@@ -22,9 +25,12 @@ from __future__ import annotations
 
 import hashlib
 import importlib.metadata
+import json
 import os
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +39,11 @@ from ledgerline.llm import common as C
 
 #: Bytes of text that are encoded at a time; a longer text is encoded by itself.
 ENCODE_BYTES = 1 << 18
+#: Words that a task remembers, and the characters that such a word has at most.
+REMEMBERED, SHORT = 500_000, 64
+#: Words that are encoded as one text.
+TOGETHER = 256
+SPACE = " \t\n\x0b\x0c\r"
 _ENTRY = "content binary, n_tokens long"
 
 
@@ -64,10 +75,45 @@ def encoder(vocabulary: str):
     return lambda texts: [len(e) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def word_counter(vocabulary: str):
+    """A function from words to their numbers of tokens, for a tokenizer that drops white space: many words are encoded as one text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(vocabulary)
+    model.no_truncation()
+    model.no_padding()
+
+    def count(words: list[str]) -> list[int]:
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        out: list[int] = []
+        for group, e in zip(groups, model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            ends = np.cumsum([len(w) + 1 for w in group])
+            starts = np.fromiter((a for a, _ in e.offsets), np.int64, len(e))
+            out += np.bincount(np.searchsorted(ends, starts, "right"), minlength=len(group)).tolist()
+        return out
+
+    return count
+
+
 def drops_space(vocabulary: str) -> bool:
-    """Whether a text's count stays the same when runs of white space become one space, tried on a text that tells."""
-    count = encoder(vocabulary)
-    return count(["a \t b\n\n\nc \x0b\x0c d  e"]) == count(["a b c d e"]) and count(["   "]) == [0]
+    """Whether a tokenizer reads the words between ASCII white space apart from each other, and drops that white space.
+
+    So it is if it looks for pieces by one pattern that can't match white space or look around itself, throws away what is between
+    them, normalises by characters, and has no added token that reaches into white space.
+    """
+    if _library(vocabulary) == "sentencepiece":
+        return False
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    parts = lambda name, many: [spec[name]] if spec[name] and spec[name]["type"] != "Sequence" else (spec[name] or {}).get(many, [])
+    first = (parts("pre_tokenizer", "pretokenizers") or [{}])[0]
+    pattern = (first.get("pattern") or {}).get("Regex", r"\s")
+    apart = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and "(?" not in pattern and not re.search(r"\\[bBAZzG]|\^(?!\\s)|\$", pattern)
+    local = all(n["type"] in ("NFC", "NFD", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} for n in parts("normalizer", "normalizers"))
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or set(t["content"]) & set(SPACE)) for t in spec["added_tokens"])
+    alone = spec["post_processor"] is None
+    return bool(apart and local and added and alone and not any(encoder(vocabulary)([*SPACE, SPACE])))
 
 
 def content(text: Column, spaceless: bool) -> Column:
@@ -76,11 +122,32 @@ def content(text: Column, spaceless: bool) -> Column:
     return F.trim(F.regexp_replace(whole, r"[\x20\x09-\x0D]+", " ")) if spaceless else whole
 
 
+class Words:
+    """Counts of texts with single spaces between words, as sums over words that are each encoded once while they are remembered."""
+
+    def __init__(self, count) -> None:
+        self.count, self.known = count, {"": 0}
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        words = [t.split(" ") for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = {"": 0}
+        fresh = [w for w in set().union(*words) if w not in self.known]
+        counts = dict(zip(fresh, self.count(fresh)))
+        self.known |= counts
+        out = [sum(map(self.known.__getitem__, ws)) for ws in words]
+        for w in fresh:
+            if len(w) > SHORT:
+                del self.known[w]
+        return out
+
+
 def _encode(texts: DataFrame, vocabulary: str) -> DataFrame:
     """content and n_tokens of texts (content, text)."""
+    by_words = drops_space(vocabulary)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(vocabulary)
+        count = Words(word_counter(vocabulary)) if by_words else encoder(vocabulary)
         for batch in batches:
             texts, counts, held, size = batch.column(1), [], [], 0
             for k in range(batch.num_rows):

@@ -82,7 +82,7 @@ def test_repeated_entries_of_a_cache_count_once_and_other_tokenizers_are_misses(
     assert Counter(map(tuple, got)) == Counter((r[0], n) for r, n in zip(rows, brute_tokens([r[1] for r in rows], PIECES)))
 
 
-def test_a_count_is_that_of_its_content():
+def test_a_count_is_that_of_its_content_and_the_sum_of_its_words(monkeypatch):
     rng = random.Random(3)
     parts = ["a", "B", "́", "̌", "J", "'", "s", "<|endoftext|>", "<|", "|>", "7", "é", "ß", "Σ", " ", "-", "😀"]
     spaces = [" ", "  ", "\t", "\n\n", "\x0b \x0c", "\r\n"]
@@ -90,7 +90,11 @@ def test_a_count_is_that_of_its_content():
     flat = [re.sub(r"[\x20\x09-\x0D]+", " ", t).strip(" ") for t in texts]
     count = token_counts.encoder(WORDS)
     assert token_counts.drops_space(WORDS) and count(texts) == count(flat)
-    assert not token_counts.drops_space(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not token_counts.drops_space(public_tokenizers.path("byte_bpe_50k.json")) and not token_counts.drops_space(PIECES)
+    monkeypatch.setattr(token_counts, "REMEMBERED", 40)
+    words = token_counts.Words(token_counts.word_counter(WORDS))
+    assert [n for k in range(0, 3000, 7) for n in words(flat[k : k + 7])] == count(flat)
+    assert len(words.known) < 200
 
 
 def test_token_counts_of_an_empty_table_append_nothing(spark, tmp_path):
