@@ -1,8 +1,13 @@
-"""Wire episodes: flows of one conversation whose gaps are within a tolerance, merged by a running maximum of end times."""
+"""Wire episodes: flows of one conversation whose gaps are within a tolerance, merged by a running maximum of end times.
+
+Conversations are worked on in cells of time, so one that holds most flows is the work of many tasks: a
+cell learns from one row a cell how far the flows before it reach, merges its own, and only its first and last
+episodes meet those of other cells.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import targets as T
@@ -11,6 +16,8 @@ from ledgerline.functions import targets as T
 LEAST_TOLERANCE_MS = 1000
 #: Rank order of the classifications.
 CLASSES = ["classified", "unclassified", "opaque"]
+#: Milliseconds of a cell of time.
+CELL_MS = 900_000
 CONVERSATION = ["host", "port", "pid", "pid_start_time", "flow_scope", "process_attribution"]
 
 
@@ -23,7 +30,7 @@ def targeted(flows: DataFrame) -> DataFrame:
     name = T.normal_host(F.col("resolved_host"))
     host, start = F.coalesce(name, T.normal_host(F.col("dst_ip"))), F.col("t_start_bucket") * 1000
     rank = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("classification")).cast("int")
-    made = {"named": name.isNotNull(), "host": host, "port": T.normal_port(F.col("dst_port")), "start_ms": start, "end_ms": start + F.coalesce("duration_ms", F.lit(0)), "class_rank": rank}
+    made = {"named": name.isNotNull(), "host": host, "port": T.normal_port(F.col("dst_port")), "start_ms": start, "end_ms": start + F.greatest(F.coalesce("duration_ms", F.lit(0)), F.lit(0)), "class_rank": rank}
     return flows.withColumns(made).filter("host is not null")
 
 
@@ -34,24 +41,49 @@ def readings(flows: DataFrame) -> DataFrame:
     return one.select("flow_id", *CONVERSATION, "e.start_ms", "end_ms", "bytes_out", "class_rank", "named", "e.provider_ref")
 
 
-def episodes(flows: DataFrame, join_tolerance_ms: int = 250) -> DataFrame:
-    """Episodes: flow_id (the smallest), target, process, scope, attribution, span, bytes, flows, classification, provider (the earliest)."""
-    order = Window.partitionBy(*CONVERSATION).orderBy("start_ms", "end_ms", "flow_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    open_end = F.max("end_ms").over(before)
-    fresh = (open_end.isNull() | (F.col("start_ms") - open_end > tolerance(join_tolerance_ms))).cast("int")
-    cut = readings(flows).withColumn("fresh", fresh).withColumn("episode", F.sum("fresh").over(order))
-    merged = cut.groupBy(*CONVERSATION, "episode").agg(
+def _together(head: str) -> list[Column]:
+    """What pieces of one episode make together."""
+    return [
         F.min("flow_id").alias("flow_id"),
         F.min("start_ms").alias("start_ms"),
         F.max("end_ms").alias("end_ms"),
         F.sum("bytes_out").alias("bytes_out"),
-        F.count("*").alias("flows"),
+        F.sum("flows").alias("flows"),
         F.max("class_rank").alias("class_rank"),
         F.every("named").alias("named"),
-        F.min_by("provider_ref", F.struct("start_ms", "end_ms", "flow_id")).alias("provider_ref"),
-    )
-    return merged.withColumn("classification", F.element_at(F.array(*map(F.lit, CLASSES)), F.col("class_rank"))).drop("class_rank", "episode")
+        F.min(head).alias("head"),
+    ]
+
+
+def pieces(flows: DataFrame, cell_ms: int = CELL_MS) -> DataFrame:
+    """Flows of a conversation that begin at the same time, as one piece, with the cell of time that they begin in."""
+    head = F.struct("start_ms", F.col("end_ms").alias("until"), F.col("flow_id").alias("id"), F.col("provider_ref").alias("provider"))
+    read = readings(flows).withColumns({"head": head, "flows": F.lit(1).cast("long"), "at": F.col("start_ms")})
+    return read.groupBy(*CONVERSATION, "at").agg(*_together("head")).withColumn("cell", F.floor(F.col("at") / cell_ms)).drop("at")
+
+
+def episodes(flows: DataFrame, join_tolerance_ms: int = 250, cell_ms: int = CELL_MS) -> DataFrame:
+    """Episodes: flow_id (the smallest), target, process, scope, attribution, span, bytes, flows, classification, provider (the earliest)."""
+    own = pieces(flows, cell_ms)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    by_cell = Window.partitionBy(*CONVERSATION).orderBy("cell")
+    reach = own.groupBy(*CONVERSATION, "cell").agg(F.max("end_ms").alias("reach"))
+    reach = reach.withColumn("carried", F.max("reach").over(earlier(by_cell))).drop("reach")
+    order = Window.partitionBy(*CONVERSATION, "cell").orderBy("start_ms")
+    # A cell's row of what is carried in stands before its pieces.
+    rows = own.unionByName(reach.withColumnRenamed("carried", "end_ms"), allowMissingColumns=True)
+    open_end = F.max("end_ms").over(earlier(order))
+    fresh = F.col("start_ms").isNotNull() & (open_end.isNull() | (F.col("start_ms") - open_end > tolerance(join_tolerance_ms)))
+    cut = rows.withColumn("fresh", fresh.cast("int")).withColumn("part", F.sum("fresh").over(order)).filter("start_ms is not null")
+    parts = cut.groupBy(*CONVERSATION, "cell", "part").agg(*_together("head"))
+    parts = parts.withColumn("last", F.max("part").over(Window.partitionBy(*CONVERSATION, "cell")))
+    # Part 0 goes on with what an earlier cell ended with; parts in between are whole episodes.
+    inner = (F.col("part") > 0) & (F.col("part") < F.col("last"))
+    chain = F.sum((F.col("part") > 0).cast("int")).over(Window.partitionBy(*CONVERSATION).orderBy("cell", "part"))
+    ends = parts.filter(~inner).withColumn("chain", chain).groupBy(*CONVERSATION, "chain").agg(*_together("head")).drop("chain")
+    merged = parts.filter(inner).drop("cell", "part", "last").unionByName(ends)
+    named = {"classification": F.element_at(F.array(*map(F.lit, CLASSES)), F.col("class_rank")), "provider_ref": F.col("head.provider")}
+    return merged.withColumns(named).drop("class_rank", "head")
 
 
 def bucket_counts(flows: DataFrame) -> DataFrame:

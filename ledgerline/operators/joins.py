@@ -7,7 +7,7 @@ needs to be deduplicated, and no condition with OR reaches the planner.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import targets as T
@@ -119,12 +119,43 @@ def explained(episodes: DataFrame, points: DataFrame) -> DataFrame:
 def named_at(flows: DataFrame, answers: DataFrame, least: int = 30, most: int = 3600) -> DataFrame:
     """flows (flow_id, dst_ip, at) with dns_names: names of answers (ip, name, at, ttl) that held at the flow's time.
 
-    An answer holds from its time for its lifetime, which is kept between least and most seconds. The
-    interval join meets on the address and the hour, so an address with many answers isn't one group.
+    An answer holds from its time for its lifetime, which is kept between least and most seconds; times are
+    whole seconds. A sweep, which pairs no flow with an answer: the spans of each name of an address are merged, their
+    ends cut the address's line into stretches with a set of names each, and a flow takes the set of the
+    stretch it falls in. The line is worked on in cells of most seconds, and in each only distinct seconds
+    are put in order, so no group grows with the answers or the flows of an address.
     """
+    asked = flows.select(F.col("dst_ip").alias("ip"), "at").filter("ip is not null and at is not null").distinct()
+    asked = asked.withColumn("cell", F.floor(F.col("at") / most))
+    spans = merged_spans(answers, least, most)
+    edges = spans.select("ip", "cell", F.explode(F.array("since", "until")).alias("t"), F.lit(True).alias("edge"), F.lit(False).alias("ask"))
+    times = edges.unionByName(asked.select("ip", "cell", F.col("at").alias("t"), F.lit(False).alias("edge"), F.lit(True).alias("ask")))
+    times = times.groupBy("ip", "cell", "t").agg(F.bool_or("edge").alias("edge"), F.bool_or("ask").alias("ask"))
+    line = Window.partitionBy("ip", "cell").orderBy("t")
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    # Stretches count from each edge on; those that a flow asks for have a number of their own.
+    laid = times.withColumn("stretch", F.sum(F.col("edge").cast("int")).over(line))
+    last = F.max(F.when(F.col("ask"), F.col("stretch"))).over(before)
+    laid = laid.withColumn("first", (F.col("ask") & (last.isNull() | (last < F.col("stretch")))).cast("int"))
+    laid = laid.withColumn("passed", F.coalesce(F.sum("first").over(before), F.lit(0)))
+    place = lambda t, name: laid.filter("edge").select("ip", "cell", F.col("t").alias(t), F.col("passed").alias(name))
+    held = spans.join(place("since", "begin"), ["ip", "cell", "since"]).join(place("until", "end"), ["ip", "cell", "until"]).filter("begin < end")
+    held = held.select("ip", "cell", "name", F.explode(F.sequence("begin", F.col("end") - 1)).alias("number"))
+    sets = held.groupBy("ip", "cell", "number").agg(F.array_sort(F.collect_set("name")).alias("dns_names"))
+    points = laid.filter("ask").select("ip", "cell", F.col("t").alias("at"), (F.col("passed") + F.col("first") - 1).alias("number"))
+    told = points.join(sets, ["ip", "cell", "number"]).select(F.col("ip").alias("dst_ip"), "at", "dns_names")
+    return flows.join(told, ["dst_ip", "at"], "left").select("flow_id", F.coalesce("dns_names", F.array().cast("array<string>")).alias("dns_names"))
+
+
+def merged_spans(answers: DataFrame, least: int = 30, most: int = 3600) -> DataFrame:
+    """(ip, cell, name, since, until): when each name of an address holds, in disjoint spans that end at the borders of cells of most seconds."""
     life = F.least(F.greatest("ttl", F.lit(least)), F.lit(most))
-    spans = answers.select("ip", "name", F.col("at").alias("since"), (F.col("at") + life).alias("until"))
+    spans = answers.filter("ip is not null and name is not null").select("ip", "name", F.col("at").alias("since"), (F.col("at") + life).alias("until"))
     cells = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("since") / most), F.floor((F.col("until") - 1) / most))))
-    asked = flows.select("flow_id", F.col("dst_ip").alias("ip"), "at", F.floor(F.col("at") / most).alias("cell"))
-    holds = (F.col("since") <= F.col("at")) & (F.col("at") < F.col("until"))
-    return asked.join(cells, ["ip", "cell"], "left").groupBy("flow_id").agg(F.array_sort(F.collect_set(F.when(holds, F.col("name")))).alias("dns_names"))
+    parts = cells.select("ip", "name", "cell", F.greatest("since", F.col("cell") * most).alias("since"), F.least("until", (F.col("cell") + 1) * most).alias("until"))
+    parts = parts.groupBy("ip", "name", "cell", "since").agg(F.max("until").alias("until"))
+    order = Window.partitionBy("ip", "name", "cell").orderBy("since")
+    reached = F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = parts.withColumn("fresh", (reached.isNull() | (F.col("since") > reached)).cast("int"))
+    numbered = fresh.withColumn("span", F.sum("fresh").over(order))
+    return numbered.groupBy("ip", "name", "cell", "span").agg(F.min("since").alias("since"), F.max("until").alias("until")).select("ip", "cell", "name", "since", "until")

@@ -215,3 +215,73 @@ def test_governed_types():
     from ledgerline.operators import mask as M
 
     assert M.governed_types([M.Rule("mask", (), "EMAIL")], "allow") == ["EMAIL"] and "DATE" not in M.governed_types([], "mask")
+
+
+def brute_episodes(rows, limit=1000):
+    """(flow_id, start, end, bytes, flows, provider) by the definition: a running maximum of ends over each conversation's sorted flows."""
+    talks = {}
+    for r in rows:
+        talks.setdefault((r[3], r[5], r[6], r[7], r[9], r[10]), []).append((r[1] * 1000, r[1] * 1000 + r[2], r[0], r[13], r[11]))
+    out = []
+    for own in talks.values():
+        reach = None
+        for start, end, i, size, provider in sorted(own):
+            if reach is None or start - reach > limit:
+                out.append([i, start, end, size, 1, provider])
+            else:
+                e = out[-1]
+                sizes = [x for x in (e[3], size) if x is not None]
+                out[-1] = [min(e[0], i), e[1], max(e[2], end), sum(sizes) if sizes else None, e[4] + 1, e[5]]
+            reach = end if reach is None or start - reach > limit else max(reach, end)
+    return sorted(map(tuple, out), key=repr)
+
+
+@pytest.mark.parametrize("cell_ms", [2_000, 7_000, 900_000])
+def test_episodes_meet_across_cells(spark, cell_ms):
+    rng = random.Random(cell_ms)
+    rows = [flow(i, start=rng.randint(0, 200), ms=rng.choice([0, 300, 1500, 40_000 if rng.random() < 0.05 else 10]), host=rng.choice(["a.example", "b.example"]), port=rng.choice([443, 8443]), provider=f"p{i % 9}", bytes_out=rng.choice([None, i])) for i in range(400)]
+    got = E.episodes(flows(spark, *rows), cell_ms=cell_ms).select("flow_id", "start_ms", "end_ms", "bytes_out", "flows", "provider_ref").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_episodes(rows)
+
+
+def test_a_hot_conversation_is_the_work_of_its_cells(spark):
+    from pyspark.sql import functions as F
+
+    made = spark.range(200_000).select(F.concat(F.lit("fl_"), F.col("id")).alias("flow_id"), (F.col("id") * 7 % 86_400 + F.when(F.col("id") % 86_400 > 80_000, 5000).otherwise(0)).alias("t_start_bucket"), (F.col("id") % 3 * 400).alias("duration_ms"), F.lit("h.example").alias("resolved_host"), F.lit("10.0.0.1").alias("dst_ip"),
+        F.lit(443).alias("dst_port"), F.lit(1).cast("long").alias("pid"), F.lit(5).cast("long").alias("pid_start_time"), F.lit("curl").alias("comm"), F.lit("in_scope").alias("flow_scope"), F.lit("kernel_attributed").alias("process_attribution"), F.lit("p").alias("provider_ref"), F.lit("classified").alias("classification"), F.col("id").alias("bytes_out"))
+    own = E.pieces(made)
+    assert own.groupBy(*E.CONVERSATION, "cell").count().agg(F.max("count")).first()[0] <= E.CELL_MS // 1000
+    whole = E.episodes(made).agg(F.sum("flows"), F.sum("bytes_out"), F.min("start_ms"), F.count("*")).first()
+    assert whole[0] == 200_000 and whole[1] == 199_999 * 100_000
+    wide = E.episodes(made, cell_ms=10**12)
+    assert E.episodes(made).exceptAll(wide).count() == 0 and wide.count() == whole[3]
+
+
+def brute_names(asked, told):
+    return {i: sorted({n for ip2, n, since, ttl in told if ip == ip2 and since is not None and at is not None and since <= at < since + min(max(ttl, 30), 3600)}) for i, ip, at in asked}
+
+
+def test_names_at_a_time_agree_with_brute_force(spark):
+    rng = random.Random(8)
+    asked = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, rng.randint(0, 9000)])) for i in range(500)]
+    told = [(rng.choice(["a", "b"]), f"n{rng.randint(0, 12)}", rng.randint(0, 9000), rng.choice([0, 31, 700, 5000])) for _ in range(150)] + [(None, "x", 1, 1), ("a", None, 1, 1)]
+    f, a = spark.createDataFrame(asked, "flow_id long, dst_ip string, at long"), spark.createDataFrame(told, "ip string, name string, at long, ttl long")
+    got = {r.flow_id: r.dns_names for r in J.named_at(f, a).collect()}
+    assert got == brute_names(asked, [t for t in told if t[0] and t[1]])
+    assert J.named_at(f.limit(0), a).count() == 0 and {tuple(r.dns_names) for r in J.named_at(f, a.limit(0)).collect()} == {()}
+
+
+def test_a_hot_address_is_swept_in_its_seconds(spark):
+    """One address holds nearly all flows and answers: each group that is put in order has the seconds of a cell at most."""
+    from pyspark.sql import functions as F
+
+    answers = spark.range(100_000).select(F.lit("hot").alias("ip"), F.concat(F.lit("n"), F.col("id") % 5).alias("name"), (F.col("id") % 7200).alias("at"), (F.col("id") % 90).alias("ttl"))
+    flows_ = spark.range(200_000).select(F.col("id").alias("flow_id"), F.lit("hot").alias("dst_ip"), (F.col("id") * 31 % 10_000).alias("at"))
+    spans = J.merged_spans(answers)
+    assert spans.groupBy("ip", "name", "cell").count().agg(F.max("count")).first()[0] <= 3600 and spans.count() < 5 * 7300
+    got = J.named_at(flows_, answers).groupBy(F.size("dns_names").alias("n")).count().collect()
+    assert sum(r["count"] for r in got) == 200_000 and {r.n for r in got} >= {0, 5}
+    some = J.named_at(flows_.filter("flow_id < 300"), answers).collect()
+    told = [("hot", f"n{i % 5}", i % 7200, i % 90) for i in range(100_000)]
+    near = lambda at: [t for t in told if at - 90 <= t[2] <= at]
+    assert all(r.dns_names == brute_names([(0, "hot", r.flow_id * 31 % 10_000)], near(r.flow_id * 31 % 10_000))[0] for r in some[:60])
