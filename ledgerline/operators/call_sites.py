@@ -102,6 +102,23 @@ def matched(calls: DataFrame, rules: DataFrame) -> DataFrame:
     return met.filter(inside & named & method).drop("head")
 
 
+def with_constructor(calls: DataFrame, writes: DataFrame) -> DataFrame:
+    """calls (path, scope, receiver, start, ...) with constructor: the arguments that the receiver was last made with.
+
+    writes (path, scope, variable, start, arguments) are the constructor calls that are assigned to variables. It is an as-of join: of
+    the writes of the variable in the same scope, the last before the call counts; one at the same place
+    comes after the call's own reading, and so does not. A scope of a file is put in order, never more.
+    """
+    own = F.struct(*(F.col(f"`{c}`") for c in calls.columns)).alias("call")
+    asked = calls.select("path", "scope", F.col("receiver").alias("variable"), "start", own)
+    made = writes.select("path", "scope", "variable", "start", F.struct("arguments").alias("made"))
+    line = Window.partitionBy("path", "scope", "variable").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    # Of writes that stand at one place, the greatest arguments count, so that reruns agree.
+    met = made.groupBy("path", "scope", "variable", "start").agg(F.max("made").alias("made")).unionByName(asked, allowMissingColumns=True)
+    last = F.max(F.when(F.col("made").isNotNull(), F.struct("start", "made"))).over(line)
+    return met.withColumn("last", last).filter("call is not null").select("call.*", F.col("last.made.arguments").alias("constructor"))
+
+
 def declared_points(sites: DataFrame) -> DataFrame:
     """Points of call sites: ep_id by path, symbol, shape and occurrence; lines take no part in it. Unsure bindings weaken a finding."""
     shape = F.concat_ws("/", "egress_kind", "method", "module")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.tables import maybe_broadcast, settle
+
 EVENT = (
     "schema_version string, egress_event_id string, process struct<language:string,runtime:string,entrypoint_hint:string>, library struct<module:string,mechanism:string>, operation string,"
     " target struct<host_id:string,port:int,path_template:string,provider_ref:string>, payload_shape struct<field_paths:array<string>,byte_size_estimate:bigint,truncated_depth:int>,"
@@ -39,10 +43,25 @@ def _record(text: Column, ddl: str) -> Column:
     return F.when(known, F.from_json(text, ddl, {"mode": "PERMISSIVE"}))
 
 
+def _file() -> Column:
+    """The name of a row's file, as it is written in the folder."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def _lines(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
-    """(file, line, raw) of the non-blank lines of matching files; a file is read whole, so that lines have numbers."""
-    whole = spark.read.text(directory, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=False).select(F.col("_metadata.file_name").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("line", "raw")).filter(F.trim("raw") != "").withColumn("line", F.col("line") + 1)
+    """(file, path, line, raw) of the non-blank lines of matching files, in as many tasks as their splits.
+
+    A line's number is its place in its split after the number of lines in the file's earlier splits, which one pass counts.
+    """
+    text = spark.read.text(directory, pathGlobFilter=pattern, recursiveFileLookup=False, lineSep="\n")
+    split = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    rows = text.select(*split, F.monotonically_increasing_id().alias("id"))
+    counts = rows.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = settle(counts.select("path", "block", (F.col("first") - F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("start")), "splits")
+    lines = text.select(*split, _file().alias("file"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
+    numbered = lines.join(maybe_broadcast(starts), ["path", "block"])
+    return numbered.filter(F.trim("raw") != "").select("file", "path", (F.col("id") - F.col("start") + 1).alias("line"), "raw")
 
 
 def read_events(spark: SparkSession, directory: str) -> DataFrame:
@@ -60,7 +79,7 @@ def stream_events(spark: SparkSession, directory: str) -> DataFrame:
 
 def read_status(spark: SparkSession, directory: str) -> DataFrame:
     """Status files: stream (the file that one is about), counts and window; a hook that isn't active watched for no time."""
-    raw = spark.read.text(directory, wholetext=True, pathGlobFilter="*.status.json").select(F.regexp_replace(F.col("_metadata.file_name"), r"\.status\.json$", "").alias("stream"), F.from_json("value", STATUS).alias("s"))
+    raw = spark.read.text(directory, wholetext=True, pathGlobFilter="*.status.json").select(F.regexp_replace(_file(), r"\.status\.json$", "").alias("stream"), F.from_json("value", STATUS).alias("s"))
     window = F.when(F.col("s.hook_status") == "active", F.col("s.observation_window_ms")).otherwise(F.lit(0))
     safe = F.slice(F.filter(F.coalesce("s.failures", F.array().cast("array<string>")), lambda t: t.rlike(SAFE_TOKEN)), 1, FAILURES)
     return raw.select("stream", F.col("s.hook_status").alias("hook_status"), F.coalesce("s.dropped_events_count", F.lit(0)).alias("dropped"), window.alias("window_ms"), safe.alias("failures"))
@@ -82,15 +101,29 @@ def collected(streams: DataFrame) -> DataFrame:
 
 
 def read_flows(spark: SparkSession, directory: str) -> DataFrame:
-    """Flow records of *.json and *.jsonl files, which hold an array, one object, or an object per line: file, flow; whole duplicates go."""
-    whole = spark.read.text(directory, wholetext=True, pathGlobFilter="*.{json,jsonl}").select(F.col("_metadata.file_name").alias("file"), F.trim("value").alias("value"))
+    """Flow records of *.json and *.jsonl files, which hold an array, one object, or an object per line: file, flow; whole duplicates go.
+
+    Files are read by lines. Only those in which some line isn't an object (an array, an object over several lines, a
+    broken line) are read whole, by their names.
+    """
+    lines = _lines(spark, directory, "*.{json,jsonl}")
+    is_object = F.json_object_keys("raw").isNotNull() & F.ltrim("raw").startswith("{")
+    whole = [r.path for r in lines.filter(~is_object).select("path").distinct().collect()]
+    objects = lines.filter(~F.col("path").isin(whole)).select("file", F.from_json("raw", FLOW).alias("flow"))
+    if whole:
+        objects = objects.unionByName(_whole_flows(spark, [unquote(p) for p in whole]))
+    return objects.filter("flow is not null").dropDuplicates(["flow"])
+
+
+def _whole_flows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    whole = spark.read.text(paths, wholetext=True).select(_file().alias("file"), F.btrim("value", F.lit(" \t\r\n")).alias("value"))
     array = F.from_json("value", F.lit(f"array<struct<{_nested(FLOW)}>>"))
-    one = F.when(F.json_object_keys("value").isNotNull() & ~F.col("value").rlike(r"\}\s*\n\s*\{"), F.col("value"))
+    by_line = F.json_object_keys(F.regexp_extract("value", r"^[^\n]*", 0)).isNotNull()
+    one = F.when(F.json_object_keys("value").isNotNull() & ~by_line, F.col("value"))
     kinds = whole.withColumn("one", one)
     arrays = kinds.filter(F.col("value").startswith("[")).select("file", F.explode(array).alias("flow"))
     lines = kinds.filter(~F.col("value").startswith("[")).select("file", F.explode(F.when(F.col("one").isNotNull(), F.array("one")).otherwise(F.split("value", "\n"))).alias("raw"))
-    objects = lines.filter(F.trim("raw") != "").select("file", F.from_json("raw", FLOW).alias("flow"))
-    return arrays.unionByName(objects).filter("flow is not null").dropDuplicates(["flow"])
+    return arrays.unionByName(lines.filter(F.trim("raw") != "").select("file", F.from_json("raw", FLOW).alias("flow")))
 
 
 def _nested(ddl: str) -> str:

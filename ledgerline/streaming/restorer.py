@@ -15,11 +15,14 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+
+from ledgerline.streaming.ordered import SHIFT
 
 HOLD_MS = 40
-OUT = "lane string, seq long, text string, final boolean"
-STATE = "held string, since long"
+OUT = StructType([StructField("lane", StringType()), StructField("seq", LongType()), StructField("text", StringType()), StructField("final", BooleanType())])
+STATE = StructType([StructField("held", StringType()), StructField("since", LongType()), StructField("seq", LongType())])
 
 
 @dataclass
@@ -167,21 +170,60 @@ def ordered_frames(frames: DataFrame, originals: dict[str, str]) -> DataFrame:
     return frames.groupBy("stream").agg(own).mapInPandas(run, "stream long, place long, lane string, text string")
 
 
-def restored_stream(chunks: DataFrame, originals: dict[str, str], wait: bool = False) -> DataFrame:
-    """lane, seq, text, final of a stream of chunks (lane, seq, now_ms, text, last); originals are those of the request's snapshot. A lane's state goes with its last chunk."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, since = state.get if state.exists else ("", None)
-        own = Hold(originals, held, since)
-        out = []
-        for seq, now, text, last in pd.concat(list(batches)).sort_values("seq")[["seq", "now_ms", "text", "last"]].itertuples(index=False):
-            told = own.tick(int(now), wait) + own.push(text or "", int(now))
+class Restorer(StatefulProcessor):
+    """The state of a lane: what it holds back and since when, and the number of its last chunk."""
+
+    def __init__(self, originals: dict[str, str], wait: bool) -> None:
+        self.originals, self.wait = originals, wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("held", STATE)
+
+    def _load(self) -> tuple[Hold, int | None]:
+        held, since, _ = self.state.get() if self.state.exists() else ("", None, None)
+        return Hold(self.originals, held, since), since
+
+    def _save(self, own: Hold, seq: int, timer: int | None) -> None:
+        """Keep what is held, with a timer at the end of its patience in place of the one before."""
+        if timer is not None and timer != own.since and not self.wait:
+            self.handle.deleteTimer(timer + HOLD_MS + SHIFT)
+        if not own.held:
+            self.state.clear()
+            return
+        self.state.update((own.held, own.since, seq))
+        if timer != own.since and not self.wait:
+            self.handle.registerTimer(own.since + HOLD_MS + SHIFT)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        own, timer = self._load()
+        out, seq = [], None
+        for seq, now, text, last in pd.concat(list(rows)).sort_values("seq")[["seq", "now_ms", "text", "last"]].itertuples(index=False):
+            told = own.tick(int(now), self.wait) + own.push(text or "", int(now))
             told += own.flush() if last else ""
             out.append((key[0], int(seq), told, bool(last)))
-        if own.held:
-            state.update((own.held, own.since))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["lane", "seq", "text", "final"])
+        self._save(own, int(seq), timer)
+        yield pd.DataFrame(out, columns=OUT.names)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A lane that fell silent: what it holds is let go, with the number of its last chunk."""
+        own, _ = self._load()
+        out = []
+        if own.held and own.since + HOLD_MS + SHIFT <= timerValues.getCurrentWatermarkInMs():
+            out = [(key[0], self.state.get()[2], own.flush(), False)]
+            self.state.clear()
+        yield pd.DataFrame(out, columns=OUT.names)
+
+    def close(self) -> None:
+        pass
+
+
+def restored_stream(chunks: DataFrame, originals: dict[str, str], wait: bool = False, delay: str = "10 seconds") -> DataFrame:
+    """lane, seq, text, final of a stream of chunks (lane, seq, now_ms, text, last); originals are those of the request's snapshot. A lane's state goes with its last chunk.
 
-    return chunks.groupBy("lane").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    now_ms is when the chunk arrived. A lane that falls silent is let go by a timer once the watermark, now_ms of any
+    lane less the delay, is HOLD_MS past the time of what it holds; by Spark's rule a chunk that is read more
+    than the delay after later ones have been is dropped, so the delay must exceed the disorder of the source. With wait, nothing is let go.
+    """
+    stamped = chunks.withColumn("arrived", F.timestamp_millis(F.col("now_ms") + SHIFT)).withWatermark("arrived", delay)
+    return stamped.groupBy("lane").transformWithStateInPandas(statefulProcessor=Restorer(originals, wait), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
