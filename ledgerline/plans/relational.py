@@ -305,11 +305,16 @@ def q31_latency_quantiles(spark, sf_dir):
     return W.latency(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("value").alias("ms"), "ts", "event_id"))
 
 
+def dns_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Flows (flow_id, dst_ip, at) and answers (ip, name, at, ttl)."""
+    flows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("flow_id"), F.concat(F.lit("ip"), (F.col("o_custkey") % 50).cast("string")).alias("dst_ip"), ((F.col("o_orderkey") * 7919) % 20000).alias("at"))
+    answers = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("ip"), (F.col("event_id") % 50).cast("string")).alias("ip"), F.concat(F.lit("n"), (F.col("user_id") % 40).cast("string")).alias("name"), ((F.col("event_id") * 31) % 20000).alias("at"), ((F.col("event_id") % 5) * 1000).alias("ttl"))
+    return flows, answers
+
+
 @_query("""WITH f AS (SELECT o_orderkey AS flow_id, 'ip' || (o_custkey % 50)::VARCHAR AS ip, (o_orderkey * 7919) % 20000 AS tick FROM orders),
 a AS (SELECT 'ip' || (event_id % 50)::VARCHAR AS ip, 'n' || (user_id % 40)::VARCHAR AS name, (event_id * 31) % 20000 AS tick, (event_id % 5) * 1000 AS ttl FROM events),
 s AS (SELECT ip, name, tick AS since, tick + least(greatest(ttl, 30), 3600) AS until FROM a)
 SELECT f.flow_id, coalesce(array_to_string(list_sort(list_distinct(list(s.name) FILTER (s.name IS NOT NULL))), ','), '') AS names FROM f LEFT JOIN s ON f.ip = s.ip AND s.since <= f.tick AND f.tick < s.until GROUP BY f.flow_id""")
 def q34_dns_names(spark, sf_dir):
-    flows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("flow_id"), F.concat(F.lit("ip"), (F.col("o_custkey") % 50).cast("string")).alias("dst_ip"), ((F.col("o_orderkey") * 7919) % 20000).alias("at"))
-    answers = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("ip"), (F.col("event_id") % 50).cast("string")).alias("ip"), F.concat(F.lit("n"), (F.col("user_id") % 40).cast("string")).alias("name"), ((F.col("event_id") * 31) % 20000).alias("at"), ((F.col("event_id") % 5) * 1000).alias("ttl"))
-    return J.named_at(flows, answers).select("flow_id", F.array_join("dns_names", ",").alias("names"))
+    return J.named_at(*dns_tables(spark, sf_dir)).select("flow_id", F.array_join("dns_names", ",").alias("names"))

@@ -21,7 +21,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 from ledgerline.streaming.ordered import SHIFT
 
 HOLD_MS = 40
-OUT = StructType([StructField("lane", StringType()), StructField("seq", LongType()), StructField("text", StringType()), StructField("final", BooleanType())])
+OUT = StructType([StructField("lane", StringType()), StructField("seq", LongType()), StructField("text", StringType()), StructField("final", BooleanType()), StructField("silent", BooleanType())])
 STATE = StructType([StructField("held", StringType()), StructField("since", LongType()), StructField("seq", LongType())])
 
 
@@ -201,7 +201,7 @@ class Restorer(StatefulProcessor):
         for seq, now, text, last in pd.concat(list(rows)).sort_values("seq")[["seq", "now_ms", "text", "last"]].itertuples(index=False):
             told = own.tick(int(now), self.wait) + own.push(text or "", int(now))
             told += own.flush() if last else ""
-            out.append((key[0], int(seq), told, bool(last)))
+            out.append((key[0], int(seq), told, bool(last), False))
         self._save(own, int(seq), timer)
         yield pd.DataFrame(out, columns=OUT.names)
 
@@ -210,7 +210,7 @@ class Restorer(StatefulProcessor):
         own, _ = self._load()
         out = []
         if own.held and own.since + HOLD_MS + SHIFT <= timerValues.getCurrentWatermarkInMs():
-            out = [(key[0], self.state.get()[2], own.flush(), False)]
+            out = [(key[0], self.state.get()[2], own.flush(), False, True)]
             self.state.clear()
         yield pd.DataFrame(out, columns=OUT.names)
 
@@ -219,7 +219,7 @@ class Restorer(StatefulProcessor):
 
 
 def restored_stream(chunks: DataFrame, originals: dict[str, str], wait: bool = False, delay: str = "10 seconds") -> DataFrame:
-    """lane, seq, text, final of a stream of chunks (lane, seq, now_ms, text, last); originals are those of the request's snapshot. A lane's state goes with its last chunk.
+    """lane, seq, text, final and silent (whether a timer let it go) of a stream of chunks (lane, seq, now_ms, text, last); originals are those of the request's snapshot. A lane's state goes with its last chunk.
 
     now_ms is when the chunk arrived. A lane that falls silent is let go by a timer once the watermark, now_ms of any
     lane less the delay, is HOLD_MS past the time of what it holds; by Spark's rule a chunk that is read more

@@ -10,7 +10,7 @@ from ledgerline.operators import episodes as E
 from ledgerline.operators import joins as J
 from ledgerline.operators import report as R
 from ledgerline.operators import validate as V
-from ledgerline.plans import measures, relational, textual
+from ledgerline.plans import evidence, measures, relational, textual
 
 SF = "/root/testdata/sf0.001"
 POINT = "ep_id string, operation string, host string, port int, provider_ref string, path string"
@@ -156,13 +156,13 @@ def _norm(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(relational.ORACLE | textual.ORACLE | measures.ORACLE))
+@pytest.mark.parametrize("name", sorted(relational.ORACLE | textual.ORACLE | measures.ORACLE | evidence.ORACLE))
 def test_queries_match_their_sql(spark, name):
     db = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         db.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    df = (relational.QUERIES | textual.QUERIES | measures.QUERIES)[name](spark, SF)
-    want = db.sql((relational.ORACLE | textual.ORACLE | measures.ORACLE)[name])
+    df = (relational.QUERIES | textual.QUERIES | measures.QUERIES | evidence.QUERIES)[name](spark, SF)
+    want = db.sql((relational.ORACLE | textual.ORACLE | measures.ORACLE | evidence.ORACLE)[name])
     columns = sorted(df.columns)
     assert columns == sorted(want.columns)
     key = lambda rows, at: sorted(repr(tuple(_norm(r[i]) for i in at)) for r in rows)
