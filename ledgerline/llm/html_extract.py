@@ -8,7 +8,8 @@ all article, all chrome, or split among its children at a price, whichever is li
 no block is kept below one that is rejected as a whole, nor the other way round.
 
 The trees are trained here on pages made by a seeded generator with known article blocks (page_sample):
-many layouts of menus, headers, footers, sidebars, notices, adverts, forms, comments and articles.
+many layouts of menus, headers, footers, sidebars, notices, adverts, forms, comments and articles, among them pages of bare
+paragraphs or lines, of table cells, and of boxes without classes.
 
 Defined results: null or empty html gives an empty text; a page without markup is one block; unclosed and
 stray tags are read as browsers do, roughly (a paragraph ends the open one, an end tag closes what is open
@@ -26,6 +27,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,8 @@ _STOP = re.compile(r"[>\"']")
 _USUAL = re.compile(r"""<(/?)([A-Za-z][^\s/>]{0,80}+)((?:[^>"']{1,300}+|"[^"]{0,500}+"|'[^']{0,500}+'){0,40}+)>""")
 _LONG_NUMBER = re.compile(r"&#[0-9]{8,};?")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A value without quotes, which a slash at the end belongs to.
+_OPEN_VALUE = re.compile(r"""=\s*[^\s"'=<>`]*/$""")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 #: Attribute tokens by what they speak of.
@@ -280,7 +284,7 @@ def parse(page: str) -> Tree:
             depth = opened.innermost({"dt", "dd"} if name in ("dt", "dd") else {"td", "th"} if name in ("td", "th") else {name})
             if depth > opened.innermost(_SAME[name]):
                 close(depth)
-        if attributes.endswith("/") and name not in BLOCKS:
+        if attributes.endswith("/") and name not in BLOCKS and not _OPEN_VALUE.search(attributes):
             continue
         if name == "a":
             links += 1
@@ -330,6 +334,9 @@ def features(t: Tree) -> tuple[np.ndarray, np.ndarray]:
             a[p] += a[i]
         alike[i] = counts[(int(p), t.kind[i])]
     total = max(sub[0], 1.0)
+    biggest = own - own_link
+    for i in range(n - 1, 0, -1):
+        biggest[parent[i]] = max(biggest[parent[i]], biggest[i])
     begin = np.zeros(n)
     first = np.full(n, len(t.text))
     if t.text:
@@ -342,6 +349,14 @@ def features(t: Tree) -> tuple[np.ndarray, np.ndarray]:
     density = sub_link / np.maximum(sub, 1)
     columns = [
         np.minimum(depth, 12),
+        np.full(n, np.log1p(sub[0])),
+        np.full(n, np.log1p((own > 0).sum())),
+        np.full(n, sub_link[0] / total),
+        np.full(n, float(np.isin(kind, (0, 1)).any())),
+        np.full(n, float((flags > 0).any())),
+        own / max(own.max(), 1.0),
+        biggest / max(own.max(), 1.0),
+        np.log1p(sub - sub_link),
         np.log1p(own),
         np.log1p(sub),
         sub / total,
@@ -449,6 +464,42 @@ def decode(parent: list[int], own: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.where(state == 2, keep > drop, state == 1)
 
 
+#: Attribute tokens and kinds of element that say that something isn't the article.
+_CHROME_FLAGS = sum(1 << k for k, name in enumerate(TOKENS) if name != "article") | 1 << N_TOKENS
+_CHROME_KINDS = {_OF_TAG[k] for k in ("header", "footer", "nav", "aside", "form", "control")}
+
+
+_ASIDE_KINDS = {_OF_TAG[k] for k in ("footer", "nav", "aside")}
+
+
+def _below(t: Tree, marked: list[bool]) -> np.ndarray:
+    """The blocks that are marked or lie below one that is."""
+    out = np.zeros(len(marked), bool)
+    for i, up in enumerate(t.parent):
+        out[i] = marked[i] or (up >= 0 and out[up])
+    return out
+
+
+def choose(t: Tree, own: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Whether each block's own text is kept.
+
+    A page of which nothing would be, keeps the text that no markup marks as something else and that isn't mostly links. A page
+    without an article element of which only footers, menus or links would be kept has no article.
+    """
+    link = np.zeros(len(own))
+    np.add.at(link, np.array(t.text_block, np.int64), [len(x.strip()) * y for x, y in zip(t.text, t.text_link, strict=True)])
+    kept = decode(t.parent, own, p)
+    if not (kept & (own > 0)).any():
+        marked = [bool(f & _CHROME_FLAGS) or k in _CHROME_KINDS for f, k in zip(t.flags, t.kind, strict=True)]
+        kept = ~_below(t, marked) & (2 * link <= own)
+    if not {0, 1} & set(t.kind):
+        aside = _below(t, [k in _ASIDE_KINDS for k in t.kind])
+        told = np.where(kept & ~aside, own - link, 0).sum()
+        if 10 * told < np.where(kept, own, 0).sum():
+            kept = np.zeros(len(own), bool)
+    return kept
+
+
 def read_page(page: str | None, trees: Trees) -> str:
     """The main text of one page."""
     return next(read_pages([page], trees))
@@ -466,7 +517,7 @@ def read_pages(pages: list[str | None], trees: Trees) -> Iterator[str]:
             yield ""
             continue
         x, own = m
-        kept = decode(t.parent, own, every[at : at + len(x)])
+        kept = choose(t, own, every[at : at + len(x)])
         at += len(x)
         out: list[str] = []
         for text, block, begins in zip(t.text, t.text_block, t.text_begins, strict=True):
@@ -480,10 +531,10 @@ def read_pages(pages: list[str | None], trees: Trees) -> Iterator[str]:
 @lru_cache(maxsize=1)
 def trained() -> Trees:
     """The trees, from the generator's pages; the same on every call."""
-    from ledgerline.llm.page_sample import sample_pages
+    from ledgerline.llm.page_sample import layout_pages, sample_pages
 
     xs, ys, ws = [], [], []
-    for page, wanted in sample_pages():
+    for page, wanted in chain(sample_pages(), layout_pages()):
         t = parse(page)
         x, own = features(t)
         marked = np.zeros(len(own))

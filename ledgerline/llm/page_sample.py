@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,6 +122,55 @@ class _Maker:
             parts.append(self.pick([self.comments, self.sidebar, self.menu, self.advert])())
         return self.wrapped("".join(parts), [("article", ""), ("article", "post entry"), ("main", ""), ("div", "content article post entry-content main-content story-body post-text"), ("section", "content article"), ("div", "")])
 
+    def bare(self) -> str:
+        """An article without an element of its own: paragraphs, boxes, lines or one text."""
+        form = self.pick(["p", "p", "div", "br", "text", "font"])
+        texts = [self.text(*((1, 12) if self.chance(0.2) else (6, 90)), True) for _ in range(1 if self.chance(0.25) else int(self.rng.integers(1, 12)))]
+        head = f"<{(h := self.pick(['h1', 'h2', 'div', 'b', 'p']))}>{MARK}{self.words(2, 12)}</{h}>" if self.chance(0.5) else ""
+        if form == "text":
+            return re.sub(r"<[^>]+>", " ", " ".join(texts))
+        if form == "br":
+            return head + "<br><br>".join(texts)
+        if form == "font":
+            return head + "".join(f"<p><font size=2>{x}</font></p>" for x in texts)
+        return head + "".join(f"<{form}>{x}</{form}>" for x in texts)
+
+    def layout(self) -> str:
+        """A page of any layout: a few without an article, bare ones, tables, boxes without names."""
+        kind = self.rng.random()
+        if kind < 0.08:
+            only = "".join(self.pick([self.menu, self.menu, self.page_header, self.footer, self.form])() for _ in range(int(self.rng.integers(1, 4))))
+            return anonymous(self.links(2, 9)) if self.chance(0.4) else f"<html><body>{only}</body></html>"
+        if kind < 0.35:
+            return self.bare_page()
+        if kind < 0.6:
+            return self.table_page()
+        return anonymous(self.page())
+
+    def bare_page(self) -> str:
+        """Little or nothing around an article without an element."""
+        before = self.pick([self.menu, self.page_header])() if self.chance(0.25) else ""
+        after = self.pick([self.footer, self.menu, self.comments])() if self.chance(0.25) else ""
+        body = before + self.bare() + after
+        body = anonymous(body) if self.chance(0.6) else body
+        return f"<html><body>{body}</body></html>" if self.chance(0.6) else body
+
+    def table_page(self) -> str:
+        """A page whose parts are the cells of a table."""
+        cell = lambda x, a="": f"<td{a}>{x}</td>"
+        middle = [cell(self.bare() if self.chance(0.7) else self.article())]
+        if self.chance(0.7):
+            middle.insert(0, cell(self.links(3, 10), " width=150"))
+        if self.chance(0.4):
+            middle.append(cell(self.pick([self.sidebar, self.advert])()))
+        rows = [middle]
+        if self.chance(0.6):
+            rows.insert(0, [cell(f"<h2>{self.words(1, 4)}</h2>" if self.chance(0.5) else self.links(3, 8), " colspan=3")])
+        if self.chance(0.6):
+            rows.append([cell(f"&copy; {self.words(2, 14)}" + (self.links(2, 5) if self.chance(0.4) else ""), " colspan=3")])
+        table = "<table>" + "".join(f"<tr>{''.join(r)}</tr>" for r in rows) + "</table>"
+        return f"<html><head><title>{self.words(1, 5)}</title></head><body>{anonymous(table) if self.chance(0.7) else table}</body></html>"
+
     def page(self) -> str:
         before = [self.pick([self.menu, self.page_header, self.advert, self.notice, self.form, self.sidebar])() for _ in range(int(self.rng.integers(0, 4)))]
         after = [self.pick([self.sidebar, self.advert, self.comments, self.footer, self.form, self.notice, self.menu])() for _ in range(int(self.rng.integers(0, 5)))]
@@ -132,8 +182,20 @@ class _Maker:
         return f"<!DOCTYPE html><html>{head}<body>{body}</body></html>" if self.chance(0.9) else body
 
 
+def anonymous(page: str) -> str:
+    """The page with nothing but boxes and paragraphs: no classes, ids or elements that say what they hold."""
+    return re.sub(r"<(/?)(?:nav|header|footer|aside|article|main|section)\b", r"<\1div", re.sub(r' (?:class|id)="[^"]*"', "", page))
+
+
 def sample_pages(n: int = 1000, seed: int = 3) -> Iterator[tuple[str, str]]:
     """(page, mark): texts that hold the mark are the article's."""
     maker = _Maker(seed)
     for _ in range(n):
         yield maker.page(), MARK
+
+
+def layout_pages(n: int = 500, seed: int = 4) -> Iterator[tuple[str, str]]:
+    """The same of the layouts that sample_pages doesn't make."""
+    maker = _Maker(seed)
+    for _ in range(n):
+        yield maker.layout(), MARK
