@@ -100,12 +100,13 @@ def _items(baskets: DataFrame, least: float) -> DataFrame:
     return C.settle(same.select(F.array_join("alternatives", " | ").alias("item"), F.col("alternatives")[0].alias("key"), "alternatives", "n", "n_bad"), "url-items")
 
 
-def grown(held: np.ndarray, n: np.ndarray, n_bad: np.ndarray, least: float, sure: float) -> list[tuple[tuple[int, ...], float]]:
-    """Rules of an item's conditional base: further items (columns of held) and confidence; of those with a rule of some of their items that is as sure, none.
+def grown(held: np.ndarray, n: np.ndarray, n_bad: np.ndarray, least: float, sure: float) -> list[tuple[tuple[int, ...], float | None, float]]:
+    """The combinations that are grown from an item's conditional base: further items (columns of held), confidence, and the surest of them and their parts with the item.
 
-    held: which further items each row has; n, n_bad: pages and bad pages of each row.
+    held: which further items each row has; n, n_bad: pages and bad pages of each row. Only of rules, those with no part
+    with the item that is as sure, the confidence is told.
     """
-    rules: list[tuple[tuple[int, ...], float]] = []
+    made: list[tuple[tuple[int, ...], float | None, float]] = []
     # Pages, and the confidence of the surest part, of the combinations that others may be grown from.
     alive: dict[int, tuple[float, float]] = {}
 
@@ -120,20 +121,19 @@ def grown(held: np.ndarray, n: np.ndarray, n_bad: np.ndarray, least: float, sure
             if any(p is None or p[0] == pages[at] for p in parts):
                 continue
             confidence, surest = bad[at] / pages[at], max(p[1] for p in parts)
-            if confidence >= sure and confidence > surest:
-                rules.append(((*items, j), float(confidence)))
+            rule = confidence >= sure and confidence > surest
+            made.append(((*items, j), float(confidence) if rule else None, float(max(confidence, surest))))
             if bad[at] < pages[at]:
                 alive[own] = (pages[at], max(confidence, surest))
                 grow((*items, j), own, rows[part[:, at]], later[fit[fit > at]])
 
     all_pages, all_bad = float(n.sum()), float(n_bad.sum())
     if all_bad >= least:
-        if all_bad / all_pages >= sure:
-            rules.append(((), all_bad / all_pages))
+        made.append(((), all_bad / all_pages if all_bad / all_pages >= sure else None, all_bad / all_pages))
         alive[0] = (all_pages, all_bad / all_pages)
         if all_bad < all_pages:
             grow((), 0, np.arange(len(n)), np.arange(held.shape[1]))
-    return rules
+    return made
 
 
 def _grower(least: float, sure: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -151,19 +151,22 @@ def _grower(least: float, sure: float) -> Callable[[pd.DataFrame], pd.DataFrame]
             held = np.unpackbits(bits, axis=1, count=len(names)).astype(bool)
             n, n_bad = (np.bincount(row.ravel(), x) for x in (n, n_bad))
         found = grown(held, n, n_bad, least, sure)
-        items = pd.Series([[key, *(str(names[j]) for j in own)] for own, _ in found], dtype=object)
-        return pd.DataFrame({"items": items, "confidence": np.array([c for _, c in found], np.float64)})
+        items = pd.Series([[key, *(str(names[j]) for j in own)] for own, _, _ in found], dtype=object)
+        return pd.DataFrame({"items": items, "confidence": pd.Series([c for _, c, _ in found], dtype="float64"), "surest": np.array([s for _, _, s in found], np.float64)})
 
     return run
 
 
-def _minimal(rules: DataFrame) -> DataFrame:
-    """rules (items, the rarest first, confidence) but for those of which some of the items are as sure."""
-    parts = rules.select(F.col("items").alias("part"), F.col("items")[0].alias("first"), F.col("confidence").alias("own"))
-    longer = rules.filter(F.size("items") > 1).select("items", "confidence", F.explode("items").alias("first"))
-    within = (F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0)
-    surer = longer.join(parts, "first").filter((F.col("own") >= F.col("confidence")) & within)
-    return rules.join(surer.select("items").distinct(), "items", "left_anti")
+def _minimal(grown_: DataFrame) -> DataFrame:
+    """The rules of grown_ (items, the rarest first, confidence: of rules, surest) of which no part is as sure: items and confidence.
+
+    Parts with the rarest item were compared when the rule was grown. Those without are parts of its items from the second, third, ... on:
+    each of these ends is looked up. An end that wasn't grown holds a part that stands in bad pages only, which is as sure.
+    """
+    rules = grown_.filter("confidence is not null").select("items", "confidence")
+    ends = rules.filter(F.size("items") > 1).select("items", "confidence", F.explode(F.transform(F.sequence(F.lit(2), F.size("items")), lambda k: F.slice("items", k, F.size("items")))).alias("end"))
+    looked = ends.join(grown_.select(F.col("items").alias("end"), "surest"), "end", "left").filter(F.col("surest").isNull() | (F.col("surest") >= F.col("confidence")))
+    return rules.join(looked.select("items").distinct(), "items", "left_anti")
 
 
 def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
@@ -179,17 +182,19 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
     least, sure = max(support * total.n, LEAST_PAGES), max(confidence, lift * total.bad / total.n)
     known = _items(baskets, least)
     # An item that stands in bad pages only is a rule, and none of its combinations is surer.
-    alone = known.filter((F.col("n") == F.col("n_bad")) & (F.lit(1.0) >= sure)).select(F.array("key").alias("items"), F.lit(1.0).alias("confidence"))
+    # Items are named so that the rarest come first in the order of their names.
+    ranked = F.format_string("%016d %s", "n", "key")
+    alone = known.filter((F.col("n") == F.col("n_bad")) & (F.lit(1.0) >= sure)).select(F.array(ranked).alias("items"), F.lit(1.0).alias("confidence"), F.lit(1.0).alias("surest"))
     mixed = known.filter(F.col("n") > F.col("n_bad"))
-    held = baskets.select("row", "bad", F.explode("tokens").alias("token")).join(C.maybe_broadcast_of(mixed.select(F.explode("alternatives").alias("token"), "key", F.col("n").alias("pages")), known), "token")
-    chosen = held.groupBy("row", "bad").agg(F.sort_array(F.collect_set(F.struct("pages", "key"))).alias("own")).select("bad", F.col("own.key").alias("keys"))
+    held = baskets.select("row", "bad", F.explode("tokens").alias("token")).join(C.maybe_broadcast_of(mixed.select(F.explode("alternatives").alias("token"), ranked.alias("ranked")), known), "token")
+    chosen = held.groupBy("row", "bad").agg(F.sort_array(F.collect_set("ranked")).alias("keys"))
     chosen = chosen.groupBy("keys").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
     bases = chosen.select(F.posexplode("keys").alias("at", "key"), "keys", "n", "n_bad").select("key", F.expr("slice(keys, at + 2, size(keys))").alias("rest"), "n", "n_bad")
     bases = C.settle(bases.groupBy("key", "rest").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")), "url-bases")
-    several = bases.groupBy("key").applyInPandas(_grower(least, sure), "items array<string>, confidence double")
+    several = bases.groupBy("key").applyInPandas(_grower(least, sure), "items array<string>, confidence double, surest double")
     rules = C.settle(alone.unionByName(several), "url-rules")
     kept = _minimal(rules)
-    named = known.select("key", "item", "alternatives", "n")
+    named = known.select(ranked.alias("key"), "item", "alternatives", "n")
     parts = kept.select("items", "confidence", F.explode("items").alias("key")).join(C.maybe_broadcast_of(named, known), "key")
     shown = parts.groupBy("items", "confidence").agg(F.sort_array(F.collect_list("item")).alias("tokens"), F.sort_array(F.collect_list("alternatives")).alias("need"), F.min(F.struct("n", "item", "alternatives"))["alternatives"].alias("anchor"))
     return C.settle(shown.select(F.array_join("tokens", " & ").alias("rule"), "tokens", "need", F.size("tokens").alias("size"), "confidence", "anchor"), "url-kept")

@@ -841,6 +841,26 @@ def test_rules_of_pages_with_many_items(spark):
         assert sum(with_all) >= 8 and confidence == sum(with_all) / len(with_all)
 
 
+def test_rules_of_many_overlapping_items(spark):
+    """Sixteen tokens, each in most bad and half of the good pages, have tens of thousands of rules; the whole operator tells them in time."""
+    rng = np.random.default_rng(16)
+    rows, labels, baskets = [], [], []
+    for i in range(2000):
+        bad = int(i % 10 == 0)
+        tokens = {f"path=d{k:02d}" for k in range(16) if rng.random() < (0.9 if bad else 0.5)}
+        rows.append((i, "x://h/" + "/".join(t[5:] for t in sorted(tokens))))
+        labels.append((i, 1 - bad, 0))
+        baskets.append((tokens | {"host=h"}, bad))
+    began = time.monotonic()
+    rules = url_rules.mine(frame(spark, rows, "page_id long, url string"), frame(spark, labels, "doc_id long, quality int, toxic int")).collect()
+    assert time.monotonic() - began < 100 and len(rules) > 10_000
+    got = {frozenset(r.tokens): r.confidence for r in rules}
+    for own in list(got)[::997]:
+        with_all = [b for t, b in baskets if t >= own]
+        assert got[own] == sum(with_all) / len(with_all) and sum(with_all) >= 8
+        assert not any(got.get(frozenset(part), 0) >= got[own] for k in range(1, len(own)) for part in itertools.combinations(own, k))
+
+
 def test_rules_of_nested_items(spark):
     """Forty path segments, each in fewer pages than the one before and each in good pages too: one item says all that several do."""
     rows = [(i, "x://h/" + "/".join(f"s{k}" for k in range(i % 40 + 1))) for i in range(1200)]
