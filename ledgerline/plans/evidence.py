@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.tables import new_path
 from ledgerline.operators import aliases as A
 from ledgerline.operators import call_sites as S
+from ledgerline.operators import dictionary as D
 from ledgerline.plans import measures, relational
 from ledgerline.plans.measures import Rows
 from ledgerline.sources import hook_sink, records, trees
@@ -133,3 +134,32 @@ SELECT c.l_orderkey, c.l_linenumber, w.arguments AS constructor FROM c ASOF LEFT
 def q105_constructors(spark, sf_dir):
     """The arguments that the receiver of each call was last made with."""
     return S.with_constructor(CALLS.spark(spark, sf_dir), WRITES.spark(spark, sf_dir)).select("l_orderkey", "l_linenumber", "constructor")
+
+
+#: Suffixes of some words in the texts, for the query; rule files name those of a language.
+AFFIXES = D.Affixes(("ler", "lar", "lerin", "s", "e", "en", "er", "in", "ın", "de", "da", "a", "te"), "'", 3, 2)
+_FOLD = "translate(lower(translate({t}, 'Iİ', 'ıi')), 'ς', 'σ')"
+
+
+@_query(rf"""WITH RECURSIVE t AS (SELECT doc_id AS id, {_FOLD.format(t="text")} AS body, regexp_extract_all(body, '{D.WORD}') AS ws, string_split_regex(body, '{D.WORD}') AS gs FROM documents WHERE text IS NOT NULL),
+v AS (SELECT CASE doc_id % 3 WHEN 0 THEN regexp_extract(text, '^[^ ]+') WHEN 1 THEN regexp_extract(text, '^[^ ]+ [^ ]+') ELSE upper(regexp_extract(text, '^[^ ]+')) END AS value, CASE doc_id % 2 WHEN 0 THEN 'ORG' ELSE 'PERSON' END AS entity FROM documents WHERE text IS NOT NULL),
+e AS (SELECT {_FOLD.format(t="trim(value)")} AS spelling, min(entity) AS entity, regexp_extract({_FOLD.format(t="trim(value)")}, '{D.WORD}') AS first FROM v GROUP BY 1, 3 HAVING regexp_extract(spelling, '{D.WORD}') <> ''),
+p AS (SELECT *, strpos(spelling, first) - 1 AS ahead, strpos(spelling, first) - 1 + length(first) = length(spelling) AS single FROM e),
+w AS (SELECT id, unnest(ws) AS word, unnest(list_transform(gs[:len(ws)], lambda g: length(g))) AS gap, generate_subscripts(ws, 1) AS k FROM t),
+o AS (SELECT id, word, sum(gap + length(word)) OVER (PARTITION BY id ORDER BY k) - length(word) AS at_ FROM w),
+c AS (SELECT o.id, (at_ - ahead)::BIGINT AS s, (at_ - ahead + length(spelling))::BIGINT AS x, spelling, entity FROM o JOIN p ON o.word = p.first
+  UNION SELECT o.id, (at_ - ahead)::BIGINT, (at_ - ahead + length(spelling))::BIGINT, spelling, entity FROM (SELECT id, word, at_, unnest(range(greatest(3, length(word) - {AFFIXES.longest}), length(word))) AS n FROM o) o JOIN p ON word[:n] = p.first AND p.single),
+h AS (SELECT c.*, regexp_extract(substr(body, (x + 1)::INT, {AFFIXES.longest + 2}), '^[''’ʼ]?[\p{{L}}\p{{N}}_]*') AS tail FROM c JOIN t USING (id) WHERE s >= 0 AND substr(body, (s + 1)::INT, length(spelling)::INT) = spelling AND (s = 0 OR NOT regexp_matches(substr(body, s::INT, 1), '{D.WORD}'))),
+l AS (SELECT id, s, max(x) AS x, arg_max(entity, x) AS entity, arg_max(tail, x) AS tail, arg_max(spelling, x) AS spelling FROM h GROUP BY id, s),
+r AS (SELECT id, s, x, entity FROM l WHERE tail = '' OR tail[1] = '''' OR (length(spelling) >= 3 AND regexp_matches(regexp_extract(spelling, '([{D.VOWELS}])[^{D.VOWELS}]*$', 1) || ':' || tail, '{AFFIXES.chain()}'))),
+z AS (SELECT a.id, a.s, a.x, a.entity, b.s AS following FROM r a ASOF LEFT JOIN r b ON a.id = b.id AND a.x <= b.s),
+y AS (SELECT z.* FROM z JOIN (SELECT id, min(s) AS s FROM r GROUP BY id) m USING (id, s)),
+g AS (SELECT id, s, x, entity, following FROM y UNION ALL SELECT z.id, z.s, z.x, z.entity, z.following FROM g JOIN z ON z.id = g.id AND z.s = g.following)
+SELECT id, entity, s AS start, x AS "end" FROM g""")
+def q106_dictionary_spans(spark, sf_dir):
+    """Beginnings of documents as a dictionary, looked up in all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
+    one, two = F.regexp_extract("text", "^[^ ]+", 0), F.regexp_extract("text", "^[^ ]+ [^ ]+", 0)
+    value = F.when(F.col("doc_id") % 3 == 0, one).when(F.col("doc_id") % 3 == 1, two).otherwise(F.upper(one))
+    entries = docs.select(value.alias("value"), F.when(F.col("doc_id") % 2 == 0, "ORG").otherwise("PERSON").alias("entity"))
+    return D.dictionary_spans(docs.select(F.col("doc_id").alias("id"), "text"), entries, AFFIXES)

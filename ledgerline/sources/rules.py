@@ -12,6 +12,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.operators.derive import Settings
+from ledgerline.operators.detect import fold
+from ledgerline.operators.dictionary import Affixes
 from ledgerline.operators.mask import MODES, Rule
 from ledgerline.operators.report import Policy
 
@@ -98,6 +100,54 @@ def mask_policy(text: str, pinned: str | None = None) -> tuple[str, list[Rule],
     return default, rules, own
 
 
+#: Entity types that a word list may claim.
+LISTED = ("PERSON", "ORG", "LOC", "ADDRESS", "HOST")
+#: Signs that may stand between a word and its suffix.
+APOSTROPHES = "'’ʼ"
+
+
+def _versioned(text: str) -> dict[str, Any]:
+    try:
+        raw = tomllib.loads(text)
+    except tomllib.TOMLDecodeError as error:
+        raise Refused(str(error)) from error
+    if not str(raw.get("schema_version", "")).startswith("1."):
+        raise Refused(f"schema_version {raw.get('schema_version')} is not supported")
+    return raw
+
+
+def dictionary(spark: SparkSession, text: str) -> DataFrame:
+    """Entries (value, entity) of a word list in TOML; empty values, and types that a word list may not claim, are refused."""
+    raw = _versioned(text)
+    if not raw.get("dictionary_id"):
+        raise Refused("dictionary_id is empty")
+    rows = [(str(e.get("value", "")), str(e.get("type", ""))) for e in raw.get("entries", [])]
+    for k, (value, entity) in enumerate(rows):
+        if not value.strip():
+            raise Refused(f"entry {k} has no value")
+        if entity not in LISTED:
+            raise Refused(f"entry {k} has the type {entity}, which isn't a word list's")
+    return spark.createDataFrame(rows, "value string, entity string")
+
+
+def affixes(language: str, text: str) -> Affixes:
+    """Affix rules of a language in TOML; without suffixes or apostrophes they would hide words, so such files are refused."""
+    raw = _versioned(text)
+    if raw.get("language") != language:
+        raise Refused(f"the file is of language {raw.get('language')}")
+    suffixes, marks = [fold(s) for s in raw.get("suffixes", [])], raw.get("apostrophes", [])
+    if not suffixes or not all(suffixes):
+        raise Refused("the suffixes are empty")
+    if not marks or any(m not in APOSTROPHES or len(m) != 1 for m in marks):
+        raise Refused("the apostrophes are empty or unknown")
+    return Affixes(tuple(suffixes), "".join(marks), int(raw.get("min_base_chars", 3)), int(raw.get("max_affix_chain", 3)))
+
+
+def rule_set_hash(rules: list[dict[str, Any]]) -> str:
+    """The digest of a rule set, whatever the order of its files and keys."""
+    return hashlib.sha256(json.dumps(sorted(json.dumps(r, sort_keys=True) for r in rules)).encode()).hexdigest()
+
+
 def scope_path(text: str) -> tuple[str, ...]:
     """messages[*].content as its steps."""
     return tuple(re.findall(r"\[\*\]|\[\d+\]|[^.\[\]]+", text))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import aliases as A
 from ledgerline.operators import call_sites as S
+from ledgerline.operators import dictionary as D
 from ledgerline.operators import joins as J
 from ledgerline.operators import mask as M
-from ledgerline.sources import hook_sink, records, trees
+from ledgerline.sources import hook_sink, records, rules, trees
 from ledgerline.streaming import names as N
 from ledgerline.streaming import restorer, sessions
 from ledgerline.streaming.replay import replayed
@@ -234,3 +235,91 @@ def test_a_receiver_has_its_last_constructor(spark):
     writes = spark.createDataFrame([("a.py", "f", "c", 4, "u=1"), ("a.py", "f", "c", 8, "u=2"), ("a.py", "f", "c", 8, "u=0"), ("a.py", "f", "c", 10, "u=3"), ("a.py", "g", "d", 1, "u=4"), ("a.py", "f", "c", 20, None)], "path string, scope string, variable string, start int, arguments string")
     got = {r.variable: r.constructor for r in S.with_constructor(calls, writes).collect()}
     assert got == {1: "u=2", 2: "u=1", 3: None, 4: None, 5: None, 6: None, 7: None}
+
+
+def brute_chain(base, tail, affixes):
+    """Whether a tail is a chain of suffixes, by trying all splits."""
+    agree = {"e": "eiöü", "a": "aıou", "i": "ei", "ı": "aı", "u": "ou", "ü": "öü"}
+    last = lambda t: next((c for c in reversed(t) if c in "aeıioöuü"), None)
+
+    def splits(rest, vowel, left):
+        if not rest:
+            return True
+        if not left:
+            return False
+        for s in affixes.suffixes:
+            first = next((c for c in s if c in "aeıioöuü"), None)
+            if rest.startswith(s) and (first is None or vowel in agree.get(first, "")) and splits(rest[len(s) :], last(s) or vowel, left - 1):
+                return True
+        return False
+
+    return bool(tail) and len(base) >= affixes.base_least and last(base) is not None and splits(tail, last(base), affixes.chain_most)
+
+
+def brute_spans(text, entries, affixes):
+    from ledgerline.operators.detect import fold
+
+    body = fold(text or "")
+    known = {}
+    for value, entity in sorted(entries, key=lambda e: e[1]):
+        if value and any(c.isalnum() or c == "_" for c in value):
+            known.setdefault(fold(value.strip()), entity)
+    word = lambda c: c.isalnum() or c == "_"
+    out, at = [], 0
+    for i in range(len(body)):
+        own = [s for s in known if body.startswith(s, i)]
+        if not own or (i and word(body[i - 1])):
+            continue
+        best = max(own, key=len)
+        end = i + len(best)
+        mark = body[end : end + 1] if body[end : end + 1] in ("'", "’", "ʼ") else ""
+        tail = mark
+        for c in body[end + len(mark) :]:
+            if not word(c):
+                break
+            tail += c
+        if (not tail or (mark and mark in affixes.apostrophes) or brute_chain(best, tail, affixes)) and i >= at:
+            out.append((known[best], i, end))
+            at = end
+    return out
+
+
+def test_dictionary_spans_agree_with_brute_force(spark):
+    rng = random.Random(5)
+    bits = ["ali", "Ali", "ALİ", "veli", "can", "ler", "lar", "den", "dan", "in", "ın", "de", "kılıç", "IRMAK", "a", "ex", "co"]
+    gaps = [" ", "  ", "'", "’", ".", ", ", "-", "\n", "", "", "'"]
+    text = lambda n: "".join(rng.choice(bits) + rng.choice(gaps) for _ in range(n))
+    texts = [(i, text(rng.randint(0, 40))) for i in range(300)] + [(900, None), (901, ""), (902, "Ahmetlerinden Ahmetlarından Ahmet'in ahmetx AHMET")]
+    entries = [("Ali", "PERSON"), ("ali veli", "PERSON"), ("Veli Can", "ORG"), ("irmak", "LOC"), ("Irmak", "LOC"), ("-ex", "ORG"), ("ex-co.", "ORG"), ("a", "ORG"), ("kılıç", "LOC"), ("ALI", "ORG"), ("  ", "ORG"), ("...", "ORG"), ("Ahmet", "PERSON"), ("can", "PERSON"), ("can", "ORG")]
+    affixes = T_AFFIXES
+    want = {(i, *s) for i, t in texts for s in brute_spans(t, entries, affixes)}
+    got = D.dictionary_spans(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(entries, "value string, entity string"), affixes).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 300
+    assert {(r.start, r.end) for r in got if r.id == 902} == {(0, 5), (28, 33), (44, 49)}
+    bare = {(i, *s) for i, t in texts for s in brute_spans(t, entries, D.Affixes())}
+    assert {tuple(r) for r in D.dictionary_spans(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(entries, "value string, entity string")).collect()} == bare
+
+
+T_AFFIXES = D.Affixes(("ler", "lar", "in", "ın", "den", "dan", "de", "da", "ki", "leri", "inden"), "'’", 3, 3)
+
+
+def test_a_million_entries_are_looked_up(spark):
+    entries = spark.range(1_000_000).select(F.concat(F.lit("Firma"), F.col("id"), F.lit(" Ltd")).alias("value"), F.lit("ORG").alias("entity"))
+    texts = spark.range(2000).select("id", F.concat(F.lit("to firma"), F.col("id") * 1000, F.lit(" LTD and FİRMA7 Ltd, not firma"), F.col("id") + 5_000_000, F.lit(" ltd")).alias("text"))
+    got = D.dictionary_spans(texts, entries, T_AFFIXES)
+    assert got.count() == 3000 and [tuple(r) for r in got.filter("id = 3").orderBy("start").collect()] == [(3, "ORG", 3, 16), (3, "ORG", 21, 31)]
+
+
+def test_word_lists_and_affix_rules_from_files(spark):
+    listed = 'schema_version = "1.0"\ndictionary_id = "d"\n[[entries]]\nvalue = "Ali Veli"\ntype = "PERSON"\n[[entries]]\nvalue = "Acme"\ntype = "ORG"\n'
+    assert [tuple(r) for r in rules.dictionary(spark, listed).collect()] == [("Ali Veli", "PERSON"), ("Acme", "ORG")]
+    for bad in (listed.replace("1.0", "2.0"), listed.replace('"d"', '""'), listed.replace("Acme", " "), listed.replace("ORG", "IBAN"), "["):
+        with pytest.raises(rules.Refused):
+            rules.dictionary(spark, bad)
+    spelt = 'schema_version = "1.0"\nlanguage = "tr"\napostrophes = ["\'", "’"]\nmin_base_chars = 4\nmax_affix_chain = 2\nsuffixes = ["LER", "İn"]\n'
+    assert rules.affixes("tr", spelt) == D.Affixes(("ler", "in"), "'’", 4, 2)
+    for bad in (spelt.replace("tr", "de"), spelt.replace('["LER", "İn"]', "[]"), spelt.replace('"’"', '"xx"'), spelt.replace("[\"'\", \"’\"]", "[]")):
+        with pytest.raises(rules.Refused):
+            rules.affixes("tr", bad)
+    one, two = {"id": "a", "x": 1}, {"x": 2, "id": "b"}
+    assert rules.rule_set_hash([one, two]) == rules.rule_set_hash([{"id": "b", "x": 2}, one]) != rules.rule_set_hash([one])
