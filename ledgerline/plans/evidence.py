@@ -138,11 +138,12 @@ def q105_constructors(spark, sf_dir):
 
 #: Suffixes of some words in the texts, for the query; rule files name those of a language.
 AFFIXES = D.Affixes(("ler", "lar", "lerin", "s", "e", "en", "er", "in", "ın", "de", "da", "a", "te"), "'", 3, 2)
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
 _FOLD = "translate(lower(translate({t}, 'Iİ', 'ıi')), 'ς', 'σ')"
 
 
 @_query(rf"""WITH RECURSIVE t AS (SELECT doc_id AS id, {_FOLD.format(t="text")} AS body, regexp_extract_all(body, '{D.WORD}') AS ws, string_split_regex(body, '{D.WORD}') AS gs FROM documents WHERE text IS NOT NULL),
-v AS (SELECT CASE doc_id % 3 WHEN 0 THEN regexp_extract(text, '^[^ ]+') WHEN 1 THEN regexp_extract(text, '^[^ ]+ [^ ]+') ELSE upper(regexp_extract(text, '^[^ ]+')) END AS value, CASE doc_id % 2 WHEN 0 THEN 'ORG' ELSE 'PERSON' END AS entity FROM documents WHERE text IS NOT NULL),
+v AS (SELECT CASE doc_id % 3 WHEN 0 THEN regexp_extract(text, '^[^ ]+') WHEN 1 THEN regexp_extract(text, '^[^ ]+ [^ ]+') ELSE translate(regexp_extract(text, '^[^ ]+'), '{_LOWER}', '{_LOWER.upper()}') END AS value, CASE doc_id % 2 WHEN 0 THEN 'ORG' ELSE 'PERSON' END AS entity FROM documents WHERE text IS NOT NULL),
 e AS (SELECT {_FOLD.format(t="trim(value)")} AS spelling, min(entity) AS entity, regexp_extract({_FOLD.format(t="trim(value)")}, '{D.WORD}') AS first FROM v GROUP BY 1, 3 HAVING regexp_extract(spelling, '{D.WORD}') <> ''),
 p AS (SELECT *, strpos(spelling, first) - 1 AS ahead, strpos(spelling, first) - 1 + length(first) = length(spelling) AS single FROM e),
 w AS (SELECT id, unnest(ws) AS word, unnest(list_transform(gs[:len(ws)], lambda g: length(g))) AS gap, generate_subscripts(ws, 1) AS k FROM t),
@@ -160,6 +161,6 @@ def q106_dictionary_spans(spark, sf_dir):
     """Beginnings of documents as a dictionary, looked up in all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
     one, two = F.regexp_extract("text", "^[^ ]+", 0), F.regexp_extract("text", "^[^ ]+ [^ ]+", 0)
-    value = F.when(F.col("doc_id") % 3 == 0, one).when(F.col("doc_id") % 3 == 1, two).otherwise(F.upper(one))
+    value = F.when(F.col("doc_id") % 3 == 0, one).when(F.col("doc_id") % 3 == 1, two).otherwise(F.translate(one, _LOWER, _LOWER.upper()))
     entries = docs.select(value.alias("value"), F.when(F.col("doc_id") % 2 == 0, "ORG").otherwise("PERSON").alias("entity"))
     return D.dictionary_spans(docs.select(F.col("doc_id").alias("id"), "text"), entries, AFFIXES)
