@@ -40,7 +40,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.placed(_table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+    return sharding.placed(_table(spark, sf_dir, "documents"), SHARDS)
 
 
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,10 +234,10 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_
 
 #: The slot by md5, and the shard from the filled table, whose filling tests/llm compares with brute force.
 ORACLE["op5_sharding"] = f"""
-WITH d AS (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT % {sharding.SLOTS})::INT AS slot FROM documents),
+WITH d AS (SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT % {sharding.SLOTS})::INT AS slot FROM documents),
 l AS (SELECT string_split('{",".join(map(str, sharding.fill_table(SHARDS)))}', ',') AS owners),
 t AS (SELECT generate_subscripts(owners, 1) - 1 AS slot, unnest(owners) AS owner FROM l)
-SELECT doc_id, slot, 'shard-' || lpad(owner, 3, '0') AS shard FROM d JOIN t USING (slot)
+SELECT doc_id, text, lang, source, n_chars, slot, 'shard-' || lpad(owner, 3, '0') AS shard FROM d JOIN t USING (slot)
 """
 
 
