@@ -198,10 +198,8 @@ _KINDS = [
 ORACLE["op10_secret_scan"] = f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 f AS ({' UNION ALL '.join(f'SELECT row, kind, s::BIGINT AS s, (s + n)::BIGINT AS e FROM ({k}) WHERE ok' for k in _KINDS)}),
-p0 AS (SELECT row, kind, s, e, (SELECT count(*) FROM f b WHERE b.row = f.row AND b.kind = 9 AND b.e <= f.s) AS scope FROM f WHERE kind < 9),
-p1 AS (SELECT *, greatest(s - coalesce(max(e) OVER (PARTITION BY row, scope ORDER BY s, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s), 0) AS free FROM p0),
-p AS (SELECT *, sum(free) OVER (PARTITION BY row, scope ORDER BY s, kind ROWS UNBOUNDED PRECEDING) AS at_ FROM p1),
-j AS (SELECT w.row, w.kind, w.s, w.e, o.kind AS k2, o.e <= w.s OR w.e <= o.s AS apart FROM p w JOIN p o ON w.row = o.row AND w.scope = o.scope AND abs(w.at_ - o.at_) <= 400 AND (w.s <> o.s OR w.kind <> o.kind) WHERE w.kind >= 3),
+p AS (SELECT row, kind, s, e, (SELECT count(*) FROM f b WHERE b.row = f.row AND b.kind = 9 AND b.e <= f.s) AS scope FROM f WHERE kind < 9),
+j AS (SELECT w.row, w.kind, w.s, w.e, o.kind AS k2, o.e <= w.s OR w.e <= o.s AS apart FROM p w JOIN p o ON w.row = o.row AND w.scope = o.scope AND (w.s <> o.s OR w.kind <> o.kind) WHERE w.kind >= 3),
 r AS (SELECT row, kind, s, e, bool_or(k2 IN (1, 3) AND apart) AS name, bool_or(k2 IN (0, 2, 4) AND apart) AS secret, bool_or(k2 = 5 AND apart) AS endpoint, bool_or(NOT apart AND k2 < kind) AS covered FROM j GROUP BY ALL),
 x AS (SELECT row, kind, s, e FROM p WHERE kind < 3 UNION ALL SELECT row, kind, s, e FROM r WHERE NOT covered AND CASE kind WHEN 3 THEN secret WHEN 4 THEN name OR (endpoint AND secret) ELSE name AND secret END),
 t AS (SELECT *, ['assign', 'access', 'hex', 'account', 'opaque', 'endpoint'][kind + 1] || ':' || s::VARCHAR || ':' || e::VARCHAR AS span FROM x)

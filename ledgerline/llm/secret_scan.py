@@ -2,15 +2,14 @@
 
 Strong findings (assignments to secret-like names, access keys, long hexadecimal runs) are always
 reported. Weak candidates are parts of a credential that mean little alone: names of an account, opaque
-tokens, and endpoints. A scope is a part of a text between empty lines. An interval join links parts
-within a scope with at most REACH characters between them that aren't in a part themselves, so that a long
-part doesn't push its neighbours out of reach. A weak part is reported only where complementary parts
-co-occur: an account or an opaque token needs the other or an endpoint and a secret, an endpoint needs an
+tokens, and endpoints. A scope is a part of a text between empty lines. An interval join links all parts
+within a scope that don't overlap, however far apart they stand. A weak part is reported only where complementary parts
+co-occur in its scope: an account or an opaque token needs the other or an endpoint and a secret, an endpoint needs an
 account or access key and a secret. Only DataFrame functions are used; places come from the lengths of the
 pieces between matches, in code points.
 
 The interval join is a sweep: begins and ends of a scope's parts are sorted by place, and running extremes
-give every part the nearest part of each role that ends before it or begins after it. So no pair of parts
+tell every part whether one of each role ends before it or begins after it. So no pair of parts
 is built, however many parts a scope holds. All patterns read a text in linear time, and sums over its
 pieces are taken in blocks of about the square root of their number.
 
@@ -41,8 +40,6 @@ WEAK = {
     "endpoint": (r"""[a-z][a-z0-9+.-]{0,31}://[^\x00-\x20"'<>]+""", 0, 8),
 }
 KINDS = [*BASE, *WEAK]
-#: Characters outside of all parts that stand between two linked parts, at most.
-REACH = 400
 
 #: Between scopes: line feeds with at most spaces between them, and the white space after.
 BREAK = r"\n[\x20\x09\x0D]*\n\s*"
@@ -106,12 +103,12 @@ def _joined(spans: Column) -> Column:
 
 
 def _linked(parts: DataFrame) -> DataFrame:
-    """(row, weak): the weak parts of parts (row, scope, start, kind, end, at) that are linked with complementary ones."""
+    """(row, weak): the weak parts of parts (row, scope, start, kind, end) that are linked with complementary ones."""
     account, opaque, endpoint = (KINDS.index(k) for k in WEAK)
     roles = {"name": [KINDS.index("access"), account], "secret": [KINDS.index("assign"), KINDS.index("hex"), opaque], "endpoint": [endpoint]}
     # At one place ends come before begins: a part that ends where another begins stands before it.
     events = parts.select("*", F.explode(F.array(F.struct(F.col("end").alias("place"), F.lit(0).alias("begins")), F.struct(F.col("start").alias("place"), F.lit(1).alias("begins")))).alias("v"))
-    events = events.select("row", "scope", "start", "kind", "end", "at", "v.place", "v.begins")
+    events = events.select("row", "scope", "start", "kind", "end", "v.place", "v.begins")
     within = Window.partitionBy("row", "scope")
     upto = within.orderBy("place", "begins").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = within.orderBy(F.desc("place"), F.desc("begins")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -119,14 +116,13 @@ def _linked(parts: DataFrame) -> DataFrame:
     sweeps = {}
     for role, kinds in roles.items():
         own = F.col("kind").isin(kinds)
-        sweeps[f"{role}_before"] = F.max(F.when(~begins & own, F.col("at"))).over(upto)
-        sweeps[f"{role}_after"] = F.min(F.when(begins & own, F.col("at"))).over(after)
+        sweeps[f"{role}_before"] = F.max(~begins & own).over(upto)
+        sweeps[f"{role}_after"] = F.max(begins & own).over(after)
     for kind in range(len(KINDS) - 1):
         sweeps[f"over_{kind}"] = F.max(F.when(begins & (F.col("kind") == kind), F.col("end"))).over(upto)
     swept = events.withColumns(sweeps).filter(F.col("kind") >= len(BASE))
-    near = lambda role: F.max(
-        F.when(begins, F.col("at") - F.col(f"{role}_before") <= REACH).otherwise(F.col(f"{role}_after") - F.col("at") <= REACH)
-    ).alias(role)
+    # Seen from where it begins, a part's own end is not among what ended; seen from its end, its own begin is not among what begins.
+    near = lambda role: F.max(F.when(begins, F.col(f"{role}_before")).otherwise(F.col(f"{role}_after"))).alias(role)
     earlier = F.greatest(F.lit(-1), *(F.when(F.col("kind") > k, F.col(f"over_{k}")) for k in range(len(KINDS) - 1)))
     found = swept.groupBy("row", "start", "kind", "end").agg(*map(near, roles), F.max(~begins & (earlier > F.col("start"))).alias("covered"))
     has = {role: F.coalesce(F.col(role), F.lit(False)) for role in roles}
@@ -150,11 +146,6 @@ def scan(docs: DataFrame) -> DataFrame:
     # A part's scope is the number of breaks up to it.
     passed = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = parts.withColumn("scope", F.sum(F.when(F.col("kind") < 0, 1).otherwise(0)).over(passed)).filter("kind >= 0")
-    # at: the characters before a part, from its scope's first part on, that are in no part.
-    order = Window.partitionBy("row", "scope").orderBy("start", "kind")
-    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.withColumn("free", F.greatest(F.col("start") - F.coalesce(reached, F.col("start")), F.lit(0)))
-    parts = parts.withColumn("at", F.sum("free").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     out = kept.join(C.maybe_broadcast(C.settle(_linked(parts), "secret-weak")), "row", "left")
     return out.select(
         "doc_id",

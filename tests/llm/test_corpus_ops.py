@@ -269,7 +269,7 @@ def test_weak_parts_need_complementary_ones(spark):
         (7, "https://db.example.com/ alone"),
     ]
     got = {r.doc_id: re.sub(r":\d+", "", r.spans) for r in secret_scan.scan(frame(spark, rows)).collect()}
-    assert got == {1: "account,opaque", 2: "", 3: "", 4: "", 5: "", 6: "endpoint,account,opaque", 7: ""}
+    assert got == {1: "account,opaque", 2: "", 3: "", 4: "", 5: "account,opaque", 6: "endpoint,account,opaque", 7: ""}
 
 
 def test_long_parts_are_linked_with_their_neighbours(spark):
@@ -284,7 +284,29 @@ def test_long_parts_are_linked_with_their_neighbours(spark):
         (7, f"{'filler ' * 300}{key}\nlogin=acme"),
     ]
     got = {r.doc_id: re.sub(r":\d+", "", r.spans) for r in secret_scan.scan(frame(spark, rows)).collect()}
-    assert got == {1: "opaque,account", 2: "account,opaque", 3: "opaque,account", 4: "", 5: "", 6: "endpoint,opaque,account", 7: "opaque,account"}
+    assert got == {1: "opaque,account", 2: "account,opaque", 3: "opaque,account", 4: "opaque,account", 5: "", 6: "endpoint,opaque,account", 7: "opaque,account"}
+
+
+def test_scopes_are_linked_whole(spark):
+    """Parts of a scope are linked from end to end, and a scope's parts never with those of another; against all pairs."""
+    rng = np.random.default_rng(21)
+    bits = ["client_id=acme-17", "Zx9" + "aB3" * 8, "https://db.example.com/x", "AKIA" + "A1" * 7, "password=abcdefabcdef12", "word " * 300, "\n \n", "filler"]
+    rows = [(i, " ".join(bits[int(k)] for k in rng.integers(0, len(bits), int(rng.integers(1, 9))))) for i in range(120)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(frame(spark, rows)).collect()}
+    kinds = {"client": "account", "Zx9": "opaque", "https": "endpoint", "AKIA": "access", "pass": "assign"}
+    for i, text in rows:
+        want, at = [], 0
+        for scope in re.split(r"(\n[ \t\r]*\n\s*)", text):
+            own = [(k, m.start() + at, m.end() + at) for head, k in kinds.items() for m in re.finditer(rf"{head}\S*", scope)]
+            has = {k for k, _, _ in own}
+            name, secret = {"access", "account"} & has, {"assign", "opaque"} & has
+            for k, a, b in own:
+                others = {x for x, c, _ in own if c != a}
+                linked = {"account": others & {"assign", "opaque"}, "opaque": others & {"access", "account"} or ("endpoint" in others and others & {"assign", "opaque"}), "endpoint": name and secret}.get(k, True)
+                want += [(a, k, b)] if linked else []
+            at += len(scope)
+        weak = [x for x in got[i].split(",") if x]
+        assert sorted(weak) == sorted(f"{k}:{a}:{b}" for a, k, b in want), text
 
 
 LONG_SECRETS = {
