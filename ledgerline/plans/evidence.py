@@ -11,6 +11,7 @@ from ledgerline.functions.tables import new_path
 from ledgerline.operators import aliases as A
 from ledgerline.operators import call_sites as S
 from ledgerline.operators import dictionary as D
+from ledgerline.operators import request_events as V
 from ledgerline.plans import measures, relational
 from ledgerline.plans.measures import Rows
 from ledgerline.sources import hook_sink, records, trees
@@ -164,3 +165,36 @@ def q106_dictionary_spans(spark, sf_dir):
     value = F.when(F.col("doc_id") % 3 == 0, one).when(F.col("doc_id") % 3 == 1, two).otherwise(F.translate(one, _LOWER, _LOWER.upper()))
     entries = docs.select(value.alias("value"), F.when(F.col("doc_id") % 2 == 0, "ORG").otherwise("PERSON").alias("entity"))
     return D.dictionary_spans(docs.select(F.col("doc_id").alias("id"), "text"), entries, AFFIXES)
+
+
+SPANS = Rows(
+    "lineitem",
+    """SELECT l_orderkey AS request_id, CASE l_partkey % 3 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'PERSON' ELSE 'IBAN' END AS entity, CASE l_suppkey % 2 WHEN 0 THEN 'pattern' ELSE 'dictionary' END AS layer,
+  CASE l_suppkey % 4 WHEN 0 THEN 'reserved' WHEN 1 THEN 'invalid' WHEN 2 THEN 'label' ELSE 'opaque' END AS rung, l_partkey % 5 = 0 AS reused, 'a"b' || CAST((l_linenumber * 100 + l_partkey % 100) % 7 AS STRING) AS scope, l_linenumber AS path_no, l_partkey % 100 AS start, l_suppkey % 3 = 0 AS allowed FROM {t}""",
+)
+REQUESTS = Rows(
+    "orders",
+    """SELECT o_orderkey AS request_id, 'type-preserving' AS alias_style, 'pattern' AS masking_profile, 'ph' AS policy_hash, '1' AS policy_version, 'rh' AS ruleset_hash, 's"' || CAST(o_custkey AS STRING) AS session_scope, o_custkey % 9 AS chunks, o_custkey % 30 AS total, o_orderkey % 4 AS aliases_restored FROM {t}""",
+)
+
+
+@_query(f"""WITH s AS ({SPANS.duck}), q AS ({REQUESTS.duck}),
+m AS (SELECT request_id, string_agg('{{"confidence_bucket":"deterministic","count":' || n || ',"layer":"' || layer || '","type":"' || entity || '"}}', ',' ORDER BY entity, layer) AS j FROM (SELECT request_id, entity, layer, count(*) AS n FROM s WHERE NOT allowed GROUP BY ALL) GROUP BY request_id),
+a AS (SELECT request_id, string_agg('{{"count":' || n || ',"rule_scope":' || to_json(scope)::VARCHAR || ',"type":"' || entity || '"}}', ',' ORDER BY entity) AS j FROM (SELECT request_id, entity, count(*) AS n, arg_min(scope, path_no * 1000 - start) AS scope FROM s WHERE allowed GROUP BY ALL) GROUP BY request_id),
+t AS (SELECT request_id, string_agg('"' || entity || '":{{"count":' || n || ',"ladder_rung":"' || rung || '"}}', ',' ORDER BY entity) AS j FROM (SELECT request_id, entity, count(*) AS n, ['reserved', 'invalid', 'label', 'opaque'][max(list_position(['reserved', 'invalid', 'label', 'opaque'], rung))] AS rung FROM s WHERE NOT allowed AND NOT reused GROUP BY ALL) GROUP BY request_id)
+SELECT request_id, '{{"alias_stats":{{"alias_length_class_capped":0,"alias_pool_exhausted":0,"by_type":{{' || coalesce(t.j, '') || '}}}},"alias_style":"type-preserving","degraded_reasons":["ner_disabled"],"derived_dates_seen":0,"entities_allowed":[' || coalesce(a.j, '') || '],"entities_masked":[' || coalesce(m.j, '')
+  || '],"latency_ms":{{"alias":0,"detect":0,"stream_hold_total":0,"total":' || total || '}},"masking_profile":"pattern","policy_hash":"ph","policy_version":"1","restore_stats":{{"aliases_leaked":0,"aliases_restored":' || aliases_restored || ',"aliases_seen_in_response":0}},"ruleset_hash":"rh","schema_version":"1.0","session_scope":' || to_json(session_scope)::VARCHAR
+  || ',"stream_stats":{{"chunks":' || chunks || ',"hold_events":0,"hold_timeout_flush":0,"hold_timeout_flush_depth_max":0,"l_max_session":0,"l_max_static":0,"max_buffer_bytes":0,"partial_alias_flushed":0}},"unmasked_candidates":[],"vault_record_tamper":0}}' AS json
+FROM q LEFT JOIN m USING (request_id) LEFT JOIN a USING (request_id) LEFT JOIN t USING (request_id)""")
+def q107_request_events(spark, sf_dir):
+    """A record of each order as a request, with its lines as spans."""
+    spans = SPANS.spark(spark, sf_dir)
+    requests = REQUESTS.spark(spark, sf_dir).withColumn("degraded", F.array(F.lit("ner_disabled"), F.lit("ner_disabled")))
+    return V.event_json(V.request_events(requests, spans.filter("not allowed"), spans.filter("allowed")))
+
+
+@_query("SELECT doc_id, sha256(to_json(text)::VARCHAR) AS quoted FROM documents WHERE text IS NOT NULL")
+def q108_json_quoted(spark, sf_dir):
+    """The digest of each document as a JSON string."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
+    return docs.select("doc_id", F.sha2(V.json_quote(F.col("text")), 256).alias("quoted"))

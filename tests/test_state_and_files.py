@@ -12,6 +12,7 @@ from ledgerline.operators import call_sites as S
 from ledgerline.operators import dictionary as D
 from ledgerline.operators import joins as J
 from ledgerline.operators import mask as M
+from ledgerline.operators import request_events as V
 from ledgerline.sources import hook_sink, records, rules, trees
 from ledgerline.streaming import names as N
 from ledgerline.streaming import restorer, sessions
@@ -323,3 +324,18 @@ def test_word_lists_and_affix_rules_from_files(spark):
             rules.affixes("tr", bad)
     one, two = {"id": "a", "x": 1}, {"x": 2, "id": "b"}
     assert rules.rule_set_hash([one, two]) == rules.rule_set_hash([{"id": "b", "x": 2}, one]) != rules.rule_set_hash([one])
+
+
+def test_request_events_without_spans_and_quoting(spark):
+    requests = spark.createDataFrame([(1, "s", None, ["b", "a", "b"]), (2, None, 7, None)], "request_id long, session_scope string, total long, degraded array<string>")
+    requests = requests.withColumns({c: F.lit("x") for c in ("alias_style", "masking_profile", "policy_hash", "policy_version", "ruleset_hash")})
+    masked = spark.createDataFrame([(1, "IBAN", "pattern", "label", False), (1, "IBAN", "pattern", "opaque", True), (1, "DATE", "ner", "invalid", False)], "request_id long, entity string, layer string, rung string, reused boolean")
+    allowed = spark.createDataFrame([], "request_id long, entity string, scope string, path_no int, start int")
+    got = {r.request_id: json.loads(r.json) for r in V.event_json(V.request_events(requests, masked, allowed)).collect()}
+    assert got[1]["entities_masked"] == [{"confidence_bucket": "low", "count": 1, "layer": "ner", "type": "DATE"}, {"confidence_bucket": "deterministic", "count": 2, "layer": "pattern", "type": "IBAN"}]
+    assert got[1]["alias_stats"]["by_type"] == {"DATE": {"count": 1, "ladder_rung": "invalid"}, "IBAN": {"count": 1, "ladder_rung": "label"}} and got[1]["degraded_reasons"] == ["a", "b"]
+    assert got[2]["entities_masked"] == got[2]["entities_allowed"] == got[2]["degraded_reasons"] == [] and got[2]["alias_stats"]["by_type"] == {} and got[2]["latency_ms"]["total"] == 7 and got[2]["session_scope"] is None
+    assert list(got[1]) == sorted(got[1])
+    texts = ["plain", 'q"\\\n\r\t\x01\x1f\x7f é', "", "\\u0001"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", V.json_quote(F.col("t")).alias("q")).collect()
+    assert all(json.loads(r.q) == r.t for r in rows) and {r.t: r.q for r in rows}[texts[1]] == '"q\\"\\\\\\n\\r\\t\\u0001\\u001f\x7f é"'
