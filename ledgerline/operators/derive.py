@@ -176,3 +176,45 @@ def findings(points: DataFrame | None, events: DataFrame | None, flows: DataFram
     named = every.withColumn("rule_id", F.element_at(rules, F.col("kind"))).withColumn("finding_id", I.finding_identity(F.col("kind"), F.lit("reconciled"), F.col("primary_ref"), F.col("rule_id")))
     first = named.groupBy("finding_id").agg(F.min(F.struct("kind", "confidence", "provider_ref", "primary_ref", "rule_id", "evidence")).alias("f"))
     return first.select("finding_id", "f.*"), stopped
+
+
+def references(points: DataFrame, events: DataFrame, flows: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(kind, primary_ref, ref_type, ref_id), each once: what findings refer to.
+
+    A point is referred to by what is found of it, the calls that drifted by its drift, all flows of an
+    episode by what is found of the episode, and the calls that its bytes are measured by.
+    """
+    settings = settings or Settings()
+    row = lambda kind, primary, ref, of: (F.lit(kind).alias("kind"), F.col(primary).alias("primary_ref"), F.lit(ref).alias("ref_type"), F.col(of).alias("ref_id"))
+    own = points.select("ep_id")
+    same = (F.col("host") == F.col("obs_host")) & F.col("port").eqNullSafe(F.col("obs_port"))
+    drifted = points.filter("host is not null").join(events.filter("obs_host is not null"), F.col("operation") == F.col("ee_operation")).filter(~same)
+    held = E.members(flows, settings.join_tolerance_ms).select("flow_id", "member").distinct()
+    linked = J.wire_links(E.episodes(flows, settings.join_tolerance_ms), events).select("flow_id", "ee_id").distinct()
+    made = [
+        own.select(*row(KINDS[0], "ep_id", "egress_point", "ep_id")),
+        own.select(*row(KINDS[1], "ep_id", "egress_point", "ep_id")),
+        drifted.select(*row(KINDS[1], "ep_id", "egress_event", "ee_id")),
+        held.select(*row(KINDS[2], "flow_id", "flow", "member")),
+        held.select(*row(KINDS[3], "flow_id", "flow", "member")),
+        linked.select(*row(KINDS[3], "flow_id", "egress_event", "ee_id")),
+    ]
+    return reduce(DataFrame.unionByName, made).distinct()
+
+
+def collapsed(found: DataFrame, refs: DataFrame) -> DataFrame:
+    """findings (finding_id, kind, primary_ref, evidence, ...) once each, with refs and evidence as sorted arrays of all of equal id, and lost: how many others had the id.
+
+    Only references of what was found are gathered; a finding's list is as long as what it refers to.
+    """
+    one = found.groupBy("finding_id").agg(F.min(F.struct(*(c for c in found.columns if c not in ("finding_id", "evidence")))).alias("f"), F.array_sort(F.collect_set("evidence")).alias("evidence"), (F.count("*") - 1).alias("lost"))
+    own = refs.join(found.select("kind", "primary_ref", "finding_id").distinct(), ["kind", "primary_ref"])
+    lists = own.groupBy("finding_id").agg(F.array_sort(F.collect_set(F.struct("ref_type", "ref_id"))).alias("refs"))
+    none = F.array().cast("array<struct<ref_type:string,ref_id:string>>")
+    return one.join(lists, "finding_id", "left").select("finding_id", "f.*", "evidence", F.coalesce("refs", none).alias("refs"), "lost")
+
+
+def fault_notes(collapsed_: DataFrame) -> DataFrame:
+    """(fault): how many findings a collapse lost, no row if none."""
+    lost = collapsed_.agg(F.coalesce(F.sum("lost"), F.lit(0)).alias("n")).filter("n > 0")
+    return lost.select(F.concat(F.col("n").cast("string"), F.lit(" findings collapsed onto an identity that another one already held")).alias("fault"))

@@ -62,8 +62,8 @@ def pieces(flows: DataFrame, cell_ms: int = CELL_MS) -> DataFrame:
     return read.groupBy(*CONVERSATION, "at").agg(*_together("head")).withColumn("cell", F.floor(F.col("at") / cell_ms)).drop("at")
 
 
-def episodes(flows: DataFrame, join_tolerance_ms: int = 250, cell_ms: int = CELL_MS) -> DataFrame:
-    """Episodes: flow_id (the smallest), target, process, scope, attribution, span, bytes, flows, classification, provider (the earliest)."""
+def _cut(flows: DataFrame, limit: int, cell_ms: int) -> DataFrame:
+    """The pieces of flows with part: the episode of its cell that a piece belongs to, 0 if it goes on with one of an earlier cell."""
     own = pieces(flows, cell_ms)
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     by_cell = Window.partitionBy(*CONVERSATION).orderBy("cell")
@@ -73,19 +73,53 @@ def episodes(flows: DataFrame, join_tolerance_ms: int = 250, cell_ms: int = CELL
     # A cell's row of what is carried in stands before its pieces.
     rows = own.unionByName(reach.withColumnRenamed("carried", "end_ms"), allowMissingColumns=True)
     open_end = F.max("end_ms").over(earlier(order))
-    fresh = F.col("start_ms").isNotNull() & (open_end.isNull() | (F.col("start_ms") - open_end > tolerance(join_tolerance_ms)))
-    cut = rows.withColumn("fresh", fresh.cast("int")).withColumn("part", F.sum("fresh").over(order)).filter("start_ms is not null")
+    fresh = F.col("start_ms").isNotNull() & (open_end.isNull() | (F.col("start_ms") - open_end > limit))
+    return rows.withColumn("fresh", fresh.cast("int")).withColumn("part", F.sum("fresh").over(order)).filter("start_ms is not null")
+
+
+def _parts(cut: DataFrame) -> DataFrame:
+    """The parts of cells, with whether one is a whole episode (inner), and the chain that the others are links of."""
     parts = cut.groupBy(*CONVERSATION, "cell", "part").agg(*_together("head"))
     parts = parts.withColumn("last", F.max("part").over(Window.partitionBy(*CONVERSATION, "cell")))
-    # Part 0 goes on with what an earlier cell ended with; parts in between are whole episodes.
-    inner = (F.col("part") > 0) & (F.col("part") < F.col("last"))
+    return parts.withColumn("inner", (F.col("part") > 0) & (F.col("part") < F.col("last")))
+
+
+def _chained(parts: DataFrame) -> DataFrame:
+    """The first and last parts of cells; part 0 goes on with what an earlier cell ended with."""
     chain = F.sum((F.col("part") > 0).cast("int")).over(Window.partitionBy(*CONVERSATION).orderBy("cell", "part"))
-    ends = parts.filter(~inner).withColumn("chain", chain).groupBy(*CONVERSATION, "chain").agg(*_together("head")).drop("chain")
-    merged = parts.filter(inner).drop("cell", "part", "last").unionByName(ends)
+    return parts.filter("not inner").withColumn("chain", chain)
+
+
+def episodes(flows: DataFrame, join_tolerance_ms: int = 250, cell_ms: int = CELL_MS) -> DataFrame:
+    """Episodes: flow_id (the smallest), target, process, scope, attribution, span, bytes, flows, classification, provider (the earliest)."""
+    parts = _parts(_cut(flows, tolerance(join_tolerance_ms), cell_ms))
+    ends = _chained(parts).groupBy(*CONVERSATION, "chain").agg(*_together("head")).drop("chain")
+    merged = parts.filter("inner").drop("cell", "part", "last", "inner").unionByName(ends)
     named = {"classification": F.element_at(F.array(*map(F.lit, CLASSES)), F.col("class_rank")), "provider_ref": F.col("head.provider")}
     return merged.withColumns(named).drop("class_rank", "head")
 
 
+def _same_talk(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """left (l) and right (r) joined by conversation, whose parts may be null, and keys."""
+    return left.alias("l").join(right.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in CONVERSATION] + [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
+
+
+def members(flows: DataFrame, join_tolerance_ms: int = 250, cell_ms: int = CELL_MS) -> DataFrame:
+    """(flow_id, CONVERSATION, member): the flows of each episode, which is named by its smallest flow id and its conversation.
+
+    A flow finds the part that its time was dealt to, and the part its episode: joins on a conversation's cells, not on conversations.
+    """
+    cut = _cut(flows, tolerance(join_tolerance_ms), cell_ms)
+    parts = _parts(cut)
+    links = _chained(parts)
+    smallest = links.groupBy(*CONVERSATION, "chain").agg(F.min("flow_id").alias("episode"))
+    ended = _same_talk(links, smallest, "chain").select(*(F.col(f"l.{c}") for c in (*CONVERSATION, "cell", "part")), "episode")
+    whole = parts.filter("inner").select(*CONVERSATION, "cell", "part", F.col("flow_id").alias("episode"))
+    dealt = _same_talk(readings(flows), cut.select(*CONVERSATION, "start_ms", "cell", "part"), "start_ms").select(*(F.col(f"l.{c}") for c in ("flow_id", *CONVERSATION)), "cell", "part")
+    own = _same_talk(dealt, whole.unionByName(ended), "cell", "part")
+    return own.select(F.col("episode").alias("flow_id"), *(F.col(f"l.{c}") for c in CONVERSATION), F.col("l.flow_id").alias("member"))
+
+
 def bucket_counts(flows: DataFrame) -> DataFrame:
     """One row: flows by scope, and those without a classification, over all flows."""
     scopes = {"in_scope": "in_scope", "out_of_scope_process": "out_of_scope", "known_benign": "known_benign", "undetermined": "undetermined"}

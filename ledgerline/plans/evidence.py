@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ledgerline.functions.tables import new_path
 from ledgerline.operators import aliases as A
 from ledgerline.operators import call_sites as S
+from ledgerline.operators import derive as R
 from ledgerline.operators import dictionary as D
+from ledgerline.operators import episodes as E
 from ledgerline.operators import request_events as V
 from ledgerline.plans import measures, relational
 from ledgerline.plans.measures import Rows
@@ -198,3 +200,26 @@ def q108_json_quoted(spark, sf_dir):
     """The digest of each document as a JSON string."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
     return docs.select("doc_id", F.sha2(V.json_quote(F.col("text")), 256).alias("quoted"))
+
+
+_REFS = """pairs AS (SELECT p.ep_id, e.ee_id FROM point p JOIN event e ON p.operation = e.operation WHERE p.host IS NOT NULL AND e.obs_host IS NOT NULL AND NOT (p.host = e.obs_host AND p.port IS NOT DISTINCT FROM e.obs_port)),
+held AS (SELECT flow_id AS member, min(flow_id) OVER (PARTITION BY host, port, pid, pid_start_time, flow_scope, process_attribution, ep) AS flow_id FROM num),
+wire AS (SELECT x.flow_id, e.ee_id FROM episode x JOIN event e ON e.wire_host = x.host AND e.wire_port IS NOT DISTINCT FROM x.port),
+ref AS (SELECT 'dormant_egress_point' AS kind, ep_id AS primary_ref, 'egress_point' AS ref_type, ep_id AS ref_id FROM point UNION SELECT 'target_drift', ep_id, 'egress_point', ep_id FROM point UNION SELECT 'target_drift', ep_id, 'egress_event', ee_id FROM pairs
+  UNION SELECT 'unmatched_wire_traffic', flow_id, 'flow', member FROM held UNION SELECT 'volume_anomaly', flow_id, 'flow', member FROM held UNION SELECT 'volume_anomaly', flow_id, 'egress_event', ee_id FROM wire)"""
+
+
+@_query(relational._with("""SELECT f.finding_id, f.kind, count(r.ref_id) AS n_refs, sha256(string_agg(r.ref_type || ':' || r.ref_id, ',' ORDER BY r.ref_type, r.ref_id)) AS refs_sha256
+FROM finding f JOIN ref r ON r.kind = f.kind AND r.primary_ref = f.primary_ref GROUP BY f.finding_id, f.kind""", *relational._ALL, _REFS))
+def q109_finding_refs(spark, sf_dir):
+    """How many points, calls and flows each finding refers to, and the digest of their names."""
+    parts = relational.views.points(spark, sf_dir), relational._events(spark, sf_dir), relational.views.flows(spark, sf_dir)
+    whole = R.collapsed(R.findings(*parts)[0], R.references(*parts))
+    named = F.array_join(F.transform("refs", lambda r: F.concat_ws(":", r["ref_type"], r["ref_id"])), ",")
+    return whole.select("finding_id", "kind", F.size("refs").cast("long").alias("n_refs"), F.sha2(named, 256).alias("refs_sha256"))
+
+
+@_query(relational._with("SELECT flow_id AS member, min(flow_id) OVER (PARTITION BY host, port, pid, pid_start_time, flow_scope, process_attribution, ep) AS flow_id FROM num", relational._EPISODE))
+def q110_episode_members(spark, sf_dir):
+    """The episode of every flow."""
+    return E.members(relational.views.flows(spark, sf_dir)).select("member", "flow_id")

@@ -285,3 +285,33 @@ def test_a_hot_address_is_swept_in_its_seconds(spark):
     told = [("hot", f"n{i % 5}", i % 7200, i % 90) for i in range(100_000)]
     near = lambda at: [t for t in told if at - 90 <= t[2] <= at]
     assert all(r.dns_names == brute_names([(0, "hot", r.flow_id * 31 % 10_000)], near(r.flow_id * 31 % 10_000))[0] for r in some[:60])
+
+
+def test_members_of_episodes_meet_across_cells(spark):
+    rng = random.Random(31)
+    rows = [flow(i, start=rng.randint(0, 120), ms=rng.choice([0, 300, 1500, 30_000 if rng.random() < 0.1 else 10]), host=rng.choice(["a.example", "b.example"]), pid=rng.choice([1, None])) for i in range(250)]
+    own = E.members(flows(spark, *rows), cell_ms=5_000).collect()
+    assert sorted(r.member for r in own) == sorted(r[0] for r in rows)
+    sizes = {}
+    for r in own:
+        key = (r.flow_id, r.host, r.pid)
+        sizes[key] = sizes.get(key, 0) + 1
+    whole = {(r.flow_id, r.host, r.pid): r.flows for r in E.episodes(flows(spark, *rows)).collect()}
+    assert sizes == whole and len(whole) > 10
+
+
+def test_findings_hold_references_and_tell_what_a_collapse_lost(spark):
+    p = points(spark, ("op.a", "a.example", None, "p1"), ("op.b", "b.example", None, "p2"))
+    e = events(spark, ("op.a", "c.example", None, "p1"), ("op.a", "d.example", None, "p1"), ("op.a", "a.example", None, "p1"))
+    f = flows(spark, flow(3, host="u.example"), flow(1, host="u.example"), flow(2, start=1001, host="u.example"), flow(9, start=5000, host="u.example"))
+    found = D.findings(p, e, f)[0]
+    whole = {r.primary_ref: r for r in D.collapsed(found, D.references(p, e, f)).collect()}
+    assert [tuple(r) for r in whole["ep_0"].refs] == [("egress_event", "ee_0"), ("egress_event", "ee_1"), ("egress_point", "ep_0")] and whole["ep_0"].kind == "target_drift"
+    assert [tuple(r) for r in whole["ep_1"].refs] == [("egress_point", "ep_1")] and whole["ep_1"].kind == "dormant_egress_point"
+    assert [r.ref_id for r in whole["fl_1"].refs] == ["fl_1", "fl_2", "fl_3"] and [r.ref_id for r in whole["fl_9"].refs] == ["fl_9"]
+    assert D.fault_notes(D.collapsed(found, D.references(p, e, f))).count() == 0
+    from pyspark.sql import functions as F
+
+    twice = D.collapsed(found.unionByName(found.withColumn("evidence", F.lit("another"))), D.references(p, e, f))
+    assert all(r.lost == 1 and len(r.evidence) == 2 and "another" in r.evidence for r in twice.collect())
+    assert D.fault_notes(twice).first().fault == f"{found.count()} findings collapsed onto an identity that another one already held"
