@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import identity as I
 from ledgerline.functions import targets as T
+from ledgerline.functions.tables import settle
 from ledgerline.operators import episodes as E
 from ledgerline.operators import joins as J
 
@@ -95,9 +96,9 @@ def resolved_targets(points: DataFrame, events: DataFrame) -> DataFrame:
     return met.select("ep_id", F.col("obs_host").alias("host"), F.col("obs_port").alias("port")).distinct()
 
 
-def unmatched(points: DataFrame, events: DataFrame | None, flows: DataFrame, settings: Settings) -> DataFrame:
-    """In-scope episodes that neither a call nor the code accounts for."""
-    found = E.episodes(flows, settings.join_tolerance_ms).filter("flow_scope = 'in_scope'")
+def unmatched(points: DataFrame, events: DataFrame | None, flows: DataFrame, settings: Settings, episodes: DataFrame | None = None) -> DataFrame:
+    """In-scope episodes that neither a call nor the code accounts for; episodes are those of flows, where they are known already."""
+    found = (E.episodes(flows, settings.join_tolerance_ms) if episodes is None else episodes).filter("flow_scope = 'in_scope'")
     if events is not None:
         found = J.unmatched_episodes(found, events).join(F.broadcast(J.unreadable_events(events)))
     else:
@@ -126,13 +127,13 @@ def band(expected, basis_points: int, up: bool):
     return F.call_function("ceil" if up else "floor", product / F.lit(10_000).cast("decimal(10,0)")).cast("long")
 
 
-def volume(events: DataFrame, flows: DataFrame, settings: Settings) -> DataFrame:
+def volume(events: DataFrame, flows: DataFrame, settings: Settings, episodes: DataFrame | None = None) -> DataFrame:
     """In-scope episodes whose bytes lie outside the band around what their calls declared.
 
     Candidates are looked up by flow id, so conversations that share one share their calls.
     """
     low, high = settings.band
-    every = E.episodes(flows, settings.join_tolerance_ms).withColumn("key", F.coalesce("port", F.lit(-1)))
+    every = (E.episodes(flows, settings.join_tolerance_ms) if episodes is None else episodes).withColumn("key", F.coalesce("port", F.lit(-1)))
     sums = every.select("flow_id", "host", "key").distinct().join(J.event_targets(events), ["host", "key"]).groupBy("flow_id").agg(F.sum("calls").alias("calls"), F.sum("bytes").alias("expected"), F.sum("unsized").alias("unsized"))
     met = every.filter("flow_scope = 'in_scope' and bytes_out is not null").join(sums, "flow_id").filter("calls > 0 and unsized = 0")
     least, most = band(F.col("expected"), low, False), band(F.col("expected"), high, True)
@@ -160,15 +161,18 @@ def findings(points: DataFrame | None, events: DataFrame | None, flows: DataFram
         measured = None if seen.n == 0 else seen.counted > 0
     stopped = suppressed(points is not None, events is not None, flows is not None, measured, settings)
     off = {k for k, _ in stopped}
+    # Checked events and episodes are read by several derivations each, so they are worked out once.
+    events = settle(events, "events") if events is not None and off != set(KINDS) else events
+    episodes = settle(E.episodes(flows, settings.join_tolerance_ms), "episodes") if flows is not None and not off >= set(KINDS[2:]) else None
     made = []
     if KINDS[0] not in off:
         made.append(dormant(points, events, settings))
     if KINDS[1] not in off:
         made.append(drift(points, events))
     if KINDS[2] not in off:
-        made.append(unmatched(points, events, flows, settings))
+        made.append(unmatched(points, events, flows, settings, episodes))
     if KINDS[3] not in off:
-        made.append(volume(events, flows, settings))
+        made.append(volume(events, flows, settings, episodes))
     if not made:
         return None, stopped
     every = reduce(DataFrame.unionByName, made)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import identity as I
@@ -33,10 +33,10 @@ def checked_events(events: DataFrame) -> DataFrame:
 
 
 def valid_events(events: DataFrame) -> DataFrame:
-    """Valid events, the first row of each id in row order."""
+    """Valid events, the first row of each id in row order; rows of an id are reduced to one before they are sent."""
     ok = checked_events(events).filter("fault is null").drop("fault")
-    first = Window.partitionBy("egress_event_id").orderBy("row_no")
-    return ok.withColumn("rank", F.row_number().over(first)).filter("rank = 1").drop("rank")
+    first = F.min_by(F.struct(*(f"`{c}`" for c in ok.columns)), "row_no").alias("first")
+    return ok.groupBy("egress_event_id").agg(first).select("first.*")
 
 
 def flow_fault(flow: DataFrame) -> Column:
