@@ -11,7 +11,8 @@ index is a table with a row per node. A search sends each block of queries to ev
 whose finds all enter the next layer, and follows the links of the `ef` hubs found to the ground, where a hub's vectors are
 scored for all queries of the block at once. Single precision only tells which can't be among the k best, with the bound of its
 error; the rest is scored in double precision. `ef` is tuned in each shard: it grows until TRIALS of
-the shard's own queries find RECALL of their nearest, by brute force over the shard. A shard returns its k best and
+the shard's own queries find RECALL of their nearest, by brute force over the shard, and nearly each of them half of its own; parts
+of a layer that no link joins are linked by their nearest pair, so every hub can be reached. A shard returns its k best and
 the merge keeps the k best of all.
 
 Defined results: vectors that are null, empty, zero, or hold a null, NaN or infinite component take no
@@ -41,8 +42,9 @@ CELL, MOVES = 128, 2
 #: The search's beam over hubs where it isn't tuned, for a graph of up to BEAM_ROWS vectors, wider in larger ones; and the
 #: beam in the upper layers, whose finds all enter the next one.
 BEAM, BEAM_ROWS, ENTRIES = 160, 4_096, 32
-#: Queries of a shard that its beam is tuned by, and the share of their nearest that they must find.
-TRIALS, RECALL = 64, 0.95
+#: Queries of a shard that its beam is tuned by, the share of their nearest that they must find together, and the share of
+#: queries that may find less than half of theirs.
+TRIALS, RECALL, POOR = 192, 0.95, 0.006
 #: Shards at least, so that small tables are spread over tasks as well. There are as many shards as cores, but none
 #: has fewer than about SHARD_ROWS vectors on average, nor more than SHARD_BYTES of components (or SHARD_ROWS vectors).
 LEAST_SHARDS, SHARD_ROWS, SHARD_BYTES = 8, 8_192, 32 << 20
@@ -120,6 +122,30 @@ def _layer(x: np.ndarray, links: int, hubs: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bridges(x: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows of x that, linked, make one of a layer's parts that no link joins: each part but the largest by its nearest pair to the others."""
+    part = np.arange(len(x))
+    rows, at = np.nonzero(near >= 0)
+    to = near[rows, at]
+    while True:
+        least = part.copy()
+        np.minimum.at(least, rows, part[to])
+        np.minimum.at(least, to, part[rows])
+        least = least[least]
+        if (least == part).all():
+            break
+        part = least
+    names, sizes = np.unique(part, return_counts=True)
+    half, out = (x * x).sum(1) / 2, []
+    for name in names[np.argsort(sizes, kind="stable")][:-1]:
+        own, rest = np.flatnonzero(part == name), np.flatnonzero(part != name)
+        sim = x[own] @ x[rest].T - half[own][:, None] - half[rest][None, :]
+        a, b = np.unravel_index(int(sim.argmax()), sim.shape)
+        out.append((int(own[a]), int(rest[b])))
+        part[own] = part[rest[b]]
+    return out
+
+
 def _nearest_hub(x: np.ndarray, hubs: np.ndarray) -> np.ndarray:
     half = (hubs * hubs).sum(1) / 2
     return np.concatenate([(x[at : at + 4096] @ hubs.T - half).argmax(1) for at in range(0, len(x), 4096)])
@@ -162,8 +188,12 @@ def build_shard(shard: int, ids: np.ndarray, vectors: np.ndarray) -> pd.DataFram
     for level in range(1, int(top.max()) + 1):
         members = np.flatnonzero(top >= level)
         near = _layer(hubs[members], LINKS * (2 if level == 1 else 1), np.flatnonzero(top[members] > level))
+        own_links = [row[row >= 0].tolist() for row in near]
+        for a, b in _bridges(hubs[members], near):
+            own_links[a].append(b)
+            own_links[b].append(a)
         for i, m in enumerate(members):
-            lists[m].append((n + members[near[i][near[i] >= 0]]).astype(np.int32))
+            lists[m].append((n + members[own_links[i]]).astype(np.int32))
     none, bare = np.zeros(0, np.int32), np.zeros(2, np.int32)
     flat = [none] * n + [np.concatenate(x) for x in lists]
     begins = [bare] * n + [np.cumsum([0, *map(len, x)]).astype(np.int32) for x in lists]
@@ -257,8 +287,9 @@ class Graph:
         self.top = np.array([len(b) - 2 for b in begins])
         self.layers: list[np.ndarray] = []  # from layer 1 on, by number of the hub
         for level in range(1, int(self.top.max()) + 1):
-            table = np.full((len(hubs), LINKS * (2 if level == 1 else 1)), -1, np.int32)
-            for i in np.flatnonzero(self.top >= level):
+            members = np.flatnonzero(self.top >= level)
+            table = np.full((len(hubs), max(1, *(begins[i][level + 1] - begins[i][level] for i in members))), -1, np.int32)
+            for i in members:
                 near = links[i][begins[i][level] : begins[i][level + 1]]
                 table[i, : len(near)] = np.array(near, np.int64) - n
             self.layers.append(table)
@@ -299,7 +330,7 @@ class Graph:
         return int(ef * max(1.0, self.n / BEAM_ROWS) ** 0.75)
 
     def tuned(self, q: np.ndarray, share: float = RECALL, k: int = 20, of: int = 20) -> int:
-        """The least beam with which the queries find that share of their `of` nearest, which brute force tells."""
+        """The least beam with which the queries find that share of their `of` nearest, which brute force tells, and nearly all of them half of theirs."""
         hubs = len(self.hubs)
         if not len(q) or hubs <= 8:
             return hubs
@@ -309,7 +340,8 @@ class Graph:
         wanted, ef = r * self.n + self.node[c], 8
         while ef < hubs:
             found, _ = self.search(q, ef, k)
-            if np.isin(wanted, np.where(found < 0, -1, np.arange(len(q))[:, None] * self.n + found)).sum() >= share * len(q) * min(of, self.n):
+            hit = np.bincount(r, np.isin(wanted, np.where(found < 0, -1, np.arange(len(q))[:, None] * self.n + found)), len(q))
+            if hit.sum() >= share * len(q) * min(of, self.n) and (2 * hit < np.bincount(r, minlength=len(q))).mean() <= POOR:
                 break
             ef = int(ef * 1.25)
         return min(ef, hubs)

@@ -662,6 +662,33 @@ def test_one_graph_reaches_the_recall(kind):
     assert np.mean(hits) / 21 >= 0.95
 
 
+@pytest.mark.parametrize("kind", ["clusters", "tight with lengths", "dense with scatter", "lengths"])
+def test_nearly_no_query_is_lost_in_a_part_of_the_graph(kind):
+    """Mean recall and the share of queries that find less than half of their nearest, with the beam that a shard tunes itself."""
+    rng, n = np.random.default_rng(6), 12_000
+    centres, noise = np.repeat(rng.normal(size=(400, 64)), n // 400, 0), rng.normal(size=(n, 64))
+    lengths = np.exp(rng.normal(size=(n, 1)) * 0.4)
+    x = {"clusters": centres + 0.1 * noise, "tight with lengths": (centres + 0.02 * noise) * lengths, "dense with scatter": np.where(np.arange(n)[:, None] < n // 2, centres[:1] + 0.05 * noise, noise), "lengths": noise * lengths}[kind]
+    graph = ann.Graph([ann._rows(ann.build_shard(0, np.arange(n), x))])
+    asked = rng.permutation(n)[:800]
+    found, _ = graph.search(x[asked], graph.tuned(x[asked[: ann.TRIALS]]))
+    wanted = np.argsort(-(x[asked] @ x.T), axis=1)[:, :21]
+    ids = np.array([graph.ids[i][0].as_py() for i in range(graph.n)])
+    hits = np.array([len(set(ids[f[f >= 0]]) & set(w)) for f, w in zip(found, wanted)]) / 21
+    assert hits.mean() >= 0.92 and (hits < 0.5).mean() <= 0.02
+
+
+def test_layers_are_in_one_part():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + 0.01 * rng.normal(size=(40, 8)) for c in rng.normal(size=(12, 8)) * 50]).astype(np.float32)
+    near = ann._layer(x, 16, np.zeros(0, np.int64))
+    pairs = ann._bridges(x, near)
+    up = np.arange(len(x))
+    for a, b in [*((i, int(j)) for i, row in enumerate(near) for j in row if j >= 0), *pairs]:
+        up[up == up[a]] = up[b]
+    assert pairs and len(set(up.tolist())) == 1 and ann._bridges(x[:1], near[:1] * 0 - 1) == []
+
+
 def test_a_full_shard_is_built_and_searched_in_time():
     """60,000 vectors without any structure: the beam is tuned to the recall, and 512 queries and the build take seconds."""
     rng = np.random.default_rng(6)
