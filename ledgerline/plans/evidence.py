@@ -18,7 +18,7 @@ from ledgerline.plans import measures, relational
 from ledgerline.plans.measures import Rows
 from ledgerline.sources import hook_sink, records, trees
 from ledgerline.streaming import names as N
-from ledgerline.streaming import restorer, sessions
+from ledgerline.streaming import assembler, restorer, sessions
 from ledgerline.streaming.replay import replayed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,14 @@ def q100_streamed_sessions(spark, sf_dir):
     return out.filter("session <> 'end'").withColumn("session", F.col("session").cast("long"))
 
 
+@_query(relational.ORACLE["q32_assemble_flows"])
+def q111_streamed_flows(spark, sf_dir):
+    """The flows of q32, from a stream in two pieces, the earlier half of the month first, and a drain of every key at the end."""
+    rows = relational.kernel_events(spark, sf_dir).selectExpr("cast(key as long) key", "cast(at as long) at", "cast(event_id as long) event_id", "kind", "cast(bytes as long) bytes")
+    drains = rows.select("key").distinct().selectExpr("key", "9999999999L at", "0L event_id", "'drain' kind", "0L bytes")
+    return replayed([rows.filter("at < 1705276800"), rows.filter("at >= 1705276800"), drains], assembler.assembled_stream)
+
+
 CHUNKS = Rows("conversations", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN substring(text, 1, 30) || ' PERS' ELSE 'ON_1 ' || substring(text, 1, 30) || '.' END AS text, turn * CASE WHEN conv_id % 2 = 0 THEN 10 ELSE 100 END AS now_ms FROM {t}")
 
 

@@ -294,9 +294,13 @@ p AS (SELECT *, max(CASE WHEN kind = 'connect' THEN 1 ELSE 0 END) OVER (PARTITIO
 SELECT key, inc::BIGINT AS incarnation, max(tick) FILTER (kind = 'connect') AS connected_at, count(*) FILTER (kind = 'volume' AND live = 1) AS volumes, coalesce(sum(bytes) FILTER (kind = 'volume' AND live = 1), 0)::BIGINT AS bytes, bool_or(kind = 'close' AND live = 1) AS closed,
   count(*) FILTER (kind <> 'connect' AND live = 0) AS orphans FROM p GROUP BY key, inc""")
 def q32_assemble_flows(spark, sf_dir):
+    return W.assembled(kernel_events(spark, sf_dir))
+
+
+def kernel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel events (key, at, event_id, kind, bytes)."""
     kind = F.element_at(F.create_map(*(F.lit(x) for kv in {"signup": "connect", "click": "volume", "view": "volume", "purchase": "close", "error": "connect"}.items() for x in kv)), F.col("event_type"))
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.unix_timestamp("ts").alias("at"), "event_id", kind.alias("kind"), (F.col("event_id") % 1000).alias("bytes"))
-    return W.assembled(rows)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.unix_timestamp("ts").alias("at"), "event_id", kind.alias("kind"), (F.col("event_id") % 1000).alias("bytes"))
 
 
 @_query("""WITH n AS (SELECT value AS v, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS r FROM events),
