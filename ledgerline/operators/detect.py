@@ -218,7 +218,10 @@ def fold(text: str) -> str:
 
 
 class Dictionary:
-    """Known values by folded spelling, found leftmost-longest at word starts, bare or with a chain of suffixes after an apostrophe or vowel-harmonious stem."""
+    """A short list of known values that travels with a function: by folded spelling, leftmost-longest at word starts, bare or with a chain of suffixes, whose vowels aren't looked at.
+
+    operators.dictionary looks up lists of any length by joins, with vowel harmony.
+    """
 
     def __init__(self, entries: list[tuple[str, str]], suffixes: list[str] = (), apostrophes: str = "'’", base_least: int = 3, chain_most: int = 3) -> None:
         self.types: dict[str, str] = {}

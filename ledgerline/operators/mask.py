@@ -204,9 +204,9 @@ def restore_text(text: str, originals: dict[str, str]) -> tuple[str, int, int]:
 
 
 def masked(rows: DataFrame, key: bytes, session: str = "doc_id", text: str = "text", rules: list[Rule] = (), default: str = "mask", date_policy: str = "allow", dictionary: D.Dictionary | None = None, code: str = "pattern") -> DataFrame:
-    """(session, masked, aliases: map<alias, original>, counts) of rows of one text per session; spans are found in the JVM's stage before.
+    """(session, masked, aliases: map<alias, original>, counts) of rows of one text per session.
 
-    A text that holds a value which may not pass is refused: masked is null, and counts says which type under refused:<type>.
+    Texts in which no shape can match pass in the JVM, where no dictionary is looked up; the others are scanned once. A text that holds a value which may not pass is refused: masked is null, and counts says which type under refused:<type>.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,8 +214,8 @@ def masked(rows: DataFrame, key: bytes, session: str = "doc_id", text: str = "te
             out = []
             for sid, body, spans in zip(batch["session"], batch["text"], batch["spans"], strict=True):
                 own = Session(hmac.new(key, str(sid).encode(), hashlib.sha256).digest())
-                if body is None:
-                    out.append((sid, None, {}, {}))
+                if body is None or not len(spans):
+                    out.append((sid, body, {}, {}))
                     continue
                 own.withhold(body)
                 try:
@@ -226,11 +226,11 @@ def masked(rows: DataFrame, key: bytes, session: str = "doc_id", text: str = "te
                 out.append((sid, done, own.originals, counts))
             yield pd.DataFrame(out, columns=["session", "masked", "aliases", "counts"])
 
-    found = D.detected(rows.select(F.col(session).alias("session"), F.col(text).alias("text")), "text", dictionary, code)
-    plain = F.size("spans") == 0
-    hit = found.filter(~plain).mapInPandas(run, "session long, masked string, aliases map<string,string>, counts map<string,int>")
+    body = rows.select(F.col(session).alias("session"), F.col(text).alias("text"))
+    may = F.coalesce(F.col("text").rlike(D.MAY_MATCH), F.lit(False)) if dictionary is None else F.col("text").isNotNull()
+    hit = D.detected(body.filter(may), "text", dictionary, code).mapInPandas(run, "session long, masked string, aliases map<string,string>, counts map<string,int>")
     empty = F.create_map().cast("map<string,string>"), F.create_map().cast("map<string,int>")
-    return found.filter(plain).select(F.col("session").cast("long").alias("session"), F.col("text").alias("masked"), empty[0].alias("aliases"), empty[1].alias("counts")).unionByName(hit)
+    return body.filter(~may).select(F.col("session").cast("long").alias("session"), F.col("text").alias("masked"), empty[0].alias("aliases"), empty[1].alias("counts")).unionByName(hit)
 
 
 def masked_sessions(turns: DataFrame, key: bytes) -> DataFrame:

@@ -35,7 +35,7 @@ def q40_pii_spans(spark, sf_dir):
     return D.detected(_docs(spark, sf_dir)).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.entity", "s.start", "s.end", "s.layer")
 
 
-_EMAIL = r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?)*\.\p{L}{2,24}"
+_EMAIL = D.SHAPES["EMAIL"]
 
 
 @_query(f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS m FROM documents)
