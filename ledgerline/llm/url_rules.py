@@ -35,7 +35,7 @@ from ledgerline.llm import common as C
 EXPLICIT = [
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
-    ("block", "net/de/"),
+    ("allow", "net/de/"),
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 ]
