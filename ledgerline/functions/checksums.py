@@ -173,6 +173,13 @@ def card_column(number: Column) -> Column:
     return F.coalesce(fits & luhn_column(number), F.lit(False))
 
 
+def names_a_host_column(address: Column) -> Column:
+    """Whether four numbers between dots are an IPv4 address and neither loopback, unspecified nor documentation, in the JVM."""
+    parts = F.transform(F.split(address, r"\."), lambda x: x.cast("int"))
+    of_block = F.substring_index(address, ".", 3).isin("192.0.2", "198.51.100", "203.0.113")
+    return (F.array_max(parts) <= 255) & ~address.rlike(r"(^|\.)0[0-9]") & (parts[0] != 127) & (address != "0.0.0.0") & ~of_block
+
+
 def real_date_column(year: Column, month: Column, day: Column) -> Column:
     return F.coalesce(year.between(1000, 9999) & F.try_make_timestamp(year.cast("int"), month.cast("int"), day.cast("int"), F.lit(0), F.lit(0), F.lit(0)).isNotNull(), F.lit(False))
 

@@ -393,3 +393,26 @@ def test_dates_are_refused_or_pass_by_policy(spark):
     got = {r.session: (r.masked, r.counts) for r in M.masked(rows, b"k" * 32, date_policy="block").collect()}
     assert got[1] == (None, {"refused:DATE": 1}) and got[2][0].endswith(".invalid")
     assert M.masked(rows, b"k" * 32, rules=[M.Rule("allow", (), "EMAIL")]).filter("session = 2").first().masked == "a@b.example"
+
+
+def agrees_with_sql(spark, folder, name, texts):
+    """What a query and its SQL return for documents of these texts: the same rows, which are given back."""
+    import duckdb
+
+    import __spark_entry__
+
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    got = sorted(map(tuple, __spark_entry__.queries()[name](spark, str(folder)).collect()))
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    assert got == sorted(base.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+    return got
+
+
+def test_addresses_beside_others_and_at_sentence_ends_are_those_of_the_sql(spark, tmp_path):
+    texts = ["8.8.8.8", "at 8.8.8.8.", "1.2.3.4.5", "8.8.8.8 9.9.9.9 1.1.1.1", "8.8.8.8, 9.9.9.9", "999.1.1.1 8.8.8.8", "v8.8.8.8", "e\u0301" + "8.8.8.8\u0301", "8.8.8.8\n", "8.8.8.8\r\n9.9.9.9", "01.2.3.4", "127.0.0.1;0.0.0.0;192.0.2.7;198.51.100.7;203.0.113.9;192.0.3.7", "_8.8.8.8", "\u0663" + "8.8.8.8", "256.1.1.1", "1.2.3.4444", None, ""]
+    got = agrees_with_sql(spark, tmp_path, "q42_ipv4_values", texts)
+    assert (0, "8.8.8.8") in got and not any(i in (1, 2, 6) for i, _ in got)
+    shown = [c for c in ("8.8.8.8", "127.0.0.1", "192.0.2.9", "01.2.3.4", "0.0.0.0", "0.0.0.1", "256.1.1.1", "10.0.0.0", "203.0.113.0")]
+    rows = spark.createDataFrame([(c,) for c in shown], "a string").select("a", K.names_a_host_column(F.col("a")).alias("ok")).collect()
+    assert all(r.ok == K.names_a_host(r.a, 4) for r in rows)
