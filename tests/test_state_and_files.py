@@ -311,6 +311,17 @@ def test_a_million_entries_are_looked_up(spark):
     assert got.count() == 3000 and [tuple(r) for r in got.filter("id = 3").orderBy("start").collect()] == [(3, "ORG", 3, 16), (3, "ORG", 21, 31)]
 
 
+def test_a_common_word_does_not_lead_to_all_entries_that_begin_with_it(spark):
+    """5,000 entries begin with 'the'; a place of it meets those that its next word begins with, and of these the longest."""
+    entries = spark.range(5000).select(F.concat(F.lit("the w"), F.col("id")).alias("value"), F.lit("ORG").alias("entity")).unionByName(spark.sql("select 'the' value, 'PERSON' entity"))
+    texts = spark.range(40).select("id", F.concat(F.repeat(F.lit("the z "), 2000), F.lit("the w"), F.col("id") + 100, F.lit("ler")).alias("text"))
+    words = spark.sql("select * from values ('the', ' ', 'z'), ('the', ' ', 'w123ler'), ('the', '', null) as t(word, gap, next)")
+    one, two = D._heads(words, D.posted(entries), T_AFFIXES)
+    assert [(r.word, r.spelling) for r in one.collect()] == [("the", "the")] and [(r.next, r.spelling) for r in two.collect()] == [("w123ler", "the w123")]
+    got = D.dictionary_spans(texts, entries, T_AFFIXES).groupBy("id").agg(F.count_if(F.col("entity") == "PERSON").alias("one"), F.count_if(F.col("entity") == "ORG").alias("two"), F.max("end").alias("end")).collect()
+    assert len(got) == 40 and all((r.one, r.two, r.end) == (2000, 1, 12_000 + 8) for r in got)
+
+
 def test_word_lists_and_affix_rules_from_files(spark):
     listed = 'schema_version = "1.0"\ndictionary_id = "d"\n[[entries]]\nvalue = "Ali Veli"\ntype = "PERSON"\n[[entries]]\nvalue = "Acme"\ntype = "ORG"\n'
     assert [tuple(r) for r in rules.dictionary(spark, listed).collect()] == [("Ali Veli", "PERSON"), ("Acme", "ORG")]
