@@ -315,3 +315,20 @@ def test_findings_hold_references_and_tell_what_a_collapse_lost(spark):
     twice = D.collapsed(found.unionByName(found.withColumn("evidence", F.lit("another"))), D.references(p, e, f))
     assert all(r.lost == 1 and len(r.evidence) == 2 and "another" in r.evidence for r in twice.collect())
     assert D.fault_notes(twice).first().fault == f"{found.count()} findings collapsed onto an identity that another one already held"
+
+
+def test_reference_digests_are_those_of_the_gathered_references(spark):
+    """Also of a point that is told twice and of a flow id with two targets, which refer to two lists each."""
+    import hashlib
+
+    p = points(spark, ("op.a", "a.example", None, "p1"), ("op.a", "a.example", None, "p2"), ("op.b", "b.example", 81, "p2"), (None, "c.example", None, "p3"), ("op.c", None, None, "p4"))
+    p = p.unionByName(points(spark, ("op.b", "b.example", 81, "p1")))
+    e = events(spark, ("op.a", "c.example", None, "p1"), ("op.a", "d.example", 81, "p1", 1), ("op.a", "a.example", None, "p1"), ("op.b", "a.example", None, "p1"), ("op.b", "b.example", None, "p1", 1))
+    f = flows(spark, flow(3, host="c.example"), flow(1, host="c.example"), flow(4, host="d.example", port=81, flow_id="fl_1"), flow(2, host="u.example"), flow(5, start=9000, host="b.example", bytes_out=10**6), flow(6, host=None))
+    found = D.findings(p, e, f)[0]
+    want = {}
+    for r in D.collapsed(found, D.references(p, e, f)).collect():
+        want[r.finding_id] = (r.kind, len(r.refs), hashlib.sha256(",".join(f"{x.ref_type}:{x.ref_id}" for x in r.refs).encode()).hexdigest())
+    got = D.reference_digests(found, p, e, f)
+    assert {r.finding_id: (r.kind, r.n_refs, r.refs_sha256) for r in got.collect()} == want
+    assert {k for k, _, _ in want.values()} >= {"target_drift", "unmatched_wire_traffic", "volume_anomaly"} and got.count() == len(want)
