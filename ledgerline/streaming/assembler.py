@@ -11,12 +11,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 _STATE = StructType([StructField(n, LongType()) for n in ("incarnation", "connected_at", "volumes", "bytes", "orphans")] + [StructField("live", BooleanType())])
 OUT = StructType([StructField(n, LongType()) for n in ("key", "incarnation", "connected_at", "volumes", "bytes")] + [StructField("closed", BooleanType()), StructField("orphans", LongType())])
 _FRESH = (0, None, 0, 0, 0, False)
+_READ = ["at", "event_id", "kind", "bytes"]
 
 
 def step(state: tuple, at: int, kind: str, size: int) -> tuple[tuple, tuple | None]:
@@ -39,26 +40,18 @@ def rest(state: tuple) -> tuple | None:
     return (life, since, volumes, total, False, orphans) if live or orphans else None
 
 
-class Assembler(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("flow", _STATE)
-
-    def _held(self) -> tuple:
-        return tuple(self.state.get()) if self.state.exists() else _FRESH
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, out = self._held(), []
-        events = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        for at, kind, size in zip(events["at"], events["kind"], events["bytes"], strict=True):
-            state, row = step(state, int(at), kind, int(size))
-            out += [(key[0], *row)] if row else []
-        self.state.update(tuple(None if v is None else bool(v) if i == 5 else int(v) for i, v in enumerate(state)))
+def assemble(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    """The flows of one key that a batch's events end; the key's state goes with the events to the task and back."""
+    state, out = tuple(held.get) if held.exists else _FRESH, []
+    columns = [[v for column in own for v in column] for own in zip(*([part[c].tolist() for c in _READ] for part in parts), strict=True)]
+    for at, _, kind, size in sorted(zip(*columns, strict=True), key=lambda r: r[:2]):
+        state, row = step(state, at, kind, size)
+        out += [(key[0], *row)] if row else []
+    held.update(state)
+    if out:
         yield pd.DataFrame(out, columns=OUT.names)
 
-    def close(self) -> None:
-        pass
-
 
 def assembled_stream(events: DataFrame) -> DataFrame:
     """Flows of a stream (key, at, event_id, kind, bytes); needs the RocksDB state store."""
-    return events.groupBy("key").transformWithStateInPandas(statefulProcessor=Assembler(), outputStructType=OUT, outputMode="Append", timeMode="None")
+    return events.groupBy("key").applyInPandasWithState(assemble, OUT, _STATE, "append", GroupStateTimeout.NoTimeout)

@@ -15,7 +15,7 @@ from ledgerline.operators import mask as M
 from ledgerline.operators import request_events as V
 from ledgerline.sources import hook_sink, records, rules, trees
 from ledgerline.streaming import names as N
-from ledgerline.streaming import restorer, sessions
+from ledgerline.streaming import assembler, restorer, sessions
 from ledgerline.streaming.replay import replayed
 
 LATE = 10**9
@@ -350,3 +350,18 @@ def test_request_events_without_spans_and_quoting(spark):
     texts = ["plain", 'q"\\\n\r\t\x01\x1f\x7f é', "", "\\u0001"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", V.json_quote(F.col("t")).alias("q")).collect()
     assert all(json.loads(r.q) == r.t for r in rows) and {r.t: r.q for r in rows}[texts[1]] == '"q\\"\\\\\\n\\r\\t\\u0001\\u001f\x7f é"'
+
+
+def streamed_plan(spark, tmp_path, rows, schema, stream):
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    return stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))._jdf.queryExecution().analyzed().toString()
+
+
+def test_many_keys_are_assembled_with_their_state_at_hand(spark, tmp_path):
+    schema = "key long, at long, event_id long, kind string, bytes long"
+    rows = [(k, t, t, kind, 5) for k in range(400) for t, kind in enumerate(["volume", "connect", "volume", "close", "connect", "volume"])]
+    drains = [(k, 99, 0, "drain", 0) for k in range(400)]
+    # A state that is fetched by calls, some for each key, took most of the time.
+    assert "TransformWithState" not in streamed_plan(spark, tmp_path, rows, schema, assembler.assembled_stream)
+    got = replayed([spark.createDataFrame(p, schema) for p in ([r for r in rows if r[1] < 3], [r for r in rows if r[1] >= 3], drains)], assembler.assembled_stream).collect()
+    assert sorted(map(tuple, got)) == sorted(t for k in range(400) for t in ((k, 0, 1, 1, 5, True, 1), (k, 1, 4, 1, 5, False, 0)))
