@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -96,8 +96,12 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def stamped(rows: DataFrame, at_ms: str, delay: str) -> DataFrame:
+    """rows with their event time, in milliseconds, as __time, which has a watermark."""
+    return rows.withColumn("__time", F.timestamp_millis(F.col(at_ms) + SHIFT)).withWatermark("__time", delay)
+
+
 def in_order(rows: DataFrame, key: str, processor: InOrder, delay: str) -> DataFrame:
     """What a processor gives out for a stream of rows (key and the processor's fields); needs the RocksDB state store."""
-    time: Column = F.timestamp_millis(F.col(processor.fields.names[0]) + SHIFT)
-    stamped = rows.select(key, *processor.fields.names, time.alias("__time")).withWatermark("__time", delay)
-    return stamped.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.out, outputMode="Append", timeMode="EventTime")
+    timed = stamped(rows.select(key, *processor.fields.names), processor.fields.names[0], delay)
+    return timed.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.out, outputMode="Append", timeMode="EventTime")

@@ -365,3 +365,12 @@ def test_many_keys_are_assembled_with_their_state_at_hand(spark, tmp_path):
     assert "TransformWithState" not in streamed_plan(spark, tmp_path, rows, schema, assembler.assembled_stream)
     got = replayed([spark.createDataFrame(p, schema) for p in ([r for r in rows if r[1] < 3], [r for r in rows if r[1] >= 3], drains)], assembler.assembled_stream).collect()
     assert sorted(map(tuple, got)) == sorted(t for k in range(400) for t in ((k, 0, 1, 1, 5, True, 1), (k, 1, 4, 1, 5, False, 0)))
+
+
+def test_flows_and_answers_of_a_second_are_gathered_before_their_state(spark, tmp_path):
+    rows = [("a", f"f{k}", None, None, 20, None) for k in range(500)] + [(None, None, "a", f"n{k % 3}", 10, 30 + k % 2) for k in range(500)] + [("a", "g", None, None, 41, None), ("a", "h", None, None, 40, None)]
+    plan = streamed_plan(spark, tmp_path, rows, NAMED, named)
+    assert "Aggregate" in plan and plan.index("TransformWithState") < plan.index("Aggregate")
+    got = replayed([spark.createDataFrame(p, NAMED) for p in (rows, [(None, None, "end", "x", LATE, 1)])], named).collect()
+    names = ["n0", "n1", "n2"]
+    assert {r.flow_id: r.dns_names for r in got} == {f"f{k}": names for k in range(500)} | {"g": [], "h": names} and len(got) == 502
