@@ -1,19 +1,21 @@
 """State that sees each key's rows in the order of their time, whatever cut the stream comes in.
 
 A row waits until the watermark has passed its time, so that no earlier one can come; then it is applied. A
-timer stands at the earliest row that waits, or at the time at which what a key holds expires; so keys that fall
-silent are settled too. Rows later than the watermark's delay are dropped by Spark.
+timeout stands at the earliest row that waits, or at the time at which what a key holds expires; so keys that fall
+silent are settled too. Rows later than the watermark's delay are dropped by Spark. What a key holds and the rows
+that wait go to the task with the key's rows and back, so a key costs no calls; this is for many keys of few rows each.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 #: Rows are stamped so many milliseconds later: a watermark begins at 0, and rows that aren't after it are dropped.
 SHIFT = 1
@@ -24,23 +26,19 @@ def plain(rows: pd.DataFrame, fields: StructType) -> list[tuple]:
     columns = []
     for f in fields.fields:
         kind = int if isinstance(f.dataType, LongType) else lambda v: v.item() if hasattr(v, "item") else v
-        columns.append([None if v is None or v is pd.NA or v != v else kind(v) for v in rows[f.name]])
+        columns.append([None if v is None or v is pd.NA or v != v else kind(v) for v in rows[f.name].tolist()])
     return list(zip(*columns, strict=True))
 
 
-class InOrder(StatefulProcessor):
-    """Rows of `fields`, the first of which is their time in milliseconds; the others break ties. A subclass says what a row does."""
+class InOrder:
+    """Rows of `fields`, the first of which is their time in milliseconds; the others break ties. A subclass says what a row does, and keeps `kept`."""
 
     fields: StructType
+    kept: StructType
     out: StructType
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fields)
-        self.timer = handle.getValueState("timer", StructType([StructField("at", LongType())]))
-
-    def load(self) -> None:
-        """Read the key's state."""
+    def load(self, held: tuple | None) -> None:
+        """Take what was kept of the key; None for a new one."""
 
     def apply(self, row: tuple) -> list[tuple]:
         """What a row gives out."""
@@ -53,47 +51,27 @@ class InOrder(StatefulProcessor):
         """What is given out when the watermark has come to now and no row waits before it."""
         return []
 
-    def save(self) -> None:
-        """Write the key's state, or clear it."""
+    def save(self) -> tuple:
+        """What is kept of the key."""
+        raise NotImplementedError
 
-    def _settle(self, key: tuple, fresh: list[tuple], timers) -> pd.DataFrame:
-        now = timers.getCurrentWatermarkInMs() - SHIFT
-        rows = (list(map(tuple, self.waiting.get())) if self.waiting.exists() else []) + fresh
+    def settle(self, key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        *held, waiting = state.get if state.exists else (None, [])
+        rows = [tuple(r) for r in waiting]
+        if not state.hasTimedOut:
+            rows += [r for part in parts for r in plain(part, self.fields)]
         rows.sort(key=lambda r: tuple((v is not None, v) for v in r))
-        due = [r for r in rows if r[0] <= now]
-        later = rows[len(due) :]
-        self.load()
-        out = [o for r in due for o in self.apply(r)] + self.expire(now)
-        self.save()
-        if later:
-            self.waiting.put(later)
-        elif rows:
-            self.waiting.clear()
-        self._set_timer(later[0][0] if later else self.expires())
-        return pd.DataFrame([(key[0], *o) for o in out], columns=self.out.names)
-
-    def _set_timer(self, at: int | None) -> None:
-        old = self.timer.get()[0] if self.timer.exists() else None
-        if old == at:
-            return
-        if old is not None:
-            self.handle.deleteTimer(old + SHIFT)
-        if at is None:
-            self.timer.clear()
-        else:
-            self.handle.registerTimer(at + SHIFT)
-            self.timer.update((at,))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [r for part in rows for r in plain(part, self.fields)]
-        yield self._settle(key, fresh, timerValues)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
-        yield self._settle(key, [], timerValues)
-
-    def close(self) -> None:
-        pass
+        due = bisect_right(rows, watermark - SHIFT, key=lambda r: r[0])
+        self.load(tuple(held) if state.exists else None)
+        out = [o for r in rows[:due] for o in self.apply(r)] + self.expire(watermark - SHIFT)
+        state.update((*self.save(), rows[due:]))
+        at = rows[due][0] if due < len(rows) else self.expires()
+        if at is not None:
+            # Spark times out when the watermark is beyond this, and wants it beyond the watermark.
+            state.setTimeoutTimestamp(max(at + SHIFT - 1, watermark + 1))
+        if out:
+            yield pd.DataFrame([(key[0], *o) for o in out], columns=self.out.names)
 
 
 def stamped(rows: DataFrame, at_ms: str, delay: str) -> DataFrame:
@@ -104,4 +82,5 @@ def stamped(rows: DataFrame, at_ms: str, delay: str) -> DataFrame:
 def in_order(rows: DataFrame, key: str, processor: InOrder, delay: str) -> DataFrame:
     """What a processor gives out for a stream of rows (key and the processor's fields); needs the RocksDB state store."""
     timed = stamped(rows.select(key, *processor.fields.names), processor.fields.names[0], delay)
-    return timed.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.out, outputMode="Append", timeMode="EventTime")
+    state = StructType([*processor.kept.fields, StructField("waiting", ArrayType(processor.fields))])
+    return timed.groupBy(key).applyInPandasWithState(processor.settle, processor.out, state, "append", GroupStateTimeout.EventTimeTimeout)

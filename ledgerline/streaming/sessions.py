@@ -3,30 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ledgerline.operators.mask import ALIAS_CEILING, SESSION_TTL_MS
 from ledgerline.streaming.ordered import InOrder, in_order
 
-_LIFE = StructType([StructField(n, LongType()) for n in ("life", "since", "last_use", "aliases")])
-
 
 class SessionLives(InOrder):
     """Rows (at_ms, at_id, aliases). What stays of a session that expired is the number of its lives."""
 
     fields = StructType([StructField("at_ms", LongType()), StructField("at_id", LongType()), StructField("aliases", LongType())])
+    kept = StructType([StructField(n, LongType()) for n in ("life", "since", "last_use", "aliases")])
     out = StructType([StructField("session", StringType())] + [StructField(n, LongType()) for n in ("life", "since", "last_use", "expires", "aliases")] + [StructField("over_ceiling", BooleanType())])
 
     def __init__(self, ttl_ms: int, ceiling: int) -> None:
         self.ttl, self.ceiling = ttl_ms, ceiling
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.state = handle.getValueState("life", _LIFE)
-
-    def load(self) -> None:
-        self.life = tuple(self.state.get()) if self.state.exists() else (0, None, None, 0)
+    def load(self, held: tuple | None) -> None:
+        self.life = held or (0, None, None, 0)
 
     def _ended(self) -> tuple:
         life, since, last, aliases = self.life
@@ -48,8 +42,8 @@ class SessionLives(InOrder):
         at = self.expires()
         return [self._ended()] if at is not None and at <= now else []
 
-    def save(self) -> None:
-        self.state.update(self.life)
+    def save(self) -> tuple:
+        return self.life
 
 
 def session_lives_stream(uses: DataFrame, delay: str = "60 seconds", ttl_ms: int = SESSION_TTL_MS, ceiling: int = ALIAS_CEILING) -> DataFrame:

@@ -374,3 +374,12 @@ def test_flows_and_answers_of_a_second_are_gathered_before_their_state(spark, tm
     got = replayed([spark.createDataFrame(p, NAMED) for p in (rows, [(None, None, "end", "x", LATE, 1)])], named).collect()
     names = ["n0", "n1", "n2"]
     assert {r.flow_id: r.dns_names for r in got} == {f"f{k}": names for k in range(500)} | {"g": [], "h": names} and len(got) == 502
+
+
+def test_many_sessions_wait_and_end_with_their_state_at_hand(spark, tmp_path):
+    uses = "session string, at_ms long, at_id long, aliases long"
+    rows = [(f"s{k}", at, k, 3) for k in range(400) for at in (9000, 0, 1000, 3000)]
+    stream = lambda r: sessions.session_lives_stream(r, "5 seconds", 1500, 5)
+    assert "TransformWithState" not in streamed_plan(spark, tmp_path, rows, uses, stream)
+    got = replayed([spark.createDataFrame(p, uses) for p in ([r for r in rows if r[1] < 3000], [r for r in rows if r[1] >= 3000], [("end", LATE * 1000, 0, 0)])], stream).collect()
+    assert sorted(map(tuple, got)) == sorted(t for k in range(400) for t in ((f"s{k}", 0, 0, 1000, 2500, 6, True), (f"s{k}", 1, 3000, 3000, 4500, 3, False), (f"s{k}", 2, 9000, 9000, 10500, 3, False)))
