@@ -2,7 +2,8 @@
 
 The tiered join is three equi-joins whose results can't overlap: by operation (its tier says whether the
 targets agree too), by target where operations don't agree, by provider where neither does. So no link
-needs to be deduplicated, and no condition with OR reaches the planner.
+needs to be deduplicated, and no condition with OR reaches the planner. Few operations and providers have most
+of the pairs; theirs are cut into blocks, so that the work is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import targets as T
+from ledgerline.functions.tables import maybe_broadcast, settle
+
+#: Points and events of a block of pairs that is joined as one.
+SIDE = 1000
 
 TIERS = ["operation_and_target", "operation_only", "target_only", "provider_only"]
 
@@ -42,16 +47,41 @@ def _same_target() -> Column:
 
 def links(points: DataFrame, events: DataFrame) -> DataFrame:
     """(ep_id, ee_id, tier, obs_host, obs_port): each pair that is linked, with its strongest tier."""
+    points, events = settle(points, "link-points"), settle(events, "link-events")
     same_operation = F.col("operation") == F.col("ee_operation")
     same_target = F.coalesce(_same_target(), F.lit(False))
     out = ["ep_id", "ee_id", "tier", "obs_host", "obs_port"]
-    by_operation = points.join(events, same_operation).withColumn("tier", F.when(same_target, 0).otherwise(1))
-    by_target = points.join(events, _same_target()).filter(~F.coalesce(same_operation, F.lit(False))).withColumn("tier", F.lit(2))
-    provider = (F.col("provider_ref") == F.col("ee_provider")) & (F.col("provider_ref") != T.UNKNOWN)
-    by_provider = points.join(events, provider).filter(~F.coalesce(same_operation, F.lit(False)) & ~same_target).withColumn("tier", F.lit(3))
+    by_operation = _paired(points, events, [("operation", "ee_operation")]).withColumn("tier", F.when(same_target, 0).otherwise(1))
+    ports = (F.coalesce("port", F.lit(-1)), F.coalesce("obs_port", F.lit(-1)))
+    by_target = _paired(points, events, [("host", "obs_host"), ports]).filter(~F.coalesce(same_operation, F.lit(False))).withColumn("tier", F.lit(2))
+    named = points.filter(F.col("provider_ref") != T.UNKNOWN)
+    by_provider = _paired(named, events, [("provider_ref", "ee_provider")]).filter(~F.coalesce(same_operation, F.lit(False)) & ~same_target).withColumn("tier", F.lit(3))
     return by_operation.select(*out).unionByName(by_target.select(*out)).unionByName(by_provider.select(*out))
 
 
+def _paired(points: DataFrame, events: DataFrame, keys: list[tuple[str | Column, str | Column]]) -> DataFrame:
+    """points and events with equal keys, an inner join whose work is spread however few keys there are.
+
+    The pairs of a key are a field of its points by its events. A field of more than SIDE * SIDE pairs is cut into blocks of
+    about SIDE by SIDE, each of which is a key of its own; so rows are copied once in SIDE pairs. There are fewer such keys than
+    there are SIDE * SIDE pairs.
+    """
+    spark, names = points.sparkSession, [f"__k{i}" for i in range(len(keys))]
+    keyed = lambda rows, side: rows.withColumns({n: F.col(k[side]) if isinstance(k[side], str) else k[side] for n, k in zip(names, keys, strict=True)}).dropna(subset=names)
+    left, right = keyed(points, 0), keyed(events, 1)
+    many = left.groupBy(names).agg(F.count("*").alias("p")).join(right.groupBy(names).agg(F.count("*").alias("e")), names).filter(F.col("p") * F.col("e") > SIDE * SIDE)
+    many = maybe_broadcast(settle(many.select(*names, F.ceil(F.col("p") / SIDE).cast("int").alias("rows"), F.ceil(F.col("e") / SIDE).cast("int").alias("columns")), "link-fields"))
+    block = [*names, "__row", "__column"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(rows: DataFrame, id: str, own: str, own_cuts: str, other: str, other_cuts: str) -> DataFrame:
+        cut = rows.join(many, names, "left").withColumn(own, F.pmod(F.xxhash64(id), F.coalesce(own_cuts, F.lit(1))).cast("int"))
+        # The number of partitions is given, since few bytes of rows make many pairs.
+        return cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other_cuts, F.lit(1)) - 1))).drop("rows", "columns").repartition(parts, *block)
+
+    return dealt(left, "ep_id", "__row", "rows", "__column", "columns").join(dealt(right, "ee_id", "__column", "columns", "__row", "rows"), block)
+
+
 def tier_name(tier: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, TIERS)), tier + 1)
 

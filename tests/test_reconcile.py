@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.operators import derive as D
 from ledgerline.operators import episodes as E
@@ -332,3 +333,21 @@ def test_reference_digests_are_those_of_the_gathered_references(spark):
     got = D.reference_digests(found, p, e, f)
     assert {r.finding_id: (r.kind, r.n_refs, r.refs_sha256) for r in got.collect()} == want
     assert {k for k, _, _ in want.values()} >= {"target_drift", "unmatched_wire_traffic", "volume_anomaly"} and got.count() == len(want)
+
+
+def test_links_of_one_operation_are_the_work_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(J, "SIDE", 40, raising=False)
+    points = spark.range(300).selectExpr("concat('ep', id) ep_id", "if(id < 250, 'op', null) operation", "if(id % 3 = 0, 'h', null) host", "if(id % 2 = 0, 443, null) port", "if(id % 5 = 0, 'unknown', 'p') provider_ref")
+    events = spark.range(200).selectExpr("concat('ee', id) ee_id", "if(id < 150, 'op', 'other') ee_operation", "if(id % 7 = 0, 'unknown', 'p') ee_provider", "if(id % 2 = 0, 'h', null) obs_host", "if(id % 4 = 0, 443, null) obs_port")
+    found = J.links(points, events)
+    want = {}
+    for p in points.collect():
+        for e in events.collect():
+            same = p.host is not None and (p.host, p.port) == (e.obs_host, e.obs_port)
+            tier = (0 if same else 1) if p.operation == e.ee_operation else 2 if same else 3 if p.provider_ref == e.ee_provider != "unknown" else None
+            if tier is not None:
+                want[p.ep_id, e.ee_id] = tier
+    got = [((r.ep_id, r.ee_id), r.tier) for r in found.collect()]
+    assert dict(got) == want and len(got) == len(want)
+    by_task = found.filter("tier < 2").groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) >= 3 and max(r["count"] for r in by_task) < 0.6 * sum(r["count"] for r in by_task)
