@@ -337,8 +337,8 @@ def test_reference_digests_are_those_of_the_gathered_references(spark):
 
 def test_links_of_one_operation_are_the_work_of_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(J, "SIDE", 40, raising=False)
-    points = spark.range(300).selectExpr("concat('ep', id) ep_id", "if(id < 250, 'op', null) operation", "if(id % 3 = 0, 'h', null) host", "if(id % 2 = 0, 443, null) port", "if(id % 5 = 0, 'unknown', 'p') provider_ref")
-    events = spark.range(200).selectExpr("concat('ee', id) ee_id", "if(id < 150, 'op', 'other') ee_operation", "if(id % 7 = 0, 'unknown', 'p') ee_provider", "if(id % 2 = 0, 'h', null) obs_host", "if(id % 4 = 0, 443, null) obs_port")
+    points = spark.range(0, 300, 1, 1).selectExpr("concat('ep', id) ep_id", "if(id < 250, 'op', null) operation", "if(id % 3 = 0, 'h', null) host", "if(id % 2 = 0, 443, null) port", "if(id % 5 = 0, 'unknown', 'p') provider_ref")
+    events = spark.range(0, 200, 1, 1).selectExpr("concat('ee', id) ee_id", "if(id < 150, 'op', 'other') ee_operation", "if(id % 7 = 0, 'unknown', 'p') ee_provider", "if(id % 2 = 0, 'h', null) obs_host", "if(id % 4 = 0, 443, null) obs_port")
     found = J.links(points, events)
     want = {}
     for p in points.collect():
