@@ -26,6 +26,8 @@ from ledgerline.llm import common as C
 
 #: Bits of the lookup tables, a fixed size whatever the benchmark's; more items only cost more false hits.
 TABLE_BITS = 24
+#: Rows that are handed to Python at a time.
+TEXTS_AT_ONCE = 512
 
 
 def item_shingles(items: DataFrame, shingle: int, share: float) -> DataFrame:
@@ -81,7 +83,8 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, share: flo
 def _contained(docs: DataFrame, items: DataFrame, shingle: int, share: float) -> DataFrame:
     """The pairs, for each row of docs (doc_id, text, mark), with its mark."""
     spark = docs.sparkSession
-    index = C.settle(item_shingles(items, shingle, share).withColumn("item", F.monotonically_increasing_id()), "item-index")
+    with C.small_batches(spark, TEXTS_AT_ONCE):
+        index = C.settle(item_shingles(items, shingle, share).withColumn("item", F.monotonically_increasing_id()), "item-index")
     sketches, grams = (spark.sparkContext.broadcast(t) for t in _tables(index))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +105,8 @@ def _contained(docs: DataFrame, items: DataFrame, shingle: int, share: float) ->
                     )
 
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "mark").mapInArrow(look_up, "doc_id long, mark long, width int, hits array<long>, held array<long>")
-    found = C.settle(found.withColumn("row", F.monotonically_increasing_id()), "item-hits")
+    with C.small_batches(spark, TEXTS_AT_ONCE):
+        found = C.settle(found.withColumn("row", F.monotonically_increasing_id()), "item-hits")
     posts = index.select("item", "width", "need", F.explode("sketch").alias("h"))
     candidates = (
         found.select("row", "width", F.explode("hits").alias("h"))

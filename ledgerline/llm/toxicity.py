@@ -47,6 +47,8 @@ TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 5000
 LANDMARKS = 400
 #: Training strings, at most: those that set toxic documents apart, those of clean documents, and the negative cases of the first round and added in each.
 MARKS, CLEAN_STRINGS, FIRST_NEGATIVES, MORE_NEGATIVES = 1500, 60_000, 4000, 1500
+#: Rows that are handed to Python at a time.
+TEXTS_AT_ONCE = 512
 #: Letters of a string that are compared; a longer one is read in overlapping pieces of this length.
 LONGEST = 24
 
@@ -421,7 +423,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(bags, pa.binary())], ["doc_id", "toxic", "bag"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    got = C.settle(texts.select("doc_id", "toxic", "text").mapInArrow(bag, "doc_id long, toxic int, bag binary"), "tox-bags")
+    with C.small_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        got = C.settle(texts.select("doc_id", "toxic", "text").mapInArrow(bag, "doc_id long, toxic int, bag binary"), "tox-bags")
     # One row a document, and documents with the same strings count once: copies must not pass for evidence.
     known: dict[bytes, bytes] = {}
     seen: set[int] = set()
@@ -447,7 +450,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)))], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, score double")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with C.small_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        out = C.settle(texts.mapInArrow(score, "doc_id long, score double"), "tox-scores")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -460,4 +465,5 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(batch.column(text)) < 0.5))
 
-    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+    with C.small_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        return C.settle(plain.mapInArrow(keep, plain.schema), "tox-kept").toDF(*docs.columns)

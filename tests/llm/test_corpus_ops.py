@@ -979,3 +979,29 @@ def test_pipeline_stages_keep_columns(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text").collect()]
     left = containment([(r.doc_id, r.text) for r in docs.collect()], rows)
     assert not left
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    limit, seen, plain = "spark.sql.execution.arrow.maxBytesPerBatch", [], C.settle
+    in_python = lambda df: "MapInArrow" in df._jdf.queryExecution().toString()
+
+    def settle(df, label):
+        if in_python(df):
+            seen.append((label, spark.conf.get(limit)))
+        return plain(df, label)
+
+    monkeypatch.setattr(C, "settle", settle)
+    before = spark.conf.get(limit)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = pipeline.remove_toxic(spark, docs, SF)
+    left = pipeline.remove_leaks(spark, kept, SF)
+    scores = toxicity.scored(docs, toxicity.Model(None, 0.0, 0.0, 0.0, 0.1))
+    assert not any(map(in_python, (kept, left, scores)))
+    assert {label for label, _ in seen} == {"tox-bags", "tox-kept", "tox-scores", "item-index", "item-hits"}
+    assert {size for _, size in seen} == {str(C.BATCH_BYTES)} and spark.conf.get(limit) == before
+
+    wide = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("abcdefgh"), 1000).alias("text"))
+    with C.small_batches(spark, 10_000):
+        sizes = plain(wide.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long"), "sizes")
+    assert sizes.agg(F.max("n")).first()[0] <= 2 * C.BATCH_BYTES
