@@ -322,6 +322,27 @@ def test_a_common_word_does_not_lead_to_all_entries_that_begin_with_it(spark):
     assert len(got) == 40 and all((r.one, r.two, r.end) == (2000, 1, 12_000 + 8) for r in got)
 
 
+def test_no_table_sent_to_the_texts_grows_with_their_pairs_of_words(spark, monkeypatch):
+    """3,000 words begin as the second word of an entry does; a pair is met by its beginning, and the same is found when nothing can be sent to the texts."""
+    sizes, real = {}, D.settle
+
+    def counted(df, label):
+        out = real(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(D, "settle", counted)
+    texts = [(i, " ".join(f"the w{i}x{k}" for k in range(100)) + " the wa'da, the walar THE WA the w-in (the w)ler the  w") for i in range(30)]
+    entries = [("the", "PERSON"), ("the w", "ORG"), ("The Wa", "LOC"), ("(the w)", "ORG"), ("the w-in the", "ORG"), ("the w-in (the", "LOC")]
+    want = {(i, *s) for i, t in texts for s in brute_spans(t, entries, T_AFFIXES)}
+    tables = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(entries, "value string, entity string")
+    got = D.dictionary_spans(*tables, T_AFFIXES).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 100
+    assert max(n for label, n in sizes.items() if label != "vocabulary") < 20
+    monkeypatch.setattr(D, "maybe_broadcast", lambda df: df)
+    assert {tuple(r) for r in D.dictionary_spans(*tables, T_AFFIXES).collect()} == want
+
+
 def test_word_lists_and_affix_rules_from_files(spark):
     listed = 'schema_version = "1.0"\ndictionary_id = "d"\n[[entries]]\nvalue = "Ali Veli"\ntype = "PERSON"\n[[entries]]\nvalue = "Acme"\ntype = "ORG"\n'
     assert [tuple(r) for r in rules.dictionary(spark, listed).collect()] == [("Ali Veli", "PERSON"), ("Acme", "ORG")]
